@@ -1 +1,8 @@
 """Spark-native engine for construction quantity take-off, costing and audit."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
