@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm import decontamination, line_dedup, quality, secrets
-from planwright.session import materialize
+from planwright.llm import decontamination, html_text, line_dedup, pii, quality, secrets, token_counts, warc
+from planwright.session import materialize, work_dir
 from planwright.sources.tables import table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key for the driver's synthetic tables; real ones come from the caller's key store.
+PII_KEY = "synthetic-tables"
+TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: how the byte-level vocabulary splits text before merging.
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +30,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", F.aggregate("pii", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_found"), "pii", "text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -46,9 +57,36 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    """Counts before and after an edit in the middle of each text: five characters make way for ` [edited]`."""
+    vocabulary = f"{tokenizers or TOKENIZERS}/byte_bpe_50k.tiktoken"
+    docs = table(spark, sf_dir, "documents")
+    trees = token_counts.with_trees(docs, vocabulary, BYTE_BPE_PATTERN)
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    edit = F.struct(F.lit(0).alias("seq"), half.alias("start"), (half + 5).alias("stop"), F.lit(" [edited]").alias("new"))
+    before = trees.withColumn("edits", F.array(edit)).withColumn("doc_id", F.struct("doc_id", "n_tokens"))
+    after = token_counts.recount(before, None, vocabulary, BYTE_BPE_PATTERN)
+    return after.select("doc_id.doc_id", "doc_id.n_tokens", F.col("n_tokens").alias("n_tokens_after"), F.size("leaf_tokens").cast("long").alias("n_leaves"), "n_encoded")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = materialize(warc.write_shards(table(spark, sf_dir, "pages"), folder), "warc-manifest")
+    return warc.read_shards(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op10_html_text": op10_html_text,
 }
