@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm import decontamination, html_text, line_dedup, pii, quality, secrets, token_counts, warc
+from planwright.llm import decontamination, html_text, jaccard, line_dedup, pii, quality, secrets, token_counts, warc
 from planwright.session import materialize, work_dir
 from planwright.sources.tables import table
 
@@ -75,6 +75,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_shards(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -88,5 +92,6 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_html_text": op10_html_text,
 }

@@ -69,4 +69,26 @@ SELECT doc_id, CAST(count(*) AS BIGINT) n_lines, CAST(count(*) FILTER (dropped)
 FROM s GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4}
+def near_duplicate_ctes(size: int, percent: int, docs: str) -> str:
+    """CTEs up to comp(doc_id, n, component_id) over a relation with doc_id and text; `WITH RECURSIVE` stands before."""
+    return rf"""
+nw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACED}') w FROM {docs}),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {size - 1}], ' ') s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) i FROM nw WHERE len(w) > 0)),
+ns AS (SELECT doc_id, count(*) n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM both_ JOIN ns p ON p.doc_id = x JOIN ns q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(x, y) AS (SELECT doc_id, doc_id FROM nw UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x),
+comp AS (SELECT nw.doc_id, coalesce(n, 0) n, (SELECT min(y) FROM reach WHERE reach.x = nw.doc_id) component_id FROM nw LEFT JOIN ns USING (doc_id))
+"""
+
+
+OP9 = f"""
+WITH RECURSIVE {near_duplicate_ctes(4, 85, 'documents')}
+SELECT doc_id, CAST(n AS BIGINT) n_shingles, component_id FROM comp
+"""
+
+ORACLE_SQL = {"op9_ngram_jaccard": OP9, "op1_decontamination": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4}
