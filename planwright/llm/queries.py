@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm import decontamination, html_text, jaccard, line_dedup, pii, quality, secrets, token_counts, warc
+from planwright.llm import decontamination, html_text, jaccard, line_dedup, pii, quality, secrets, sentencepiece_lattice, token_counts, warc
 from planwright.session import materialize, work_dir
 from planwright.sources.tables import table
 
@@ -75,6 +75,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_shards(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizers)
+
+
+def encoded(docs: DataFrame, tokenizers: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, n_bytes (characters' bytes without a piece), ids and whether they decode to the text."""
+    pieces = sentencepiece_lattice.piece_rows(f"{tokenizers or TOKENIZERS}/piece_bpe_32k.model")
+    byte_ids = [r[0] for r in pieces if r[3]]
+    out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs.select("doc_id", "text"), pieces), pieces)
+    n_bytes = F.size(F.filter("ids", lambda i: i.between(min(byte_ids), max(byte_ids)))).cast("long")
+    back = F.translate(F.coalesce("text", F.lit("")), sentencepiece_lattice.SPACE, " ") == F.col("decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), n_bytes.alias("n_bytes"), "ids", back.alias("round_trip"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,6 +106,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_html_text": op10_html_text,
 }
