@@ -1,0 +1,6 @@
+"""Queries by subject; importing the package registers them."""
+
+from planwright.plans import catalogue  # noqa: F401
+from planwright.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
