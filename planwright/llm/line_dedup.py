@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.llm.quality import line_key
-from planwright.llm.text import fingerprint
+from planwright.llm.text import fingerprint, joined_runs, kept_runs
 
 MIN_KEY_CHARS = 10
 #: A line key is hot if it makes up more than this share of all lines; so there are at most 1 / share of them.
@@ -40,13 +40,6 @@ def line_drops(docs: DataFrame) -> DataFrame:
     return drops.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def _runs(dropped: Column, n_lines: Column) -> Column:
-    """Kept stretches between dropped line numbers: the bitmap, run-length encoded as (start, length)."""
-    before, after = F.concat(F.array(F.lit(-1)), dropped), F.concat(dropped, F.array(n_lines))
-    gaps = F.zip_with(before, after, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length")))
-    return F.filter(gaps, lambda r: r["length"] > 0)
-
-
 def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """A row per row of `docs`, with n_lines, n_dropped and keep_runs (start and length of kept stretches).
 
@@ -61,13 +54,9 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     gone = line_drops(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp"), "dropped")
     body = (docs if with_text else docs.select("doc_id", "text")).withColumn("_fp", fingerprint(F.col("text")))
     joined = body.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    joined = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.size(dropped).cast("long"))
-    joined = joined.withColumn("keep_runs", _runs(dropped, F.col("n_lines").cast("int")))
-    joined = joined.withColumn("_l", F.when(F.col("n_dropped") > 0, lines))
-    kept = F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice("_l", r["start"] + 1, r["length"]))), "\n")
-    )
-    columns = [c for c in docs.columns] if with_text else ["doc_id"]
+    joined = joined.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_dropped", F.size(dropped).cast("long"))
+    joined = joined.withColumn("n_lines", F.size("_l").cast("long")).withColumn("keep_runs", kept_runs(dropped, F.size("_l")))
+    kept = F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(joined_runs("_l", F.col("keep_runs")))
+    columns = docs.columns if with_text else ["doc_id"]
     return joined.withColumn("kept_text", kept).select(*columns, "n_lines", "n_dropped", "keep_runs", "kept_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planwright.llm.text import ASCII_SPACE, SPACED_WORD, fingerprint, lower_ascii, words
+from planwright.llm.text import ASCII_SPACE, SPACED_WORD, fingerprint, joined_runs, kept_runs, lower_ascii, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -113,24 +113,19 @@ def quality_rules(docs: DataFrame, host: str = "source", keep_text: bool = False
     rules = text_rules(body).withColumn("_fp", fingerprint(F.col("text")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # Words of each line travel instead of the text where the text is not asked for.
-    if not keep_text:
-        per_line = F.transform(lines, lambda x: F.size(words(x, SPACED_WORD)))
-        rules = rules.withColumn("_per_line", per_line).drop("text")
+    rules = rules.withColumn("_per_line", F.transform(lines, lambda x: F.size(words(x, SPACED_WORD))))
+    rules = rules if keep_text else rules.drop("text")
     joined = rules.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp")), "left")
-    per_line = F.col("_per_line") if not keep_text else F.transform(lines, lambda x: F.size(words(x, SPACED_WORD)))
-    lost = F.aggregate(F.coalesce("removed", F.array().cast("array<int>")), F.lit(0), lambda a, i: a + F.get(F.col("_pl"), i))
-    joined = joined.withColumn("_pl", per_line)
-    joined = joined.withColumn("n_removed_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"))
-    joined = joined.withColumn("n_left_words", F.col("n_words") - lost)
+    lost = F.aggregate(F.coalesce("removed", F.array().cast("array<int>")), F.lit(0), lambda a, i: a + F.get("_per_line", i))
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+    joined = joined.withColumns({"n_removed_lines": n_removed.cast("long"), "n_left_words": F.col("n_words") - lost})
     depleted = (F.col("n_removed_lines") > 0) & ((F.col("n_left_words") < LEFT_WORDS) | (F.col("n_left_words") < LEFT_SHARE * F.col("n_words")))
     joined = joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
     if keep_text:
-        kept_lines = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-        joined = joined.withColumn("_l", lines)
-        kept_lines = F.transform(kept_lines, lambda i: F.get("_l", i))
-        text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
-        joined = joined.withColumn("text", text)
+        joined = joined.withColumn("_l", F.when(F.col("removed").isNotNull(), lines))
+        rest = joined_runs("_l", kept_runs(F.array_sort("removed"), F.size("_l")))
+        joined = joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest))
         if "n_chars" in joined.columns:
             joined = joined.withColumn("n_chars", F.char_length("text").cast("long"))
-    keep = [c for c in docs.columns if c != "text" or keep_text] if keep_text else ["doc_id"]
+    keep = docs.columns if keep_text else ["doc_id"]
     return joined.select(*keep, *new)
