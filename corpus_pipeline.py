@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planwright.llm import decontamination, jaccard, line_dedup, quality
 from planwright.llm.queries import encoded
-from planwright.llm.text import SPACED_WORD
+from planwright.llm.text import SPACED_WORD, where_computed
 from planwright.session import materialize
 from planwright.sources.tables import table
 
@@ -15,12 +15,12 @@ from planwright.sources.tables import table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules reject; lines above the limits leave those that stay."""
     columns = docs.columns
-    return quality.quality_rules(docs, keep_text=True).where("kept").select(*columns)
+    return where_computed(quality.quality_rules(docs, keep_text=True), F.col("kept")).select(*columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves each line to the smallest doc_id that holds it; documents left without a word go."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(SPACED_WORD))
+    out = where_computed(line_dedup.dedup_lines(docs), (F.col("n_dropped") == 0) | F.col("kept_text").rlike(SPACED_WORD))
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
     n_chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))
     return out.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
