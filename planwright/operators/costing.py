@@ -37,7 +37,7 @@ def cost_by_material(lines: DataFrame) -> DataFrame:
 def cost_by_category(bill: DataFrame) -> DataFrame:
     sums = bill.groupBy("project_id", "category").agg(F.sum(F.col("cost").cast("decimal(18,2)")).alias("c"))
     whole = F.sum("c").over(Window.partitionBy("project_id")).cast("double")
-    return sums.select("project_id", "category", F.col("c").cast("double").alias("cost"), (F.col("c").cast("double") / whole).alias("share"))
+    return sums.select("project_id", "category", F.col("c").cast("double").alias("cost"), (F.col("c").cast("double") / F.nullif(whole, F.lit(0.0))).alias("share"))
 
 
 def project_totals(lines: DataFrame) -> DataFrame:

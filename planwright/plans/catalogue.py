@@ -153,7 +153,7 @@ def by_material(v):
 
 @query("d10_cost_by_category", _BY_MATERIAL + """
 SELECT project_id, category, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) AS cost,
-  CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(sum(CAST(cost AS DECIMAL(18,2)))) OVER (PARTITION BY project_id) AS DOUBLE) AS share FROM c GROUP BY 1, 2""", ("space", "material"))
+  CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) / nullif(CAST(sum(sum(CAST(cost AS DECIMAL(18,2)))) OVER (PARTITION BY project_id) AS DOUBLE), 0) AS share FROM c GROUP BY 1, 2""", ("space", "material"))
 def by_category(v):
     return cost_by_category(cost_by_material(surface_lines(v("space"), v("material"))))
 
