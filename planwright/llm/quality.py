@@ -113,14 +113,15 @@ def quality_rules(docs: DataFrame, host: str = "source", keep_text: bool = False
     rules = text_rules(body).withColumn("_fp", fingerprint(F.col("text")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # Words of each line travel instead of the text where the text is not asked for.
-    rules = rules.withColumn("_per_line", F.transform(lines, lambda x: F.size(words(x, SPACED_WORD))))
+    # With a row number in it, a condition on `kept` stays above these columns and is not worked out from the text again.
+    rules = rules.withColumn("_row", F.monotonically_increasing_id()).withColumn("_per_line", F.transform(lines, lambda x: F.size(words(x, SPACED_WORD))))
     rules = rules if keep_text else rules.drop("text")
     joined = rules.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp")), "left")
     lost = F.aggregate(F.coalesce("removed", F.array().cast("array<int>")), F.lit(0), lambda a, i: a + F.get("_per_line", i))
     n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
     joined = joined.withColumns({"n_removed_lines": n_removed.cast("long"), "n_left_words": F.col("n_words") - lost})
     depleted = (F.col("n_removed_lines") > 0) & ((F.col("n_left_words") < LEFT_WORDS) | (F.col("n_left_words") < LEFT_SHARE * F.col("n_words")))
-    joined = joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    joined = joined.withColumn("kept", (F.col("_row") >= 0) & ~F.col("base_failed") & ~depleted)
     if keep_text:
         joined = joined.withColumn("_l", F.when(F.col("removed").isNotNull(), lines))
         rest = joined_runs("_l", kept_runs(F.array_sort("removed"), F.size("_l")))
