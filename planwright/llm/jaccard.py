@@ -21,9 +21,15 @@ COUNTED = 0.3
 BROADCAST_ROWS = 1_000_000
 #: Members compared with one hub in one group.
 HUB_MEMBERS = 1_000
+#: A list with more components than this is crowded: its members are compared with hubs before all pairs are.
+CROWD = 64
+#: Hubs for each member of crowded lists in a round, and rounds at most; what they leave is compared pair by pair.
+HUBS, HUB_ROUNDS = 12, 3
+#: A sketch is the parity of the number of tokens in each of 64 * SKETCH parts of the hash space.
+SKETCH = 16
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-SET = "doc_id {id}, c1 bigint, c2 bigint, n bigint, tokens array<bigint>"
+SET = "doc_id {id}, c1 bigint, c2 bigint, n bigint, tokens array<bigint>, sketch array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,12 +66,17 @@ def _class(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.asarray(s, np.uint64).view(np.int64)) for s in sums)
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(64 - (64 * SKETCH).bit_length() + 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("wh", F.transform(words(lower_ascii(F.col("text")), SPACED_WORD), lambda w: F.xxhash64(w))).drop("text")
 
 
 def _sets(docs: DataFrame, size: int, pick) -> DataFrame:
-    """(doc_id, c1, c2, n, tokens) with pick(tokens) of each document's set."""
+    """(doc_id, c1, c2, n, tokens, sketch) with pick(tokens) of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +84,10 @@ def _sets(docs: DataFrame, size: int, pick) -> DataFrame:
             classes, picked = [_class(s) for s in sets], [pick(s).view(np.int64) for s in sets]
             offsets = np.cumsum([0, *map(len, picked)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(picked) if picked else np.zeros(0, np.int64)))
+            sketches = pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists],
-                ["doc_id", "c1", "c2", "n", "tokens"])
+                [batch.column("doc_id"), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists, sketches],
+                ["doc_id", "c1", "c2", "n", "tokens", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _hashed(docs.select("doc_id", "text")).mapInArrow(run, SET.format(id=kind))
@@ -116,6 +128,12 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
+def _sketches_allow(a: str, b: str, a_n: str, b_n: str, percent: int) -> Column:
+    """Whether two sets can reach the similarity: a part with differing parity holds a token that only one of them has."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    return differ * (100 + percent) <= (F.col(a_n) + F.col(b_n)) * (100 - percent)
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a1, a2, b1, b2) among the candidate pairs (c, hub), by whole sets.
 
@@ -186,6 +204,44 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _placed(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists with the component of each class, by list: its most frequent component and the number of components)."""
+    comp = components(links).select(F.col("node.c1").alias("k"), F.xxhash64("comp").alias("comp")).distinct()
+    placed = lists.join(comp, F.col("c") == F.col("k"), "left").select("token", "c", "n", F.coalesce("comp", "c").alias("comp"))
+    sizes = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+    return placed, sizes
+
+
+def crowd_links(docs: DataFrame, reps: DataFrame, lists: DataFrame, links: DataFrame, first: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, compared pairs) after rounds of comparisons in crowded lists.
+
+    Each crowded list draws a hub of its own in each round, members with more links being likelier; a member is
+    compared with the hubs of other components that it shares most lists with. So near copies that no single hub
+    is close to still grow together at some comparisons each instead of one for each pair.
+    """
+    ordered = lambda df: df.select(F.least("c", "hub").alias("c"), F.greatest("c", "hub").alias("hub"))
+    done = ordered(first)
+    for k in range(HUB_ROUNDS):
+        placed, sizes = _placed(lists, links)
+        crowded = materialize(placed.join(sizes.where(F.col("comps") > CROWD).select("token"), "token", "left_semi"), "jaccard-crowds")
+        if crowded.isEmpty():
+            break
+        degree = links.select(F.explode(F.array("u.c1", "v.c1")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
+        drawn = (F.pmod(F.xxhash64("token", "c", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
+        race = -F.log(drawn) / (1 + F.coalesce("degree", F.lit(0)))
+        hubs = crowded.join(degree, "c", "left").groupBy("token").agg(F.min(F.struct(race.alias("race"), "c", "n", "comp")).alias("h"))
+        met = crowded.join(hubs, "token").where((F.col("comp") != F.col("h.comp")) & _may_link(F.col("n"), F.col("h.n"), percent))
+        met = met.groupBy("c", F.col("h.c").alias("hub")).count()
+        best = met.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, HUBS).alias("best"))
+        chosen = ordered(best.select("c", F.explode("best.hub").alias("hub"))).distinct()
+        chosen = materialize(chosen.join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
+        new = verified(docs, reps, chosen, size, percent)
+        if new.isEmpty():
+            break
+        links, done = links.unionByName(new), done.unionByName(chosen)
+    return links, done
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per row of `docs`.
 
@@ -194,15 +250,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     links reach, the document's own included.
 
     Equal sets are one class, of which one document stands for all. Classes that meet in an inverted list are
-    first compared with a hub, the shortest set of the list, that they share most lists with; for classes that
-    are not in one component after that, every pair that meets in a list is compared. So a group of very many
+    first compared with a hub, the shortest set of the list, that they share most lists with, and in crowded lists
+    with drawn hubs; for classes that are not in one component after that, every pair that meets in a list is compared
+    that the sketches of both do not rule out. So a group of very many
     near copies costs about one comparison each, and no link is lost. Defined results: texts without words have
     0 shingles and are alone; a null doc_id counts as the smallest; repeated rows are in one component; other
     columns are not read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     listed = index(docs, size, percent)
-    reps = listed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id")).alias("r")).select("r.doc_id", "c1", "c2")
+    reps = listed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id")).alias("r"), F.min("sketch").alias("sketch")).select("r.doc_id", "c1", "c2", "sketch")
     reps = materialize(reps, "jaccard-classes")
     chosen = reps.select(F.col("doc_id").alias("_id"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
     one = listed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left_semi")
@@ -215,16 +272,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     first = materialize(met.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("best")).select("c", F.col("best.hub").alias("hub")), "jaccard-pairs")
     links = verified(docs, reps, first, size, percent)
 
+    links, done = crowd_links(docs, reps, lists, links, first, size, percent)
+
     # Pairs of different components that still meet in a list.
-    comp = components(links).select(F.col("node.c1").alias("k"), F.xxhash64("comp").alias("comp")).distinct()
-    placed = lists.join(comp, F.col("c") == F.col("k"), "left").select("token", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    sizes = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+    placed, sizes = _placed(lists, links)
     mixed = placed.join(sizes.where("comps > 1").select("token", F.col("most.comp").alias("most")), "token")
-    mixed = materialize(mixed, "jaccard-mixed")
-    rest = mixed.where("comp <> most").select("token", F.col("c").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-    pairs = rest.join(mixed, "token").where((F.col("a_comp") != F.col("comp")) & _may_link(F.col("a_n"), F.col("n"), percent))
+    mixed = materialize(mixed.join(reps.select(F.col("c1").alias("c"), "sketch"), "c"), "jaccard-mixed")
+    rest = mixed.where("comp <> most").select("token", F.col("c").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("sketch").alias("a_sketch"))
+    pairs = rest.join(mixed, "token").where(
+        (F.col("a_comp") != F.col("comp")) & _may_link(F.col("a_n"), F.col("n"), percent) & _sketches_allow("a_sketch", "sketch", "a_n", "n", percent))
     pairs = pairs.select(F.least("a", "c").alias("c"), F.greatest("a", "c").alias("hub")).distinct()
-    done = first.select(F.least("c", "hub").alias("c"), F.greatest("c", "hub").alias("hub"))
     pairs = materialize(pairs.join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
     links = links.unionByName(verified(docs, reps, pairs, size, percent))
 
@@ -232,5 +289,5 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     nodes = nodes.select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     smallest = nodes.groupBy("comp").agg(F.min(F.struct("doc_id")).alias("s"))
     classes = nodes.join(smallest, "comp").select(F.col("node.c1").alias("k1"), F.col("node.c2").alias("k2"), F.col("s.doc_id").alias("component_id"))
-    out = listed.drop("tokens").join(classes, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    out = listed.drop("tokens", "sketch").join(classes, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
