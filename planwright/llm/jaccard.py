@@ -45,7 +45,7 @@ def shingle_sets(hashes: pa.Array, size: int) -> Iterator[np.ndarray]:
         rolled = np.full(len(flat), np.uint64(size))
         for k in range(size):
             nexts = np.zeros(len(flat), np.uint64)
-            nexts[: len(flat) - k] = flat[k:] if k else flat
+            nexts[: max(0, len(flat) - k)] = flat[k:]
             rolled = _mix(rolled * _MIX[0] + nexts)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b - a >= size:
