@@ -57,7 +57,7 @@ VIEWS = {
         FROM {lineitem}""",
     "boq_line": """
         SELECT project_id, item_no, category, tag, description, unit, CAST(COALESCE(qty_final, qty_ai) AS DECIMAL(14,4)) AS qty,
-          CAST(price / 100 AS DECIMAL(14,2)) AS rate, basis = 'ESTIMATED' AS is_provisional,
+          CAST(FLOOR(price + 0.5) / 100 AS DECIMAL(14,2)) AS rate, basis = 'ESTIMATED' AS is_provisional,
           CAST(CASE WHEN basis = 'ESTIMATED' THEN price END AS DECIMAL(14,2)) AS ps_amount, confidence, basis, status, finish_code, created_at, part_id
         FROM {takeoff} WHERE category <> 'ROOM'""",
     "rate_library": """
