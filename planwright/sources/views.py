@@ -78,6 +78,10 @@ VIEWS = {
           CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price, CAST(p_size % 40 AS DECIMAL(14,4)) AS coverage, 1 + p_size % 3 AS coats,
           CAST(p_size % 15 AS DECIMAL(5,2)) AS wastage_pct, CAST(p_size AS DECIMAL(14,2)) AS fixed_cost, p_partkey AS sort_order
         FROM {part}""",
+    "mep_rule": """
+        SELECT p_partkey AS rule_id, CASE p_partkey % 4 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATH_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' ELSE 'AREA_SQFT' END AS driver,
+          CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit
+        FROM {part} WHERE p_partkey <= 22""",
     "job": """
         SELECT event_id AS job_id, user_id AS org_id, ts AS created_at, event_type,
           CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'DONE' WHEN 'error' THEN 'FAILED' ELSE 'QUEUED' END AS status,
