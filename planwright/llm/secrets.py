@@ -56,16 +56,16 @@ def unseen(versions: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """(blob, text): one row for each blob of `versions` that the ledger has not under this rule version.
 
     Which row stands for a blob is settled on hashes and ids alone, so a text with very many copies costs one
-    small row per task; texts then move once, to the side of a hash table of the chosen ids.
+    small row per task. Texts then move once, dealt by row and not by blob; repeated rows meet in the same place.
     """
-    keyed = versions.withColumn("blob", blob_id(F.col("text")))
-    chosen = keyed.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
+    keyed = versions.select(F.struct("path", "version").alias("at"), blob_id(F.col("text")).alias("blob"), "text")
+    chosen = keyed.groupBy("blob").agg(F.min("at").alias("first"))
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
         chosen = chosen.join(known, "blob", "left_anti")
-    chosen = chosen.select(F.col("blob").alias("b"), F.col("at.path").alias("p"), F.col("at.version").alias("v"))
-    same = F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("blob") == F.col("b"))
-    return keyed.select("path", "version", "blob", "text").join(chosen.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["blob"])
+    chosen = chosen.select(F.col("blob").alias("b"), "first")
+    same = (F.col("at") == F.col("first")) & (F.col("blob") == F.col("b"))
+    return keyed.join(chosen.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["at", "blob"]).select("blob", "text")
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
