@@ -23,8 +23,8 @@ PATTERNS = [
     ("date", r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?!\d)"),
-    ("intl", r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d){6,13}(?!\d)"),
+    ("phone", r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4})(?!\d)"),
+    ("intl", r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,5}\)(?:[ .-]?\d){4,12}|(?:[ .-]?\d){6,13})(?!\d)"),
     ("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"),
 ]
 ANY = "|".join(f"(?:{pattern})" for _, pattern in PATTERNS)
@@ -169,7 +169,7 @@ def _pseudonym(key: str, kind: Column, value: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(permute(key, F.lit("email"), F.substring_index(value, "@", 1)), F.lit("@"), F.substring_index(value, "@", -1)))
         .when(kind == "ip", _ip(key, value)).when(kind == "date", _date(key, value)).when(kind == "iban", _iban(key, value))
-        .when(kind == "card", _card(key, value)).when(kind == "phone", _tail(key, "phone", value, r"^(?:\+?1[ .-]?)?\(?[2-9]"))
+        .when(kind == "card", _card(key, value)).when(kind == "phone", _tail(key, "phone", value, r"^(?:\+?1[ .-]?)?\(?\d"))
         .when(kind == "intl", _tail(key, "intl", value, r"^\+\d\d?")).when(kind == "ssn", _ssn(key, value))
     )
 
@@ -178,8 +178,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with the personal data in `text` replaced, and a column pii of (kind, n) by kind.
 
     Kinds: e-mail addresses (local part), IPv4 addresses, ISO dates from 1900 to 2099, IBANs (check digits
-    renewed), payment cards (Luhn-valid ones, check digit renewed), North American and international phone
-    numbers, US social security numbers. Matches that fail validation stay. Defined results: null and empty
+    renewed), payment cards (Luhn-valid ones, check digit renewed), North American phone numbers (any area code in
+    brackets or after +1, else from 2 to 9 first) and international ones, with or without an area in brackets, US
+    social security numbers. Matches that fail validation stay. Defined results: null and empty
     texts stay as they are with no pii; rows are independent, so repeated rows come out alike; all other
     columns of `docs` stay, except one named pii, which is replaced; an empty table gives no rows.
     """

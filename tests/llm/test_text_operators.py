@@ -1,6 +1,7 @@
 """Text operators against brute force, exact round trips and SQL, on small tables with nulls, ties and odd texts."""
 
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -153,6 +154,29 @@ def test_pii(spark):
     assert out[2].text is None and out[3].text == "" and out[4].text == texts[4] and [x.kind for x in out[0].pii] == ["email", "ip", "date"]
 
 
+def test_pii_phones(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (232) 555-1352", "(017) 555-7713", "1-212-555-0123", "212.555.0123", "+1 017 555 7713", "+1.132.555.1352",
+              "+12125550123", "+44 (20) 7946 0958", "+44 (0)20 7946 0958", "+49(30)123456", "+44 20 7946 0958"]
+    plain = ["017-555-7713", "+5 (3) 12", "f(123) 4567", "+1 000 000"]
+    rows = spark.createDataFrame([(k, f"call {p}, or not") for k, p in enumerate(phones + plain)], "doc_id int, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(rows, "k").collect()}
+    for k, phone in enumerate(phones):
+        new = out[k].text.removeprefix("call ").removesuffix(", or not")
+        assert new != phone and re.sub(r"\d", "d", new) == re.sub(r"\d", "d", phone), phone
+        assert [(x.kind, x.n) for x in out[k].pii] == [("intl" if phone.startswith("+4") else "phone", 1)], phone
+    assert [out[len(phones) + k].text for k in range(len(plain))] == [f"call {p}, or not" for p in plain]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no driver's tables")
+def test_pii_phones_of_documents(spark):
+    """Every phone-shaped number of the driver's documents is found, whatever its area code."""
+    shape = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]\d{4}(?!\d)"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(shape)).select("doc_id", "text")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    numbers = [(r.doc_id, n) for r in docs.collect() for n in re.findall(shape, r.text)]
+    assert numbers and not [(k, n) for k, n in numbers if n in out[k].text]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head &amp; more</h1><p>One  two\n three</p><aside>ad</aside><script>x()</script></article><footer>f</footer></body></html>"
     plain = "<div>site name</div><p>story {0} one</p><p>story {0} two</p><div>legal line</div>"
