@@ -68,15 +68,14 @@ def line_key(line: Column) -> Column:
 def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(host, h1, h2): lines that too many documents of a host hold.
 
-    Documents that share their longest line count once: copies of one text are no sign of boilerplate, and
-    what to do with them is for deduplication to say. Each document sends each of its lines once, as two
+    Documents with the same lines in the same order count once: copies of one text are no sign of boilerplate, and
+    what to do with them is for deduplication to say. All others count, whatever lines they share. Each document sends each of its lines once, as two
     64-bit hashes, and both aggregations combine on the map side, so a line that a third of the documents
     hold moves as one row per task and counted document.
     """
     keys = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_key), lambda x: x != "")
     hashed = F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
-    longest = F.array_max(F.transform(keys, lambda x: F.struct(F.char_length(x), F.xxhash64(x).alias("h"))))["h"]
-    each = docs.select(F.col(host).alias("host"), longest.alias("doc"), F.array_distinct(hashed).alias("l"))
+    each = docs.select(F.col(host).alias("host"), F.xxhash64(keys).alias("doc"), F.array_distinct(hashed).alias("l"))
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     lines = each.select("host", "doc", F.explode("l").alias("l")).select("host", "doc", "l.h1", "l.h2").distinct()
     counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LINE_DOCS)

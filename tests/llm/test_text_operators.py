@@ -59,6 +59,17 @@ def test_frequent_lines_go(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_frequent_longest_line(spark):
+    """Different documents count although the shared line is the longest of each; copies of one text count once."""
+    shared = " ".join(f"shared{j}" for j in range(60))
+    body = lambda k: f"body {k} " + " ".join(f"w{k}_{j}" for j in range(20))
+    rows = [(k, f"{shared}\nsign up here\n{body(k)}", "h") for k in range(40)] + [(100 + k, f"{shared}\nonly {k} left", "h") for k in range(40)]
+    rows += [(200 + k, f"{shared} too\n{body(999)}", "h") for k in range(40)]
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string"), keep_text=True).collect()}
+    assert all(out[k].text == body(k) and out[k].n_removed_lines == 2 and out[k].kept for k in range(40))
+    assert not any(out[100 + k].kept for k in range(40)) and all(out[200 + k].kept and out[200 + k].n_removed_lines == 0 for k in range(40))
+
+
 def test_line_dedup(docs):
     out = line_dedup.dedup_lines(docs).withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256))
     same(out, *duck_rows(sql.OP4, docs))
