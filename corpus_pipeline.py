@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planwright.llm import decontamination, jaccard, line_dedup, quality
 from planwright.llm.queries import encoded
-from planwright.llm.text import SPACED_WORD, where_computed
+from planwright.llm.text import SPACED_WORD, fingerprint, where_computed
 from planwright.session import materialize
 from planwright.sources.tables import table
 
@@ -26,19 +26,30 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
+def _by_text(docs: DataFrame) -> DataFrame:
+    """`docs` with (doc_id, fingerprint of the text) for doc_id: rows with one id, null included, and different texts stay apart."""
+    return docs.withColumn("doc_id", F.struct("doc_id", fingerprint(F.col("text")).alias("fp")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 similarity on five-word shingles connect, the one with the smallest doc_id stays."""
-    found = jaccard.near_duplicates(docs, size=5, percent=80)
+    """Of documents that links of 0.8 similarity on five-word shingles connect, the one with the smallest doc_id stays.
+
+    Rows with one doc_id, null included, and different texts are documents of their own, the smallest fingerprint first;
+    of rows equal in both doc_id and text one stays.
+    """
+    keyed = _by_text(docs)
+    found = jaccard.near_duplicates(keyed, size=5, percent=80)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    chosen = keyed.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return chosen.dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold any window of a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that hold any window of a benchmark item; others with the same or a null doc_id stay."""
+    keyed = _by_text(docs)
+    found = decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"))
     leaks = found.where("contaminated").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return keyed.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

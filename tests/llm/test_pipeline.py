@@ -73,6 +73,21 @@ def test_decontamination(spark, staged):
     assert set(texts(staged[4])) == set(texts(staged[3])) - leaks
 
 
+def test_null_and_repeated_ids(spark):
+    long = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    item = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 10)
+    rows = [(None, long("a")), (None, long("b")), (None, long("b")), (1, long("c")), (2, long("c") + " more"), (2, long("d")), (2, long("d")), (3, long("e")), (3, long("e") + " more")]
+    docs = spark.createDataFrame([(k, t, "en", "h", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == 5
+    assert set(got) - {(3, long("e")), (3, long("e") + " more")} == {(None, long("a")), (None, long("b")), (1, long("c")), (2, long("d"))}
+    rows = [(None, long("a")), (None, f"{long('b')} {item}"), (1, item), (1, long("c")), (1, long("c"))]
+    docs = spark.createDataFrame([(k, t, "en", "h", len(t)) for k, t in rows], docs.schema)
+    out = corpus_pipeline.benchmark_decontamination(spark, docs, DATA)
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(1, long("c"))] * 2 + [(None, long("a"))]
+
+
 def test_encoding(staged):
     import sentencepiece
 
