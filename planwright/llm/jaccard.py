@@ -153,6 +153,8 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, perc
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tokens, goes in zip(shingle_sets(batch.column("wh"), size), batch.column("goes").to_pylist(), strict=True):
+                if not len(tokens):  # a text without words that shares its doc_id with a chosen one
+                    continue
                 c1, c2 = _class(tokens)
                 yield pa.RecordBatch.from_pylist(
                     [{"hub": g["hub"], "part": g["part"], "is_hub": g["is_hub"], "c1": c1, "c2": c2, "tokens": tokens.view(np.int64)} for g in goes],

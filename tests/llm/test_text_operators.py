@@ -79,6 +79,12 @@ def test_jaccard(docs):
     same(jaccard.near_duplicates(docs), *duck_rows(sql.ORACLE_SQL["op9_ngram_jaccard"], docs))
 
 
+def test_jaccard_null_id_without_words(spark):
+    rows = [(None, BASE), (None, BASE + " one"), (None, ""), (None, None), (None, " \t "), (7, BASE + " two"), (8, "far from all the others")]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(None, 57, None), (None, 58, None)] + [(None, 0, None)] * 3 + [(7, 58, None), (8, 2, 8)], key=repr)
+
+
 def test_jaccard_crowd(spark, monkeypatch):
     """A group of near copies of which no two hubs are alike goes through the hub rounds and loses no link."""
     import random
