@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "planwright", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,17 +28,42 @@ def build_session(app: str = "planwright", master: str | None = None, shuffle_pa
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only for local masters that set none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + os.path.join(tempfile.gettempdir(), "planwright-work")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes `df` as Parquet under the shared folder and reads it back."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Cuts lineage: writes `df` as Parquet under the shared folder, in a directory per value of `by`, and reads it back."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    schema = df.schema if not by else StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
+    return spark.read.schema(schema).parquet(path)
+
+
+def folder_of(table: DataFrame) -> str | None:
+    """The folder under the work folder from which a materialised table is read; None if it has no files."""
+    base = work_dir(table.sparkSession)
+    for name in table.inputFiles()[:1]:
+        return f"{base}/{name.rpartition(base.rpartition('/')[2] + '/')[2].partition('/')[0]}"
+    return None
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for table in tables:
+        folder, spark = folder_of(table), table.sparkSession
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch to and from Python, so that memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
