@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Files are named by shard and sequence number and their bytes follow from the records alone: a shard is a fixed
-range of page ids, records in it are sorted, each is a gzip member of its own without a time stamp, and a new
+Files are named by shard and sequence number and their bytes follow from the records alone: a shard is a range
+of page ids, records in it are sorted, each is a gzip member of its own without a time stamp, and a new
 file begins when the compressed size passes a limit. A task writes to a temporary name and renames; a repeated
 task renames the same bytes over them. The manifest is a Parquet table written last, and readers open only the
 files it lists, so what lost executors leave behind is never read. The folder is any that pyarrow.fs opens.
@@ -21,8 +21,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planwright.session import bound_batches
+
 ROLL_BYTES = 64 << 20
-IDS_PER_SHARD = 2_000
+ROWS_PER_SHARD = 2_000
+#: Tasks that read archives back, at most; a number makes adaptive execution keep them apart.
+READ_TASKS = 10_000
 #: Smallest payload that later copies of it may refer to.
 REVISIT_BYTES = 1000
 DATE = "2000-01-01T00:00:00Z"
@@ -33,23 +37,26 @@ _ID = "urn:x-page:"
 _ONE_LINE = {13: "%0D", 10: "%0A"}
 
 
-def with_verdicts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to): payload is null for revisits.
+def digested(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, digest): a null html is an empty payload."""
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the rows that refer to another: ids and digests alone move, never payloads.
 
     Largest page ids are found per digest with map-side combining; the join back may meet one digest in a third
     of all rows, which adaptive execution splits on the side of the pages.
     """
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
+    long = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "digest")
     firsts = (
-        rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest")
-        .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select(F.col("digest").alias("d"), "first")
     )
-    joined = rows.join(firsts, F.col("digest") == F.col("d"), "left")
-    refers = F.when(F.coalesce(F.col("page_id") < F.col("first"), F.col("first").isNotNull()), F.col("first"))
-    return joined.withColumn("refers_to", refers).select(
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", "refers_to")
+    joined = long.join(firsts, F.col("digest") == F.col("d"))
+    return joined.where(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))).select(
+        "page_id", "digest", F.col("first").alias("refers_to"))
 
 
 def _base32(digest: str) -> str:
@@ -90,21 +97,28 @@ class _File:
         return self.name, self.shard, self.records, self.size, self.sha.hexdigest()
 
 
-def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
+def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Writes the archive files when evaluated; each row of the result is a manifest entry.
 
     Records with equal payloads of REVISIT_BYTES or more become revisits of the one with the largest page_id.
+    Payloads move once: verdicts on them travel as narrow rows of their own to the same range partitions, where
+    they sort before the payload that they are about. Shards are ranges of ids of one width, which follows from
+    the smallest and largest id and the number of rows, so sparse ids make no more files than dense ones.
     Defined results: a null html is an empty payload; null page ids sort first, in a shard of their own, and
     revisit like the smallest id; a null url leaves its header out; rows that tie on the largest id are all
     responses; other columns are not read; an empty table writes no file.
     """
     fs_, base = fs.FileSystem.from_uri(folder)
     fs_.create_dir(base, recursive=True)
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, file, seq = [], None, 0
+        done, file, seq, verdict = [], None, 0, None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["payload"] is None:
+                    verdict = row["page_id"], row["digest"], row["refers_to"]
+                    continue
                 if file and (file.shard != row["shard"] or file.size >= roll_bytes):
                     seq = seq + 1 if file.shard == row["shard"] else 0
                     done.append(file.commit())
@@ -112,15 +126,21 @@ def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id
                 elif file is None:
                     seq = 0
                 file = file or _File(folder, row["shard"], seq)
-                file.write(record_bytes(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["digest"], row["refers_to"]))
+                refers_to = verdict[2] if verdict and verdict[:2] == (row["page_id"], row["digest"]) else None
+                file.write(record_bytes(row["page_id"], row["url"], row["payload"] if refers_to is None else None, row["payload_bytes"], row["digest"], refers_to))
         if file:
             done.append(file.commit())
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], ["file", "shard", "n_records", "n_bytes", "sha256"])
 
-    shard = F.coalesce(F.floor(F.col("page_id") / ids_per_shard), F.lit(-1).cast("bigint"))
-    rows = with_verdicts(pages).withColumn("shard", F.when(shard < 0, -1 - shard + 10**11).otherwise(shard))
-    ordered = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    low, high, n = pages.agg(F.min(F.col("page_id").cast("bigint")), F.max(F.col("page_id").cast("bigint")), F.count(F.lit(1))).head()
+    width = 1 if low is None else -(-(high - low + 1) // -(-n // rows_per_shard))
+    shard = F.coalesce(F.floor((F.col("page_id").cast("decimal(20,0)") - (low or 0)) / width).cast("bigint") + 1, F.lit(0).cast("bigint"))
+    rows = digested(pages)
+    none = lambda kind: F.lit(None).cast(kind)
+    verdicts = revisits(rows).select("page_id", none("string").alias("url"), none("string").alias("payload"), none("bigint").alias("payload_bytes"), "digest", "refers_to")
+    both = rows.withColumn("refers_to", none("bigint")).unionByName(verdicts).withColumn("shard", shard)
+    ordered = both.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
     return ordered.mapInArrow(run, MANIFEST)
 
 
@@ -164,4 +184,6 @@ def read_shards(manifest: DataFrame, folder: str, rows_per_batch: int = 256) ->
                             rows = []
                 yield pack(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORD)
+    bound_batches(manifest.sparkSession)
+    n_tasks = min(max(1, manifest.count()), READ_TASKS)
+    return manifest.select("file").repartition(n_tasks, "file").mapInArrow(run, RECORD)
