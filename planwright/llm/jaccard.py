@@ -1,35 +1,47 @@
-"""N-gram Jaccard self-join as a T-occurrence search over inverted lists, down to connected components."""
+"""N-gram Jaccard self-join as a T-occurrence search with DivideSkip, down to connected components.
+
+A set of n tokens and a partner that reaches the similarity share at least T = ceil(percent / 100 * n) tokens. The L
+longest inverted lists of each set are put aside, L = T - SHARED, and the short ones are merged: a shuffle by token,
+then a count by pair. Pairs counted T - L times or more are candidates; each is settled by merging the short parts
+again and probing the long ones by binary search in the other set, which holds a token exactly if the token's list
+holds the set: so lists with a third of all sets are probed without ever being built.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.llm.text import SPACED_WORD, lower_ascii, words
-from planwright.session import materialize
+from planwright.session import bound_batches, discard, materialize
 
+#: T - L: how often a candidate stands in the short lists of a set at least.
+SHARED = 2
 #: Lists longer than this, and than the LONG_LISTS-th part of all postings seen, are long.
 LONG = 50
-LONG_LISTS = 200_000
-#: Share of the hash space in which list lengths are counted; prefixes take the smallest hashes first.
-COUNTED = 0.3
+LONG_LISTS = 400_000
+#: Tokens that a task counts together; those found once among them are left out of list lengths.
+COUNTED = 2_000_000
 #: Chosen ids are broadcast up to this many, else both sides shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Members compared with one hub in one group.
-HUB_MEMBERS = 1_000
+HUB_MEMBERS = 500
 #: A list with more components than this is crowded: its members are compared with hubs before all pairs are.
-CROWD = 64
+CROWD = 32
 #: Hubs for each member of crowded lists in a round, and rounds at most; what they leave is compared pair by pair.
-HUBS, HUB_ROUNDS = 12, 3
+HUBS, HUB_ROUNDS = 8, 4
 #: A sketch is the parity of the number of tokens in each of 64 * SKETCH parts of the hash space.
 SKETCH = 16
+#: Longs of a sketch with its parts put together, for rows of lists.
+FOLDS = 4
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-SET = "doc_id {id}, c1 bigint, c2 bigint, n bigint, tokens array<bigint>, sketch array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,173 +87,244 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("wh", F.transform(words(lower_ascii(F.col("text")), SPACED_WORD), lambda w: F.xxhash64(w))).drop("text")
 
 
-def _sets(docs: DataFrame, size: int, pick) -> DataFrame:
-    """(doc_id, c1, c2, n, tokens, sketch) with pick(tokens) of each document's set."""
+def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("wh"), size))
-            classes, picked = [_class(s) for s in sets], [pick(s).view(np.int64) for s in sets]
-            offsets = np.cumsum([0, *map(len, picked)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(picked) if picked else np.zeros(0, np.int64)))
-            sketches = pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists, sketches],
-                ["doc_id", "c1", "c2", "n", "tokens", "sketch"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _hashed(docs.select("doc_id", "text")).mapInArrow(run, SET.format(id=kind))
+def needed(n: int, percent: int) -> int:
+    """T: the tokens that a set of n shares with any partner that reaches the similarity."""
+    return (percent * n + 99) // 100
+
+
+def divide(s: np.ndarray, long: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(tokens of the short lists, known long ones that fill these up, the tokens put aside, T - L) of a set; one order for all sets, known long lists last."""
+    t = needed(len(s), percent)
+    shared = min(SHARED, t)
+    take = len(s) - t + shared
+    is_long = long[np.minimum(np.searchsorted(long, s), len(long) - 1)] == s if len(long) else np.zeros(len(s), bool)
+    short, rest = s[~is_long], s[is_long]
+    more = max(0, take - len(short))
+    return short[:take], rest[:more], np.sort(np.concatenate([short[take:], rest[more:]])), shared
 
 
 def long_lists(docs: DataFrame, size: int) -> np.ndarray:
-    """Tokens with long inverted lists, sorted; never more than LONG_LISTS of them."""
-    border = np.uint64(int(COUNTED * 2**64))
-    seen = _sets(docs, size, lambda s: s[: np.searchsorted(s, border)]).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    seen = materialize(seen.where(F.col("count") > LONG), "long-lists")
-    total = seen.agg(F.sum("count")).head()[0] or 0
-    rows = seen.where(F.col("count") > max(LONG, total // LONG_LISTS)).select("token").toPandas()
+    """Tokens with long inverted lists, sorted; never more than LONG_LISTS of them.
+
+    Every task counts the tokens of COUNTED at a time and passes on those found twice or more, so next to nothing
+    moves. Lengths only set the order of lists: any order gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def pack() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = count > 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["token", "n"])
+
+        for batch in batches:
+            for s in shingle_sets(batch.column("wh"), size):
+                held.append(s)
+                n += len(s)
+                if n >= COUNTED:
+                    yield pack()
+                    n = 0
+        yield pack()
+
+    seen = _hashed(docs.select("text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = materialize(seen.where(F.col("n") > LONG), "long-lists")
+    total = seen.agg(F.sum("n")).head()[0] or 0
+    rows = seen.where(F.col("n") > max(LONG, total // LONG_LISTS)).select("token").toPandas()
+    discard(seen)
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def index(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Every document with the tokens under which it is listed.
+def index(docs: DataFrame, size: int, percent: int, long: Broadcast) -> DataFrame:
+    """(doc_id, c1, c2, n, shared, short, long): the set of each row of `docs`, divided; of the long lists only those that fill up the short ones."""
 
-    Sets that reach the similarity share at least T = ceil(percent / 100 * n) tokens with a set of n. So T - 1
-    tokens of each set need no list: DivideSkip leaves out those with long lists, in one order for all sets,
-    and sets that reach T still meet in a list that is left.
-    """
-    known = docs.sparkSession.sparkContext.broadcast(long_lists(docs, size))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("wh"), size))
+            classes = [_class(s) for s in sets]
+            parts = [divide(s, long.value, percent) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)], pa.array([len(s) for s in sets], pa.int64()), pa.array([p[3] for p in parts], pa.int32()),
+                 _longs([p[0] for p in parts]), _longs([p[1] for p in parts])],
+                ["doc_id", "c1", "c2", "n", "shared", "short", "long"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _hashed(docs).mapInArrow(run, f"doc_id {kind}, c1 bigint, c2 bigint, n bigint, shared int, short array<bigint>, long array<bigint>")
 
-    def pick(s: np.ndarray) -> np.ndarray:
-        take = len(s) - (percent * len(s) + 99) // 100 + 1
-        if len(s) == 0 or not len(known.value):
-            return s[:take] if len(s) else s
-        at = np.minimum(np.searchsorted(known.value, s), len(known.value) - 1)
-        is_long = known.value[at] == s
-        short = s[~is_long]
-        return short[:take] if len(short) >= take else np.concatenate([short, s[is_long][: take - len(short)]])
 
-    return materialize(_sets(docs, size, pick), "jaccard-index")
+def shared_lists(listed: DataFrame) -> DataFrame:
+    """(token, c, n, shared, hub, hub_n) of the merged lists that two or more classes stand in; hub is the shortest set of the list.
+
+    Lists that are not known to be long move once and are read by windows. Of known long ones, which only sets of
+    little else are listed under, the ends are found with map-side combining and joined back by a broadcast of at
+    most LONG_LISTS rows, so no task holds such a list.
+    """
+    posting = lambda column: listed.select(F.explode(column).alias("token"), F.col("c1").alias("c"), F.col("n").cast("int").alias("n"), "shared")
+    ends = [F.min(F.struct("n", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")]
+    apart = posting("short").groupBy("token").agg(*ends).where("low <> high").select("token", "p")
+    few = posting("short").join(apart, "token")
+    crowded = posting("long").groupBy("token").agg(*ends).where("low <> high").select("token", "p")
+    many = posting("long").join(F.broadcast(crowded), "token")
+    both = few.unionByName(many).select("token", "c", "n", "shared", F.col("p.c").alias("hub"), F.col("p.n").alias("hub_n"))
+    return materialize(both.distinct(), "jaccard-lists")
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _sketches_allow(a: str, b: str, a_n: str, b_n: str, percent: int) -> Column:
+def _sketches_allow(percent: int) -> Column:
     """Whether two sets can reach the similarity: a part with differing parity holds a token that only one of them has."""
-    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
-    return differ * (100 + percent) <= (F.col(a_n) + F.col(b_n)) * (100 - percent)
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (c, hub) that the lengths and sketches (c, set_n, sketch) of both allow."""
+    a = sketches.select("c", F.col("set_n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    b = sketches.select(F.col("c").alias("hub"), F.col("set_n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    both = pairs.join(a, "c").join(b, "hub")
+    return both.where(_may_link(F.col("a_n"), F.col("b_n"), percent) & _sketches_allow(percent)).select("c", "hub")
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(c, set_n, sketch, doc_id) of the documents that stand for the classes `reps`."""
+    ids = reps.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"))
+    few = ids.count() <= BROADCAST_ROWS
+    chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(s, c) for s, c in zip(shingle_sets(batch.column("wh"), size), batch.column("_c").to_pylist(), strict=True) if len(s) and _class(s)[0] == c]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for _, c in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), _longs([_sketch(s) for s, _ in sets]), _longs([s for s, _ in sets])],
+                ["c", "set_n", "sketch", "tokens"])
+
+    return _hashed(chosen.select("text", "_c")).mapInArrow(run, "c bigint, set_n int, sketch array<bigint>, tokens array<bigint>")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a1, a2, b1, b2) among the candidate pairs (c, hub), by whole sets.
+def verified(sets: DataFrame, pairs: DataFrame, percent: int, long: Broadcast) -> DataFrame:
+    """The pairs (c, hub) that link, by DivideSkip on the whole sets (c, tokens).
 
-    Sets are made once per document and hub, dealt by hub and part of its members (HUB_MEMBERS), and a member's
-    tokens are looked up in the hub's set by binary search.
+    Sets move once for each pair as a member, and once for each HUB_MEMBERS members as a hub.
     """
+    salt = F.pmod(F.xxhash64("c"), "parts").cast("int")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "hub").select("c", "hub", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), F.lit(False).alias("is_hub"))
-    hubs = parts.select(F.col("hub").alias("c"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    wanted = members.unionByName(hubs).join(reps.select("doc_id", "c1"), F.col("c") == F.col("c1"))
-    wanted = materialize(wanted.select("doc_id", "hub", "part", "is_hub"), "jaccard-wanted")
-    ids = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part", "is_hub")).alias("goes")).withColumnRenamed("doc_id", "_id")
-    few = wanted.select("doc_id").distinct().count() <= BROADCAST_ROWS
-    side = F.broadcast(ids) if few else ids.hint("shuffle_hash")
-    chosen = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tokens, goes in zip(shingle_sets(batch.column("wh"), size), batch.column("goes").to_pylist(), strict=True):
-                if not len(tokens):  # a text without words that shares its doc_id with a chosen one
-                    continue
-                c1, c2 = _class(tokens)
-                yield pa.RecordBatch.from_pylist(
-                    [{"hub": g["hub"], "part": g["part"], "is_hub": g["is_hub"], "c1": c1, "c2": c2, "tokens": tokens.view(np.int64)} for g in goes],
-                    pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("is_hub", pa.bool_()), ("c1", pa.int64()), ("c2", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+    dealt = pairs.join(parts, "hub").select("c", "hub", salt.alias("part"))
+    hubs = parts.select(F.col("hub").alias("c"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wanted = dealt.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True)))
+    rows = wanted.join(sets.select("c", "tokens"), "c").repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub_sets = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub, t = None, None, 0
         for batch in batches:
-            out, lists = set(), batch.column("tokens")
-            flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            keys = zip(*[batch.column(c).to_pylist() for c in ("hub", "part", "is_hub", "c1", "c2")], strict=True)
-            for k, (hub, part, is_hub, c1, c2) in enumerate(keys):
+            lists, out = batch.column("tokens"), []
+            flat, starts = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            for k, (c, h, part, is_hub) in enumerate(zip(*[batch.column(x).to_pylist() for x in ("c", "hub", "part", "is_hub")], strict=True)):
                 tokens = flat[starts[k] : starts[k + 1]]
-                if (hub, part) != at:
-                    at, hub_sets = (hub, part), {}
                 if is_hub:
-                    hub_sets[c1, c2] = np.sort(tokens)
+                    at, hub = (h, part), tokens.copy()
+                    short, more, rest, t = divide(hub, long.value, percent)
+                    short = np.concatenate([short, more])
                     continue
-                for (h1, h2), other in hub_sets.items():
-                    spot = np.minimum(np.searchsorted(other, tokens), len(other) - 1)
-                    both = int(np.count_nonzero(other[spot] == tokens))
-                    if 100 * both >= percent * (len(tokens) + len(other) - both):
-                        out.add((c1, c2, h1, h2))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["a1", "a2", "b1", "b2"])
+                assert at == (h, part)
+                both = len(np.intersect1d(short, tokens, assume_unique=True))
+                if both >= min(t, needed(len(tokens), percent)):
+                    both += int(np.count_nonzero(tokens[np.minimum(np.searchsorted(tokens, rest), len(tokens) - 1)] == rest))
+                    if 100 * both >= percent * (len(hub) + len(tokens) - both):
+                        out.append((c, h))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["c", "hub"])
 
-    made = _hashed(chosen.select("doc_id", "text", "goes")).select("wh", "goes").mapInArrow(
-        sets, "hub bigint, part int, is_hub boolean, c1 bigint, c2 bigint, tokens array<bigint>")
-    dealt = made.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
-    found = dealt.mapInArrow(compare, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
-    return materialize(found.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("u"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("v")), "jaccard-links")
+    return materialize(rows.select("c", "hub", "part", "is_hub", "tokens").mapInArrow(run, "c bigint, hub bigint"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of (u, v): large-star and small-star rounds until the edges are stars, by joins and minima."""
-    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    while True:
+    """(node, comp) of (u, v), the smallest node of each component: large-star and small-star rounds until the edges are stars."""
+    canonical = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    size = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+    edges = materialize(canonical(links), "components")
+    before = size(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        edges = new
-        if same:
+        new = materialize(canonical(small), "components")
+        discard(edges)
+        edges, after = new, size(new)
+        if after == before:
             break
+        before = after
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _placed(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lists with the component of each class, by list: its most frequent component and the number of components)."""
-    comp = components(links).select(F.col("node.c1").alias("k"), F.xxhash64("comp").alias("comp")).distinct()
-    placed = lists.join(comp, F.col("c") == F.col("k"), "left").select("token", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    sizes = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-    return placed, sizes
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(c, comp) after more links between classes: components of components, so that later rounds only see what changed."""
+    a, b = (placed.select(F.col("c").alias(k), F.col("comp").alias(v)) for k, v in (("c", "u"), ("hub", "v")))
+    moved = components(links.join(a, "c").join(b, "hub").select("u", "v")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return materialize(placed.join(moved, "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")), "jaccard-components")
 
 
-def crowd_links(docs: DataFrame, reps: DataFrame, lists: DataFrame, links: DataFrame, first: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, compared pairs) after rounds of comparisons in crowded lists.
+def hub_pairs(lists: DataFrame, degree: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(c, hub): classes of crowded lists, each with the drawn hubs of other components that it shares most lists with.
 
-    Each crowded list draws a hub of its own in each round, members with more links being likelier; a member is
-    compared with the hubs of other components that it shares most lists with. So near copies that no single hub
-    is close to still grow together at some comparisons each instead of one for each pair.
+    Each list draws a hub of its own in each round, members with more links being likelier. So near copies that
+    no single hub is close to still grow together at some comparisons each instead of one for each pair.
     """
-    ordered = lambda df: df.select(F.least("c", "hub").alias("c"), F.greatest("c", "hub").alias("hub"))
-    done = ordered(first)
-    for k in range(HUB_ROUNDS):
-        placed, sizes = _placed(lists, links)
-        crowded = materialize(placed.join(sizes.where(F.col("comps") > CROWD).select("token"), "token", "left_semi"), "jaccard-crowds")
-        if crowded.isEmpty():
-            break
-        degree = links.select(F.explode(F.array("u.c1", "v.c1")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
-        drawn = (F.pmod(F.xxhash64("token", "c", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
-        race = -F.log(drawn) / (1 + F.coalesce("degree", F.lit(0)))
-        hubs = crowded.join(degree, "c", "left").groupBy("token").agg(F.min(F.struct(race.alias("race"), "c", "n", "comp")).alias("h"))
-        met = crowded.join(hubs, "token").where((F.col("comp") != F.col("h.comp")) & _may_link(F.col("n"), F.col("h.n"), percent))
-        met = met.groupBy("c", F.col("h.c").alias("hub")).count()
-        best = met.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, HUBS).alias("best"))
-        chosen = ordered(best.select("c", F.explode("best.hub").alias("hub"))).distinct()
-        chosen = materialize(chosen.join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
-        new = verified(docs, reps, chosen, size, percent)
-        if new.isEmpty():
+    drawn = (F.pmod(F.xxhash64("token", "c", F.lit(turn)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    race = -F.log(drawn) / (1 + F.coalesce("degree", F.lit(0)))
+    hubs = lists.join(degree, "c", "left").groupBy("token").agg(F.min(F.struct(race.alias("race"), "c", "n", "comp")).alias("h"))
+    met = lists.join(hubs, "token").where((F.col("comp") != F.col("h.comp")) & _may_link(F.col("n"), F.col("h.n"), percent))
+    met = met.groupBy("c", F.col("h.c").alias("hub")).count()
+    best = met.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, HUBS).alias("best"))
+    return best.select("c", F.explode("best.hub").alias("hub"))
+
+
+def linked(lists: DataFrame, sets: DataFrame, percent: int, long: Broadcast) -> DataFrame:
+    """(c, comp) of all classes in `lists`, comp being the smallest class of the component."""
+    sketches = sets.select("c", "set_n", "sketch")
+    ordered = lambda df: df.select(F.least("c", "hub").alias("c"), F.greatest("c", "hub").alias("hub")).distinct()
+    met = lists.where((F.col("c") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), percent)).groupBy("c", "hub").count()
+    first = met.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("best")).select("c", F.col("best.hub").alias("hub"))
+    done = materialize(ordered(first), "jaccard-pairs")
+    links = verified(sets, possible(done, sketches, percent), percent, long)
+    placed = _merged(lists.select("c").distinct().withColumn("comp", F.col("c")), links)
+    for turn in range(HUB_ROUNDS + 1):
+        at = lists.select("token", "c", "n", "shared").join(placed, "c")
+        sizes = at.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        mixed = materialize(at.join(sizes.select("token", F.col("most.comp").alias("most"), "comps"), "token"), "jaccard-mixed")
+        crowded = mixed.where(F.col("comps") > CROWD)
+        if turn == HUB_ROUNDS or crowded.isEmpty():
             break
-        links, done = links.unionByName(new), done.unionByName(chosen)
-    return links, done
+        degree = links.select(F.explode(F.array("c", "hub")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
+        pairs = materialize(ordered(hub_pairs(crowded, degree, turn, percent)).join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
+        new = verified(sets, possible(pairs, sketches, percent), percent, long)
+        discard(mixed)
+        links, done, before = links.unionByName(new), done.unionByName(pairs), placed
+        placed = _merged(placed, new)
+        discard(before)
+    # Pairs of different components, counted over all lists in which both stand; a folded sketch travels with them.
+    folds = [f"s{k}" for k in range(FOLDS)]
+    folded = sets.select("c", *[reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(i)) for i in range(k, SKETCH, FOLDS)]).alias(f) for k, f in enumerate(folds)])
+    mixed = mixed.join(folded, "c")
+    other = [F.col(x).alias(f"b_{x}") for x in ("c", "n", "shared", "comp", *folds)]
+    met = mixed.where("comp <> most").join(mixed.select("token", *other), "token")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"b_{f}"))) for f in folds])
+    near = differ * (100 + percent) <= (F.col("n") + F.col("b_n")) * (100 - percent)
+    met = met.where((F.col("comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("most")) | (F.col("c") < F.col("b_c"))) & _may_link(F.col("n"), F.col("b_n"), percent) & near)
+    counted = met.groupBy(F.least("c", "b_c").alias("c"), F.greatest("c", "b_c").alias("hub")).agg(F.count(F.lit(1)).alias("both"), F.min(F.least("shared", "b_shared")).alias("least"))
+    pairs = counted.where("both >= least").select("c", "hub").join(done, ["c", "hub"], "left_anti")
+    pairs = materialize(possible(pairs, sketches, percent), "jaccard-pairs")
+    return _merged(placed, verified(sets, pairs, percent, long))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -251,45 +334,26 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     (ASCII lower-cased; all words as one shingle if they are fewer). component_id is the smallest doc_id that
     links reach, the document's own included.
 
-    Equal sets are one class, of which one document stands for all. Classes that meet in an inverted list are
-    first compared with a hub, the shortest set of the list, that they share most lists with, and in crowded lists
-    with drawn hubs; for classes that are not in one component after that, every pair that meets in a list is compared
-    that the sketches of both do not rule out. So a group of very many
-    near copies costs about one comparison each, and no link is lost. Defined results: texts without words have
-    0 shingles and are alone; a null doc_id counts as the smallest; repeated rows are in one component; other
-    columns are not read; an empty table gives no rows.
+    Equal sets are one class, of which one document stands for all. Classes that meet in a short list are first
+    compared with a hub, the smallest set of the list, that they share most lists with, and in crowded lists with
+    drawn hubs; of classes that are not in one component after that, every pair that is counted T - L times and that
+    the sketches of both do not rule out is compared. So a group of very many near copies costs some comparisons
+    each, and no link is lost. Defined results: texts without words have 0 shingles and are alone; a null doc_id
+    counts as the smallest; repeated rows are in one component; other columns are not read; an empty table gives no
+    rows.
     """
-    docs = docs.select("doc_id", "text")
-    listed = index(docs, size, percent)
-    reps = listed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id")).alias("r"), F.min("sketch").alias("sketch")).select("r.doc_id", "c1", "c2", "sketch")
-    reps = materialize(reps, "jaccard-classes")
-    chosen = reps.select(F.col("doc_id").alias("_id"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-    one = listed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left_semi")
-    postings = one.select(F.explode("tokens").alias("token"), F.col("c1").alias("c"), F.col("n").cast("int").alias("n"))
-    by_list = Window.partitionBy("token")
-    lists = postings.withColumn("p", F.min(F.struct("n", "c")).over(by_list)).withColumn("last", F.max("c").over(by_list)).withColumn("low", F.min("c").over(by_list))
-    lists = materialize(lists.where("low <> last").select("token", "c", "n", F.col("p.c").alias("hub"), F.col("p.n").alias("hub_n")), "jaccard-lists")
-
-    met = lists.where((F.col("c") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), percent)).groupBy("c", "hub").count()
-    first = materialize(met.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("best")).select("c", F.col("best.hub").alias("hub")), "jaccard-pairs")
-    links = verified(docs, reps, first, size, percent)
-
-    links, done = crowd_links(docs, reps, lists, links, first, size, percent)
-
-    # Pairs of different components that still meet in a list.
-    placed, sizes = _placed(lists, links)
-    mixed = placed.join(sizes.where("comps > 1").select("token", F.col("most.comp").alias("most")), "token")
-    mixed = materialize(mixed.join(reps.select(F.col("c1").alias("c"), "sketch"), "c"), "jaccard-mixed")
-    rest = mixed.where("comp <> most").select("token", F.col("c").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("sketch").alias("a_sketch"))
-    pairs = rest.join(mixed, "token").where(
-        (F.col("a_comp") != F.col("comp")) & _may_link(F.col("a_n"), F.col("n"), percent) & _sketches_allow("a_sketch", "sketch", "a_n", "n", percent))
-    pairs = pairs.select(F.least("a", "c").alias("c"), F.greatest("a", "c").alias("hub")).distinct()
-    pairs = materialize(pairs.join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(verified(docs, reps, pairs, size, percent))
-
-    nodes = reps.select("doc_id", F.struct("c1", "c2").alias("node")).join(components(links), "node", "left")
-    nodes = nodes.select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    smallest = nodes.groupBy("comp").agg(F.min(F.struct("doc_id")).alias("s"))
-    classes = nodes.join(smallest, "comp").select(F.col("node.c1").alias("k1"), F.col("node.c2").alias("k2"), F.col("s.doc_id").alias("component_id"))
-    out = listed.drop("tokens", "sketch").join(classes, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    bound_batches(spark, 4 << 20)
+    long = spark.sparkContext.broadcast(long_lists(docs, size))
+    listed = materialize(index(docs, size, percent, long), "jaccard-index")
+    lists = shared_lists(listed.where("n > 0"))
+    ids = listed.where("n > 0").groupBy(F.col("c1").alias("c")).agg(F.min(F.struct("doc_id")).alias("least"))
+    reps = ids.join(lists.select("c").distinct(), "c", "left_semi").select("c", "least.doc_id")
+    sets = materialize(whole_sets(docs, reps, size), "jaccard-sets")
+    placed = linked(lists, sets, percent, long)
+    discard(lists, sets)
+    nodes = ids.join(placed, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
+    smallest = nodes.groupBy("comp").agg(F.min("least").alias("smallest"))
+    classes = nodes.join(smallest, "comp").select(F.col("c").alias("k"), F.col("smallest.doc_id").alias("component_id"))
+    out = listed.select("doc_id", "c1", "n").join(classes, F.col("c1") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

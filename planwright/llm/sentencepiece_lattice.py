@@ -1,28 +1,45 @@
-"""SentencePiece encoding and decoding over a lattice of pieces.
+"""SentencePiece encoding and decoding over a relational lattice of pieces.
 
-Words are exploded into substrings of bounded length, substrings are joined with the piece table on equality,
-edges are grouped by word, and a fold over the edges picks the path. The model at hand is a byte-pair model, for
-which the path of the best summed score is not the model's encoding; its fold merges, step by step, the pair of
-neighbouring edges whose joined edge has the best score, as the model defines it. Both folds are here.
+Distinct words of all texts are exploded into substrings of bounded length, substrings are joined with the piece
+table on equality, edges are grouped by word, and a higher-order fold over the edges of a word picks its path. The
+model at hand is a byte-pair model, for which the path of the best summed score is not the model's encoding: its
+fold takes, step by step, the best-ranked edge that covers exactly two edges of the path so far, leftmost first on
+a tie, as the model defines it. The fold for unigram models, by best sum (Viterbi), is `viterbi_words`.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planwright.llm.text import unused
+from planwright.session import bound_batches, bucketed, discard, folder_of, materialize
+
 SPACE = "▁"
 #: Runs of spaces stay with the word after them; no piece reaches across the borders of these.
-WORD = r" *[^ \n]+|\n+| +"
-#: Words up to this length are folded together, in arrays; longer ones one by one, with a heap.
-ARRAY_LENGTH = 32
-_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+MARK = "\x1f"
+WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n+|{SPACE}+")
+#: The places of a path are bits of one long; longer words are folded with a heap, one by one.
+FOLDED = 60
+#: Words that are frequent in the blocks of documents are sent to all tasks, this many at most; each block names so many.
+FREQUENT, NAMED = 100_000, 20_000
+#: Distinct words that a task holds before it passes them on.
+HELD_WORDS = 1_000_000
+#: Words whose edges are sorted together.
+WORDS_PER_TASK = 100_000
+#: Rank of the edges of single characters that have no piece.
+NO_PIECE = 2**31 - 1
 
 
 def piece_rows(model_file: str) -> list[tuple[int, str, float, bool]]:
@@ -35,76 +52,152 @@ def piece_rows(model_file: str) -> list[tuple[int, str, float, bool]]:
 
 
 class PieceTable:
-    """The piece table: equality look-ups by hashed substring, sorted for binary search behind a bit filter."""
+    """Normal pieces by rank, the best score first, and the ids of bytes."""
 
     def __init__(self, rows: list[tuple[int, str, float, bool]]):
         normal = sorted((r for r in rows if not r[3]), key=lambda r: (-r[2], r[0]))
         self.rank = {piece: k for k, (_, piece, _, _) in enumerate(normal)}
-        self.ids = np.array([r[0] for r in normal], np.int32)
+        self.ids = [r[0] for r in normal]
         self.byte_ids = [i for _, i in sorted((int(p[3:5], 16), i) for i, p, _, b in rows if b)]
         self.longest = max(map(len, self.rank), default=1)
-        hashes = np.array([self._hash(p) for p in self.rank], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[order], order.astype(np.int32)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self._slot(self.hashes)] = True
-
-    @staticmethod
-    def _hash(text: str) -> int:
-        h = 0
-        for c in text:
-            h = (h * int(_BASE) + ord(c) + 1) % 2**64
-        return h
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return ((h * _SPREAD) >> np.uint64(44)).astype(np.int64)
-
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Rank of the piece with each hash, or NONE."""
-        out = np.full(h.shape, NONE, np.int32)
-        maybe = np.nonzero(self.filter[self._slot(h)])
-        some = h[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
-        out[maybe] = np.where(self.hashes[at] == some, self.ranks[at], NONE)
-        return out
-
-
-NONE = np.iinfo(np.int32).max
-
-
-def lattice(table: PieceTable, points: np.ndarray) -> np.ndarray:
-    """ranks[word, start, length - 1] of the edges of words of one length, given as rows of code points."""
-    n_words, length = points.shape
-    ranks = np.full((n_words, length, min(table.longest, length)), NONE, np.int32)
-    h = np.zeros((n_words, length), np.uint64)
-    with np.errstate(over="ignore"):
-        for size in range(1, ranks.shape[2] + 1):
-            h = h[:, : length - size + 1] * _BASE + points[:, size - 1 :] + np.uint64(1)
-            ranks[:, : length - size + 1, size - 1] = table.look_up(h)
-    return ranks
-
-
-def merge_fold(ranks: np.ndarray) -> np.ndarray:
-    """ends[word, start]: the end of the edge that begins there, or 0, after all merges; leftmost first on a tie."""
-    n_words, length, longest = ranks.shape
-    places = np.arange(length)
-    ends = np.tile(np.concatenate([places + 1, [length]]), (n_words, 1))
-    active = np.arange(n_words)
-    while len(active) and length > 1:
-        own, grid = ends[active], np.arange(len(active))[:, None]
-        middle = own[:, :length]
-        far = own[grid, middle]
-        size = far - places
-        valid = (middle > 0) & (middle < length) & (size <= longest)
-        rank = np.where(valid, ranks[active][grid, places, np.where(valid, size, 1) - 1], NONE)
-        best = rank.argmin(axis=1)
-        row = np.arange(len(active))
-        merged = rank[row, best] != NONE
-        active, row, best = active[merged], row[merged], best[merged]
-        ends[active, best] = far[row, best]
-        ends[active, middle[row, best]] = 0
-    return ends[:, :length]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(piece, rank): as large as the vocabulary, whatever the input."""
+        return spark.createDataFrame(list(self.rank.items()), "piece string, rank int")
+
+
+def frequent_words(docs: DataFrame, text: str) -> tuple[list[str], int]:
+    """(the most frequent words of all blocks, FREQUENT at most; the sum of the blocks' distinct words).
+
+    Each task names the NAMED most frequent words among HELD_WORDS distinct ones, and how many these are. The cut
+    follows from a histogram of some dozens of steps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def pack() -> pa.RecordBatch:
+            top = [(None, len(found)), *found.most_common(NAMED)]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            counts = split_words(batch.column(text))[0].value_counts()
+            for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                found[word] += n
+            if len(found) > HELD_WORDS:
+                yield pack()
+        yield pack()
+
+    counted = materialize(docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "frequent-words")
+    n_words = counted.where("word IS NULL").agg(F.sum("n")).head()[0] or 0
+    known = counted.where("word IS NOT NULL")
+    steps = known.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+    total, cut = 0, 2**62
+    for r in sorted(steps.collect(), reverse=True):
+        total += r["words"]
+        if total > FREQUENT:
+            break
+        cut = r["least"]
+    words = [r["word"] for r in known.where(F.col("n") >= cut).select("word").collect()]
+    discard(counted)
+    return words, n_words
+
+
+def block_words(docs: DataFrame, text: str, block: str, known: Broadcast) -> DataFrame:
+    """(block, word): the distinct words of each block of documents but the known ones, now and then one twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip, found, at = frozenset(known.value[0].to_pylist()), set(), 0
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            rows = list(found - skip)
+            found.clear()
+            for k in range(0, len(rows), 50_000):
+                part = rows[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "word"])
+
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(block)[0].as_py()
+            found.update(split_words(batch.column(text))[0].unique().to_pylist())
+            if len(found) > HELD_WORDS:
+                yield from pack()
+        yield from pack()
+
+    return docs.select(text, block).mapInArrow(run, "block int, word string")
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts one after the other, where the words of each text begin, and the end).
+
+    A border mark is put before each space and around each line break, marks inside runs of these are taken out
+    again, and texts are split at the rest. Texts that hold the mark themselves are split by WORD, one by one.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        found = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.to_pylist()]
+        return pa.array([w for ws in found for w in ws], pa.string()), np.cumsum([0, *map(len, found)])
+    some = pc.not_equal(texts, "")
+    marked = pc.if_else(some, pc.binary_join_element_wise(MARK + SPACE, pc.replace_substring(pc.replace_substring(texts, SPACE, " "), " ", MARK + SPACE), ""), "")
+    marked = pc.replace_substring(marked, "\n", f"{MARK}\n{MARK}")
+    for run, joined in ((f"{SPACE}{MARK}{SPACE}", SPACE * 2), (f"\n{MARK}{MARK}\n", "\n\n")):
+        while pc.any(pc.match_substring(marked, run)).as_py():
+            marked = pc.replace_substring(marked, run, joined)
+    lists = pc.split_pattern(marked, MARK)
+    words, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    real = pc.not_equal(words, "")
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), before[ends]
+
+
+def lattice(words: DataFrame, pieces: PieceTable) -> DataFrame:
+    """(word, edges): for each distinct word of `words`, its edges, the best rank first.
+
+    An edge from place a to b is the number rank * 4096 + a * 64 + b; single characters without a piece have the
+    rank NO_PIECE. Grouping by word ends up where the words already are, so edges are never shuffled.
+    """
+    n = F.char_length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    ends = starts.select("word", "a", F.explode(F.sequence(F.col("a") + 1, F.least(n, F.col("a") + pieces.longest))).alias("b"))
+    named = ends.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
+    found = named.join(F.broadcast(pieces.frame(words.sparkSession)), "piece", "left").where(F.col("rank").isNotNull() | (F.col("b") == F.col("a") + 1))
+    edge = F.coalesce("rank", F.lit(NO_PIECE)).cast("long") * 4096 + F.col("a") * 64 + F.col("b")
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def merge_fold(lattices: DataFrame, pieces: PieceTable) -> DataFrame:
+    """(word, ids) of (word, edges), for byte-pair models.
+
+    A path is a long with a bit for each place where an edge of it ends. Step by step the first edge in rank order
+    that begins and ends at such places, with exactly one of them inside, takes that one out.
+    """
+    n = F.char_length("word")
+    begin, end = lambda e: F.shiftright(e, 6).bitwiseAND(63).cast("int"), lambda e: e.bitwiseAND(63).cast("int")
+    masks = lambda e: F.struct((_bit(begin(e)) + _bit(end(e))).alias("ends"), (_bit(end(e)) - _bit(begin(e) + 1)).alias("inside"))
+    out = lattices.withColumn("wide", F.transform(F.filter("edges", lambda e: end(e) > begin(e) + 1), masks))
+    fits = lambda path, e: (path.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(path.bitwiseAND(e["inside"])) == 1)
+    step = lambda path, _: path.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter("wide", lambda e: fits(path, e)), F.lit(0))["inside"], F.lit(0).cast("long"))))
+    whole = _bit(n + 1) - 1
+    path = F.when(F.size("wide") == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size("wide"))), whole, step))
+    byte_ids = F.lit(pieces.byte_ids)
+    id_of = F.split(F.lit(",".join(map(str, pieces.ids))), ",").cast("array<int>")
+
+    def bytes_of(a: Column) -> Column:
+        digits = F.hex(F.encode(F.substring("word", a + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.get(byte_ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")))
+
+    def ids_on(path: Column) -> Column:
+        chosen = F.filter("edges", lambda e: path.bitwiseAND(_bit(end(e) + 1) - _bit(begin(e))) == _bit(begin(e)) + _bit(end(e)))
+        in_order = F.sort_array(F.transform(chosen, lambda e: F.struct(begin(e).alias("a"), F.shiftright(e, 12).cast("int").alias("rank"))))
+        return F.flatten(F.transform(in_order, lambda e: F.when(e["rank"] != NO_PIECE, F.array(F.get(id_of, e["rank"]))).otherwise(bytes_of(e["a"]))))
+
+    # As the variable of a lambda the path is worked out once; as a column it would be for each edge.
+    return out.select("word", F.get(F.transform(F.array(path), ids_on), F.lit(0)).alias("ids"))
 
 
 def merge_one(table: PieceTable, word: str) -> list[str]:
@@ -139,102 +232,97 @@ def _ids_of(table: PieceTable, parts: list[str]) -> list[int]:
     out = []
     for part in parts:
         rank = table.rank.get(part)
-        out += [int(table.ids[rank])] if rank is not None else [table.byte_ids[b] for b in part.encode()]
+        out += [table.ids[rank]] if rank is not None else [table.byte_ids[b] for b in part.encode()]
     return out
 
 
-def encode_words(table: PieceTable, words: pa.Array) -> pa.ListArray:
-    """The ids of each distinct word."""
-    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    results: list[pa.Array] = []
-    places: list[np.ndarray] = []
-    for length in np.unique(lengths):
-        which = np.nonzero(lengths == length)[0]
-        for at in range(0, len(which), max(1, 400_000 // (int(length) ** 2))):
-            some = which[at : at + max(1, 400_000 // (int(length) ** 2))]
-            texts = words.take(pa.array(some)).to_pylist()
-            if length > ARRAY_LENGTH:
-                lists = pa.array([_ids_of(table, merge_one(table, t)) for t in texts], pa.list_(pa.int32()))
-            else:
-                points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), length).astype(np.uint64)
-                ranks = lattice(table, points)
-                ends = merge_fold(ranks)
-                starts = ends > 0
-                rank = np.take_along_axis(ranks, np.maximum(ends - np.arange(length) - 1, 0)[:, :, None], axis=2)[:, :, 0]
-                ids = np.where(rank != NONE, table.ids[np.minimum(rank, len(table.ids) - 1)], -1)
-                flat, counts = ids[starts], starts.sum(axis=1)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                odd = np.nonzero((starts & (rank == NONE)).any(axis=1))[0]  # characters that are bytes here
-                if len(odd):
-                    fixed = {int(k): _ids_of(table, merge_one(table, texts[k])) for k in odd}
-                    lists = pa.array([fixed.get(k, ids_) for k, ids_ in enumerate(lists.to_pylist())], pa.list_(pa.int32()))
-            results.append(lists)
-            places.append(some)
-    if not results:
-        return pa.array([], pa.list_(pa.int32()))
-    order = np.empty(len(words), np.int64)
-    order[np.concatenate(places)] = np.arange(len(words))
-    return pa.concat_arrays(results).take(pa.array(order))
+def long_word_ids(words: DataFrame, shared: Broadcast) -> DataFrame:
+    """(word, ids) of words longer than FOLDED, by the same merges with a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(shared.value)
+        for batch in batches:
+            lists = [_ids_of(table, merge_one(table, w)) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(lists, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def with_ids(words: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
+    """`words`, which are partitioned by word already, with ids; each distinct word is encoded once."""
+    table, shared = PieceTable(pieces), words.sparkSession.sparkContext.broadcast(pieces)
+    is_long = F.char_length("word") > FOLDED
+    short, long = words.where(~is_long), words.where(is_long)
+    folded = merge_fold(lattice(short.select("word").distinct(), table), table)
+    both = short.join(folded, "word").unionByName(long.join(long_word_ids(long.select("word").distinct(), shared), "word"))
+    return both.withColumn("ids", F.col("ids").cast("array<smallint>" if max((r[0] for r in pieces), default=0) < 2**15 else "array<int>"))
 
 
 def encode(docs: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
     """`docs` with ids array<int>, the model's encoding of `text`; a null or empty text has none.
 
-    The piece table is as large as the vocabulary of the model, whatever the input; it goes to every task. Each
-    Arrow batch encodes its distinct words once. Rows are independent, so nothing moves between tasks, and a
-    source that holds a third of all rows is no different from others. A column of `docs` named ids is
-    replaced, others stay; repeated rows come out alike; an empty table gives no rows.
+    Texts stay where they are. A block is an input partition: its distinct words go out, each distinct word of all
+    blocks is encoded once by the lattice, and its ids come back to the blocks: the most frequent words by a
+    broadcast of bounded size, the rest as a small table per block that its task reads. So `docs` must deal its rows
+    alike each time, as table scans and materialised tables do; a task that misses a word fails. A source that holds
+    a third of all rows is no different from others. A column of `docs` named ids is replaced, others stay; repeated
+    rows come out alike; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    split = docs.drop("ids").withColumn("_words", F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(WORD), F.lit(0))))
-    kept = [c for c in split.columns if c != "_words"]
+    spark = docs.sparkSession
+    bound_batches(spark, 4 << 20)
+    docs = docs.drop("ids")
+    kept, block = docs.columns, unused("block", docs.columns)
+    dealt = docs.withColumn(block, F.spark_partition_id())
+    top, n_words = frequent_words(dealt, "text")
+    tasks = lambda n: 1 + n // WORDS_PER_TASK
+    common = spark.createDataFrame([(w,) for w in top], "word string").repartition(8 * tasks(len(top)), "word")
+    common = with_ids(common, pieces).toArrow().cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+    shared = spark.sparkContext.broadcast([pa.concat_arrays([*c.chunks]) if c.num_chunks else pa.array([], c.type) for c in common.columns])
+    # Bucketed by word: grouping the edges and joining ids back shuffle nothing more.
+    rare = bucketed(block_words(dealt, "text", block, shared), tasks(n_words), "word", "rare-words")
+    by_block = materialize(with_ids(rare, pieces).repartition("block"), "block-words", by="block")
+    discard(rare)
+    folder = folder_of(by_block)
+
+    def own_words(at: int) -> list[pa.Array]:
+        filesystem, base = fs.FileSystem.from_uri(folder)
+        path = f"{base}/block={at}"
+        if filesystem.get_file_info(path).type == fs.FileType.NotFound:
+            return shared.value
+        own = ds.dataset(path, filesystem=filesystem, format="parquet", partitioning=None).to_table(columns=["word", "ids"])
+        own = own.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+        return [pa.concat_arrays([a, *c.chunks]) for a, c in zip(shared.value, own.columns, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(shared.value)
+        words, ids = None, None
         for batch in batches:
-            words = batch.column("_words")
-            flat = words.flatten()
-            coded = flat.dictionary_encode()
-            uniques = encode_words(table, pc.replace_substring(coded.dictionary, " ", SPACE))
-            lists = uniques.take(coded.indices)
+            if batch.num_rows and words is None:
+                words, ids = own_words(batch.column(block)[0].as_py()) if folder else shared.value
+            flat, starts = split_words(batch.column("text"))
+            lists = ids.take(pc.index_in(flat, value_set=words)) if len(flat) else pa.array([], pa.list_(pa.int32()))
+            if lists.null_count:
+                raise ValueError("the input has dealt its rows in another way: materialize it before")
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), lists.flatten())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [ids], [*kept, "ids"])
+            out = pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), lists.flatten())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [out], [*kept, "ids"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("ids").schema) + ", ids array<int>"
-    return split.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
+    return dealt.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
     """`encoded` with decoded, the text of `ids`: pieces joined, bytes put together, the leading space taken off.
 
-    Null or no ids give an empty text, ids outside the table nothing, and bytes that are no UTF-8 U+FFFD.
+    Null or no ids give an empty text, ids outside the table nothing, and bytes that are no UTF-8 U+FFFD. A column of
+    `encoded` named decoded is replaced; repeated rows come out alike; an empty table gives no rows.
     """
-    size = 1 + max((r[0] for r in pieces), default=0)
-    bytes_of = [b""] * (size + 1)
+    digits = [""] * (1 + max((r[0] for r in pieces), default=0))
     for i, piece, _, is_byte in pieces:
-        bytes_of[i] = bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(SPACE, " ").encode()
-    shared = encoded.sparkSession.sparkContext.broadcast(bytes_of)
-    source = encoded.drop("decoded")
-    kept = source.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.binary())
-        for batch in batches:
-            lists = pc.fill_null(batch.column("ids"), pa.scalar([], pa.list_(pa.int32())))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            inside = (flat >= 0) & (flat < size)
-            parts = table.take(pa.array(np.where(inside, flat, size)))
-            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), b"").to_pylist()
-            texts = [t[1:] if t.startswith(" ") else t for t in (b.decode(errors="replace") for b in joined)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], [*kept, "decoded"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", decoded string"
-    return source.mapInArrow(run, schema)
+        digits[i] = piece[3:5] if is_byte else piece.replace(SPACE, " ").encode().hex()
+    table = F.split(F.lit(",".join(digits)), ",")
+    joined = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")
+    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
+    return encoded.withColumn("decoded", F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.char_length(text))).otherwise(text))
 
 
 def viterbi_words(spark: SparkSession, words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:

@@ -49,3 +49,11 @@ def joined_runs(lines: str, runs: Column) -> Column:
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filters by computed columns. A plain filter would move below them and compute them anew, lambdas and all."""
     return df.withColumn("_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) & condition).drop("_row")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, or with underscores before it, so that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
