@@ -47,6 +47,13 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
+    """Like materialize(), as a table of `n` buckets by `key`: grouping and joining by it needs no shuffle."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{work_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def folder_of(table: DataFrame) -> str | None:
     """The folder under the work folder from which a materialised table is read; None if it has no files."""
     base = work_dir(table.sparkSession)
