@@ -39,7 +39,7 @@ HUBS, HUB_ROUNDS = 8, 4
 #: A sketch is the parity of the number of tokens in each of 64 * SKETCH parts of the hash space.
 SKETCH = 16
 #: Longs of a sketch with its parts put together, for rows of lists.
-FOLDS = 4
+FOLDS = 8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
