@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 FLOOR_RATE, WALL_RATE = 280.0, 180.0
 #: (pattern, length to width ratio), first match wins; fixed values.
 ASPECT_RATIOS = [
-    ("CORRIDOR|PASSAGE|HALL", 5.0), ("BALCONY|TERRACE|VERANDA", 3.0), ("BATH|WC|TOILET|POWDER|LAVATORY|RESTROOM", 1.4),
-    ("KITCHEN", 1.5), ("FOYER|LOBBY|ENTRANCE", 1.5), ("MAID|STORE|LAUNDRY|PANTRY|UTILITY|SERVICE", 1.3), ("BEDROOM|LIVING|FAMILY", 1.4),
+    (r"\b(corridor|passage|hall)\b", 5.0), (r"\b(balcony|terrace|veranda)\b", 3.0), (r"\b(bath|wc|toilet|powder|lavatory|restroom)\b", 1.4),
+    (r"\b(kitchen)\b", 1.5), (r"\b(foyer|lobby|entrance)\b", 1.5), (r"\b(garage|driver|maid|laundry|linen|store|storage|utility|mep)\b", 1.3),
+    (r"\b(bedroom|bd|guest|master|family|play|dining|dinning|living|sitting|study)\b", 1.4),
 ]
 DEFAULT_RATIO = 1.3
 
@@ -46,7 +47,7 @@ def trend(pct: Column, band: float = 1.5) -> Column:
 def aspect_ratio(name: Column) -> Column:
     ladder = F.lit(DEFAULT_RATIO)
     for pattern, ratio in reversed(ASPECT_RATIOS):
-        ladder = F.when(F.upper(name).rlike(pattern), F.lit(ratio)).otherwise(ladder)
+        ladder = F.when(name.rlike("(?i)" + pattern), F.lit(ratio)).otherwise(ladder)
     return ladder
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planwright.functions.strings import is_not_a_room, is_statement
+from planwright.functions.strings import is_statement
 
 #: Surfaces a material category is used for; fixed values.
 USAGE = {
@@ -36,10 +36,10 @@ def listing(df: DataFrame, equal: dict | None = None, order: list[tuple[str, boo
 
 
 def find_materials(materials: DataFrame, text: str | None = None, category: str | None = None, usage: str | None = None, low: float | None = None,
-                   high: float | None = None, active_only: bool = False) -> DataFrame:
+                   high: float | None = None, active_only: bool = False, text_columns: tuple[str, ...] = ("name", "supplier", "notes")) -> DataFrame:
     serves = [c for c, uses in USAGE.items() if usage in uses]
     return materials.where(all_of(
-        F.lower(F.concat_ws(" ", "name", "brand")).contains(text.lower()) if text else None,
+        F.lower(F.concat_ws(" ", *text_columns)).contains(text.lower()) if text else None,
         F.col("category") == category if category else None,
         F.col("category").isin(serves) if usage else None,
         F.col("unit_price") >= low if low is not None else None,
@@ -55,9 +55,9 @@ def needs_review(items: DataFrame, flags: DataFrame) -> DataFrame:
     return flagged.where(doubt).drop("flagged")
 
 
-def billable_rooms(items: DataFrame, area: str = "area_m2") -> DataFrame:
-    rooms = items.where(F.col("category") == "ROOM")
-    return rooms.where(~is_statement(F.col("description")) & ~is_not_a_room(F.col("description"), F.col(area)))
+def billable_rooms(items: DataFrame) -> DataFrame:
+    """Rooms that are no area statements. Labels that are no rooms never become items: see is_not_a_room."""
+    return items.where((F.col("category") == "ROOM") & ~is_statement(F.col("description")))
 
 
 def area_statements(items: DataFrame) -> DataFrame:

@@ -12,12 +12,16 @@ from planwright.functions.strings import unit
 SURFACE = {"WALL_FINISH": "WALL", "PAINT": "WALL", "CEILING": "CEILING"}
 
 
-def unit_costs(components: DataFrame) -> DataFrame:
-    """Cost of one unit of each assembly: materials by coverage, coats and wastage, labour as it is, tools left out."""
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    material = F.when(number("coverage") > 0, number("unit_price") / number("coverage") * F.coalesce("coats", F.lit(1)) * (1 + number("wastage_pct") / 100)).otherwise(F.lit(0.0))
-    part = F.when(F.col("kind") == "MATERIAL", material).when(F.col("kind") == "LABOUR", number("unit_price")).otherwise(F.lit(0.0))
-    return components.groupBy("assembly_id").agg(F.sum(part.cast("decimal(18,4)")).cast("double").alias("unit_cost"))
+def unit_costs(components: DataFrame, project_qty: float | None = None) -> DataFrame:
+    """Cost of one unit of each assembly: materials by coverage, coats and wastage, labour as it is, tools shared out over the project.
+
+    No coverage counts as 1, a coverage of zero as no material, and tools as nothing where the quantity is not given or zero.
+    """
+    number = lambda c, none=0.0: F.coalesce(F.col(c).cast("double"), F.lit(none))
+    spread = number("unit_price") / F.nullif(number("coverage", 1.0), F.lit(0.0)) * F.coalesce("coats", F.lit(1)) * (1 + number("wastage_pct") / 100)
+    tools = number("fixed_cost") / project_qty if project_qty else F.lit(0.0)
+    part = F.when(F.col("kind") == "MATERIAL", F.coalesce(spread, F.lit(0.0))).when(F.col("kind") == "LABOR", number("unit_price")).otherwise(tools)
+    return components.groupBy("assembly_id").agg(F.sum(part.cast("decimal(28,12)")).cast("double").alias("unit_cost"))
 
 
 def rate_waterfall(lines: DataFrame, assemblies: DataFrame, components: DataFrame, rates: DataFrame) -> DataFrame:

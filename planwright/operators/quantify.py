@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.functions.numbers import aspect_ratio, perimeter, round2, whole_units
-from planwright.functions.strings import ceiling_class, lookup
+from planwright.functions.strings import ceiling_class, lookup, services_key
 from planwright.operators.filters import billable_rooms, skirtable
 
 CEILING_HEIGHT = 2.8
@@ -34,7 +34,8 @@ def quantity() -> Column:
 
 
 def screed(rooms: DataFrame) -> DataFrame:
-    """Screeded area of each project, and the finishes counted and left out."""
+    """Screeded area of each project, and the finishes counted and left out; staircases and area statements do not count."""
+    rooms = billable_rooms(rooms).where(~F.col("description").rlike(r"(?i)\bSTAIRCASE\b"))
     finish = F.coalesce("finish_code", F.lit("unassigned"))
     none = finish.isin(*NO_SCREED)
     names = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, finish))), ",")
@@ -43,7 +44,7 @@ def screed(rooms: DataFrame) -> DataFrame:
 
 
 def ceilings(rooms: DataFrame) -> DataFrame:
-    classed = rooms.withColumn("ceiling", ceiling_class(F.col("description"))).where(F.col("ceiling").isNotNull() & (quantity() > 0))
+    classed = billable_rooms(rooms).withColumn("ceiling", ceiling_class(F.col("description"), F.col("finish_code"))).where(F.col("ceiling").isNotNull() & (quantity() > 0))
     return classed.groupBy("project_id", "ceiling").agg(F.sum(quantity()).alias("area"), F.count(F.lit(1)).alias("n"))
 
 
@@ -54,14 +55,22 @@ def wall_runs(items: DataFrame) -> DataFrame:
     return rooms.select("project_id", "item_no", round2(run).alias("skirting_m"), round2(run * CEILING_HEIGHT).alias("paint_m2"))
 
 
+#: Rooms that the services drivers count; fixed values.
+DRIVER_ROOMS = {"BATHROOM_COUNT": r"\b(BATH|TOILET|POWDER|WC)\b", "KITCHEN_COUNT": r"\bKITCHEN\b", "BEDROOM_COUNT": r"\bBEDROOM\b"}
+
+
 def services_drivers(items: DataFrame) -> DataFrame:
-    """(project_id, driver, amount): distinct rooms, bathrooms and kitchens, and floor area in square feet."""
-    rooms = billable_rooms(items.withColumn("area_m2", quantity())).withColumn("key", F.upper(F.trim("description")))
-    distinct = lambda pattern: F.count_distinct(F.when(F.col("key").rlike(pattern), F.col("key"))).cast("double")
+    """(project_id, driver, amount): distinct rooms by kind, and the screeded area in square metres and feet.
+
+    Rooms with one key of letters and digits count once; the kind is told from the name before the dash.
+    """
+    rooms = billable_rooms(items).withColumns({"key": services_key(F.col("description")), "name": F.upper(F.split("description", "—")[0])})
+    distinct = lambda pattern: F.count_distinct(F.when(F.col("name").rlike(pattern), F.col("key"))).cast("double")
+    area = F.coalesce(F.sum(F.when(~F.coalesce("finish_code", F.lit("unassigned")).isin(*NO_SCREED) & ~F.col("name").rlike(r"\bSTAIRCASE\b"), quantity())), F.lit(0.0))
     wide = rooms.groupBy("project_id").agg(
-        F.count_distinct("key").cast("double").alias("ROOM_COUNT"), distinct(r"\bBATH|\bWC\b|TOILET").alias("BATH_COUNT"),
-        distinct("KITCHEN|PANTRY").alias("KITCHEN_COUNT"), (F.sum("area_m2") * SQUARE_FEET).alias("AREA_SQFT"))
-    return wide.unpivot("project_id", ["ROOM_COUNT", "BATH_COUNT", "KITCHEN_COUNT", "AREA_SQFT"], "driver", "amount")
+        F.count_distinct("key").cast("double").alias("ROOM_COUNT"), *[distinct(p).alias(k) for k, p in DRIVER_ROOMS.items()],
+        area.alias("AREA_M2"), (area * SQUARE_FEET).alias("AREA_FT2"))
+    return wide.unpivot("project_id", ["ROOM_COUNT", *DRIVER_ROOMS, "AREA_M2", "AREA_FT2"], "driver", "amount")
 
 
 def services_quantities(items: DataFrame, rules: DataFrame) -> DataFrame:

@@ -10,14 +10,15 @@ from planwright.operators import pick
 from planwright.operators.pricing import bill_totals, rate_waterfall, unit_costs
 from planwright.plans.registry import query
 
-_UNIT = """CASE lower({0}) WHEN 'nr' THEN 'nr' WHEN 'ea' THEN 'nr' WHEN 'm²' THEN 'm2' WHEN 'm2' THEN 'm2' WHEN 'sqm' THEN 'm2' WHEN 'm' THEN 'm' WHEN 'lm' THEN 'm' WHEN 'ls' THEN 'ls' ELSE lower({0}) END"""
+_UNIT = """CASE lower(trim({0})) WHEN 'nr' THEN 'nr' WHEN 'no' THEN 'nr' WHEN 'each' THEN 'nr' WHEN 'ea' THEN 'nr' WHEN 'm²' THEN 'm²' WHEN 'm2' THEN 'm²' WHEN 'sqm' THEN 'm²'
+  WHEN 'm' THEN 'lm' WHEN 'lm' THEN 'lm' WHEN 'linear' THEN 'lm' WHEN 'metres' THEN 'lm' WHEN 'meters' THEN 'lm' WHEN 'lumpsum' THEN 'lumpsum' WHEN 'ls' THEN 'lumpsum' WHEN 'lot' THEN 'lumpsum' ELSE lower(trim({0})) END"""
 _TOTALS = """
 SELECT {k}, coalesce(CAST(sum(CASE WHEN NOT is_provisional THEN CAST(qty * rate AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS priced,
   coalesce(CAST(sum(CASE WHEN is_provisional THEN ps_amount END) AS DOUBLE), 0) AS provisional,
   count(*) FILTER (NOT is_provisional) AS n_priced, count(*) FILTER (is_provisional) AS n_provisional FROM boq_line GROUP BY {k}"""
 
 
-@query("k01_bill_totals", _TOTALS.format(k="project_id"), ("boq_line",))
+@query("d07_bill_totals", _TOTALS.format(k="project_id"), ("boq_line",))
 def totals(v):
     return bill_totals(v("boq_line"), ["project_id"])
 
@@ -28,17 +29,17 @@ def section_totals(v):
 
 
 _COSTS = """
-, cost AS (SELECT assembly_id, CAST(sum(CAST(CASE kind WHEN 'MATERIAL' THEN CASE WHEN coverage > 0
-    THEN CAST(unit_price AS DOUBLE) / CAST(coverage AS DOUBLE) * coats * (1 + CAST(wastage_pct AS DOUBLE) / 100) ELSE 0 END
-    WHEN 'LABOUR' THEN CAST(unit_price AS DOUBLE) ELSE 0 END AS DECIMAL(18,4))) AS DOUBLE) AS unit_cost FROM assembly_component GROUP BY 1)"""
+, cost AS (SELECT assembly_id, CAST(sum(CAST(CASE kind WHEN 'MATERIAL' THEN CASE WHEN coverage = 0 THEN 0 ELSE CAST(unit_price AS DOUBLE) / CAST(coalesce(coverage, 1) AS DOUBLE) * coats * (1 + CAST(wastage_pct AS DOUBLE) / 100) END
+    WHEN 'LABOR' THEN CAST(unit_price AS DOUBLE) ELSE {tools} END AS DECIMAL(28,12))) AS DOUBLE) AS unit_cost FROM assembly_component GROUP BY 1)"""
+_NO_TOOLS = _COSTS.format(tools="0")
 
 
-@query("d16_unit_costs", _COSTS + " SELECT assembly_id, unit_cost FROM cost", ("assembly_component",))
+@query("d16_unit_costs", _COSTS.format(tools="CAST(fixed_cost AS DOUBLE) / 500") + " SELECT assembly_id, round(unit_cost, 4) AS unit_cost FROM cost", ("assembly_component",))
 def costs(v):
-    return unit_costs(v("assembly_component"))
+    return unit_costs(v("assembly_component"), project_qty=500.0).withColumn("unit_cost", F.round("unit_cost", 4))
 
 
-@query("c07_rate_waterfall", _COSTS + f"""
+@query("c07_rate_waterfall", _NO_TOOLS + f"""
 , l AS (SELECT b.*, p.org_id, concat('R', part_id % 14) AS code, {_UNIT.format('unit')} AS u FROM boq_line b JOIN project p USING (project_id)),
 a AS (SELECT assembly.*, {_UNIT.format('output_unit')} AS u, coalesce(unit_cost, 0) AS cost FROM assembly LEFT JOIN cost USING (assembly_id)),
 ks AS (SELECT DISTINCT category, u, finish_code FROM l),
@@ -129,6 +130,20 @@ def fair_claim(v):
 
 
 @query("l03_reaper", """
-SELECT job_id, CASE WHEN attempts < 3 THEN 'QUEUED' ELSE 'FAILED' END AS status, CAST(power(2, attempts) * 2 AS BIGINT) AS wait_s FROM job WHERE status = 'RUNNING'""", ("job",))
+SELECT job_id, CASE WHEN attempts < 3 THEN 'QUEUED' ELSE 'FAILED' END AS status, CASE WHEN attempts < 3 THEN 'reaped' ELSE 'timeout' END AS error
+FROM job WHERE status = 'RUNNING' AND started_at < (SELECT max(created_at) FROM job) - INTERVAL '30' MINUTE""", ("job",))
 def reaper(v):
-    return v("job").where("status = 'RUNNING'").select("job_id", F.when(F.col("attempts") < 3, "QUEUED").otherwise("FAILED").alias("status"), N.backoff_seconds(F.col("attempts")).alias("wait_s"))
+    """Runs that began before the time limit go back to the queue at once, or fail for good after three attempts."""
+    now = v("job").agg(F.max("created_at").alias("now"))
+    late = v("job").where("status = 'RUNNING'").join(F.broadcast(now), F.col("started_at") < F.col("now") - F.expr("INTERVAL '30' MINUTE"))
+    again = F.col("attempts") < 3
+    return late.select("job_id", F.when(again, "QUEUED").otherwise("FAILED").alias("status"), F.when(again, "reaped").otherwise("timeout").alias("error"))
+
+
+@query("l04_retry", """
+SELECT job_id, CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS status,
+  CASE WHEN attempts < 3 THEN CASE attempts WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END END AS wait_s FROM job WHERE status = 'FAILED'""", ("job",))
+def retry(v):
+    """A failed run waits 2 to the attempts times 2 seconds and goes back to the queue; after three attempts it has failed."""
+    again = F.col("attempts") < 3
+    return v("job").where("status = 'FAILED'").select("job_id", F.when(again, "QUEUED").otherwise("FAILED").alias("status"), F.when(again, N.backoff_seconds(F.col("attempts")).cast("int")).alias("wait_s"))

@@ -49,7 +49,7 @@ def items_of_projects(v):
 SELECT material_id, name, category, unit_price FROM material
 WHERE contains(lower(name || ' ' || brand), 'brand#1') AND category IN ('tiles', 'marble', 'grout', 'glue', 'other') AND unit_price >= 950 AND unit_price <= 1050 AND active""", ("material",))
 def material_finder(v):
-    return filters.find_materials(v("material"), "Brand#1", usage="floor", low=950, high=1050, active_only=True).select("material_id", "name", "category", "unit_price")
+    return filters.find_materials(v("material"), "Brand#1", usage="floor", low=950, high=1050, active_only=True, text_columns=("name", "brand")).select("material_id", "name", "category", "unit_price")
 
 
 @query("b11_supplier_finder", "SELECT supplier_id, name FROM supplier_d WHERE contains(lower(name), '1') AND preferred", ("supplier_d",))

@@ -10,11 +10,11 @@ from planwright.functions import strings as S
 from planwright.operators import filters, quantify, spatial
 from planwright.plans.registry import query
 
-_NOT_ROOM = r"\bLEGEND\b|\bNOTES?\b|\bSCALE\b|\bNORTH\b|\bDRAWING\b|\bREVISION\b|\bSECTION\b|\bELEVATION\b"
+_STATEMENT = (r"\bvilla\b|\bplot\b|\bproposed\b|\bbua\b|^\s*ground\s*floor(\s|$|—)|^\s*first\s*floor(\s|$|—)|^\s*roof(\s|$|—)|\bsetting\s*out\b|\bplan\s*area\b"
+              r"|\bgarage\s*block\b|\baccessible\s*roof\b|\bnon[\s-]*accessible\s*roof\b|\bplot\s*boundary\b")
 _BILLABLE = f"""
 , rooms AS (SELECT *, coalesce(qty_final, qty_ai) AS q FROM takeoff WHERE category = 'ROOM'),
-billable AS (SELECT * FROM rooms WHERE NOT regexp_matches(upper(description), '{S.STATEMENT}') AND trim(description) <> '' AND length(description) <= 60
-  AND NOT (q > 0 AND q < 0.5) AND NOT regexp_matches(upper(description), '{_NOT_ROOM}'))"""
+billable AS (SELECT * FROM rooms WHERE NOT regexp_matches(description, '{_STATEMENT}', 'i'))"""
 
 
 def _case(column: str, values: dict, default: str) -> str:
@@ -23,31 +23,34 @@ def _case(column: str, values: dict, default: str) -> str:
 
 @query("b16_billable_rooms", _BILLABLE + " SELECT project_id, item_no, description FROM billable", ("takeoff",))
 def billable(v):
-    return filters.billable_rooms(v("takeoff").withColumn("area_m2", quantify.quantity())).select("project_id", "item_no", "description")
+    return filters.billable_rooms(v("takeoff")).select("project_id", "item_no", "description")
 
 
-@query("b14_area_statements", _BILLABLE + f" SELECT project_id, item_no, description FROM rooms WHERE regexp_matches(upper(description), '{S.STATEMENT}')", ("takeoff",))
+@query("b14_area_statements", _BILLABLE + f" SELECT project_id, item_no, description FROM rooms WHERE regexp_matches(description, '{_STATEMENT}', 'i')", ("takeoff",))
 def statements(v):
     return filters.area_statements(v("takeoff")).select("project_id", "item_no", "description")
 
 
-@query("d02_screed", """
-, r AS (SELECT project_id, coalesce(finish_code, 'unassigned') AS f, coalesce(qty_final, qty_ai) AS q FROM takeoff WHERE category = 'ROOM' AND coalesce(qty_final, qty_ai) > 0)
+@query("d02_screed", _BILLABLE + r"""
+, r AS (SELECT project_id, coalesce(finish_code, 'unassigned') AS f, q FROM billable WHERE q > 0 AND NOT regexp_matches(description, '\bSTAIRCASE\b', 'i'))
 SELECT project_id, coalesce(sum(q) FILTER (f NOT IN ('ST03', 'unassigned')), 0) AS area, coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (f NOT IN ('ST03', 'unassigned')), '') AS included,
   coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (f IN ('ST03', 'unassigned')), '') AS excluded FROM r GROUP BY 1""", ("takeoff",))
 def screed(v):
     return quantify.screed(v("takeoff").where("category = 'ROOM'"))
 
 
-@query("d03_ceilings", r"""
-, r AS (SELECT project_id, coalesce(qty_final, qty_ai) AS q, CASE WHEN regexp_matches(upper(description), 'STAIR|BALCONY|TERRACE|MAID''S ROOM') THEN NULL
-  WHEN regexp_matches(upper(description), '\bBATH\b|\bWC\b|\bTOILET\b|\bPOWDER\b') THEN 'CL02' ELSE 'CL03' END AS ceiling FROM takeoff WHERE category = 'ROOM')
+@query("d03_ceilings", _BILLABLE + r"""
+, r AS (SELECT project_id, q, CASE WHEN regexp_matches(upper(description), '\b(BALCONY|TERRACE|GARAGE|VOID|MAID''?S ROOM)\b') OR finish_code = 'ST03' THEN NULL
+  WHEN regexp_matches(upper(description), '\b(BATH|TOILET|POWDER|WC|LAUNDRY|KITCHEN)\b') THEN 'CL02' ELSE 'CL03' END AS ceiling FROM billable)
 SELECT project_id, ceiling, sum(q) AS area, count(*) AS n FROM r WHERE ceiling IS NOT NULL AND q > 0 GROUP BY 1, 2""", ("takeoff",))
 def ceilings(v):
     return quantify.ceilings(v("takeoff").where("category = 'ROOM'"))
 
 
-_RATIO = "CASE " + " ".join(f"WHEN regexp_matches(upper(description), '{p}') THEN {r}" for p, r in N.ASPECT_RATIOS) + f" ELSE {N.DEFAULT_RATIO} END"
+_RATIO = r"""CASE WHEN regexp_matches(description, '\b(corridor|passage|hall)\b', 'i') THEN 5.0 WHEN regexp_matches(description, '\b(balcony|terrace|veranda)\b', 'i') THEN 3.0
+  WHEN regexp_matches(description, '\b(bath|wc|toilet|powder|lavatory|restroom)\b', 'i') THEN 1.4 WHEN regexp_matches(description, '\bkitchen\b', 'i') THEN 1.5
+  WHEN regexp_matches(description, '\b(foyer|lobby|entrance)\b', 'i') THEN 1.5 WHEN regexp_matches(description, '\b(garage|driver|maid|laundry|linen|store|storage|utility|mep)\b', 'i') THEN 1.3
+  WHEN regexp_matches(description, '\b(bedroom|bd|guest|master|family|play|dining|dinning|living|sitting|study)\b', 'i') THEN 1.4 ELSE 1.3 END"""
 
 
 @query("i04_wall_runs", f"""
@@ -60,10 +63,12 @@ def wall_runs(v):
 
 
 _DRIVERS = _BILLABLE + r"""
-, k AS (SELECT project_id, q, upper(trim(description)) AS key FROM billable),
-w AS (SELECT project_id, CAST(count(DISTINCT key) AS DOUBLE) AS "ROOM_COUNT", CAST(count(DISTINCT key) FILTER (regexp_matches(key, '\bBATH|\bWC\b|TOILET')) AS DOUBLE) AS "BATH_COUNT",
-  CAST(count(DISTINCT key) FILTER (regexp_matches(key, 'KITCHEN|PANTRY')) AS DOUBLE) AS "KITCHEN_COUNT", sum(q) * CAST(10.7639 AS DOUBLE) AS "AREA_SQFT" FROM k GROUP BY 1),
-d AS (UNPIVOT w ON "ROOM_COUNT", "BATH_COUNT", "KITCHEN_COUNT", "AREA_SQFT" INTO NAME driver VALUE amount)"""
+, k AS (SELECT project_id, q, coalesce(finish_code, 'unassigned') AS f, trim(regexp_replace(upper(description), '[^A-Z0-9]+', ' ', 'g')) AS key, upper(split_part(description, '—', 1)) AS name FROM billable),
+m AS (SELECT project_id, CAST(count(DISTINCT key) AS DOUBLE) AS "ROOM_COUNT", CAST(count(DISTINCT key) FILTER (regexp_matches(name, '\b(BATH|TOILET|POWDER|WC)\b')) AS DOUBLE) AS "BATHROOM_COUNT",
+  CAST(count(DISTINCT key) FILTER (regexp_matches(name, '\bKITCHEN\b')) AS DOUBLE) AS "KITCHEN_COUNT", CAST(count(DISTINCT key) FILTER (regexp_matches(name, '\bBEDROOM\b')) AS DOUBLE) AS "BEDROOM_COUNT",
+  coalesce(sum(q) FILTER (f NOT IN ('ST03', 'unassigned') AND NOT regexp_matches(name, '\bSTAIRCASE\b')), 0) AS "AREA_M2" FROM k GROUP BY 1),
+w AS (SELECT *, "AREA_M2" * CAST(10.7639 AS DOUBLE) AS "AREA_FT2" FROM m),
+d AS (UNPIVOT w ON "ROOM_COUNT", "BATHROOM_COUNT", "KITCHEN_COUNT", "BEDROOM_COUNT", "AREA_M2", "AREA_FT2" INTO NAME driver VALUE amount)"""
 
 
 @query("d06_services_drivers", _DRIVERS + " SELECT project_id, driver, amount FROM d", ("takeoff",))
@@ -124,8 +129,8 @@ WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: tri
 p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)
 SELECT doc_id, i AS line_no, md5(array_to_string(ls[greatest(1, i - 3):i - 1], chr(10))) AS before FROM p WHERE regexp_matches(ls[i], '[0-9]')""")
 def lookback(v):
-    """For lines with a number, the three lines before that are not blank. Arrays of one document's lines; no shuffle."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    out = v("documents").select("doc_id", lines.alias("ls")).select("doc_id", "ls", F.posexplode("ls").alias("i", "line")).where(F.col("line").rlike("[0-9]"))
-    before = F.slice("ls", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i")))
-    return out.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.md5(F.array_join(before, "\n").cast("binary")).alias("before"))
+    """For lines with a number, the three lines before that are not blank. Each line takes those with it before lines are dealt out."""
+    lines = v("documents").select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "").alias("ls"))
+    around = F.transform("ls", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.slice("ls", F.greatest(F.lit(1), i - 2), F.least(F.lit(3), i)).alias("before")))
+    out = lines.select("doc_id", F.explode(F.filter(around, lambda s: s["line"].rlike("[0-9]"))).alias("s"))
+    return out.select("doc_id", "s.line_no", F.md5(F.array_join("s.before", "\n").cast("binary")).alias("before"))

@@ -45,7 +45,7 @@ VIEWS = {
             WHEN 12 THEN 'MEP_HVAC' ELSE 'OTHER' END AS category,
           CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CONCAT(CASE l_partkey % 14 WHEN 3 THEN 'D' WHEN 4 THEN 'W' WHEN 5 THEN 'FF' WHEN 6 THEN 'WF' ELSE 'T' END, '-', CAST(l_linenumber AS STRING)) END AS tag,
           CASE l_suppkey % 12 WHEN 0 THEN 'MASTER BEDROOM' WHEN 1 THEN 'BATHROOM' WHEN 2 THEN 'BATH 01' WHEN 3 THEN 'KITCHEN' WHEN 4 THEN 'CORRIDOR' WHEN 5 THEN 'STAIRCASE'
-            WHEN 6 THEN 'BALCONY' WHEN 7 THEN 'MAID''S ROOM' WHEN 8 THEN 'STORE' WHEN 9 THEN 'LIVING ROOM — FF-03' WHEN 10 THEN 'TOTAL BUILT UP AREA' ELSE '02 BEDROOM ROOM' END AS description,
+            WHEN 6 THEN 'BALCONY' WHEN 7 THEN 'MAID''S ROOM' WHEN 8 THEN 'STORE SECTION 2' WHEN 9 THEN 'LIVING ROOM — FF-03' WHEN 10 THEN 'GROUND FLOOR — VILLA' ELSE '02 BEDROOM ROOM' END AS description,
           CASE l_partkey % 5 WHEN 0 THEN 'm²' WHEN 1 THEN 'sqm' WHEN 2 THEN 'nr' WHEN 3 THEN 'lm' ELSE 'LS' END AS unit,
           l_quantity AS qty_ai, CASE WHEN l_linestatus = 'F' THEN l_quantity + 1 END AS qty_final,
           CASE l_returnflag WHEN 'A' THEN 'ESTIMATED' WHEN 'N' THEN 'MEASURED' ELSE 'DERIVED' END AS basis,
@@ -67,21 +67,22 @@ VIEWS = {
           UNION ALL
           SELECT n_nationkey, CONCAT('R', CAST(n_nationkey % 14 AS STRING)), 'm2', CAST(100 + n_nationkey AS DOUBLE) FROM {nation}) t""",
     "assembly": """
-        SELECT p_partkey AS assembly_id,
-          CASE p_partkey % 14 WHEN 5 THEN 'FLOOR_FINISH' WHEN 8 THEN 'PAINT' WHEN 9 THEN 'SCREED' ELSE NULL END AS takeoff_category,
-          CASE p_partkey % 3 WHEN 0 THEN 'WALL' WHEN 1 THEN 'GENERIC' ELSE 'CEILING' END AS applies_to,
-          CASE p_size % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'nr' ELSE 'm' END AS output_unit,
-          CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ST01' WHEN 2 THEN 'PR01' ELSE 'PR03' END AS finish_code, p_size AS sort_order
-        FROM {part} WHERE p_partkey < 120""",
+        SELECT assembly_id,
+          CASE assembly_id % 14 WHEN 5 THEN 'FLOOR_FINISH' WHEN 8 THEN 'PAINT' WHEN 9 THEN 'SCREED' ELSE NULL END AS takeoff_category,
+          CASE assembly_id % 3 WHEN 0 THEN 'WALL' WHEN 1 THEN 'GENERIC' ELSE 'CEILING' END AS applies_to,
+          CASE size % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'nr' ELSE 'm' END AS output_unit,
+          CASE size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ST01' WHEN 2 THEN 'PR01' ELSE 'PR03' END AS finish_code, size AS sort_order
+        FROM (SELECT CAST(FLOOR(p_partkey / 10) AS BIGINT) AS assembly_id, MIN(p_size) AS size FROM {part} GROUP BY 1) t""",
     "assembly_component": """
-        SELECT p_partkey % 120 AS assembly_id, CASE p_size % 4 WHEN 0 THEN 'MATERIAL' WHEN 1 THEN 'LABOUR' WHEN 2 THEN 'EQUIPMENT' ELSE 'TOOL' END AS kind,
-          CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price, CAST(p_size % 40 AS DECIMAL(14,4)) AS coverage, 1 + p_size % 3 AS coats,
+        SELECT CAST(FLOOR(p_partkey / 10) AS BIGINT) AS assembly_id, CASE p_size % 4 WHEN 0 THEN 'MATERIAL' WHEN 1 THEN 'LABOR' WHEN 2 THEN 'MATERIAL' ELSE 'TOOL_FIXED' END AS kind,
+          CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size % 40 AS DECIMAL(14,4)) END AS coverage, 1 + p_size % 3 AS coats,
           CAST(p_size % 15 AS DECIMAL(5,2)) AS wastage_pct, CAST(p_size AS DECIMAL(14,2)) AS fixed_cost, p_partkey AS sort_order
         FROM {part}""",
     "mep_rule": """
-        SELECT p_partkey AS rule_id, CASE p_partkey % 4 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATH_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' ELSE 'AREA_SQFT' END AS driver,
-          CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit
-        FROM {part} WHERE p_partkey <= 22""",
+        SELECT MIN(p_partkey) AS rule_id, driver, factor, unit FROM (
+          SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATHROOM_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' WHEN 3 THEN 'BEDROOM_COUNT' WHEN 4 THEN 'AREA_M2' ELSE 'AREA_FT2' END AS driver,
+            CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit FROM {part}) t
+        GROUP BY driver, factor, unit""",
     "job": """
         SELECT event_id AS job_id, user_id AS org_id, ts AS created_at, event_type,
           CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'DONE' WHEN 'error' THEN 'FAILED' ELSE 'QUEUED' END AS status,
