@@ -6,6 +6,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +31,11 @@ ASIDE_WORDS = re.compile(
     r"sidebar|side|widget|footer|masthead|comments?|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|contentinfo|complementary|search)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
-#: Zones of a block: of the article, of neither, of what surrounds it.
-ARTICLE, UNKNOWN, ASIDE_ZONE = 0, 1, 2
+#: Zones of a block: of what surrounds the article, of neither, and from 0 up of an article, by how many marked elements stand around that.
+ASIDE_ZONE, UNKNOWN, ARTICLE = -2, -1, 0
 
 
 def _marks(attributes: str) -> bool:
@@ -45,10 +46,29 @@ def _marks(attributes: str) -> bool:
     return False
 
 
+class _Open(NamedTuple):
+    """An open element, with what holds inside it: inside an aside element, inside an article, inside a marked element since, marked ones in all, and before the article."""
+
+    name: str
+    aside: bool = False
+    article: bool = False
+    marked: bool = False
+    n_marked: int = 0
+    level: int = 0
+    n_zones: int = 0
+
+    def zone(self) -> int:
+        return ASIDE_ZONE if self.aside or self.marked else self.level if self.article else UNKNOWN
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, zone) of each block of text of the page, in order."""
-    out, parts, stack, at = [], [], [], 0
-    zone = lambda: ASIDE_ZONE if any(z == ASIDE_ZONE for _, z in stack) else ARTICLE if any(z == ARTICLE for _, z in stack) else UNKNOWN
+    """(text, zone) of each block of text of the page, in order. Each tag takes a time that does not depend on the depth.
+
+    An article inside an element whose class or id holds a listed word is still one: such words also name layouts.
+    """
+    out, parts, stack, at = [], [], [_Open("")], 0
+    places: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
     now = UNKNOWN
 
     def end_block() -> None:
@@ -56,6 +76,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
             out.append((text, now))
         parts.clear()
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().name].pop()
+
     while True:
         match = TOKEN.search(page, at)
         parts.append(html.unescape(page[at : match.start() if match else len(page)]))
@@ -67,8 +91,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         if not match[1] and name in SILENT:
             # Their content is no text; it ends at their own end tag, or never.
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not match[3].rstrip().endswith("/") else None
-            at = close.end() if close else at
+            if name not in unclosed and not match[3].rstrip().endswith("/"):
+                found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = found.end() if found else at
+                if not found:
+                    unclosed.add(name)
             continue
         if name in BREAKS:
             end_block()
@@ -76,22 +103,28 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.append(" ")
         if name in VOID:
             continue
+        top = stack[-1]
         if match[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    # A stray end tag of an inner element does not close a zone around it.
-                    if name in BREAKS or all(z is None for _, z in stack[k:]):
-                        del stack[k:]
-                    break
+            if places.get(name):
+                k = places[name][-1]
+                # A stray end tag of an inner element does not close a zone around it.
+                if name in BREAKS or top.n_zones == stack[k - 1].n_zones:
+                    close(k)
         else:
-            inside = any(z == ARTICLE for _, z in stack)
-            mark = ASIDE_ZONE if name in ASIDE or (name == "header" and not inside) or _marks(match[3]) else ARTICLE if name in MAIN else None
-            if mark == ASIDE_ZONE and name in ("body", "html", *MAIN):
-                mark = ARTICLE if name in MAIN else None
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()  # a paragraph ends where the next begins
-            stack.append((name, mark))
-        now = zone()
+            if name == "p" and top.name == "p":
+                close(len(stack) - 1)  # a paragraph ends where the next begins
+                top = stack[-1]
+            if name in MAIN:
+                new = top._replace(name=name, article=True, marked=_marks(match[3]) and name == "article", level=top.n_marked, n_zones=top.n_zones + 1)
+            elif name in ASIDE or (name == "header" and not top.article):
+                new = top._replace(name=name, aside=True, n_zones=top.n_zones + 1)
+            elif name not in ("body", "html") and _marks(match[3]):
+                new = top._replace(name=name, marked=True, n_marked=top.n_marked + 1, n_zones=top.n_zones + 1)
+            else:
+                new = top._replace(name=name)
+            places.setdefault(name, []).append(len(stack))
+            stack.append(new)
+        now = stack[-1].zone()
     end_block()
     return out
 
@@ -116,8 +149,9 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """Blocks of the article; on a page without one, blocks of no known zone that the other page does not share."""
-    kept = [t for t, z in own if z == ARTICLE]
+    """Blocks of the articles with the fewest marked elements around; on a page without one, blocks of no known zone that the other page does not share."""
+    level = min((z for _, z in own if z >= ARTICLE), default=None)
+    kept = [t for t, z in own if z == level]
     if not kept:
         lines = [t for t, z in own if z == UNKNOWN]
         shared = shared_lines(lines, [t for t, z in other if z == UNKNOWN]) if other else set()
