@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ FOLDED = 60
 #: Words that are frequent in the blocks of documents are sent to all tasks, this many at most; each block names so many.
 FREQUENT, NAMED = 100_000, 20_000
 #: Distinct words that a task holds before it passes them on.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 2_000_000
 #: Words whose edges are sorted together.
 WORDS_PER_TASK = 100_000
 #: Rank of the edges of single characters that have no piece.
@@ -66,6 +65,12 @@ class PieceTable:
         return spark.createDataFrame(list(self.rank.items()), "piece string, rank int")
 
 
+def merged(tables: list[pa.Table]) -> pa.Table:
+    """(word, n) of all tables, a row per word."""
+    both = pa.concat_tables(tables) if tables else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    return both.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def frequent_words(docs: DataFrame, text: str) -> tuple[list[str], int]:
     """(the most frequent words of all blocks, FREQUENT at most; the sum of the blocks' distinct words).
 
@@ -74,19 +79,22 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[list[str], int]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: list[pa.Table] = []
 
         def pack() -> pa.RecordBatch:
-            top = [(None, len(found)), *found.most_common(NAMED)]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+            found = merged(held)
+            held.clear()
+            top = found.take(pc.select_k_unstable(found, min(NAMED, found.num_rows), [("n", "descending"), ("word", "ascending")])) if found.num_rows else found
+            words, counts = [None, *top.column("word").to_pylist()], [found.num_rows, *top.column("n").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
 
         for batch in batches:
             counts = split_words(batch.column(text))[0].value_counts()
-            for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
-                found[word] += n
-            if len(found) > HELD_WORDS:
-                yield pack()
+            held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            if sum(t.num_rows for t in held) > HELD_WORDS:
+                held[:] = [merged(held)]
+                if held[0].num_rows > HELD_WORDS // 2:
+                    yield pack()
         yield pack()
 
     counted = materialize(docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "frequent-words")
@@ -108,21 +116,27 @@ def block_words(docs: DataFrame, text: str, block: str, known: Broadcast) -> Dat
     """(block, word): the distinct words of each block of documents but the known ones, now and then one twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip, found, at = frozenset(known.value[0].to_pylist()), set(), 0
+        held, at = [], 0
+
+        def distinct() -> pa.Array:
+            return pa.concat_arrays(held).unique() if held else pa.array([], pa.string())
 
         def pack() -> Iterator[pa.RecordBatch]:
-            rows = list(found - skip)
-            found.clear()
-            for k in range(0, len(rows), 50_000):
-                part = rows[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "word"])
+            found = distinct()
+            held.clear()
+            found = found.filter(pc.invert(pc.is_in(found, value_set=known.value[0])))
+            for k in range(0, len(found), 50_000):
+                part = found.slice(k, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at, np.int32)), part], ["block", "word"])
 
         for batch in batches:
             if batch.num_rows:
                 at = batch.column(block)[0].as_py()
-            found.update(split_words(batch.column(text))[0].unique().to_pylist())
-            if len(found) > HELD_WORDS:
-                yield from pack()
+            held.append(split_words(batch.column(text))[0].unique())
+            if sum(map(len, held)) > HELD_WORDS:
+                held[:] = [distinct()]
+                if len(held[0]) > HELD_WORDS // 2:
+                    yield from pack()
         yield from pack()
 
     return docs.select(text, block).mapInArrow(run, "block int, word string")
