@@ -45,9 +45,13 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, taken in by two rounds: the second one scans only blobs that the ledger of the first has not."""
     docs = table(spark, sf_dir, "documents")
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
-    ledger = materialize(secrets.update_ledger(versions), "secret-ledger")
+    early = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    known = materialize(secrets.update_ledger(versions.where(early)), "secret-ledger")
+    new = materialize(secrets.update_ledger(versions.where(~early), known), "secret-ledger")
+    ledger = known.unionByName(new)
     found = secrets.findings(versions, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < 3)

@@ -14,30 +14,40 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1),
     ("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,64}@", 0, 1),
 ]
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+#: Matches of one text that are placed together.
+PLACED = 256
 
 
 def _spans(text: Column, rank: int) -> Column:
-    """Spans of one rule, in code points: gaps between matches and the matches themselves add up to the places."""
+    """Spans of one rule, in code points: gaps between matches and the matches themselves add up to the places.
+
+    Matches are placed PLACED at a time, as an array that grows one by one is copied at each step.
+    """
     kind, pattern, group, least = RULES[rank]
     gaps, found, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.char_length(x["g"]) + F.char_length(x["m"])).alias("at"),
-            F.when(
-                F.char_length(x["v"]) >= least,
-                F.array_append(a["spans"], F.struct(
-                    (a["at"] + F.char_length(x["g"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                    (a["at"] + F.char_length(x["g"]) + F.char_length(x["m"])).alias("stop"))),
-            ).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+    # Lengths alone go into the fold, and as the variable of a lambda they are worked out once.
+    lengths = lambda texts: F.transform(texts, F.char_length)
+    matches = F.arrays_zip(lengths(found).alias("m"), lengths(value).alias("v"), F.slice(lengths(gaps), 1, F.size(found)).alias("g"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["g"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + x["m"]).alias("stop"))
+        return F.struct((start + x["m"]).alias("at"), F.when(x["v"] >= least, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    def part(matches: Column, a: Column, k: Column) -> Column:
+        first = F.struct(a["at"].alias("at"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(F.slice(matches, k * PLACED + 1, F.lit(PLACED)), first, step, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["parts"], r["spans"]).alias("parts")))
+
+    def place(matches: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+        parts = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PLACED).cast("int"))
+        return F.aggregate(parts, none, lambda a, k: part(matches, a, k), lambda a: F.flatten(a["parts"]))
+
+    placed = F.get(F.transform(F.array(matches), place), F.lit(0))
     return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast(SPAN))
 
 

@@ -102,7 +102,13 @@ def test_jaccard_crowd(spark, monkeypatch):
 
 
 KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
-         ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+         ("hex", re.compile("[0-9a-f]+"), 0, 24), ("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
+         ("jwt", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.A), 0, 1), ("login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,64}@", re.A), 0, 1)]
+
+
+def spans_of(text, kinds):
+    want = sorted((m.start(), rank, m.end(), kind) for rank, (kind, p, g, least) in enumerate(kinds) for m in p.finditer(text or "") if len(m[g]) >= least)
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
 
 
 def test_secrets(spark):
@@ -110,12 +116,37 @@ def test_secrets(spark):
     rows = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "path int, version int, text string")
     ledger = secrets.update_ledger(rows)
     out = {r.path: r.s for r in secrets.findings(rows, ledger).select("path", _joined(F.filter("spans", lambda s: s["rank"] < 3)).alias("s")).collect()}
-    for k, text in enumerate(texts):
-        want = sorted((m.start(), rank, m.end(), kind) for rank, (kind, p, g, least) in enumerate(KINDS) for m in p.finditer(text or "") if len(m[g]) >= least)
-        assert out[k] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+    assert out == {k: spans_of(text, KINDS[:3]) for k, text in enumerate(texts)}
     assert ledger.count() == len({t or "" for t in texts}) and secrets.update_ledger(rows, ledger).count() == 0
 
 
+def test_secrets_of_all_kinds(spark):
+    """All six kinds, more matches than are placed together, a long run of token heads, an empty table and clashing columns."""
+    texts = [
+        "-----BEGIN RSA PRIVATE KEY-----\nx eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_-1 ftp://jo:pw@host/ üeyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh1 xeyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh1",
+        " ".join(f"日 token=abc{k:04d} {'f' * 24} pw: token=ab" for k in range(700)), "eyJaaaaaaaa" * 20000, "eyJaaaaaaaa." * 3000, "AKIA" * 50000, None, "",
+    ]
+    rows = spark.createDataFrame([(k, 1, t, "x", "y") for k, t in enumerate(texts)], "path int, version int, text string, spans string, blob string")
+    ledger = secrets.update_ledger(rows)
+    out = {r.path: r.s for r in secrets.findings(rows, ledger).select("path", _joined(F.col("spans")).alias("s")).collect()}
+    assert out == {k: spans_of(text, KINDS) for k, text in enumerate(texts)}
+    assert secrets.update_ledger(rows.limit(0)).count() == 0 and secrets.findings(rows.limit(0), ledger).count() == 0
+
+
+def test_secret_ledger_rounds(spark, monkeypatch):
+    """A later round scans unseen blobs alone; with other rules every blob is scanned again, old versions included."""
+    first = spark.createDataFrame([(1, 1, "token=abcdef1"), (2, 1, "plain")], "path int, version int, text string")
+    later = first.unionByName(spark.createDataFrame([(1, 2, "token=abcdef2"), (3, 1, "plain")], first.schema))
+    known = secrets.update_ledger(first)
+    new = secrets.update_ledger(later, known)
+    assert (known.count(), new.count()) == (2, 1)
+    found = {(r.path, r.version): r.s for r in secrets.findings(later, known.unionByName(new)).select("path", "version", _joined(F.col("spans")).alias("s")).collect()}
+    assert found == {(1, 1): "assign:0:13", (1, 2): "assign:0:13", (2, 1): "", (3, 1): ""}
+    ledger = known.unionByName(new)
+    monkeypatch.setattr(secrets, "RULE_VERSION", "2")
+    assert secrets.update_ledger(later, ledger).count() == 3
+
+
 def test_token_counts(docs):
     vocabulary = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     counter = token_counts.Counter(vocabulary, BYTE_BPE_PATTERN)
