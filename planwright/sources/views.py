@@ -27,16 +27,16 @@ VIEWS = {
           CASE WHEN l_linenumber = 7 THEN 'USD' ELSE 'AED' END AS currency, l_shipdate AS effective_date, l_orderkey AS seq, l_linenumber AS seq2
         FROM {lineitem}""",
     "live_price": """
-        SELECT material_id, supplier_id, price, currency, effective_date, preferred
-        FROM (SELECT s.*, d.preferred, ROW_NUMBER() OVER (PARTITION BY material_id, s.supplier_id ORDER BY effective_date DESC, seq DESC, seq2 DESC, price DESC) AS rn
-          FROM {price_snapshot} s JOIN {supplier_d} d ON s.supplier_id = d.supplier_id) t
-        WHERE rn = 1""",
+        SELECT material_id, t.supplier_id, price, currency, effective_date, preferred
+        FROM (SELECT material_id, supplier_id, MAX_BY(price, (effective_date, seq, seq2, price)) AS price, MAX_BY(currency, (effective_date, seq, seq2, price)) AS currency,
+            MAX(effective_date) AS effective_date
+          FROM {price_snapshot} GROUP BY material_id, supplier_id) t JOIN {supplier_d} d ON t.supplier_id = d.supplier_id""",
     "space": """
-        SELECT o_orderkey AS project_id, l_linenumber AS space_no, MIN(l_quantity) AS length_m, MIN(l_quantity) / 2 + 1 AS width_m,
+        SELECT l_orderkey AS project_id, l_linenumber AS space_no, MIN(l_quantity) AS length_m, MIN(l_quantity) / 2 + 1 AS width_m,
           CAST(2.4 AS DOUBLE) + MIN(l_tax) * 10 AS height_m, MIN(l_partkey) AS floor_material,
           CASE WHEN MIN(l_linenumber) % 3 = 0 THEN NULL ELSE MAX(l_partkey) END AS wall_material,
           CASE WHEN MIN(l_linenumber) % 4 = 0 THEN NULL ELSE MIN(l_partkey) END AS ceiling_material
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_linenumber""",
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "takeoff": """
         SELECT l_orderkey AS project_id,
           CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount, l_returnflag, l_linestatus) AS BIGINT) AS item_no,
