@@ -16,6 +16,20 @@ def evidence(*steps: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(c.cast("double").alias("confidence"), F.lit(WEIGHTS[kind]).alias("weight"), F.lit(kind).alias("kind")) for kind, c in steps])
 
 
+def default_chain(basis: Column) -> Column:
+    """The evidence that lines of a basis have if nothing else was recorded; fixed values."""
+    extracted = lambda c: ("EXTRACTION", F.lit(c))
+    ladder = F.when(basis.isin("MEASURED", "VISUAL"), evidence(extracted(0.95))).when(basis.isin("DERIVED", "PARAMETRIC"), evidence(extracted(0.95), ("DERIVATION", F.lit(0.9))))
+    guessed = evidence(extracted(0.9), ("PRIOR", F.lit(0.75)), ("ASSUMPTION", F.lit(0.75)))
+    return ladder.when(basis.isin("ESTIMATED", "PLACEHOLDER"), guessed).otherwise(evidence(("ASSUMPTION", F.lit(0.5))))
+
+
+def source_of(basis: Column) -> tuple[Column, Column]:
+    """(source type, derivation type) of a basis; an unknown basis counts as an estimate."""
+    measured, derived = basis.isin("MEASURED", "VISUAL"), basis.isin("DERIVED", "PARAMETRIC")
+    return F.when(measured, "MEASURED").when(derived, "DERIVED").otherwise("ESTIMATED"), F.when(measured, F.lit(None)).when(derived, "formula").otherwise("ai_reasoning")
+
+
 def weakest(chain: Column) -> Column:
     """Kind of the step with the smallest confidence ** weight."""
     return F.array_min(F.transform(chain, lambda s: F.struct(F.pow(s["confidence"], s["weight"]).alias("c"), s["kind"].alias("kind"))))["kind"]
