@@ -119,33 +119,12 @@ def tag_label(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.concat(F.upper(F.regexp_extract(text, pattern, 1)), F.lpad(F.regexp_extract(text, pattern, 2), 2, "0")))
 
 
-def room_label(text: Column) -> Column:
-    """struct(code, area): `GF-04 58.82 m²`."""
-    pattern = r"(?i)\b((?:GF|FF|RF|L\d|B\d)-\d+)\b.*?(\d+(?:\.\d+)?)\s*(?:m²|m2|sqm)"
-    return F.struct(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).alias("code"), F.regexp_extract(text, pattern, 2).try_cast("double").alias("area"))
-
-
 def plain_mtext(text: Column) -> Column:
     """Drawing text without its formatting codes."""
-    for pattern, new in [(r"\\P", " "), (r"\\[A-Za-z][^;\\{}]*;", ""), (r"[{}]", ""), (r"%%[uUoO]", ""), (r"%%[dD]", "°"), (r"%%[cC]", "Ø"), (r"\s+", " ")]:
+    for pattern, new in [(r"\\pxqc[^;]*;", ""), (r"\\f[^;]*;", ""), (r"\\[A-Za-z][0-9.x-]*;", ""), (r"\\P", " "), (r"[{}]", ""), (r"^[\s,;]+", ""), (r"\s+", " ")]:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(text)
+    return F.trim(F.coalesce(text, F.lit("")))
 
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
-
-
-def scale_denominator(text: Column) -> Column:
-    return F.regexp_extract(text, r"1\s*[:/]\s*(\d+)", 1).try_cast("int")
-
-
-def millimetres(text: Column) -> Column:
-    """A number with separators; values under 50 are metres."""
-    n = F.regexp_replace(text, "[ ,]", "").try_cast("double")
-    return F.when(n < 50, n * 1000).otherwise(n)
-
-
-def discipline_matches(discipline: Column, sheet_no: Column) -> Column:
-    first = F.upper(F.substring(F.trim(sheet_no), 1, 1))
-    return F.when(discipline == "MEP", first.isin("M", "E", "P")).when(discipline == "STR", first == "S").otherwise(F.lit(True))

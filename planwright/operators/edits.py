@@ -61,3 +61,23 @@ def next_version(generated: DataFrame, latest: DataFrame) -> DataFrame:
     carried = latest.where(F.col("item_no").isNull()).drop("version").withColumn("carried", F.lit(True))
     lines = generated.withColumn("carried", F.lit(False)).unionByName(carried)
     return lines.join(number, "project_id", "left").withColumn("version", F.coalesce(F.col("last") + 1, F.lit(1))).drop("last")
+
+
+def sync_by_key(existing: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
+    """`seed` and its action, inserted or updated, and the keys that it lacks, deleted; one row for each key on either side."""
+    old = existing.select(*keys).distinct().withColumn("old", F.lit(True))
+    both = seed.withColumn("new", F.lit(True)).join(old, keys, "full")
+    return both.withColumn("action", F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").otherwise("updated")).drop("old", "new")
+
+
+def replace_children(children: DataFrame, new: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """`children` with all those of `parents` replaced by `new`."""
+    return children.join(parents.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def bill_after(lines: DataFrame, deleted: DataFrame, patches: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """(project_id, total, lines) after lines are deleted by key, patched (keys, new_qty) and added (project_id, qty, rate)."""
+    left = lines.join(deleted.select(*keys).distinct(), keys, "left_anti").join(patches, keys, "left")
+    amount = lambda qty: (qty * F.col("rate")).cast("decimal(18,2)").alias("amount")
+    rows = left.select("project_id", amount(F.coalesce("new_qty", "qty"))).unionByName(added.select("project_id", amount(F.col("qty"))))
+    return rows.groupBy("project_id").agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("lines"))
