@@ -35,3 +35,29 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], values: lis
     both = old.join(new, keys, "full_outer").withColumn("action", action)
     keep = F.when(F.col("action").isin("stale", "protect"), F.col("old")).otherwise(F.col("new"))
     return both.withColumn("row", keep).select(*keys, *[F.col(f"row.{v}").alias(v) for v in values], "action")
+
+
+def _same_size(a: Column, b: Column) -> Column:
+    return F.coalesce(F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 0.02, a.isNull() & b.isNull())
+
+
+def reconcile_schedules(seen: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, width_mm, height_mm, finish_code, basis, confidence, mismatch) of two readings of a schedule, one row a key on each side.
+
+    Where both have a key, the first of count, sizes (2 %) and finish that differs is the mismatch, the count is the
+    read one, and a count above MOST gives way to the other side's; all else is as seen. A key of one side alone stays
+    as it is, whatever its count. A null count differs from nothing, a null finish equals an empty one.
+    """
+    fields = ["n", "width_mm", "height_mm", "finish_code"]
+    both = seen.select(*keys, F.struct(*fields).alias("v")).join(read.select(*keys, F.struct(*fields).alias("t")), keys, "full")
+    paired = F.col("v").isNotNull() & F.col("t").isNotNull()
+    sane = lambda side: F.when(F.col(f"{side}.n") <= MOST, F.col(f"{side}.n"))
+    finish = lambda side: F.coalesce(F.col(f"{side}.finish_code"), F.lit(""))
+    field = F.when(F.col("v.n") != F.col("t.n"), "count").when(~_same_size(F.col("v.width_mm"), F.col("t.width_mm")), "width_mm")
+    field = field.when(~_same_size(F.col("v.height_mm"), F.col("t.height_mm")), "height_mm").when(finish("v") != finish("t"), "finish")
+    mismatch = F.when(paired, field)
+    row = F.coalesce("v", "t")
+    return both.select(
+        *keys, F.when(paired, F.coalesce(sane("t"), sane("v"))).otherwise(row["n"]).alias("n"), *[row[f].alias(f) for f in fields[1:]],
+        F.when(paired, "MEASURED").when(F.col("v").isNotNull(), "VISUAL").otherwise("PARAMETRIC").alias("basis"),
+        F.when(mismatch.isNotNull(), 60).when(paired, 90).when(F.col("v").isNotNull(), 70).otherwise(50).alias("confidence"), mismatch.alias("mismatch"))

@@ -5,19 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planwright.session import discard, materialize
 
-def nearest_within(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
-    """For each point the nearest label of its page within `radius`, ties to the smaller id; null if there is none.
 
-    Labels are entered in the nine cells around theirs, so an equi-join on page and cell finds every label in reach
-    and no pair farther than two cells apart is made.
-    """
+def met_within(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+    """(page, point_id, label_id, d2): each point with the labels of its page within `radius`."""
     cell = lambda c: F.floor(F.col(c) / radius)
     spread = labels.select("page", F.col("point_id").alias("label_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), cell("x").alias("cx"), cell("y").alias("cy"))
     for c in ("cx", "cy"):
         spread = spread.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     placed = points.select("page", "point_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     square = (F.col("x") - F.col("lx")) * (F.col("x") - F.col("lx")) + (F.col("y") - F.col("ly")) * (F.col("y") - F.col("ly"))
-    met = placed.join(spread, ["page", "cx", "cy"]).withColumn("d2", square).where(F.col("d2") <= radius * radius)
+    return placed.join(spread, ["page", "cx", "cy"]).withColumn("d2", square).where(F.col("d2") <= radius * radius).select("page", "point_id", "label_id", "d2")
+
+
+def one_to_one(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+    """(page, point_id, label_id, distance): in order of their ids points take the nearest label of their page within `radius` that no earlier one has taken.
+
+    A round settles every point that is the first one near its best label, since nobody before it can want that one;
+    settled points and labels leave, and the rest goes on. The first point of a page settles in each round, most do
+    in the first rounds, and no page is ever held in one task. Ties go to the smaller label id, points without a free
+    label give no row, and neither do those with a null page or place.
+    """
+    left, taken = materialize(met_within(points, labels, radius), "label-pairs"), None
+    while not left.isEmpty():
+        best = left.groupBy("page", "point_id").agg(F.min(F.struct("d2", "label_id")).alias("b")).select("page", "point_id", "b.label_id", "b.d2")
+        first = left.groupBy("page", "label_id").agg(F.min("point_id").alias("point_id"))
+        settled = materialize(best.join(first, ["page", "label_id", "point_id"]), "label-pairs")
+        taken = settled if taken is None else taken.unionByName(settled)
+        rest = left.join(settled.select("page", "point_id"), ["page", "point_id"], "left_anti").join(settled.select("page", "label_id"), ["page", "label_id"], "left_anti")
+        new = materialize(rest.select("page", "point_id", "label_id", "d2"), "label-pairs")
+        discard(left)
+        left = new
+    if taken is None:
+        taken = left.select("page", "label_id", "point_id", "d2")
+    return taken.select("page", "point_id", "label_id", F.sqrt("d2").alias("distance"))
+
+
+def nearest_within(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+    """For each point the nearest label of its page within `radius`, ties to the smaller id; null if there is none.
+
+    Labels are entered in the nine cells around theirs, so an equi-join on page and cell finds every label in reach
+    and no pair farther than two cells apart is made.
+    """
+    met = met_within(points, labels, radius)
     best = met.groupBy("page", "point_id").agg(F.min(F.struct("d2", "label_id")).alias("b"))
     return points.join(best, ["page", "point_id"], "left").select("page", "point_id", F.col("b.label_id").alias("label_id"), F.sqrt("b.d2").alias("distance"))

@@ -21,7 +21,7 @@ def needs_review(v):
     return filters.needs_review(v("takeoff"), unit_sanity(v)).select("project_id", "item_no")
 
 
-_CHAIN = """
+AUDIT = """
 , c AS (SELECT *, greatest(confidence / 100.0::DOUBLE, 1e-6) AS c0 FROM boq_line),
 d AS (SELECT *, CASE basis WHEN 'ESTIMATED' THEN pow(c0, 0.6) * pow(0.9, 0.5) * pow(0.8, 0.8) WHEN 'DERIVED' THEN pow(c0, 0.7) * pow(0.85, 0.5) ELSE pow(c0, 0.6) END AS conf FROM c),
 f AS (SELECT *, basis = 'DERIVED' AND tag IS NULL AS f1, basis = 'ESTIMATED' AND finish_code IS NULL AS f2, status <> 'EDITED' AND NOT is_provisional AND conf < 0.6 AS f3, status <> 'EDITED' AND NOT is_provisional AND rate = 0 AS f4 FROM d),
@@ -29,27 +29,27 @@ a AS (SELECT project_id, item_no, category, conf, list_filter([CASE WHEN f1 THEN
   CASE WHEN f1 OR f2 THEN 'failed' WHEN f3 OR f4 THEN 'review' ELSE 'verified' END AS verdict FROM f)"""
 
 
-def _audited(v):
+def audited_lines(v):
     sure = F.col("confidence") / 100
     chain = F.when(F.col("basis") == "ESTIMATED", audit.evidence(("EXTRACTION", sure), ("DERIVATION", F.lit(0.9)), ("ASSUMPTION", F.lit(0.8))))
     chain = chain.when(F.col("basis") == "DERIVED", audit.evidence(("MEASUREMENT", sure), ("DERIVATION", F.lit(0.85)))).otherwise(audit.evidence(("EXTRACTION", sure)))
     return audit.audit(v("boq_line").withColumn("chain", chain))
 
 
-@query("i10_audit", _CHAIN + " SELECT project_id, item_no, round(conf, 6) AS confidence, array_to_string(reasons, '; ') AS reasons, verdict FROM a", ("boq_line",))
+@query("i10_audit", AUDIT + " SELECT project_id, item_no, round(conf, 6) AS confidence, array_to_string(reasons, '; ') AS reasons, verdict FROM a", ("boq_line",))
 def audited(v):
-    return _audited(v).select("project_id", "item_no", F.round("chain_confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "verdict")
+    return audited_lines(v).select("project_id", "item_no", F.round("chain_confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "verdict")
 
 
-@query("f06_top_reasons", _CHAIN + " SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM a) GROUP BY 1 ORDER BY n DESC, reason LIMIT 15", ("boq_line",))
+@query("f06_top_reasons", AUDIT + " SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM a) GROUP BY 1 ORDER BY n DESC, reason LIMIT 15", ("boq_line",))
 def top_reasons(v):
-    return _audited(v).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(15)
+    return audited_lines(v).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(15)
 
 
-@query("d17_section_verdicts", _CHAIN + """
+@query("d17_section_verdicts", AUDIT + """
 SELECT category, count(*) FILTER (verdict = 'failed') AS failed, count(*) FILTER (verdict = 'review') AS review, count(*) FILTER (verdict = 'verified') AS verified FROM a GROUP BY 1""", ("boq_line",))
 def section_verdicts(v):
-    return _audited(v).groupBy("category").agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in ("failed", "review", "verified")])
+    return audited_lines(v).groupBy("category").agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in ("failed", "review", "verified")])
 
 
 @query("e20_weakest_step", """
@@ -57,7 +57,7 @@ def section_verdicts(v):
 SELECT project_id, item_no, CASE basis WHEN 'ESTIMATED' THEN CASE WHEN c0 < pow(0.8, 0.8) THEN 'EXTRACTION' ELSE 'ASSUMPTION' END
   WHEN 'DERIVED' THEN CASE WHEN c0 < pow(0.85, 0.5) THEN 'MEASUREMENT' ELSE 'DERIVATION' END ELSE 'EXTRACTION' END AS weakest FROM c""", ("boq_line",))
 def weakest_step(v):
-    return _audited(v).select("project_id", "item_no", audit.weakest(F.col("chain")).alias("weakest"))
+    return audited_lines(v).select("project_id", "item_no", audit.weakest(F.col("chain")).alias("weakest"))
 
 
 _SIDES = """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions.numbers import chain_confidence
-from planwright.operators import audit, classify, rooms
+from planwright.operators import audit, classify, reconcile, rooms, spatial
 from planwright.plans import audits, bill
 from planwright.plans.registry import ORACLE_SQL, query
 
@@ -147,6 +147,49 @@ def progress(v):
     return both.select("project_id", (count / 4).alias("completion"), F.when(~done[0], "spaces").when(~done[1], "materials").otherwise("quotation").alias("step"))
 
 
+@query("c09_schedule_rows", """
+, r AS (SELECT project_id, category, tag, sheet_id % 2 AS side, count(*) * 20 AS n, max(width_mm) AS w, max(height_mm) AS h, max(finish_code) AS f FROM takeoff WHERE category IN ('DOOR', 'WINDOW') AND tag IS NOT NULL GROUP BY ALL),
+s AS (SELECT * FROM r WHERE side = 0), t AS (SELECT * FROM r WHERE side = 1),
+b AS (SELECT coalesce(s.project_id, t.project_id) AS project_id, coalesce(s.category, t.category) AS category, coalesce(s.tag, t.tag) AS tag, s.n AS sn, t.n AS tn, s.n IS NOT NULL AND t.n IS NOT NULL AS paired, s.n IS NOT NULL AS seen,
+  CASE WHEN s.n IS NULL THEN t.w ELSE s.w END AS width_mm, CASE WHEN s.n IS NULL THEN t.h ELSE s.h END AS height_mm, CASE WHEN s.n IS NULL THEN t.f ELSE s.f END AS finish_code,
+  CASE WHEN s.n IS NULL OR t.n IS NULL THEN NULL WHEN s.n <> t.n THEN 'count' WHEN (s.w IS NULL) <> (t.w IS NULL) OR abs(s.w - t.w) > greatest(s.w, t.w) * 0.02::DOUBLE THEN 'width_mm'
+    WHEN abs(s.h - t.h) > greatest(s.h, t.h) * 0.02::DOUBLE THEN 'height_mm' WHEN s.f IS DISTINCT FROM t.f THEN 'finish' END AS mismatch FROM s FULL JOIN t ON s.project_id = t.project_id AND s.category = t.category AND s.tag = t.tag)
+SELECT project_id, category, tag, CASE WHEN NOT paired THEN coalesce(sn, tn) WHEN tn <= 50 THEN tn WHEN sn <= 50 THEN sn END AS n, width_mm, height_mm, finish_code, CASE WHEN paired THEN 'MEASURED' WHEN seen THEN 'VISUAL' ELSE 'PARAMETRIC' END AS basis,
+  CASE WHEN mismatch IS NOT NULL THEN 60 WHEN paired THEN 90 WHEN seen THEN 70 ELSE 50 END AS confidence, mismatch FROM b""", ("takeoff",))
+def schedule_rows(v):
+    """Door and window schedules of both readings with counts, sizes and finishes; counts are inflated so that some are beyond belief."""
+    tagged = v("takeoff").where("category IN ('DOOR', 'WINDOW') AND tag IS NOT NULL")
+    values = [(F.count(F.lit(1)) * 20).alias("n"), *[F.max(c).alias(c) for c in ("width_mm", "height_mm", "finish_code")]]
+    sides = [tagged.where(F.col("sheet_id") % 2 == k).groupBy("project_id", "category", "tag").agg(*values) for k in (0, 1)]
+    return reconcile.reconcile_schedules(*sides, ["project_id", "category", "tag"])
+
+
+@query("c13_insert_tags", """
+, a AS (SELECT * FROM point WHERE kind = 'AREA'), l AS (SELECT * FROM point WHERE kind = 'NAME'),
+m AS (SELECT a.page, a.point_id, arg_min(l.point_id, ((a.x - l.x) * (a.x - l.x) + (a.y - l.y) * (a.y - l.y), l.point_id)) AS label_id FROM a JOIN l ON a.page = l.page AND (a.x - l.x) * (a.x - l.x) + (a.y - l.y) * (a.y - l.y) <= 2500 GROUP BY 1, 2)
+SELECT a.page, a.point_id, CASE WHEN label_id IS NULL THEN 'BLOCK-' || a.point_id % 7 ELSE 'T' || label_id END AS tag FROM a LEFT JOIN m ON m.page = a.page AND m.point_id = a.point_id""", ("point",))
+def insert_tags(v):
+    """Each insert has the tag nearest to it in reach, else the name of its block; the synthetic plan is 50 units for the 1500 mm of a drawing."""
+    near = spatial.nearest_within(v("point").where("kind = 'AREA'"), v("point").where("kind = 'NAME'"), 50.0)
+    block = F.concat(F.lit("BLOCK-"), (F.col("point_id") % 7).cast("string"))
+    return near.select("page", "point_id", F.coalesce(F.concat(F.lit("T"), F.col("label_id").cast("string")), block).alias("tag"))
+
+
+@query("c14_area_names")
+def area_names(v):
+    """Areas and names of a page, each name once; no SQL, as each choice depends on those before it."""
+    return spatial.one_to_one(v("point").where("kind = 'AREA'"), v("point").where("kind = 'NAME'"), 60.0)
+
+
+@query("d13_audit_summary", audits.AUDIT + """
+, w AS (SELECT b.category, b.basis, a.verdict FROM a JOIN boq_line b ON b.project_id = a.project_id AND b.item_no = a.item_no)
+SELECT category, basis, verdict, count(*) AS n FROM w GROUP BY GROUPING SETS ((category, verdict), (basis, verdict), (verdict))""", ("boq_line",))
+def audit_summary(v):
+    """Verdicts of the audit in all, by section and by basis."""
+    sets = [[F.col("category"), F.col("verdict")], [F.col("basis"), F.col("verdict")], [F.col("verdict")]]
+    return audits.audited_lines(v).select("category", "basis", "verdict").groupingSets(sets, "category", "basis", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RULES = {"CATEGORY_SANITY": ("j01_category_sanity", audits.category_sanity), "TAG_COVERAGE": ("c17_tag_coverage", audits.coverage), "UNIT_SANITY": ("j03_unit_sanity", bill.unit_sanity),
           "DUPLICATE_TAG": ("e12_occurrences", audits.occurrences), "ROOMS_AREA_RECONCILE": ("d29_area_reconcile", audits.area_reconcile)}
 
