@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwright.session import discard, materialize
+from planwright.session import materialize
 
 
 def met_within(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
@@ -27,19 +29,20 @@ def one_to_one(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame
     in the first rounds, and no page is ever held in one task. Ties go to the smaller label id, points without a free
     label give no row, and neither do those with a null page or place.
     """
-    left, taken = materialize(met_within(points, labels, radius), "label-pairs"), None
-    while not left.isEmpty():
-        best = left.groupBy("page", "point_id").agg(F.min(F.struct("d2", "label_id")).alias("b")).select("page", "point_id", "b.label_id", "b.d2")
+    keys, settled = ["page", "point_id", "label_id"], []
+    left = met_within(points, labels, radius)
+    while True:
+        left = left if settled else materialize(left, "label-pairs")
+        best = left.groupBy("page", "point_id").agg(F.min(F.struct("d2", "label_id")).alias("b")).select("page", "point_id", "b.label_id")
         first = left.groupBy("page", "label_id").agg(F.min("point_id").alias("point_id"))
-        settled = materialize(best.join(first, ["page", "label_id", "point_id"]), "label-pairs")
-        taken = settled if taken is None else taken.unionByName(settled)
-        rest = left.join(settled.select("page", "point_id"), ["page", "point_id"], "left_anti").join(settled.select("page", "label_id"), ["page", "label_id"], "left_anti")
-        new = materialize(rest.select("page", "point_id", "label_id", "d2"), "label-pairs")
-        discard(left)
-        left = new
-    if taken is None:
-        taken = left.select("page", "label_id", "point_id", "d2")
-    return taken.select("page", "point_id", "label_id", F.sqrt("d2").alias("distance"))
+        chosen = best.join(first, keys).withColumn("settled", F.lit(True))
+        flagged = materialize(left.join(chosen, keys, "left").withColumn("settled", F.col("settled").isNotNull()), "label-pairs")
+        settled.append(flagged.where("settled").select(*keys, F.sqrt("d2").alias("distance")))
+        if flagged.where("NOT settled").isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        taken = flagged.where("settled")
+        rest = flagged.where("NOT settled").join(taken.select("page", "point_id"), ["page", "point_id"], "left_anti")
+        left = rest.join(taken.select("page", "label_id"), ["page", "label_id"], "left_anti").select(*keys, "d2")
 
 
 def nearest_within(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
