@@ -27,48 +27,76 @@ def build_session(app: str = "planwright", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
+#: The folder that local sessions without spark.checkpoint.dir work in; the key is fixed once a session runs.
+_LOCAL: list[str] = []
+#: Folders (and the catalogue's names) of tables that materialize() and bucketed() wrote and nothing deleted yet.
+_MADE: dict[str, str | None] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir); a temporary one only for local masters that set none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "planwright-work")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="planwright-work-"))
+        shared = _LOCAL[0]
     return shared.rstrip("/")
 
 
+def _kept(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    df._folder, _MADE[path] = path, name
+    return df
+
+
 def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cuts lineage: writes `df` as Parquet under the shared folder, in a directory per value of `by`, and reads it back."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     schema = df.schema if not by else StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
-    return spark.read.schema(schema).parquet(path)
+    return _kept(spark.read.schema(schema).parquet(path), path)
 
 
 def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
     """Like materialize(), as a table of `n` buckets by `key`: grouping and joining by it needs no shuffle."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{work_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    path = f"{work_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return _kept(spark.table(name), path, name)
 
 
 def folder_of(table: DataFrame) -> str | None:
-    """The folder under the work folder from which a materialised table is read; None if it has no files."""
-    base = work_dir(table.sparkSession)
-    for name in table.inputFiles()[:1]:
-        return f"{base}/{name.rpartition(base.rpartition('/')[2] + '/')[2].partition('/')[0]}"
-    return None
+    """The folder from which a table that materialize() or bucketed() returned is read; None for other tables."""
+    return table.__dict__.get("_folder")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    name = _MADE.pop(folder, None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing reads any more."""
     for table in tables:
-        folder, spark = folder_of(table), table.sparkSession
+        folder = folder_of(table)
         if folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Deletes every table that this driver materialised and still holds, and says how many; for when its results are stored.
+
+    Lazy results are read from such tables, so their owner calls this and not the query that returns them.
+    """
+    folders = list(_MADE)
+    for folder in folders:
+        _delete(spark, folder)
+    return len(folders)
 
 
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
