@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm import decontamination, html_text, jaccard, line_dedup, pii, quality, secrets, sentencepiece_lattice, token_counts, warc
+from planwright.llm import chat, decontamination, html_text, jaccard, line_dedup, pii, prefix_trie, quality, secrets, sentencepiece_lattice, token_counts, vector_codes, warc
 from planwright.session import materialize, work_dir
 from planwright.sources.tables import table
 
@@ -102,6 +102,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+#: The conversation added to those of the table: it says the template's own marks.
+MARKS_SAID = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(MARKS_SAID, rows.schema))
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_errors(materialize(codes, "vector-errors"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -113,4 +133,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_html_text": op10_html_text,
+    "op11_chat_format": op11_chat_format,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -91,4 +91,84 @@ WITH RECURSIVE {near_duplicate_ctes(4, 85, 'documents')}
 SELECT doc_id, CAST(n AS BIGINT) n_shingles, component_id FROM comp
 """
 
-ORACLE_SQL = {"op9_ngram_jaccard": OP9, "op1_decontamination": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4}
+_BROKEN = r"regexp_replace(replace({}, '\', '\\'), '(\[/?INST\]|\[/?TURN\]|</?s>)', 'X\1', 'g')"
+
+# What the marks add: 15 characters around a user's text, 4 after an assistant's, 22 around another role and text, 3 at the start.
+OP11 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (
+  SELECT *, length({_BROKEN.format('text')}) n_text, length({_BROKEN.format('role')}) n_role FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) loss_sha256,
+  CAST(3 + sum(n_text + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE n_role + 22 END) AS BIGINT) formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other: all distances, all sums."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, part, min(CAST(d AS HUGEINT) * {entries} + entry) best FROM (
+    SELECT p.rid, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d FROM p JOIN b{k} b USING (part))
+  GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (
+  SELECT part, CAST(best % {entries} AS INTEGER) entry, pos, CAST(sum(x) AS HUGEINT) s, count(*) n
+  FROM (SELECT a.part, best, unnest(p.v) x, unnest(range(len(p.v))) pos FROM a{k} a JOIN p USING (rid, part)) GROUP BY 1, 2, 3),
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) v FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) v FROM s{k} GROUP BY 1, 2) m USING (part, entry))""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] v FROM k, range({parts}) r(part)),
+b0 AS (SELECT part, rid - 1 AS entry, v FROM p WHERE rid <= {entries}),
+{','.join(steps)},
+e AS (
+  SELECT rid, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY part) code, CAST(sum(best // {entries}) AS BIGINT) error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{rounds}) codebooks_sha256
+FROM e JOIN k USING (rid)
+"""
+
+
+# crc32 bit by bit: -1 in the list of steps stands for a shift, other numbers are bytes.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)) END))"""
+
+OP13 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] h
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h) d FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - ((conv_id % 20) + 20) % 20 base, {_CRC} % 4 m FROM t),
+r AS (
+  SELECT c.conv_id, h, text, n.d, 0 AS own FROM c JOIN n ON n.conv_id = base AND n.d <= m
+  UNION ALL SELECT c.conv_id, h, text, n.d, 1 FROM c JOIN n ON n.conv_id = c.conv_id AND n.d > m),
+q AS (
+  SELECT conv_id, len(regexp_extract_all(text, '{_SPACED}')) w, row_number() OVER o d,
+    string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY own, d ROWS UNBOUNDED PRECEDING) path FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY own, d)),
+m AS (SELECT conv_id, d, w, path FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT path, d, min(conv_id) conv_id, count(*) n, max(w) w FROM m GROUP BY 1, 2),
+stop AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) ends FROM (SELECT conv_id, arg_max(path, d) path FROM m GROUP BY 1) GROUP BY 1),
+kids AS (SELECT path[: -33] path, count(*) n FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT top.path, sum((low.n - 1) * low.w) saved, count(*) FILTER (kids.n IS NULL) leaves
+  FROM (SELECT path, n, w, unnest(range(d + 1)) cut FROM node) low JOIN node top ON top.path = low.path[: 32 * low.cut]
+  LEFT JOIN kids ON kids.path = low.path GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, par.conv_id AS parent_conv_id, node.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) n_children, CAST(leaves AS BIGINT) n_leaves,
+  CAST(saved AS BIGINT) saved_tokens, coalesce(ends, sha256('')) ends_sha256
+FROM node LEFT JOIN kids USING (path) LEFT JOIN stop USING (path) JOIN up USING (path) LEFT JOIN node par ON node.d > 0 AND par.path = node.path[: -33]
+"""
+
+ORACLE_SQL = {
+    "op9_ngram_jaccard": OP9, "op1_decontamination": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4,
+    "op11_chat_format": OP11, "op12_vector_codes": vector_codes(), "op13_prefix_trie": OP13,
+}
