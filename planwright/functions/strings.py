@@ -72,7 +72,9 @@ def unit(u: Column) -> Column:
 
 
 def floor_name(f: Column) -> Column:
-    return F.coalesce(lookup(FLOORS, F.lower(F.trim(f))), f)
+    """The usual name of a floor; unknown ones stay as written, without outer white space, and blank ones are null."""
+    trimmed = F.regexp_replace(f, r"^\s+|\s+$", "")
+    return F.when(trimmed != "", F.coalesce(lookup(FLOORS, F.lower(trimmed)), trimmed))
 
 
 def room_key(name: Column) -> Column:
@@ -99,7 +101,7 @@ def is_not_a_room(name: Column, area: Column) -> Column:
 
 
 def is_floor_legend_code(code: Column) -> Column:
-    return F.upper(F.trim(code)).isin(*FLOOR_LEGEND)
+    return code.isin(*FLOOR_LEGEND)
 
 
 def ceiling_class(name: Column, finish: Column) -> Column:
@@ -114,9 +116,9 @@ def services_key(name: Column) -> Column:
 
 
 def tag_label(text: Column) -> Column:
-    """D-02, d 2 and D02 alike as D02; null for other text."""
-    pattern = r"^\s*([A-Za-z]{1,3})[- ]?(\d{1,3})\s*$"
-    return F.when(text.rlike(pattern), F.concat(F.upper(F.regexp_extract(text, pattern, 1)), F.lpad(F.regexp_extract(text, pattern, 2), 2, "0")))
+    """D-02 and d02 alike as D02, digits as they are written; null for other text."""
+    pattern = r"^\s*([A-Za-z]{1,4})-?(\d{1,3})\s*$"
+    return F.when(text.rlike(pattern), F.concat(F.upper(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)))
 
 
 def plain_mtext(text: Column) -> Column:
@@ -126,5 +128,10 @@ def plain_mtext(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit("")))
 
 
+def serial(number: Column, width: int) -> Column:
+    """A number with leading zeros up to `width` digits; longer ones keep all of theirs."""
+    return F.format_string(f"%0{width}d", number)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")

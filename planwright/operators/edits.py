@@ -9,25 +9,32 @@ from planwright.operators.pick import first_by
 
 
 def apply_edits(items: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """`items` after `edits` (keys, new_qty, new_status, new_finish; a null leaves its field as it is), with qty_changed and finish_changed.
+    """`items` after `edits` (keys, new_qty, new_status, new_finish), with qty_changed and finish_changed.
 
-    A changed quantity is one that differs from what was extracted, a changed finish one that differs from the present
-    code; either makes an item EDITED unless the edit names a status. At most one edit for each item; items without
-    one stay as they are.
+    Where `edits` has has_qty or has_finish, these say which fields an edit sets, and a null then clears the field;
+    without them a null leaves its field as it is. A changed quantity is one that differs from what was extracted, a
+    changed finish one that differs from the present code; either makes an item EDITED unless the edit names a status.
+    Items may have suggested_finish, the code proposed for them. At most one edit for each item; items without one
+    stay as they are.
     """
-    both = items.join(edits, keys, "left")
-    qty_changed = F.col("new_qty").isNotNull() & ~F.col("new_qty").eqNullSafe(F.col("qty_ai"))
-    finish_changed = F.col("new_finish").isNotNull() & ~F.col("new_finish").eqNullSafe(F.col("finish_code"))
+    for flag, field in (("has_qty", "new_qty"), ("has_finish", "new_finish")):
+        if flag not in edits.columns:
+            edits = edits.withColumn(flag, F.col(field).isNotNull())
+    if "suggested_finish" not in items.columns:
+        items = items.withColumn("suggested_finish", F.lit(None).cast("string"))
+    both = items.join(edits, keys, "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in ("has_qty", "has_finish")})
+    qty_changed = F.col("has_qty") & ~F.col("new_qty").eqNullSafe(F.col("qty_ai"))
+    finish_changed = F.col("has_finish") & ~F.col("new_finish").eqNullSafe(F.col("finish_code"))
     promoted = F.when(qty_changed | finish_changed, F.lit("EDITED"))
     return both.select(
-        *keys, F.coalesce("new_qty", "qty_final").alias("qty_final"), F.coalesce("new_finish", "finish_code").alias("finish_code"),
-        F.coalesce("new_status", promoted, "status").alias("status"), qty_changed.alias("qty_changed"), finish_changed.alias("finish_changed"), "qty_ai", F.col("finish_code").alias("old_finish"))
+        *keys, F.when(F.col("has_qty"), F.col("new_qty")).otherwise(F.col("qty_final")).alias("qty_final"), F.when(F.col("has_finish"), F.col("new_finish")).otherwise(F.col("finish_code")).alias("finish_code"),
+        F.coalesce("new_status", promoted, "status").alias("status"), qty_changed.alias("qty_changed"), finish_changed.alias("finish_changed"), "qty_ai", "suggested_finish")
 
 
 def corrections(edited: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, field, before, after): a row for each changed field of apply_edits()."""
+    """(keys, field, before, after): a row for each changed field of apply_edits(); before is what was extracted or suggested."""
     change = lambda field, changed, before, after: F.when(F.col(changed), F.struct(F.lit(field).alias("field"), F.col(before).cast("string").alias("before"), F.col(after).cast("string").alias("after")))
-    made = F.array_compact(F.array(change("qty", "qty_changed", "qty_ai", "qty_final"), change("finish", "finish_changed", "old_finish", "finish_code")))
+    made = F.array_compact(F.array(change("qtyFinal", "qty_changed", "qty_ai", "qty_final"), change("finish_code", "finish_changed", "suggested_finish", "finish_code")))
     return edited.select(*keys, F.explode(made).alias("c")).select(*keys, "c.*")
 
 
@@ -48,9 +55,13 @@ def upsert_flags(existing: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sync_spaces(rooms: DataFrame, manual: DataFrame) -> DataFrame:
-    """(project_id, name, length, width, height): rooms as square spaces of the standard height; a space made by hand of the same name wins."""
-    best = first_by(rooms, ["project_id", "name"], [F.desc("confidence"), F.col("item_no")])
-    side = F.greatest(F.lit(0.1), F.sqrt(F.coalesce(F.col("area"), F.lit(1.0))))
+    """(project_id, name, length, width, height): measured rooms as square spaces of the standard height.
+
+    A name is what stands before the dash; a space made by hand of the same name wins; rooms without an area make none.
+    """
+    named = rooms.where(F.col("area").isNotNull()).withColumn("name", F.trim(F.split("name", "—")[0]))
+    best = first_by(named, ["project_id", "name"], [F.desc("confidence"), F.col("item_no")])
+    side = F.greatest(F.lit(0.1), F.sqrt(F.col("area")))
     new = best.join(manual.select("project_id", "name").distinct(), ["project_id", "name"], "left_anti")
     return new.select("project_id", "name", side.alias("length"), side.alias("width"), F.lit(3.0).alias("height"))
 

@@ -65,5 +65,7 @@ def area_statements(items: DataFrame) -> DataFrame:
 
 
 def skirtable(items: DataFrame) -> DataFrame:
-    """Rooms with a finish of their own that is neither wet nor external, and no stairs or balconies."""
-    return items.where(F.col("finish_code").isNotNull() & ~F.col("finish_code").isin("BATHROOM", "ST03") & ~F.upper("description").rlike("STAIR|BALCONY"))
+    """Rooms with a finish of their own that is neither wet nor external, and no stairs or open places by the name before the dash."""
+    name = F.split("description", "—")[0]
+    open_place = name.rlike(r"(?i)\b(stair|staircase)\b") | name.rlike(r"(?i)\b(balcony|terrace|veranda)\b")
+    return items.where((F.col("finish_code") != "") & ~F.col("finish_code").isin("BATHROOM", "ST03") & ~F.coalesce(open_place, F.lit(False)))

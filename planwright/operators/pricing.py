@@ -9,7 +9,7 @@ from planwright.functions.numbers import round2
 from planwright.functions.strings import unit
 
 #: Surface that assemblies without a category serve, by category; fixed values.
-SURFACE = {"WALL_FINISH": "WALL", "PAINT": "WALL", "CEILING": "CEILING"}
+SURFACE = {"WALL_FINISH": "WALL", "PAINT": "WALL", "PLASTER": "WALL", "FLOOR_FINISH": "FLOOR", "SCREED": "FLOOR", "CEILING": "CEILING"}
 
 
 def unit_costs(components: DataFrame, project_qty: float | None = None) -> DataFrame:

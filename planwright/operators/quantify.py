@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.functions.numbers import aspect_ratio, perimeter, round2, whole_units
-from planwright.functions.strings import ceiling_class, lookup, services_key
+from planwright.functions.strings import ceiling_class, lookup, services_key, serial
 from planwright.operators.filters import billable_rooms, skirtable
 
 CEILING_HEIGHT = 2.8
@@ -95,6 +95,6 @@ def generate_bill(items: DataFrame, priced: Column) -> DataFrame:
     sums = sums.withColumns({"tag": F.lit(None).cast("string"), "item_no": F.lit(None).cast("long"), "unit": F.lit("LS"), "qty": F.lit(1.0)})
     amounts = F.element_at(F.create_map(*[F.lit(x) for kv in ALLOWANCES.items() for x in kv]), F.col("category"))
     order = Window.partitionBy("project_id", "section").orderBy("bucket", "category", F.asc_nulls_last("tag"), "item_no")
-    serial = F.lpad(F.row_number().over(order).cast("string"), 3, "0")
-    out = single.unionByName(sums).withColumn("ref", F.concat_ws("/", "section", serial))
+    ref = serial(F.row_number().over(order), 3)
+    out = single.unionByName(sums).withColumn("ref", F.concat_ws("/", F.col("section"), ref))
     return out.select("project_id", "ref", "bucket", "category", "item_no", "unit", "qty", "n_items", F.when(F.col("bucket") == 2, amounts).alias("ps_amount"))

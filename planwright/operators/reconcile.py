@@ -38,13 +38,13 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], values: lis
 
 
 def _same_size(a: Column, b: Column) -> Column:
-    return F.coalesce(F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 0.02, a.isNull() & b.isNull())
+    return F.coalesce(F.abs(a - b) < 0.0001, a.isNull() & b.isNull())
 
 
 def reconcile_schedules(seen: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, width_mm, height_mm, finish_code, basis, confidence, mismatch) of two readings of a schedule, one row a key on each side.
 
-    Where both have a key, the first of count, sizes (2 %) and finish that differs is the mismatch, the count is the
+    Where both have a key, the first of count, sizes and finish that differs is the mismatch, the count is the
     read one, and a count above MOST gives way to the other side's; all else is as seen. A key of one side alone stays
     as it is, whatever its count. A null count differs from nothing, a null finish equals an empty one.
     """

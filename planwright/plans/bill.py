@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planwright.functions import numbers as N
+from planwright.functions.strings import serial
 from planwright.operators import pick
 from planwright.operators.pricing import bill_totals, rate_waterfall, unit_costs
 from planwright.plans.registry import query
@@ -45,7 +46,7 @@ a AS (SELECT assembly.*, {_UNIT.format('output_unit')} AS u, coalesce(unit_cost,
 ks AS (SELECT DISTINCT category, u, finish_code FROM l),
 own AS (SELECT category, ks.u, ks.finish_code, arg_min(cost, (sort_order, assembly_id)) AS own_rate FROM ks JOIN a ON takeoff_category = category AND a.u = ks.u
   AND (a.finish_code IS NULL OR a.finish_code = ks.finish_code) GROUP BY ALL),
-loose AS (SELECT category, k.u, min(cost) AS loose_rate FROM (SELECT DISTINCT category, u, CASE category WHEN 'CEILING' THEN 'CEILING' WHEN 'WALL_FINISH' THEN 'WALL' WHEN 'PAINT' THEN 'WALL' END AS surface FROM ks) k
+loose AS (SELECT category, k.u, min(cost) AS loose_rate FROM (SELECT DISTINCT category, u, CASE WHEN category = 'CEILING' THEN 'CEILING' WHEN category IN ('WALL_FINISH', 'PAINT', 'PLASTER') THEN 'WALL' WHEN category IN ('FLOOR_FINISH', 'SCREED') THEN 'FLOOR' END AS surface FROM ks) k
   JOIN a ON takeoff_category IS NULL AND surface IS NOT NULL AND (applies_to = 'GENERIC' OR applies_to = surface) AND a.u = k.u GROUP BY ALL HAVING count(*) = 1),
 r AS (SELECT l.*, own_rate, loose_rate, coalesce(o.code, g.code) IS NOT NULL AS has, CASE WHEN o.code IS NOT NULL THEN {_UNIT.format('o.unit')} ELSE {_UNIT.format('g.unit')} END AS ru,
     CAST(CASE WHEN o.code IS NOT NULL THEN o.rate ELSE g.rate END AS DOUBLE) AS rr
@@ -62,16 +63,6 @@ def waterfall(v):
     return out.select("project_id", "item_no", "source", "rate", "amount")
 
 
-@query("d13_verdict_summary", """
-, w AS (SELECT category, basis, CASE WHEN confidence < 60 THEN 'review' WHEN is_provisional THEN 'failed' ELSE 'verified' END AS verdict FROM boq_line)
-SELECT category, basis, verdict, count(*) AS n FROM w GROUP BY GROUPING SETS ((category, verdict), (basis, verdict), (verdict))""", ("boq_line",))
-def verdicts(v):
-    verdict = F.when(F.col("confidence") < 60, "review").when(F.col("is_provisional"), "failed").otherwise("verified")
-    rows = v("boq_line").select("category", "basis", verdict.alias("verdict"))
-    sets = [[F.col("category"), F.col("verdict")], [F.col("basis"), F.col("verdict")], [F.col("verdict")]]
-    return rows.groupingSets(sets, "category", "basis", "verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("d20_duplicate_tags", """
 SELECT project_id, category, tag, count(*) AS n, string_agg(CAST(item_no AS VARCHAR), ',' ORDER BY item_no) AS items FROM takeoff WHERE tag IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1""", ("takeoff",))
 def duplicate_tags(v):
@@ -111,10 +102,10 @@ def newest(v):
 
 
 @query("e11_line_reference", """
-SELECT project_id, item_no, concat(category, '/', lpad(CAST(row_number() OVER (PARTITION BY project_id, category ORDER BY item_no) AS VARCHAR), 3, '0')) AS ref FROM boq_line""", ("boq_line",))
+SELECT project_id, item_no, concat(category, '/', printf('%03d', row_number() OVER (PARTITION BY project_id, category ORDER BY item_no))) AS ref FROM boq_line""", ("boq_line",))
 def line_reference(v):
-    serial = F.row_number().over(Window.partitionBy("project_id", "category").orderBy("item_no")).cast("string")
-    return v("boq_line").select("project_id", "item_no", F.concat(F.col("category"), F.lit("/"), F.lpad(serial, 3, "0")).alias("ref"))
+    number = F.row_number().over(Window.partitionBy("project_id", "category").orderBy("item_no"))
+    return v("boq_line").select("project_id", "item_no", F.concat(F.col("category"), F.lit("/"), serial(number, 3)).alias("ref"))
 
 
 @query("l02_fair_claim", """

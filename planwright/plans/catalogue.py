@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planwright.functions import numbers as N
+from planwright.functions.strings import serial
 from planwright.operators import filters, pick
 from planwright.operators.costing import cost_by_category, cost_by_material, project_totals, space_measures, surface_lines
 from planwright.plans.registry import query
@@ -184,10 +185,10 @@ def quotation(v):
 
 
 @query("e19_quotation_reference", """
-SELECT project_id, concat('Q-', org_id, '-', strftime(created_at, '%Y%m'), '-', lpad(CAST(row_number() OVER (PARTITION BY org_id, strftime(created_at, '%Y%m') ORDER BY created_at, project_id) AS VARCHAR), 4, '0')) AS ref,
+SELECT project_id, concat('Q-', org_id, '-', strftime(created_at, '%Y%m'), '-', printf('%04d', row_number() OVER (PARTITION BY org_id, strftime(created_at, '%Y%m') ORDER BY created_at, project_id))) AS ref,
   created_at + INTERVAL 30 DAY AS valid_until FROM project""", ("project",))
 def quotation_reference(v):
     month = F.date_format("created_at", "yyyyMM")
-    serial = F.row_number().over(Window.partitionBy("org_id", month).orderBy("created_at", "project_id"))
-    ref = F.concat(F.lit("Q-"), F.col("org_id").cast("string"), F.lit("-"), month, F.lit("-"), F.lpad(serial.cast("string"), 4, "0"))
+    number = F.row_number().over(Window.partitionBy("org_id", month).orderBy("created_at", "project_id"))
+    ref = F.concat(F.lit("Q-"), F.col("org_id").cast("string"), F.lit("-"), month, F.lit("-"), serial(number, 4))
     return v("project").select("project_id", ref.alias("ref"), (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("valid_until"))

@@ -39,7 +39,7 @@ def not_rooms(v):
     return rooms.where(S.is_not_a_room(F.col("description"), quantify.quantity())).select("project_id", "item_no")
 
 
-@query("b17_legend_codes", "SELECT finish_code, count(*) AS n FROM takeoff WHERE upper(trim(finish_code)) IN ('ST01', 'ST03', 'PR01', 'PR03', 'BATHROOM') GROUP BY 1", ("takeoff",))
+@query("b17_legend_codes", "SELECT finish_code, count(*) AS n FROM takeoff WHERE finish_code IN ('ST01', 'ST03', 'PR01', 'PR03', 'BATHROOM') GROUP BY 1", ("takeoff",))
 def legend_codes(v):
     return v("takeoff").where(S.is_floor_legend_code(F.col("finish_code"))).groupBy("finish_code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -67,7 +67,7 @@ def authoritative(v):
 
 
 @query("h06_tag_labels", r"""
-SELECT DISTINCT tag, upper(regexp_extract(tag, '^\s*([A-Za-z]{1,3})[- ]?(\d{1,3})\s*$', 1)) || lpad(regexp_extract(tag, '^\s*([A-Za-z]{1,3})[- ]?(\d{1,3})\s*$', 2), 2, '0') AS label FROM takeoff WHERE tag IS NOT NULL""", ("takeoff",))
+SELECT DISTINCT tag, CASE WHEN regexp_full_match(trim(tag), '[A-Za-z]{1,4}-?[0-9]{1,3}') THEN upper(replace(trim(tag), '-', '')) END AS label FROM takeoff WHERE tag IS NOT NULL""", ("takeoff",))
 def tag_labels(v):
     return v("takeoff").where("tag IS NOT NULL").select("tag", S.tag_label(F.col("tag")).alias("label")).distinct()
 

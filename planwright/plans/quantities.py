@@ -53,9 +53,9 @@ _RATIO = r"""CASE WHEN regexp_matches(description, '\b(corridor|passage|hall)\b'
   WHEN regexp_matches(description, '\b(bedroom|bd|guest|master|family|play|dining|dinning|living|sitting|study)\b', 'i') THEN 1.4 ELSE 1.3 END"""
 
 
-@query("i04_wall_runs", f"""
+@query("i04_wall_runs", rf"""
 , r AS (SELECT project_id, item_no, coalesce(qty_final, qty_ai) AS a, CAST({_RATIO} AS DOUBLE) AS k FROM takeoff WHERE category = 'ROOM' AND finish_code IS NOT NULL
-  AND finish_code NOT IN ('BATHROOM', 'ST03') AND NOT regexp_matches(upper(description), 'STAIR|BALCONY')),
+  AND finish_code NOT IN ('BATHROOM', 'ST03') AND finish_code <> '' AND NOT regexp_matches(split_part(description, '—', 1), '\b(stair|staircase|balcony|terrace|veranda)\b', 'i')),
 m AS (SELECT project_id, item_no, 2 * (sqrt(a * k) + sqrt(a / k)) AS run FROM r WHERE a > 0)
 SELECT project_id, item_no, floor(run * 100 + 0.5) / 100 AS skirting_m, floor(run * CAST(2.8 AS DOUBLE) * 100 + 0.5) / 100 AS paint_m2 FROM m""", ("takeoff",))
 def wall_runs(v):
@@ -88,7 +88,7 @@ def services(v):
 b AS (SELECT *, CASE WHEN how = 'PROVISIONAL_SUM' THEN 2 WHEN how = 'LUMP_SUM' THEN 3 WHEN unit <> 'LS' THEN 1 ELSE 4 END AS bucket FROM t),
 u AS (SELECT project_id, section, bucket, category, tag, item_no, unit, q AS qty, 1 AS n_items FROM b WHERE bucket IN (1, 4)
   UNION ALL SELECT project_id, section, bucket, category, NULL, NULL, 'LS', 1, count(*) FROM b WHERE bucket IN (2, 3) GROUP BY 1, 2, 3, 4)
-SELECT project_id, concat(section, '/', lpad(CAST(row_number() OVER (PARTITION BY project_id, section ORDER BY bucket, category, tag NULLS LAST, item_no) AS VARCHAR), 3, '0')) AS ref, bucket, category, item_no, unit, qty, n_items,
+SELECT project_id, concat(section, '/', printf('%03d', row_number() OVER (PARTITION BY project_id, section ORDER BY bucket, category, tag NULLS LAST, item_no))) AS ref, bucket, category, item_no, unit, qty, n_items,
   CASE WHEN bucket = 2 THEN {_case('category', quantify.ALLOWANCES, 'NULL')} END AS ps_amount FROM u""", ("takeoff",))
 def bill(v):
     return quantify.generate_bill(v("takeoff"), F.col("unit") != "LS")

@@ -152,8 +152,8 @@ def progress(v):
 s AS (SELECT * FROM r WHERE side = 0), t AS (SELECT * FROM r WHERE side = 1),
 b AS (SELECT coalesce(s.project_id, t.project_id) AS project_id, coalesce(s.category, t.category) AS category, coalesce(s.tag, t.tag) AS tag, s.n AS sn, t.n AS tn, s.n IS NOT NULL AND t.n IS NOT NULL AS paired, s.n IS NOT NULL AS seen,
   CASE WHEN s.n IS NULL THEN t.w ELSE s.w END AS width_mm, CASE WHEN s.n IS NULL THEN t.h ELSE s.h END AS height_mm, CASE WHEN s.n IS NULL THEN t.f ELSE s.f END AS finish_code,
-  CASE WHEN s.n IS NULL OR t.n IS NULL THEN NULL WHEN s.n <> t.n THEN 'count' WHEN (s.w IS NULL) <> (t.w IS NULL) OR abs(s.w - t.w) > greatest(s.w, t.w) * 0.02::DOUBLE THEN 'width_mm'
-    WHEN abs(s.h - t.h) > greatest(s.h, t.h) * 0.02::DOUBLE THEN 'height_mm' WHEN s.f IS DISTINCT FROM t.f THEN 'finish' END AS mismatch FROM s FULL JOIN t ON s.project_id = t.project_id AND s.category = t.category AND s.tag = t.tag)
+  CASE WHEN s.n IS NULL OR t.n IS NULL THEN NULL WHEN s.n <> t.n THEN 'count' WHEN (s.w IS NULL) <> (t.w IS NULL) OR abs(s.w - t.w) >= 0.0001 THEN 'width_mm'
+    WHEN abs(s.h - t.h) >= 0.0001 THEN 'height_mm' WHEN s.f IS DISTINCT FROM t.f THEN 'finish' END AS mismatch FROM s FULL JOIN t ON s.project_id = t.project_id AND s.category = t.category AND s.tag = t.tag)
 SELECT project_id, category, tag, CASE WHEN NOT paired THEN coalesce(sn, tn) WHEN tn <= 50 THEN tn WHEN sn <= 50 THEN sn END AS n, width_mm, height_mm, finish_code, CASE WHEN paired THEN 'MEASURED' WHEN seen THEN 'VISUAL' ELSE 'PARAMETRIC' END AS basis,
   CASE WHEN mismatch IS NOT NULL THEN 60 WHEN paired THEN 90 WHEN seen THEN 70 ELSE 50 END AS confidence, mismatch FROM b""", ("takeoff",))
 def schedule_rows(v):

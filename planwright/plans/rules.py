@@ -154,27 +154,27 @@ def flags_by_item(v):
 
 
 _EDITS = """
-, e AS (SELECT project_id, item_no, qty_final AS new_qty, CASE WHEN basis = 'MEASURED' THEN 'APPROVED' END AS new_status, CASE WHEN confidence > 80 THEN 'PR01' END AS new_finish FROM takeoff WHERE qty_final IS NOT NULL),
-m AS (SELECT t.*, e.new_qty, e.new_status, e.new_finish, coalesce(new_qty IS NOT NULL AND new_qty IS DISTINCT FROM qty_ai, FALSE) AS q, coalesce(new_finish IS NOT NULL AND new_finish IS DISTINCT FROM finish_code, FALSE) AS f
-  FROM takeoff t LEFT JOIN e ON e.project_id = t.project_id AND e.item_no = t.item_no)"""
+, e AS (SELECT project_id, item_no, qty_final AS new_qty, CASE WHEN basis = 'MEASURED' THEN 'APPROVED' END AS new_status, CASE WHEN confidence > 80 THEN 'PR01' END AS new_finish, confidence > 80 OR confidence < 50 AS sets FROM takeoff WHERE qty_final IS NOT NULL),
+m AS (SELECT t.*, e.new_qty, e.new_status, e.new_finish, e.sets, coalesce(new_qty IS NOT NULL AND new_qty IS DISTINCT FROM qty_ai, FALSE) AS q, coalesce(sets AND new_finish IS DISTINCT FROM finish_code, FALSE) AS f,
+  CASE WHEN sheet_id % 2 = 0 THEN 'CT01' END AS suggested FROM takeoff t LEFT JOIN e ON e.project_id = t.project_id AND e.item_no = t.item_no)"""
 
 
 def _edited(v):
-    items = v("takeoff").select("project_id", "item_no", "qty_ai", "qty_final", "finish_code", "status", "basis", "confidence")
+    items = v("takeoff").select("project_id", "item_no", "qty_ai", "qty_final", "finish_code", "status", "basis", "confidence", F.when(F.col("sheet_id") % 2 == 0, "CT01").alias("suggested_finish"))
     made = items.where("qty_final IS NOT NULL").select(
-        "project_id", "item_no", F.col("qty_final").alias("new_qty"), F.when(F.col("basis") == "MEASURED", "APPROVED").alias("new_status"), F.when(F.col("confidence") > 80, "PR01").alias("new_finish"))
+        "project_id", "item_no", F.col("qty_final").alias("new_qty"), F.when(F.col("basis") == "MEASURED", "APPROVED").alias("new_status"), F.when(F.col("confidence") > 80, "PR01").alias("new_finish"), F.lit(True).alias("has_qty"), ((F.col("confidence") > 80) | (F.col("confidence") < 50)).alias("has_finish"))
     return edits.apply_edits(items, made, ["project_id", "item_no"])
 
 
 @query("k06_edited_items", _EDITS + """
-SELECT project_id, item_no, coalesce(new_qty, qty_final) AS qty_final, coalesce(new_finish, finish_code) AS finish_code, coalesce(new_status, CASE WHEN q OR f THEN 'EDITED' END, status) AS status FROM m""", ("takeoff",))
+SELECT project_id, item_no, coalesce(new_qty, qty_final) AS qty_final, CASE WHEN coalesce(sets, FALSE) THEN new_finish ELSE finish_code END AS finish_code, coalesce(new_status, CASE WHEN q OR f THEN 'EDITED' END, status) AS status FROM m""", ("takeoff",))
 def edited_items(v):
     return _edited(v).select("project_id", "item_no", "qty_final", "finish_code", "status")
 
 
 @query("k06_corrections", _EDITS + """
-SELECT project_id, item_no, 'qty' AS field, CAST(qty_ai AS VARCHAR) AS before, CAST(coalesce(new_qty, qty_final) AS VARCHAR) AS after FROM m WHERE q
-UNION ALL SELECT project_id, item_no, 'finish', finish_code, new_finish FROM m WHERE f""", ("takeoff",))
+SELECT project_id, item_no, 'qtyFinal' AS field, CAST(qty_ai AS VARCHAR) AS before, CAST(coalesce(new_qty, qty_final) AS VARCHAR) AS after FROM m WHERE q
+UNION ALL SELECT project_id, item_no, 'finish_code', suggested, new_finish FROM m WHERE f""", ("takeoff",))
 def correction_log(v):
     return edits.corrections(_edited(v), ["project_id", "item_no"])
 
@@ -206,14 +206,15 @@ def preferred_price(v):
 
 
 @query("k09_space_sync", """
-, r AS (SELECT project_id, description AS name, item_no, confidence, coalesce(qty_final, qty_ai) AS area, status FROM takeoff WHERE category = 'ROOM'),
+, r AS (SELECT project_id, trim(split_part(description, '—', 1)) AS name, item_no, confidence, CASE WHEN sheet_id % 5 <> 0 THEN qty_ai END AS area, status FROM takeoff WHERE category = 'ROOM'),
 m AS (SELECT DISTINCT project_id, name FROM r WHERE status = 'EDITED'),
-b AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY confidence DESC, item_no) AS rn FROM r)
-SELECT b.project_id, b.name, greatest(0.1::DOUBLE, sqrt(coalesce(area, 1))) AS length, greatest(0.1::DOUBLE, sqrt(coalesce(area, 1))) AS width, 3.0::DOUBLE AS height
+b AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY confidence DESC, item_no) AS rn FROM r WHERE area IS NOT NULL)
+SELECT b.project_id, b.name, greatest(0.1::DOUBLE, sqrt(area)) AS length, greatest(0.1::DOUBLE, sqrt(area)) AS width, 3.0::DOUBLE AS height
 FROM b ANTI JOIN m ON m.project_id = b.project_id AND m.name = b.name WHERE rn = 1""", ("takeoff",))
 def space_sync(v):
-    rooms = v("takeoff").where("category = 'ROOM'").select("project_id", F.col("description").alias("name"), "item_no", "confidence", F.coalesce("qty_final", "qty_ai").alias("area"), "status")
-    return edits.sync_spaces(rooms, rooms.where("status = 'EDITED'"))
+    rooms = v("takeoff").where("category = 'ROOM'").select("project_id", F.col("description").alias("name"), "item_no", "confidence", F.when(F.col("sheet_id") % 5 != 0, F.col("qty_ai")).alias("area"), "status")
+    by_hand = rooms.where("status = 'EDITED'").withColumn("name", F.trim(F.split("name", "—")[0]))
+    return edits.sync_spaces(rooms, by_hand)
 
 
 @query("k08_next_version", """

@@ -83,6 +83,40 @@ VIEWS = {
           SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATHROOM_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' WHEN 3 THEN 'BEDROOM_COUNT' WHEN 4 THEN 'AREA_M2' ELSE 'AREA_FT2' END AS driver,
             CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit FROM {part}) t
         GROUP BY driver, factor, unit""",
+    "price_entry": """
+        SELECT CAST(d.org_id AS BIGINT) AS org_id, e.material_id, e.supplier_id, e.price, e.currency, CAST(e.effective_date AS TIMESTAMP) AS effective_date, CASE e.entry % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS preferred, e.entry, e.seq % 2 AS batch
+        FROM (SELECT seq * 10 + seq2 AS entry, seq, MIN(material_id) AS material_id, MIN(supplier_id) AS supplier_id, MIN(price) AS price, MIN(currency) AS currency, MIN(effective_date) AS effective_date
+          FROM {price_snapshot} GROUP BY seq, seq2) e JOIN {supplier_d} d ON e.supplier_id = d.supplier_id""",
+    # Braces of JSON are written as < and > here.
+    "item_record": """
+        SELECT project_id * 100 + item_no AS item_id, project_id, item_no, category, tag, description, CASE WHEN part_id % 23 = 0 THEN 'VISUAL' WHEN part_id % 29 = 0 THEN 'GUESS' WHEN part_id % 31 = 0 THEN 'PLACEHOLDER' ELSE basis END AS basis, confidence,
+          basis = 'ESTIMATED' AS is_provisional, CASE part_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CONCAT('note ', CAST(item_no AS STRING)) END AS source_note,
+          CASE WHEN sheet_id % 6 = 0 THEN NULL ELSE sheet_id END AS sheet_id, CASE WHEN sheet_id % 5 = 0 THEN NULL ELSE CONCAT('A', CAST(sheet_id % 100 AS STRING)) END AS drawing_no, sheet_id % 40 AS page_no,
+          CASE WHEN sheet_id % 3 = 0 THEN '' ELSE 'DOOR SCHEDULE' END AS title, CASE WHEN sheet_id % 4 = 0 THEN NULL ELSE 'schedule' END AS sheet_type, CONCAT('set', CAST(sheet_id % 7 AS STRING), '.pdf') AS filename,
+          TRANSLATE(CASE part_id % 11
+            WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '<"evidenceChain":"none","position":<"x":1,"y":2.5>>' WHEN 3 THEN '<"mepRuleId":"hvac","mepDiscipline":"HVAC","mepFormulaText":"rooms x 2","mepFactorSource":"sheet">'
+            WHEN 4 THEN '<"mepRuleId":"sockets">' WHEN 5 THEN '<"estimationReasoning":"4-bed villa","extractedValue":"GF-04","bbox":<"x":"left","y":0>>'
+            ELSE CONCAT('<"evidenceChain":[<"id":"s1","type":"EXTRACTION","confidence":', CAST(confidence AS STRING), 'e-2,"weight":0.6,"label":"read">,<"id":"s2","type":"GUESS","confidence":0.9,"weight":0.5>,<"id":"s3","type":"PRIOR","confidence":0.7',
+              ',"weight":', CASE WHEN item_no % 2 = 0 THEN '1.5' ELSE '0.5' END, '>,<"id":4,"type":"PRIOR","confidence":1,"weight":1>],"bbox":<"cs":"pdf-pt","x":3,"y":4,"w":5>>') END, '<>', CONCAT(CHR(123), CHR(125))) AS meta
+        FROM {takeoff}""",
+    "stored_line": """
+        SELECT project_id, item_no, category, is_provisional, confidence,
+          TRANSLATE(CASE part_id % 15
+            WHEN 0 THEN NULL WHEN 1 THEN '<"sourceType":"DERIVED"'
+            WHEN 2 THEN CONCAT('<"sourceType":"MEASURED","derivationType":null,"evidence":[<"kind":"sheet","sheetId":"s1","drawingNo":null,"pageNo":', CASE WHEN item_no = 5 THEN '3.5' ELSE '12' END, ',"bbox":<"cs":"dxf-mm","x":1,"y":2>>],"evidenceChain":[<"id":"a","type":"EXTRACTION","confidence":0.', CAST(confidence % 100 AS STRING), ',"weight":0.6>]>')
+            WHEN 3 THEN CONCAT('<"sourceType":"DERIVED","derivationType":"formula","formula":"amount = qty x rate","evidence":[<"kind":"takeoffItem","takeoffItemId":"t1","tag":null>,<"kind":"rateLibrary","code":"R1","scope":"', CASE WHEN item_no = 3 THEN 'local' ELSE 'org' END, '","rate":"12.50">],"confidence":0.', CAST(confidence % 100 AS STRING), '>')
+            WHEN 4 THEN '<"sourceType":"DERIVED","derivationType":"formula","evidence":[<"kind":"takeoffItem","takeoffItemId":"t1">]>'
+            WHEN 5 THEN CONCAT('<"sourceType":"DERIVED","derivationType":"rule"', CASE WHEN item_no % 2 = 0 THEN ',"ruleRef":"mep-rule:hvac"' ELSE '' END, ',"evidence":[<"kind":"mepRule","ruleId":"hvac">],"evidenceChain":[]>')
+            WHEN 6 THEN CONCAT('<"sourceType":"ESTIMATED","derivationType":"ai_reasoning","reasoning":"', CASE WHEN item_no = 4 THEN '' ELSE 'villa norm' END, '","evidence":[<"kind":"assembly","assemblyId":"a1","brandName":null>],"evidenceChain":[<"id":"p","type":"PRIOR","confidence":0.75,"weight":0.5>,<"id":"q","type":"ASSUMPTION","confidence":0.', CAST(confidence % 100 AS STRING), ',"weight":0.8,"label":"height","sourceRef":"A1">]>')
+            WHEN 7 THEN '<"sourceType":"ESTIMATED","derivationType":"formula","evidence":[<"kind":"legacy","note":"old">]>'
+            WHEN 8 THEN '<"sourceType":"MANUAL","evidence":[<"kind":"takeoffItem","takeoffItemId":"t9","extra":1>]>'
+            WHEN 9 THEN '<"sourceType":"MANUAL","derivationType":"rule","evidence":[<"kind":"user","userId":"u","at":"2024-01-01">]>'
+            WHEN 10 THEN '<"sourceType":"IMPORTED","evidence":[<"kind":"import","importType":"supplier-quote","sourceLabel":"q.pdf","importedAt":"2024-01-01">]>'
+            WHEN 11 THEN CONCAT('<"sourceType":"MEASURED","evidence":[<"kind":"document","documentId":"d","filename":"f.pdf","pageNo":"', CAST(item_no AS STRING), '">]>')
+            WHEN 12 THEN '<"sourceType":"PROVISIONAL_SUM","evidence":[<"kind":"legacy","note":"rolled up">],"confidence":1>'
+            WHEN 13 THEN '<"sourceType":"MEASURED","evidence":[]>'
+            ELSE '<"sourceType":"DERIVED","evidence":[<"kind":"document","documentId":"d","filename":"f.pdf","pageNo":2>],"inputs":[<"name":"area","value":3,"source":<"kind":"legacy","note":"n">>]>' END, '<>', CONCAT(CHR(123), CHR(125))) AS provenance
+        FROM {boq_line}""",
     "job": """
         SELECT event_id AS job_id, user_id AS org_id, ts AS created_at, event_type,
           CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'DONE' WHEN 'error' THEN 'FAILED' ELSE 'QUEUED' END AS status,

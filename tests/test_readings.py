@@ -44,10 +44,10 @@ def test_rooms(spark):
 
 def test_schedules_of_both_readings(spark):
     schema = "tag string, n int, width_mm double, height_mm double, finish_code string"
-    seen = spark.createDataFrame([("a", 60, 900.0, 2100.0, None), ("b", 70, 1.0, 1.0, "x"), ("c", 2, 900.0, None, "x")], schema)
-    read = spark.createDataFrame([("a", 4, 900.0, 2100.0, None), ("c", 2, 905.0, None, ""), ("d", 80, None, None, None)], schema)
+    seen = spark.createDataFrame([("a", 60, 900.0, 2100.0, None), ("b", 70, 1.0, 1.0, "x"), ("c", 2, 900.0, None, "x"), ("e", 1, 900.0, 1.0, None)], schema)
+    read = spark.createDataFrame([("a", 4, 900.0, 2100.0, None), ("c", 2, 900.00001, None, ""), ("d", 80, None, None, None), ("e", 1, 905.0, 1.0, None)], schema)
     out = {r.tag: (r.n, r.basis, r.confidence, r.mismatch) for r in reconcile.reconcile_schedules(seen, read, ["tag"]).collect()}
-    assert out == {"a": (4, "MEASURED", 60, "count"), "b": (70, "VISUAL", 70, None), "c": (2, "MEASURED", 60, "finish"), "d": (80, "PARAMETRIC", 50, None)}
+    assert out == {"a": (4, "MEASURED", 60, "count"), "b": (70, "VISUAL", 70, None), "e": (1, "MEASURED", 60, "width_mm"), "c": (2, "MEASURED", 60, "finish"), "d": (80, "PARAMETRIC", 50, None)}
 
 
 def test_pairs_are_those_of_one_by_one_choice(spark):

@@ -36,10 +36,18 @@ def test_edits(spark):
     made = spark.createDataFrame([(1, 10.0, None, "ST01"), (2, 6.0, None, "PR03"), (3, 4.0, "APPROVED", None)], "item_no int, new_qty double, new_status string, new_finish string")
     out = edits.apply_edits(items, made, ["item_no"])
     assert {r.item_no: (r.qty_final, r.finish_code, r.status) for r in out.collect()} == {1: (10.0, "ST01", "AI"), 2: (6.0, "PR03", "EDITED"), 3: (4.0, "PR01", "APPROVED"), 4: (None, "ST01", "AI")}
-    assert sorted(map(tuple, edits.corrections(out, ["item_no"]).collect()), key=str) == sorted([(2, "qty", "5.0", "6.0"), (2, "finish", None, "PR03"), (3, "qty", None, "4.0")], key=str)
+    assert sorted(map(tuple, edits.corrections(out, ["item_no"]).collect()), key=str) == sorted([(2, "qtyFinal", "5.0", "6.0"), (2, "finish_code", None, "PR03"), (3, "qtyFinal", None, "4.0")], key=str)
     assert edits.apply_edits(items.limit(0), made, ["item_no"]).count() == 0
 
 
+def test_edits_clear_fields_and_log_the_suggestion(spark):
+    items = spark.createDataFrame([(1, 10.0, 3.0, "ST01", "AI", "CT09"), (2, None, None, None, "AI", None)], "item_no int, qty_ai double, qty_final double, finish_code string, status string, suggested_finish string")
+    made = spark.createDataFrame([(1, None, None, None, True, True), (2, None, None, None, True, False)], "item_no int, new_qty double, new_status string, new_finish string, has_qty boolean, has_finish boolean")
+    out = edits.apply_edits(items, made, ["item_no"])
+    assert {r.item_no: (r.qty_final, r.finish_code, r.status) for r in out.collect()} == {1: (None, None, "EDITED"), 2: (None, None, "AI")}
+    assert sorted(map(tuple, edits.corrections(out, ["item_no"]).collect())) == [(1, "finish_code", "CT09", None), (1, "qtyFinal", "10.0", None)]
+
+
 def test_flags(spark):
     schema = "project_id int, rule string, item_no int, severity string, message string"
     old = spark.createDataFrame([(1, "A", 7, "WARN", "x", False), (1, "A", None, "WARN", "8 codes", False), (1, "B", 7, "WARN", "gone", True)], schema + ", resolved boolean")
@@ -50,9 +58,9 @@ def test_flags(spark):
 
 
 def test_spaces_and_versions(spark):
-    rooms = spark.createDataFrame([(1, "BED", 1, 50, 9.0), (1, "BED", 2, 50, 16.0), (1, "HALL", 3, 40, None), (1, "BATH", 4, 90, 4.0), (1, "DOT", 5, 9, 0.0)], "project_id int, name string, item_no int, confidence int, area double")
+    rooms = spark.createDataFrame([(1, "BED — GF", 1, 50, 9.0), (1, "BED", 2, 50, 16.0), (1, "HALL", 3, 40, None), (1, "BATH", 4, 90, 4.0), (1, "DOT", 5, 9, 0.0)], "project_id int, name string, item_no int, confidence int, area double")
     manual = spark.createDataFrame([(1, "BATH"), (1, "BATH")], "project_id int, name string")
-    assert sorted(map(tuple, edits.sync_spaces(rooms, manual).collect())) == [(1, "BED", 3.0, 3.0, 3.0), (1, "DOT", 0.1, 0.1, 3.0), (1, "HALL", 1.0, 1.0, 3.0)]
+    assert sorted(map(tuple, edits.sync_spaces(rooms, manual).collect())) == [(1, "BED", 3.0, 3.0, 3.0), (1, "DOT", 0.1, 0.1, 3.0)]
     old = spark.createDataFrame([(1, 5, "a", 2), (1, None, "by hand", 2)], "project_id int, item_no int, line string, version int")
     new = spark.createDataFrame([(1, 6, "b"), (2, 1, "first")], "project_id int, item_no int, line string")
     out = sorted((r.project_id, r.line, r.carried, r.version) for r in edits.next_version(new, old).collect())
