@@ -83,6 +83,12 @@ VIEWS = {
           SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATHROOM_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' WHEN 3 THEN 'BEDROOM_COUNT' WHEN 4 THEN 'AREA_M2' ELSE 'AREA_FT2' END AS driver,
             CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit FROM {part}) t
         GROUP BY driver, factor, unit""",
+    "legend_line": """
+        SELECT project_id, item_no, CONCAT(CASE part_id % 7 WHEN 0 THEN 'GROUND FLOOR' WHEN 1 THEN '' WHEN 2 THEN 'Lobby, see A301      WHITE MARBLE' ELSE description END, CHR(10), CASE WHEN item_no % 3 = 0 THEN CHR(10) ELSE '' END, '            ',
+          CASE finish_code WHEN 'BATHROOM' THEN 'Bathroom  finishes (As per drawings)' WHEN 'PR01' THEN 'I401      PR01 tile' ELSE COALESCE(finish_code, 'WD01-FN03') END,
+          CASE part_id % 5 WHEN 0 THEN '          19.04 m²' WHEN 1 THEN '        Drawing 3' WHEN 2 THEN '       ST01' ELSE '' END, '                    ', CASE part_id % 3 WHEN 0 THEN 'Interior Floor Finish' WHEN 1 THEN '' ELSE 'Service   Areas' END,
+          CHR(10), CASE sheet_id % 4 WHEN 0 THEN 'Honed 600 x 600' WHEN 1 THEN '' WHEN 2 THEN 'plain' ELSE CONCAT('gloss white', CHR(10), CHR(10), CHR(10), CHR(10), CHR(10)) END) AS lines
+        FROM {takeoff}""",
     "price_entry": """
         SELECT CAST(d.org_id AS BIGINT) AS org_id, e.material_id, e.supplier_id, e.price, e.currency, CAST(e.effective_date AS TIMESTAMP) AS effective_date, CASE e.entry % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS preferred, e.entry, e.seq % 2 AS batch
         FROM (SELECT seq * 10 + seq2 AS entry, seq, MIN(material_id) AS material_id, MIN(supplier_id) AS supplier_id, MIN(price) AS price, MIN(currency) AS currency, MIN(effective_date) AS effective_date
