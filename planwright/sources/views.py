@@ -83,6 +83,27 @@ VIEWS = {
           SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ROOM_COUNT' WHEN 1 THEN 'BATHROOM_COUNT' WHEN 2 THEN 'KITCHEN_COUNT' WHEN 3 THEN 'BEDROOM_COUNT' WHEN 4 THEN 'AREA_M2' ELSE 'AREA_FT2' END AS driver,
             CAST(p_size % 5 AS DOUBLE) / 2 AS factor, CASE p_size % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'pt' ELSE 'm' END AS unit FROM {part}) t
         GROUP BY driver, factor, unit""",
+    "bill_item": """
+        SELECT t.project_id, t.item_no, CAST(p.org_id AS BIGINT) AS org_id, t.category,
+          CASE WHEN t.part_id % 17 = 0 THEN NULL WHEN t.category = 'FLOOR_FINISH' THEN CONCAT('ff-', COALESCE(t.finish_code, 'X')) WHEN t.category = 'WALL_FINISH' THEN CASE t.sheet_id % 4 WHEN 0 THEN 'WF-PAINT' WHEN 1 THEN 'WF-WD01' WHEN 2 THEN 'WF-ZZ' ELSE 'W-1' END
+            WHEN t.category = 'CEILING' THEN CASE t.sheet_id % 3 WHEN 0 THEN 'CL-CL02' WHEN 1 THEN 'CL-CL03' ELSE 'CL-9' END WHEN t.category = 'JOINERY' THEN CASE t.sheet_id % 4 WHEN 0 THEN 'VAN-1' WHEN 1 THEN 'KB-2' WHEN 2 THEN 'kw-3' ELSE 'J-1' END
+            WHEN t.category = 'OTHER' THEN CASE t.sheet_id % 3 WHEN 0 THEN 'STAIR-TREAD' WHEN 1 THEN 'thresh' ELSE 'O-1' END ELSE t.tag END AS tag,
+          CASE WHEN t.category = 'DOOR' THEN CASE t.sheet_id % 3 WHEN 0 THEN 'door 1000 x 3000' WHEN 1 THEN 'door 900 x 2400' ELSE 'door' END ELSE t.description END AS description,
+          CASE t.category WHEN 'DOOR' THEN 'No' WHEN 'WINDOW' THEN 'nr' WHEN 'SKIRTING' THEN 'lm' WHEN 'JOINERY' THEN 'lm' WHEN 'OTHER' THEN 'lm' ELSE t.unit END AS unit,
+          t.finish_code, COALESCE(t.qty_final, t.qty_ai) AS qty, CASE WHEN t.part_id % 19 = 0 THEN NULL ELSE t.project_id * 100 + t.item_no END AS item_id,
+          CAST(CASE WHEN t.category = 'MEP_HVAC' AND t.sheet_id % 2 = 0 THEN 12.5 END AS DOUBLE) AS rate, CASE WHEN t.category = 'MEP_HVAC' AND t.sheet_id % 2 = 0 THEN 'mep-rule:7' END AS source,
+          t.basis = 'ESTIMATED' AS is_provisional, CASE WHEN t.basis = 'ESTIMATED' THEN t.price END AS ps_amount
+        FROM {takeoff} t JOIN {project} p ON t.project_id = p.project_id WHERE t.category <> 'ROOM'""",
+    "org_assembly": """
+        SELECT a.assembly_id, CAST(a.assembly_id % 25 AS BIGINT) AS org_id, a.takeoff_category, CASE WHEN a.assembly_id % 4 = 3 THEN 'FLOOR' ELSE a.applies_to END AS applies_to, a.output_unit,
+          CASE a.sort_order % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ST01' WHEN 2 THEN 'PR01,PR03' ELSE 'BATHROOM,ST03,CT09' END AS finish_list, a.sort_order
+        FROM {assembly} a""",
+    "code_rate": """
+        SELECT org_id, code, unit, CAST(ROUND(AVG(price), 2) AS DOUBLE) AS rate FROM (
+          SELECT CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 25 AS BIGINT) END AS org_id, p_retailprice AS price,
+            CASE p_partkey % 16 WHEN 0 THEN 'FLR-ST01' WHEN 1 THEN 'FLR-PR01' WHEN 2 THEN 'FLR-BATH' WHEN 3 THEN 'PAINT-INT' WHEN 4 THEN 'WALL-WOODPORC' WHEN 5 THEN 'CEIL-CL02' WHEN 6 THEN 'CEIL-CL03' WHEN 7 THEN 'STAIR-TREAD' WHEN 8 THEN 'THRESH'
+              WHEN 9 THEN 'VANITY' WHEN 10 THEN 'KIT-BASE' WHEN 11 THEN 'KIT-WALL' WHEN 12 THEN 'SCREED-FLR' WHEN 13 THEN 'SKIRT-PR01' WHEN 14 THEN 'DOOR-1000x3000-FN01' ELSE 'DOOR-STD-LACQ' END AS code,
+            CASE WHEN p_partkey % 16 IN (14, 15) THEN 'nr' WHEN p_partkey % 16 IN (7, 8, 10, 11, 13) THEN 'm' ELSE 'm2' END AS unit FROM {part}) t GROUP BY org_id, code, unit""",
     "legend_line": """
         SELECT project_id, item_no, CONCAT(CASE part_id % 7 WHEN 0 THEN 'GROUND FLOOR' WHEN 1 THEN '' WHEN 2 THEN 'Lobby, see A301      WHITE MARBLE' ELSE description END, CHR(10), CASE WHEN item_no % 3 = 0 THEN CHR(10) ELSE '' END, '            ',
           CASE finish_code WHEN 'BATHROOM' THEN 'Bathroom  finishes (As per drawings)' WHEN 'PR01' THEN 'I401      PR01 tile' ELSE COALESCE(finish_code, 'WD01-FN03') END,
