@@ -183,8 +183,15 @@ def build_auto(items: DataFrame, is_provisional: str = "is_provisional") -> Data
     return items.withColumn("provenance", F.to_json(payload)).drop("_m", "_chain")
 
 
-def build_collapsed(items: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """One line per `keys` for items rolled up into a provisional or a lump sum: keys, n_items and provenance.
+#: What a collapsed line says of itself.
+_ALLOWANCE = {"PROVISIONAL_SUM": ("P/S allowance", "generateBoq.provisionalCollapse"), "LUMP_SUM": ("LS supplier-quote allowance", "generateBoq.lumpSumCollapse")}
+_CONFIRMED_BY = ". The app deliberately does not estimate this discipline from the drawing; a contractor / supplier confirms the number."
+
+
+def build_collapsed(items: DataFrame, keys: list[str], kind: str, allowance: Column | None = None) -> DataFrame:
+    """One line per `keys`, category among them, for items rolled up into a provisional or a lump sum: keys, n_items and provenance.
+
+    `allowance` is the sum set aside, by the columns in `keys`; null means that it is still to be confirmed.
 
     The first 25 items by item_id are named, the others counted. The limit on the row number is applied in each task
     before the shuffle, so of a group of any size only 25 rows a task are moved.
@@ -198,7 +205,11 @@ def build_collapsed(items: DataFrame, keys: list[str], kind: str) -> DataFrame:
     counted = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
     whole = counted.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
     more = F.when(F.col("n_items") > NAMED_ITEMS, _kind("legacy", note=F.concat(F.lit("+"), (F.col("n_items") - NAMED_ITEMS).cast("string"), F.lit(" more takeoff items rolled up"))))
-    payload = F.struct(F.lit(kind).alias("sourceType"), F.array_compact(F.concat("some", F.array(more))).alias("evidence"), F.lit(1.0).alias("confidence"), F.lit("generateBoq.collapse").alias("stampedBy"))
+    label, stamp = _ALLOWANCE[kind]
+    amount = F.lit(None).cast("double") if allowance is None else allowance
+    said = F.coalesce(F.concat(F.format_number(amount, 0), F.lit(" AED from engineer-takeoff defaults")), F.lit("allowance pending estimator confirmation"))
+    note = _kind("legacy", note=F.concat(F.lit(f"Contractor-typical {label} for "), F.coalesce("category", F.lit("null")), F.lit(" — "), said, F.lit(_CONFIRMED_BY)))
+    payload = F.struct(F.lit(kind).alias("sourceType"), F.array_compact(F.concat("some", F.array(more, note))).alias("evidence"), F.lit(1.0).alias("confidence"), F.lit(stamp).alias("stampedBy"))
     return whole.select(*keys, "n_items", F.to_json(payload).alias("provenance"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions.numbers import chain_confidence
 from planwright.operators import provenance
+from planwright.operators.quantify import ALLOWANCES
 from planwright.plans.registry import query
 
 # A valid step, by hand: id, type, confidence and weight with their types and ranges; labels and references are text or absent.
@@ -59,13 +60,15 @@ def line_provenance(v):
 
 @query("i09_collapsed_provenance", """
 , n AS (SELECT category, item_id, tag, description, row_number() OVER (PARTITION BY category ORDER BY item_id) AS k, count(*) OVER (PARTITION BY category) AS n_items FROM item_record)
-SELECT category, n_items, CAST(least(n_items, 25) + (n_items > 25)::INT AS INTEGER) AS n_evidence, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 25) AS ids,
-  CASE WHEN n_items > 25 THEN '+' || (n_items - 25) || ' more takeoff items rolled up' END AS note, 'PROVISIONAL_SUM' AS source_type FROM n GROUP BY category, n_items""", ("item_record",))
+SELECT category, n_items, CAST(least(n_items, 25) + (n_items > 25)::INT + 1 AS INTEGER) AS n_evidence, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 25) AS ids,
+  CASE WHEN n_items > 25 THEN '+' || (n_items - 25) || ' more takeoff items rolled up; ' ELSE '' END || 'Contractor-typical P/S allowance for ' || category || ' — ' || CASE category WHEN 'MEP_HVAC' THEN '252,000 AED from engineer-takeoff defaults' ELSE 'allowance pending estimator confirmation' END
+    || '. The app deliberately does not estimate this discipline from the drawing; a contractor / supplier confirms the number.' AS note, 'PROVISIONAL_SUM' AS source_type FROM n GROUP BY category, n_items""", ("item_record",))
 def collapsed_provenance(v):
     """The payload of the one line that all items of a category are rolled up into."""
-    rows = provenance.build_collapsed(v("item_record"), ["category"], "PROVISIONAL_SUM").withColumn("p", provenance.parse(F.col("provenance")))
+    allowance = F.element_at(F.create_map(*[F.lit(x) for kv in ALLOWANCES.items() for x in kv]), F.col("category")).cast("double")
+    rows = provenance.build_collapsed(v("item_record"), ["category"], "PROVISIONAL_SUM", allowance).withColumn("p", provenance.parse(F.col("provenance")))
     listed = F.try_variant_get(F.try_parse_json("provenance"), "$.evidence", "array<struct<kind:string,takeoffItemId:string,note:string>>")
-    note = F.get(F.filter(listed, lambda e: e["kind"] == "legacy"), F.lit(0))["note"]
+    note = F.array_join(F.transform(F.filter(listed, lambda e: e["kind"] == "legacy"), lambda e: e["note"]), "; ")
     ids = F.array_join(F.transform(F.filter(listed, lambda e: e["kind"] == "takeoffItem"), lambda e: e["takeoffItemId"]), ",")
     return rows.select("category", "n_items", F.size("p.evidence").alias("n_evidence"), ids.alias("ids"), note.alias("note"), F.col("p.sourceType").alias("source_type"))
 

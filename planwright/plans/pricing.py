@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planwright.operators import rules
+from planwright.operators import bill, rules
 from planwright.operators.pricing import price_bill
 from planwright.plans.bill import _NO_TOOLS, _UNIT
 from planwright.plans.registry import query
@@ -71,3 +71,34 @@ def rule_registry(v):
     items = v("takeoff")
     more = ("added.door-stops", "DOOR_COUNT", 0.4, "OTHER", "DOOR-STOP", "No", "STOP-NR", "Door stop", "stops", "SERVICES_ITEMS")
     return rules.run_rules(items, rules.registry(items.sparkSession, [*rules.RULES, more])).select("project_id", "rule_id", "tag", "unit", "qty", "reasoning")
+
+
+@query("i08_full_bill", f"""
+, asm AS (SELECT DISTINCT takeoff_category AS category FROM org_assembly WHERE takeoff_category IS NOT NULL),
+s0 AS (SELECT * FROM drawn_item WHERE category <> 'ROOM' AND kind IS DISTINCT FROM 'LEGEND'),
+c AS (SELECT *, status <> 'AI' AS done, coalesce(qty, 0) > 0 AS has, [rate_code, rate_hint, NULL, CASE WHEN category = 'FLOOR_FINISH' THEN 'FF-' || floor_code END, CASE WHEN category = 'SKIRTING' THEN 'SK-' || floor_code END, CASE WHEN category = 'SKIRTING' THEN 'SKIRTING-LM' END,
+  CASE WHEN category = 'CEILING' THEN 'CL-' || ceiling_code END] AS slots, category IN (SELECT category FROM asm) AS built FROM s0 WHERE status <> 'AI' OR coalesce(qty, 0) > 0),
+k AS (SELECT *, list_filter(list_transform(range(1, 8), lambda i: CASE WHEN i = 3 THEN CASE WHEN built THEN i END WHEN list_contains(codes, slots[i]) THEN i END), lambda i: i IS NOT NULL)[1] AS hit FROM c CROSS JOIN (SELECT list(code) AS codes FROM slot_rate)),
+v AS (SELECT k.*, hit IS NOT NULL AND (hit = 3 OR coalesce(r.rate, 0) > 0) AS ok, CASE WHEN hit IS NULL THEN 'RATE_SLOT_MISSING' ELSE 'RATE_MISSING' END AS warn, CASE WHEN hit IS NULL THEN list_filter(slots, lambda x: x IS NOT NULL)[1] ELSE slots[hit] END AS suggested
+  FROM k LEFT JOIN slot_rate r ON r.code = slots[hit]),
+e AS (SELECT v.*, o.estimability AS ov, v.project_id % 2 = 0 AS served, CASE WHEN factor_confidence < 0.6 AND rate_confidence < 0.6 THEN 'PLACEHOLDER' WHEN category = 'DOOR' THEN 'MEASURED' WHEN category IN ('FLOOR_FINISH', 'WALL_FINISH', 'CEILING', 'SCREED', 'PAINT') THEN 'DERIVED'
+    WHEN category = 'JOINERY' THEN 'LUMP_SUM' ELSE 'PROVISIONAL_SUM' END AS base FROM v LEFT JOIN (SELECT project_id AS op, category AS oc, estimability FROM estimability_override) o ON op = v.project_id AND oc = category),
+h AS (SELECT *, CASE WHEN ov IN ('MEASURED', 'DERIVED', 'PROVISIONAL', 'PLACEHOLDER', 'MANUAL') THEN ov WHEN served AND base = 'PROVISIONAL_SUM' AND category IN ('MEP_HVAC', 'MEP_ELEC', 'MEP_PLUMB', 'MEP_ELV') THEN 'DERIVED' ELSE base END AS how,
+  CASE WHEN category = 'JOINERY' THEN '2.6' WHEN category = 'MEP_HVAC' THEN '2.7' WHEN category = 'MEP_ELEC' THEN '2.71' WHEN category IN ('DOOR', 'WINDOW') THEN '2.8' WHEN category IN ('FLOOR_FINISH', 'WALL_FINISH', 'CEILING', 'SCREED', 'PAINT', 'SKIRTING') THEN '2.9'
+    WHEN category IN ('MEP_PROV', 'HOME_AUTOMATION') THEN '4.0' ELSE '1.0' END AS section FROM e),
+b AS (SELECT *, CASE how WHEN 'PROVISIONAL_SUM' THEN 2 WHEN 'LUMP_SUM' THEN 3 ELSE CASE WHEN done OR ok THEN 1 ELSE 4 END END AS bucket FROM h WHERE how <> 'PLACEHOLDER'),
+u AS (
+  SELECT project_id, section, bucket, category, coalesce(tag, chr(65535)) AS o1, item_id AS o2, item_id, CASE WHEN bucket = 4 THEN CASE WHEN warn = 'RATE_SLOT_MISSING' THEN '[RATE SLOT MISSING' || coalesce(' — add ' || suggested, '') ELSE '[RATE MISSING' || coalesce(' — populate ' || suggested, '') END || '] ' || description ELSE description END AS description,
+    unit, CAST(coalesce(qty, 0) AS DOUBLE) AS qty, CASE WHEN bucket = 1 AND rule_id IS NOT NULL THEN rule_rate END AS rate, CASE WHEN bucket = 1 AND rule_id IS NOT NULL THEN coalesce(qty, 0) * rule_rate END AS amount, CAST(NULL AS DOUBLE) AS ps_amount, bucket = 1 AND category = 'MEP_PROV' AS is_provisional,
+    CASE WHEN bucket = 1 THEN 'mep-rule:' || CASE WHEN rule_rate IS NOT NULL THEN rule_id END END AS rate_source, 1 AS n_items, CASE WHEN bucket = 4 THEN warn END AS warning FROM b WHERE bucket IN (1, 4)
+  UNION ALL SELECT project_id, section, bucket, category, '', NULL, NULL, CASE category WHEN 'MEP_HVAC' THEN 'HVAC' WHEN 'MEP_ELEC' THEN 'Electrical' WHEN 'JOINERY' THEN 'Joinery' WHEN 'SKIRTING' THEN 'Skirting' WHEN 'HOME_AUTOMATION' THEN 'Home automation' ELSE replace(category, '_', ' ') END || CASE bucket WHEN 2 THEN ' — provisional sum' ELSE ' — lump sum' END
+      || CASE WHEN category = 'MEP_HVAC' THEN ' (P/S 252,000 AED, contractor-typical allowance)' WHEN category = 'MEP_ELEC' THEN ' (P/S 190,000 AED, contractor-typical allowance)' WHEN bucket = 2 THEN ' (P/S, allowance to be confirmed)' ELSE ' (LS, supplier quote pending)' END
+      || '; rolled up from ' || count(*) || CASE WHEN count(*) = 1 THEN ' takeoff item' ELSE ' takeoff items' END, 'LS', 1, NULL, NULL, CASE category WHEN 'MEP_HVAC' THEN 252000 WHEN 'MEP_ELEC' THEN 190000 END, TRUE, NULL, count(*), NULL FROM b WHERE bucket IN (2, 3) GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT project_id, section, 5, NULL, '', sort_order, NULL, description, unit, qty, rate, amount, ps_amount, is_provisional, NULL, 1, NULL FROM hand_line)
+SELECT project_id, section, section || '/' || printf('%03d', row_number() OVER (PARTITION BY project_id, section ORDER BY bucket, CASE WHEN bucket = 5 THEN o2 END, category NULLS FIRST, o1, o2)) AS ref, bucket, category, item_id, description, unit, qty, rate, amount, ps_amount, is_provisional, rate_source, n_items, warning FROM u""",
+       ("drawn_item", "org_assembly", "slot_rate", "estimability_override", "hand_line"))
+def full_bill(v):
+    """A bill from items to numbered lines: classified against the rate library, routed, collapsed, with rates pending and what was typed by hand."""
+    assemblies = v("org_assembly").where("takeoff_category IS NOT NULL").select(F.col("takeoff_category").alias("category"))
+    served = v("project").where("project_id % 2 = 0").select("project_id")
+    return bill.generate(v("drawn_item"), v("slot_rate"), assemblies, v("estimability_override"), served, v("hand_line"))

@@ -104,6 +104,23 @@ VIEWS = {
             CASE p_partkey % 16 WHEN 0 THEN 'FLR-ST01' WHEN 1 THEN 'FLR-PR01' WHEN 2 THEN 'FLR-BATH' WHEN 3 THEN 'PAINT-INT' WHEN 4 THEN 'WALL-WOODPORC' WHEN 5 THEN 'CEIL-CL02' WHEN 6 THEN 'CEIL-CL03' WHEN 7 THEN 'STAIR-TREAD' WHEN 8 THEN 'THRESH'
               WHEN 9 THEN 'VANITY' WHEN 10 THEN 'KIT-BASE' WHEN 11 THEN 'KIT-WALL' WHEN 12 THEN 'SCREED-FLR' WHEN 13 THEN 'SKIRT-PR01' WHEN 14 THEN 'DOOR-1000x3000-FN01' ELSE 'DOOR-STD-LACQ' END AS code,
             CASE WHEN p_partkey % 16 IN (14, 15) THEN 'nr' WHEN p_partkey % 16 IN (7, 8, 10, 11, 13) THEN 'm' ELSE 'm2' END AS unit FROM {part}) t GROUP BY org_id, code, unit""",
+    "slot_rate": """
+        SELECT code, CAST(CASE WHEN MIN(p_partkey) % 3 = 0 THEN 0 ELSE ROUND(AVG(p_retailprice), 2) END AS DOUBLE) AS rate FROM (
+          SELECT p_partkey, p_retailprice, CASE p_partkey % 7 WHEN 0 THEN 'FF-ST01' WHEN 1 THEN 'FF-PR01' WHEN 2 THEN 'SKIRTING-LM' WHEN 3 THEN 'CL-CL02' WHEN 4 THEN 'SK-ST01' WHEN 5 THEN 'DOOR-1' ELSE 'FF-ST03' END AS code FROM {part}) t GROUP BY code""",
+    "drawn_item": """
+        SELECT project_id, project_id * 100 + item_no AS item_id, CASE WHEN category = 'SKIRTING' AND sheet_id % 5 = 0 THEN 'MEP_PROV' WHEN category = 'OTHER' AND sheet_id % 3 = 0 THEN 'MEP_ELEC' WHEN category = 'OTHER' AND sheet_id % 3 = 1 THEN 'HOME_AUTOMATION' ELSE category END AS category,
+          tag, description, unit, CASE WHEN sheet_id % 11 = 0 THEN NULL WHEN sheet_id % 13 = 0 THEN 0 ELSE COALESCE(qty_final, qty_ai) END AS qty, status, CASE WHEN part_id % 37 = 0 THEN 'LEGEND' END AS kind,
+          CASE WHEN category = 'DOOR' AND sheet_id % 2 = 0 THEN 'DOOR-1' END AS rate_code, CASE WHEN category = 'WALL_FINISH' THEN 'WALL-NEW' END AS rate_hint, finish_code AS floor_code, CASE sheet_id % 3 WHEN 0 THEN 'CL02' WHEN 1 THEN 'CL03' END AS ceiling_code,
+          CASE WHEN category = 'MEP_HVAC' AND sheet_id % 2 = 0 THEN CONCAT('r', CAST(part_id % 5 AS STRING)) END AS rule_id, CAST(CASE WHEN category = 'MEP_HVAC' THEN 40 + part_id % 9 END AS DOUBLE) AS rule_rate,
+          CAST(CASE WHEN category = 'MEP_HVAC' THEN confidence / 100.0 END AS DOUBLE) AS factor_confidence, CAST(CASE WHEN category = 'MEP_HVAC' AND part_id % 3 = 0 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS rate_confidence
+        FROM {takeoff}""",
+    "estimability_override": """
+        SELECT project_id, CASE WHEN project_id % 7 = 0 THEN 'MEP_HVAC' WHEN project_id % 5 = 0 THEN 'JOINERY' WHEN project_id % 11 = 0 THEN 'DOOR' ELSE 'PAINT' END AS category,
+          CASE WHEN project_id % 7 = 0 THEN 'PROVISIONAL' WHEN project_id % 5 = 0 THEN 'MEASURED' WHEN project_id % 11 = 0 THEN 'LUMP_SUM' ELSE 'PLACEHOLDER' END AS estimability FROM {project} WHERE project_id % 7 = 0 OR project_id % 5 = 0 OR project_id % 11 = 0 OR project_id % 13 = 0""",
+    "hand_line": """
+        SELECT project_id, CASE WHEN k = 1 THEN '2.9' ELSE '4.0' END AS section, k AS sort_order, CASE k WHEN 0 THEN 'Windows' WHEN 1 THEN 'Lighting' ELSE 'Facade' END AS description, 'LS' AS unit, CAST(1 AS DOUBLE) AS qty,
+          CAST(CASE WHEN k = 1 THEN 70 END AS DOUBLE) AS rate, CAST(CASE WHEN k = 1 THEN 70 END AS DOUBLE) AS amount, CAST(CASE WHEN k <> 1 THEN 100000 * (k + 1) END AS DOUBLE) AS ps_amount, k <> 1 AS is_provisional
+        FROM (SELECT project_id, CAST(project_id % 3 AS INT) AS k FROM {project} UNION ALL SELECT project_id, 2 AS k FROM {project} WHERE project_id % 4 = 0 AND project_id % 3 <> 2) t""",
     "legend_line": """
         SELECT project_id, item_no, CONCAT(CASE part_id % 7 WHEN 0 THEN 'GROUND FLOOR' WHEN 1 THEN '' WHEN 2 THEN 'Lobby, see A301      WHITE MARBLE' ELSE description END, CHR(10), CASE WHEN item_no % 3 = 0 THEN CHR(10) ELSE '' END, '            ',
           CASE finish_code WHEN 'BATHROOM' THEN 'Bathroom  finishes (As per drawings)' WHEN 'PR01' THEN 'I401      PR01 tile' ELSE COALESCE(finish_code, 'WD01-FN03') END,
