@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from planwright.functions import legend
+from planwright.functions import colours, legend
 from planwright.functions import strings as S
-from planwright.operators import layout, phrases
+from planwright.operators import layers, layout, phrases
 from planwright.plans.registry import query
+from planwright.session import work_dir
+from planwright.sources import text_sink
 
 
 def page_words(v):
@@ -92,3 +96,67 @@ def legend_rows(v):
 def document_legends(v):
     """The same over the lines of all documents; few of them have codes."""
     return legend.legend_rows(v("documents").select("doc_id", "text"), ["doc_id"])
+
+
+_PIXELS = """
+, c AS (SELECT vec_id, list_transform(range(1, 64), lambda i: CAST(least(greatest(floor((CAST(embedding[i] AS DOUBLE) + 0.3) * 425), 0), 255) AS BIGINT)) AS ch FROM embeddings),
+p AS (SELECT vec_id, k, ch[3 * k + 1] AS r, ch[3 * k + 2] AS g, ch[3 * k + 3] AS b FROM (SELECT vec_id, ch, unnest(range(21)) AS k FROM c)),
+l AS (SELECT *, (greatest(r, g, b) > 240 AND least(r, g, b) > 230) OR greatest(r, g, b) < 50 OR CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END < 0.08 AS line FROM p)"""
+
+
+def patches(v):
+    """Vectors as patches of 21 pixels: 63 components as channels."""
+    channel = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.3) * 425), F.lit(0)), F.lit(255)).cast("int")
+    at = lambda k, c: channel(F.get("embedding", 3 * k + c))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.struct(at(k, 0).alias("r"), at(k, 1).alias("g"), at(k, 2).alias("b")))
+    return v("embeddings").select("vec_id", pixels.alias("pixels"))
+
+
+@query("d24_modal_colours", "WITH " + _PIXELS.lstrip()[2:] + """,
+h AS (SELECT vec_id, r // 8 AS x, g // 8 AS y, b // 8 AS z, count(*) AS n, min(k) AS first, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb FROM l WHERE NOT line GROUP BY 1, 2, 3, 4),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, first) AS rn, sum(n) OVER (PARTITION BY vec_id) AS kept FROM h) WHERE rn = 1)
+SELECT vec_id, CAST(floor(sr / n + 0.5) AS INTEGER) AS r, CAST(floor(sg / n + 0.5) AS INTEGER) AS g, CAST(floor(sb / n + 0.5) AS INTEGER) AS b, round(CAST(kept AS DOUBLE) / 21, 6) AS coverage FROM m""")
+def modal_colours(v):
+    """The commonest colour of every patch that has one, and how much of the patch is filled."""
+    found = patches(v).select("vec_id", colours.modal_colour(F.col("pixels")).alias("m"), F.monotonically_increasing_id().alias("_row")).where(F.col("_row") >= 0).where(F.col("m").isNotNull())
+    return found.select("vec_id", "m.r", "m.g", "m.b", F.round("m.coverage", 6).alias("coverage"))
+
+
+@query("d25_hatched", "WITH " + _PIXELS.lstrip()[2:] + " SELECT vec_id, count(*) FILTER (line) / 21.0::DOUBLE > 0.4 AND count(*) FILTER (line) < 21 AS hatched FROM l GROUP BY 1")
+def hatched_patches(v):
+    return patches(v).select("vec_id", colours.hatched(F.col("pixels")).alias("hatched"))
+
+
+_LAYER = """CASE part_id % 9 WHEN 0 THEN 'A-AREA-ROOM' WHEN 1 THEN 'x-Area-Room' WHEN 2 THEN 'LAMI-A-AREA-IDEN' WHEN 3 THEN 'a-wall' WHEN 4 THEN 'A-DOOR-1' WHEN 5 THEN 'DOORS' WHEN 6 THEN 'GLAZING' WHEN 7 THEN 'WALL-DOOR' ELSE '0' END"""
+
+
+@query("f11_layer_roles", f"""
+, y AS (SELECT sheet_id AS drawing_id, {_LAYER} AS layer, count(*) AS entities, count(*) FILTER (category = 'ROOM') AS polys, count(*) FILTER (category IN ('PAINT', 'SCREED')) AS texts, count(*) FILTER (category IN ('DOOR', 'WINDOW')) AS inserts FROM takeoff GROUP BY 1, 2),
+s AS (
+  SELECT *, 'roomBounds' AS role, CASE WHEN upper(layer) IN ('A-AREA-ROOM', 'A-AREA', 'A-WALL', 'ROOMS', 'ROOM') THEN 100 WHEN contains(upper(layer), 'AREA-ROOM') THEN 90 WHEN contains(upper(layer), 'ROOM') THEN 80 WHEN contains(upper(layer), 'WALL') THEN 70 ELSE 0 END AS score FROM y WHERE polys > 0
+  UNION ALL SELECT *, 'roomLabels', CASE WHEN upper(layer) IN ('A-ANNO-ROOM', 'A-ANNO-NOTE', 'A-AREA-IDEN', 'ROOM-NAMES', 'TEXT-ROOMS') THEN 100 WHEN contains(upper(layer), 'AREA-IDEN') THEN 90 WHEN contains(upper(layer), 'IDEN') THEN 20 ELSE 0 END FROM y WHERE texts > 0
+  UNION ALL SELECT *, 'doors', CASE WHEN upper(layer) IN ('A-DOOR', 'A-DOOR-SYMB', 'DOORS') THEN 100 WHEN contains(upper(layer), 'DOOR') THEN 90 ELSE 0 END FROM y WHERE inserts > 0
+  UNION ALL SELECT *, 'windows', CASE WHEN contains(upper(layer), 'GLAZ') THEN 90 WHEN contains(upper(layer), 'WINDOW') THEN 80 ELSE 0 END FROM y WHERE inserts > 0
+  UNION ALL SELECT *, 'walls', CASE WHEN upper(layer) IN ('A-WALL', 'WALLS') THEN 100 WHEN contains(upper(layer), 'WALL') THEN 90 ELSE 0 END FROM y)
+SELECT drawing_id, role, CAST(place AS INTEGER) AS place, layer, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, role ORDER BY score DESC, entities DESC, layer) AS place FROM s WHERE score > 0) WHERE place <= 2""", ("takeoff",))
+def layer_roles(v):
+    """The two best layers of every sheet for each role."""
+    count = lambda *c: F.count_if(F.col("category").isin(*c))
+    made = v("takeoff").groupBy(F.col("sheet_id").alias("drawing_id"), F.expr(_LAYER).alias("layer")).agg(F.count(F.lit(1)).alias("entities"), count("ROOM").alias("closed_polylines"), count("PAINT", "SCREED").alias("texts"), count("DOOR", "WINDOW").alias("inserts"))
+    return layers.suggestions(made, 2)
+
+
+_DUMP = "concat_ws(' | ', category, coalesce(tag, '—'), description, unit, CAST(CAST(coalesce(qty_final, qty_ai) AS DECIMAL(14,2)) AS {0}))"
+
+
+@query("a13_text_dump", f"""
+, r AS (SELECT project_id, 0 AS block, 0 AS item_no, 'PROJECT ' || project_id || chr(10) || '\\' AS line FROM project UNION ALL SELECT project_id, 1, item_no, {_DUMP.format('VARCHAR')} FROM takeoff)
+SELECT row_number() OVER (ORDER BY project_id, block, item_no) - 1 AS place, line FROM r""", ("project", "takeoff"))
+def text_dump(v):
+    """A dump of all projects, each a head and its items, written as ordered text files and read back in order."""
+    heads = v("project").select("project_id", F.lit(0).alias("block"), F.lit(0).cast("long").alias("item_no"), F.concat(F.lit("PROJECT "), F.col("project_id").cast("string"), F.lit("\n\\")).alias("line"))
+    items = v("takeoff").select("project_id", F.lit(1).alias("block"), "item_no", F.expr(_DUMP.format("STRING")).alias("line"))
+    rows = heads.unionByName(items)
+    spark = rows.sparkSession
+    root = f"{work_dir(spark)}/dump-{uuid.uuid4().hex}"
+    return text_sink.read_lines(spark, text_sink.write_lines(rows, F.col("line"), [F.col(c) for c in ("project_id", "block", "item_no")], root, "dump", 20_000))
