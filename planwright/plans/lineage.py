@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from planwright.functions import evidence
 from planwright.functions.numbers import chain_confidence
 from planwright.operators import provenance
 from planwright.operators.quantify import ALLOWANCES
@@ -145,3 +146,20 @@ def audit_breakdown(v):
 SELECT split_part(r, ': ', 1) AS module, r[length(split_part(r, ': ', 1)) + 3 :] AS reason, count(*) AS n FROM (SELECT unnest(reasons) AS r FROM t) GROUP BY 1, 2 ORDER BY n DESC, module, reason LIMIT 15""", ("stored_line",))
 def audit_reasons(v):
     return provenance.top_reasons(audited(v))
+
+
+# The texts by hand, from the JSON of the kinds that stored lines have.
+_TEXT = """CASE json_extract_string(e, '$.kind') WHEN 'sheet' THEN 'sheet s1 p12 @[1,2]' WHEN 'takeoffItem' THEN 'takeoff ' || right(json_extract_string(e, '$.takeoffItemId'), 6) || ' (undefined)' WHEN 'document' THEN 'doc ' || json_extract_string(e, '$.filename') || ' p' || json_extract_string(e, '$.pageNo')
+  WHEN 'rateLibrary' THEN 'rate-lib:' || json_extract_string(e, '$.scope') || ':' || json_extract_string(e, '$.code') WHEN 'assembly' THEN 'assembly:' || json_extract_string(e, '$.assemblyId') WHEN 'user' THEN 'user:' || json_extract_string(e, '$.userId') || ' at ' || json_extract_string(e, '$.at')
+  WHEN 'mepRule' THEN 'mep-rule:' || json_extract_string(e, '$.ruleId') WHEN 'import' THEN 'import:' || json_extract_string(e, '$.importType') || ' from ' || json_extract_string(e, '$.sourceLabel') WHEN 'legacy' THEN 'legacy: ' || json_extract_string(e, '$.note') END"""
+
+
+@query("h16_evidence_texts", _STORED + f"""
+SELECT project_id, item_no, CASE WHEN len(list_filter(kinds, lambda k: k <> 'takeoffItem')) = 0 THEN array_to_string(list_transform(ev[1:1], lambda e: {_TEXT}), '') ELSE array_to_string(list_transform(list_filter(ev, lambda e: json_extract_string(e, '$.kind') <> 'takeoffItem'), lambda e: {_TEXT}), ' · ') END AS evidence,
+  CASE der WHEN 'formula' THEN coalesce(json_extract_string(j, '$.formula'), '(formula not recorded)') WHEN 'rule' THEN why || CASE WHEN rule <> '' THEN chr(10) || '  ' || rule ELSE '' END WHEN 'ai_reasoning' THEN why ELSE '' END AS detail FROM ok WHERE fits AND NOT (src = 'ESTIMATED' AND der = 'formula')""", ("stored_line",))
+def evidence_texts(v):
+    """Evidence and derivation of stored lines as an export shows them; lines without a valid payload have none."""
+    lines = v("stored_line").withColumn("_v", F.try_parse_json("provenance")).withColumn("p", provenance.parse_variant(F.col("_v")))
+    odd = (F.col("p.sourceType") == "ESTIMATED") & F.coalesce(F.col("p.derivationType") == "formula", F.lit(False))
+    texts = lines.select("project_id", "item_no", F.when(F.col("p").isNotNull(), evidence.summary(F.col("_v"))).alias("evidence"), evidence.detail(F.col("p")).alias("detail"), odd.alias("odd"), F.monotonically_increasing_id().alias("_row"))
+    return texts.where(F.col("_row") >= 0).where(F.col("evidence").isNotNull() & ~F.coalesce(F.col("odd"), F.lit(False))).select("project_id", "item_no", "evidence", "detail")

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from planwright.functions import colours, legend
+from planwright.functions import colours, legend, vision
 from planwright.functions import strings as S
-from planwright.operators import layers, layout, phrases
+from planwright.operators import layers, layout, phrases, pick
 from planwright.plans.registry import query
 from planwright.session import work_dir
 from planwright.sources import text_sink
@@ -160,3 +160,41 @@ def text_dump(v):
     spark = rows.sparkSession
     root = f"{work_dir(spark)}/dump-{uuid.uuid4().hex}"
     return text_sink.read_lines(spark, text_sink.write_lines(rows, F.col("line"), [F.col(c) for c in ("project_id", "block", "item_no")], root, "dump", 20_000))
+
+
+@query("e09_best_by_sheet", """
+, r AS (SELECT sheet_id, upper(trim(description)) AS name, project_id, item_no, (CASE WHEN part_id % 3 <> 0 THEN 2 ELSE 0 END) + (CASE WHEN finish_code IS NOT NULL THEN 1 ELSE 0 END) AS score FROM takeoff WHERE category = 'ROOM' AND trim(description) <> '')
+SELECT sheet_id, name, project_id, item_no, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, name ORDER BY score DESC, project_id, item_no) AS rn FROM r) WHERE rn = 1""", ("takeoff",))
+def best_by_sheet(v):
+    """Of the readings of a name on a sheet the one with most: an area counts two, a code one, the first of equal ones stays."""
+    area, code = F.when(F.col("part_id") % 3 != 0, F.col("qty_ai")), F.col("finish_code")
+    score = (F.when(area.isNotNull(), 2).otherwise(0) + F.when(code.isNotNull(), 1).otherwise(0)).alias("score")
+    rooms = v("takeoff").where("category = 'ROOM'").select("sheet_id", F.upper(F.trim("description")).alias("name"), "project_id", "item_no", score).where("name <> ''")
+    return pick.first_by(rooms, ["sheet_id", "name"], [F.desc("score"), F.col("project_id"), F.col("item_no")]).select("sheet_id", "name", "project_id", "item_no", "score")
+
+
+@query("h28_crop_windows", """
+, p AS (SELECT point_id, x + 600 AS x0, y + 400 AS y0, x + 640 AS x1, y + 410 AS y1, CASE WHEN point_id % 3 = 0 THEN NULL ELSE 50 + point_id % 100 END AS scale FROM point),
+m AS (SELECT *, greatest(coalesce(1500 / CAST(scale AS DOUBLE) / 25.4::DOUBLE * 150, 0), 300) AS g FROM p),
+s AS (SELECT *, greatest(x1 * 150 / 72 - x0 * 150 / 72 + 2 * g, 1200) AS w0, greatest(y1 * 150 / 72 - y0 * 150 / 72 + 2 * g, 1200) AS h0 FROM m),
+a AS (SELECT *, greatest((x0 * 150 / 72 + x1 * 150 / 72) / 2 - w0 / 2, 0) AS ax, greatest((y0 * 150 / 72 + y1 * 150 / 72) / 2 - h0 / 2, 0) AS ay FROM s),
+k AS (SELECT point_id, CAST(floor(ax + 0.5) AS BIGINT) AS kx, CAST(floor(ay + 0.5) AS BIGINT) AS ky, CAST(floor(CASE WHEN ax + w0 > 2480 THEN greatest(2480 - ax, 0) ELSE w0 END + 0.5) AS BIGINT) AS kw, CAST(floor(CASE WHEN ay + h0 > 1754 THEN greatest(1754 - ay, 0) ELSE h0 END + 0.5) AS BIGINT) AS kh FROM a)
+SELECT point_id, kx, ky, kw, kh, CASE WHEN kw < 1500 THEN CAST(floor(greatest(0, least(2480 - 1500, kx + kw / 2 - 750)) + 0.5) AS BIGINT) ELSE kx END AS bx, CASE WHEN kh < 1500 THEN CAST(floor(greatest(0, least(1754 - 1500, ky + kh / 2 - 750)) + 0.5) AS BIGINT) ELSE ky END AS by_,
+  CASE WHEN kw < 1500 THEN 1500 ELSE kw END AS bw, CASE WHEN kh < 1500 THEN 1500 ELSE kh END AS bh FROM k""", ("point",))
+def crop_windows(v):
+    """Windows around labels at 150 dots an inch on an A3 sheet, for kitchens and for bedrooms."""
+    box = F.struct((F.col("x") + 600).alias("x_min"), (F.col("y") + 400).alias("y_min"), (F.col("x") + 640).alias("x_max"), (F.col("y") + 410).alias("y_max"))
+    scale = F.when(F.col("point_id") % 3 != 0, 50 + F.col("point_id") % 100).cast("double")
+    window = lambda least: vision.crop(box, scale, F.lit(150), F.lit(2480), F.lit(1754), least)
+    rows = v("point").select("point_id", window(None).alias("k"), window(vision.BEDROOM_PX).alias("b"))
+    return rows.select("point_id", F.col("k.x").alias("kx"), F.col("k.y").alias("ky"), F.col("k.width").alias("kw"), F.col("k.height").alias("kh"), F.col("b.x").alias("bx"), F.col("b.y").alias("by_"), F.col("b.width").alias("bw"), F.col("b.height").alias("bh"))
+
+
+@query("h29_bounded_answers", """
+SELECT item_id, CASE WHEN tag IN ('I', 'L', 'U', 'OPEN-ISLAND') THEN tag ELSE 'OTHER' END AS layout, greatest(coalesce(CASE WHEN rule_rate IS NOT NULL THEN rule_rate - 44 END, 0), 0) AS base_lm,
+  CAST(least(60, greatest(0, floor(coalesce(factor_confidence * 100, 50) + 0.5))) AS INTEGER) AS kitchen, CAST(least(55, greatest(0, floor(coalesce(factor_confidence * 100, 40) + 0.5))) AS INTEGER) AS wardrobe FROM drawn_item""", ("drawn_item",))
+def bounded_answers(v):
+    """Answers of a reading put into bounds: lengths from 0, confidences up to 60 for kitchens and 55 for wardrobes, known layouts."""
+    sure = F.col("factor_confidence") * 100
+    return v("drawn_item").select(
+        "item_id", vision.layout(F.col("tag")).alias("layout"), vision.length(F.col("rule_rate") - 44).alias("base_lm"), vision.confidence(sure, vision.KITCHEN_CAP, 50).alias("kitchen"), vision.confidence(sure, vision.WARDROBE_CAP, 40).alias("wardrobe"))
