@@ -8,7 +8,7 @@ from statistics import median
 from planwright.session import build_session
 
 HEADLINE = ["a01_tenant_scan", "b10_material_finder", "e01_procurement", "e03_price_trend", "i12_cost_breakdown", "d09_cost_by_material", "d10_cost_by_category", "d12_project_totals", "f02_price_order", "h30_quotation"]
-EXTRA = ["d07_bill_totals", "c07_rate_waterfall", "d13_audit_breakdown", "l02_fair_claim", "i08_generate_bill", "i10_audit"]
+EXTRA = ["d07_bill_totals", "c07_rate_waterfall", "d13_audit_breakdown", "l02_fair_claim", "i08_generate_bill", "i10_audit", "c07_priced_bill", "i08_full_bill", "i10_line_audit"]
 
 
 def main() -> None:
