@@ -47,25 +47,32 @@ STEP_LIST = "array<struct<id:string,type:string,confidence:double,weight:double,
 _TYPED = f"struct<sourceType:string,derivationType:string,evidence:array<struct<kind:string>>,formula:string,ruleRef:string,reasoning:string,confidence:double,evidenceChain:{STEP_LIST},stampedBy:string>"
 
 
+#: Types of JSON numbers.
+_NUMBER = ["BIGINT", "DECIMAL", "DOUBLE"]
+
+
 def _type(v: Column, field: str) -> Column:
     """The JSON type of a field: null if absent, VOID for a null."""
     return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
 
 def _holds(v: Column, field: str, form: str) -> Column:
-    kind, optional, nullable = form.rstrip("?0"), "?" in form, form.endswith("0")
-    found = _type(v, field)
-    text, number = found == "STRING", found.rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    value = F.try_variant_get(v, f"$.{field}", "double")
-    fits = {
-        "text": text, "number": number, "whole": number & (value == F.floor(value)), "share": number & value.between(0, 1), "text or number": text | number,
-        "box": _all(F.try_variant_get(v, f"$.{field}", "variant"), BOX) if kind == "box" else None,
-        "evidence": evidence_fits(F.try_variant_get(v, f"$.{field}", "variant")) if kind == "evidence" else None,
-    }.get(kind)
-    if fits is None:
-        fits = text & F.try_variant_get(v, f"$.{field}", "string").isin(kind.split("|"))
+    """Whether a field has its form. Its type is looked up once, as a word that also says if it is absent."""
+    kind, gaps = form.rstrip("?0"), (["ABSENT"] if "?" in form else []) + (["VOID"] if form.endswith("0") else [])
+    found = F.coalesce(_type(v, field), F.lit("ABSENT"))
+    types = {"text": ["STRING"], "number": _NUMBER, "text or number": ["STRING", *_NUMBER]}
+    if kind in types:
+        return found.rlike(f"^({'|'.join([*types[kind], *gaps])})")
+    value = lambda of: F.try_variant_get(v, f"$.{field}", of)
+    if kind in ("whole", "share"):
+        bounded = value("double").between(0, 1) if kind == "share" else value("double") == F.floor(value("double"))
+        fits = found.rlike(f"^({'|'.join(_NUMBER)})") & bounded
+    elif kind in ("box", "evidence"):
+        fits = _all(value("variant"), BOX) if kind == "box" else evidence_fits(value("variant"))
+    else:
+        fits = (found == "STRING") & value("string").isin(kind.split("|"))
     fits = F.coalesce(fits, F.lit(False))
-    return F.when(found.isNull(), F.lit(optional)).when(found == "VOID", F.lit(nullable)).otherwise(fits)
+    return found.isin(*gaps) | fits if gaps else fits
 
 
 def _all(v: Column, form: dict[str, str]) -> Column:
@@ -82,9 +89,9 @@ def evidence_fits(v: Column) -> Column:
 
 def _each(v: Column, field: str, fits: Callable[[Column], Column], least: int = 0) -> Column:
     """Absent if `least` is 0, or a list of at least so many elements that all fit."""
-    found, listed = _type(v, field), F.try_variant_get(v, f"$.{field}", "array<variant>")
+    listed = F.try_variant_get(v, f"$.{field}", "array<variant>")
     whole = F.coalesce((F.size(listed) >= least) & F.forall(listed, lambda x: F.coalesce(fits(x), F.lit(False))), F.lit(False))
-    return F.when(found.isNull(), F.lit(least == 0)).otherwise(whole)
+    return whole if least else whole | _type(v, field).isNull()
 
 
 def step_fits(v: Column) -> Column:
