@@ -156,10 +156,9 @@ _TEXT = """CASE json_extract_string(e, '$.kind') WHEN 'sheet' THEN 'sheet s1 p12
 
 @query("h16_evidence_texts", _STORED + f"""
 SELECT project_id, item_no, CASE WHEN len(list_filter(kinds, lambda k: k <> 'takeoffItem')) = 0 THEN array_to_string(list_transform(ev[1:1], lambda e: {_TEXT}), '') ELSE array_to_string(list_transform(list_filter(ev, lambda e: json_extract_string(e, '$.kind') <> 'takeoffItem'), lambda e: {_TEXT}), ' · ') END AS evidence,
-  CASE der WHEN 'formula' THEN coalesce(json_extract_string(j, '$.formula'), '(formula not recorded)') WHEN 'rule' THEN why || CASE WHEN rule <> '' THEN chr(10) || '  ' || rule ELSE '' END WHEN 'ai_reasoning' THEN why ELSE '' END AS detail FROM ok WHERE fits AND NOT (src = 'ESTIMATED' AND der = 'formula')""", ("stored_line",))
+  CASE der WHEN 'formula' THEN coalesce(json_extract_string(j, '$.formula'), '(formula not recorded)') WHEN 'rule' THEN why || CASE WHEN rule <> '' THEN chr(10) || '  ' || rule ELSE '' END WHEN 'ai_reasoning' THEN why ELSE '' END AS detail FROM ok WHERE fits""", ("stored_line",))
 def evidence_texts(v):
     """Evidence and derivation of stored lines as an export shows them; lines without a valid payload have none."""
     lines = v("stored_line").withColumn("_v", F.try_parse_json("provenance")).withColumn("p", provenance.parse_variant(F.col("_v")))
-    odd = (F.col("p.sourceType") == "ESTIMATED") & F.coalesce(F.col("p.derivationType") == "formula", F.lit(False))
-    texts = lines.select("project_id", "item_no", F.when(F.col("p").isNotNull(), evidence.summary(F.col("_v"))).alias("evidence"), evidence.detail(F.col("p")).alias("detail"), odd.alias("odd"), F.monotonically_increasing_id().alias("_row"))
-    return texts.where(F.col("_row") >= 0).where(F.col("evidence").isNotNull() & ~F.coalesce(F.col("odd"), F.lit(False))).select("project_id", "item_no", "evidence", "detail")
+    texts = lines.select("project_id", "item_no", F.when(F.col("p").isNotNull(), evidence.summary(F.col("_v"))).alias("evidence"), evidence.detail(F.col("p")).alias("detail"), F.monotonically_increasing_id().alias("_row"))
+    return texts.where(F.col("_row") >= 0).where(F.col("evidence").isNotNull()).select("project_id", "item_no", "evidence", "detail")
