@@ -46,3 +46,29 @@ def project_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("project_id").agg(
         area("floor").alias("floor_area"), area("wall").alias("wall_area"), F.count_if(known).alias("assigned"),
         F.count_if(~known).alias("unassigned"), F.bool_and(known).alias("fully_assigned"))
+
+
+def project_measures(spaces: DataFrame, floor_rate: float = FLOOR_RATE, wall_rate: float = WALL_RATE) -> DataFrame:
+    """(project_id, n_spaces, floor_area, wall_area, ceiling_area, perimeter, floor_cost, wall_cost, total_cost): measures are summed first, so no rounding of a space adds up.
+
+    Measures that are null, negative or no number count as 0; sums are kept to four decimals, costs to two.
+    """
+    total = lambda c: F.round(F.sum(c), 4).alias(c)
+    sums = space_measures(spaces).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_spaces"), total("floor_area"), total("wall_area"), total("perimeter"))
+    floor, wall = F.col("floor_area") * floor_rate, F.col("wall_area") * wall_rate
+    return sums.select("project_id", "n_spaces", "floor_area", "wall_area", F.col("floor_area").alias("ceiling_area"), "perimeter",
+                       round2(floor).alias("floor_cost"), round2(wall).alias("wall_cost"), round2(floor + wall).alias("total_cost"))
+
+
+def grand_totals(lines: DataFrame) -> DataFrame:
+    """(project_id, lines_total, unassigned, unassigned_area, unassigned_amount, grand_total) of surface_lines().
+
+    Surfaces with a material count by the bill of their project and material, the others by default rates, each rounded.
+    A project with either has a row.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    free = lines.where(F.col("material_id").isNull()).groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("unassigned"), F.sum(F.col("area").cast("decimal(18,4)")).alias("unassigned_area"), F.sum(F.col("cost").cast("decimal(18,2)")).alias("unassigned_amount"))
+    billed = cost_by_material(lines).groupBy("project_id").agg(F.sum(F.col("cost").cast("decimal(18,2)")).alias("lines_total"))
+    whole = (F.coalesce("lines_total", F.lit(0)) + F.coalesce("unassigned_amount", F.lit(0))).cast("double").alias("grand_total")
+    return billed.join(free, "project_id", "full").select("project_id", number("lines_total"), F.coalesce("unassigned", F.lit(0)).alias("unassigned"), number("unassigned_area"), number("unassigned_amount"), whole)

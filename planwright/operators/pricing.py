@@ -27,6 +27,22 @@ def unit_costs(components: DataFrame, project_qty: float | None = None) -> DataF
     return components.groupBy("assembly_id").agg(F.sum(part.cast("decimal(28,12)")).cast("double").alias("unit_cost"))
 
 
+def cost_parts(components: DataFrame, project_qty: Column) -> DataFrame:
+    """`components` with label, contribution and tools_skipped: what each adds to one unit, by the rules of unit_costs().
+
+    `project_qty` is the quantity of the component's assembly in the project; where it is null or 0, tools add nothing and
+    tools_skipped says so. A null label is the kind; a null kind counts as tools.
+    """
+    number = lambda c, none=0.0: F.coalesce(F.col(c).cast("double"), F.lit(none))
+    spread = number("unit_price") / F.nullif(number("coverage", 1.0), F.lit(0.0)) * F.coalesce("coats", F.lit(1)) * (1 + number("wastage_pct") / 100)
+    tool = ~F.coalesce(F.col("kind").isin("MATERIAL", "LABOR"), F.lit(False))
+    tools = number("fixed_cost") / F.nullif(project_qty.cast("double"), F.lit(0.0))
+    part = F.when(F.col("kind") == "MATERIAL", spread).when(F.col("kind") == "LABOR", number("unit_price")).otherwise(tools)
+    return components.withColumns({
+        "label": F.coalesce("label", "kind"), "contribution": F.coalesce(part, F.lit(0.0)),
+        "tools_skipped": tool & (F.coalesce(project_qty.cast("double"), F.lit(0.0)) == 0)})
+
+
 def rate_waterfall(lines: DataFrame, assemblies: DataFrame, components: DataFrame, rates: DataFrame) -> DataFrame:
     """`lines` (with org_id, category, unit, finish_code, code, qty) and source, rate and amount.
 

@@ -43,6 +43,33 @@ def screed(rooms: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~none, quantity())), F.lit(0.0)).alias("area"), names(~none).alias("included"), names(none).alias("excluded"))
 
 
+#: Rooms that the note of a derived row names; fixed value.
+NAMED_ROOMS = 8
+
+
+def floor_groups(rooms: DataFrame) -> DataFrame:
+    """(project_id, finish, tag, area, n_rooms, basis, confidence, note): a derived row for each finish of a project's floors.
+
+    Area statements, staircases by the name before the dash and rooms without an area do not count; rooms without a finish
+    are one group, by parameter. The note names the first NAMED_ROOMS rooms by item_no, so no more names than that are
+    gathered; ties of item_no go by name. Sums are of four decimals; an empty table gives no rows.
+    """
+    name = F.trim(F.substring_index(F.coalesce("description", F.lit("")), "—", 1))
+    each = billable_rooms(rooms.withColumn("description", F.coalesce("description", F.lit("")))).select(
+        "project_id", "item_no", F.coalesce("finish_code", F.lit("unassigned")).alias("finish"), quantity().alias("q"), name.alias("name"))
+    each = each.where((F.col("q") > 0) & ~F.col("name").rlike(r"(?i)\bSTAIRCASE\b"))
+    # Sums combine before the shuffle; of the names only the first few of each group and task move.
+    sums = each.groupBy("project_id", "finish").agg(F.sum(F.col("q").cast("decimal(14,4)")).cast("double").alias("area"), F.count(F.lit(1)).alias("n_rooms"))
+    place = F.row_number().over(Window.partitionBy("project_id", "finish").orderBy("item_no", "name"))
+    first = each.select("project_id", "finish", "item_no", "name").withColumn("place", place).where(F.col("place") <= NAMED_ROOMS)
+    names = first.groupBy("project_id", "finish").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda r: r["name"]), ", ").alias("names"))
+    free = F.col("finish") == "unassigned"
+    more = F.when(F.col("n_rooms") > NAMED_ROOMS, F.concat(F.lit(", …(+"), (F.col("n_rooms") - NAMED_ROOMS).cast("string"), F.lit(")"))).otherwise("")
+    note = F.concat(F.lit("Σ floor area over "), F.col("n_rooms").cast("string"), F.when(F.col("n_rooms") == 1, " room").otherwise(" rooms"), F.lit(" with finish_code="), F.col("finish"), F.lit("; rooms: "), F.col("names"), more)
+    return sums.join(names, ["project_id", "finish"]).select(
+        "project_id", "finish", F.concat(F.lit("FF-"), "finish").alias("tag"), "area", "n_rooms", F.when(free, "PARAMETRIC").otherwise("DERIVED").alias("basis"), F.when(free, 50).otherwise(85).alias("confidence"), note.alias("note"))
+
+
 def ceilings(rooms: DataFrame) -> DataFrame:
     classed = billable_rooms(rooms).withColumn("ceiling", ceiling_class(F.col("description"), F.col("finish_code"))).where(F.col("ceiling").isNotNull() & (quantity() > 0))
     return classed.groupBy("project_id", "ceiling").agg(F.sum(quantity()).alias("area"), F.count(F.lit(1)).alias("n"))
