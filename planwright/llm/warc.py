@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Files are named by shard and sequence number and their bytes follow from the records alone: a shard is a range
-of page ids, records in it are sorted, each is a gzip member of its own without a time stamp, and a new
-file begins when the compressed size passes a limit. A task writes to a temporary name and renames; a repeated
+Files are named by shard and sequence number and their bytes follow from the records alone: a shard is a number
+of records in the order of page ids, each is a gzip member of its own without a time stamp, and a new file
+begins when the compressed size passes a limit. A task writes to a temporary name and renames; a repeated
 task renames the same bytes over them. The manifest is a Parquet table written last, and readers open only the
 files it lists, so what lost executors leave behind is never read. The folder is any that pyarrow.fs opens.
 """
@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planwright.session import bound_batches
+from planwright.session import bound_batches, discard, materialize
 
 ROLL_BYTES = 64 << 20
 ROWS_PER_SHARD = 2_000
+#: Ranges of ids that tasks write, at most: the driver holds the id at which each begins.
+MAX_REGIONS = 1 << 14
 #: Tasks that read archives back, at most; a number makes adaptive execution keep them apart.
 READ_TASKS = 10_000
 #: Smallest payload that later copies of it may refer to.
@@ -97,14 +99,46 @@ class _File:
         return self.name, self.shard, self.records, self.size, self.sha.hexdigest()
 
 
+def regions(ids: DataFrame, rows_per_shard: int) -> tuple[list[int], int]:
+    """(ids at which the second and later regions begin, the shards of a region): regions hold as many rows each, whatever the ids.
+
+    Bounds are the ids at exact ranks, so they follow from the ids alone and not from how they are dealt to tasks.
+    """
+    numbered = ids.repartitionByRange("page_id").sortWithinPartitions("page_id").select("page_id", F.monotonically_increasing_id().alias("at"))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    table = materialize(numbered, "warc-ids")
+    counts = table.groupBy(part.alias("part")).count().orderBy("part").collect()
+    n = sum(r["count"] for r in counts)
+    shards = -(-n // (rows_per_shard * MAX_REGIONS)) or 1
+    found = []
+    if n > shards * rows_per_shard:
+        first, before = [], 0
+        for r in counts:
+            first.append((r["part"], before))
+            before += r["count"]
+        known = F.broadcast(table.sparkSession.createDataFrame(first, "part bigint, first bigint"))
+        rank = F.col("first") + place
+        found = table.withColumn("part", part).join(known, "part").where((rank > 0) & (rank % (shards * rows_per_shard) == 0)).select("page_id").collect()
+    discard(table)
+    return sorted({r.page_id for r in found if r.page_id is not None}), shards
+
+
+def region_of(page_id: Column, bounds: list[int]) -> Column:
+    """The number of bounds that are not above the id, by halving; 0 for a null id."""
+    starts = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if len(bounds) < 2 else F.lit(bounds).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda a, p: F.when(F.get(starts, a + p - 1) <= page_id, a + p).otherwise(a)) if bounds else F.lit(0)
+
+
 def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Writes the archive files when evaluated; each row of the result is a manifest entry.
 
     Records with equal payloads of REVISIT_BYTES or more become revisits of the one with the largest page_id.
     Payloads move once: verdicts on them travel as narrow rows of their own to the same range partitions, where
-    they sort before the payload that they are about. Shards are ranges of ids of one width, which follows from
-    the smallest and largest id and the number of rows, so sparse ids make no more files than dense ones.
-    Defined results: a null html is an empty payload; null page ids sort first, in a shard of their own, and
+    they sort before the payload that they are about. A shard is `rows_per_shard` records, the last of a region fewer
+    (or more, where records of one id would be parted); a task writes a region of shards, so one far id or a dense
+    range of them makes no task longer.
+    Defined results: a null html is an empty payload; null page ids sort first, in one region, and
     revisit like the smallest id; a null url leaves its header out; rows that tie on the largest id are all
     responses; other columns are not read; an empty table writes no file.
     """
@@ -113,19 +147,21 @@ def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, ro
     bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, file, seq, verdict = [], None, 0, None
+        done, file, seq, verdict, region, n = [], None, 0, None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["payload"] is None:
                     verdict = row["page_id"], row["digest"], row["refers_to"]
                     continue
-                if file and (file.shard != row["shard"] or file.size >= roll_bytes):
-                    seq = seq + 1 if file.shard == row["shard"] else 0
+                region, n = row["region"], n + 1 if region == row["region"] else 0
+                shard = region * shards + min(n // rows_per_shard, shards - 1)
+                if file and (file.shard != shard or file.size >= roll_bytes):
+                    seq = seq + 1 if file.shard == shard else 0
                     done.append(file.commit())
                     file = None
                 elif file is None:
                     seq = 0
-                file = file or _File(folder, row["shard"], seq)
+                file = file or _File(folder, shard, seq)
                 refers_to = verdict[2] if verdict and verdict[:2] == (row["page_id"], row["digest"]) else None
                 file.write(record_bytes(row["page_id"], row["url"], row["payload"] if refers_to is None else None, row["payload_bytes"], row["digest"], refers_to))
         if file:
@@ -133,14 +169,12 @@ def write_shards(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, ro
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], ["file", "shard", "n_records", "n_bytes", "sha256"])
 
-    low, high, n = pages.agg(F.min(F.col("page_id").cast("bigint")), F.max(F.col("page_id").cast("bigint")), F.count(F.lit(1))).head()
-    width = 1 if low is None else -(-(high - low + 1) // -(-n // rows_per_shard))
-    shard = F.coalesce(F.floor((F.col("page_id").cast("decimal(20,0)") - (low or 0)) / width).cast("bigint") + 1, F.lit(0).cast("bigint"))
+    bounds, shards = regions(pages.select(F.col("page_id").cast("bigint").alias("page_id")), rows_per_shard)
     rows = digested(pages)
     none = lambda kind: F.lit(None).cast(kind)
     verdicts = revisits(rows).select("page_id", none("string").alias("url"), none("string").alias("payload"), none("bigint").alias("payload_bytes"), "digest", "refers_to")
-    both = rows.withColumn("refers_to", none("bigint")).unionByName(verdicts).withColumn("shard", shard)
-    ordered = both.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
+    both = rows.withColumn("refers_to", none("bigint")).unionByName(verdicts).withColumn("region", region_of(F.col("page_id"), bounds))
+    ordered = both.repartitionById(len(bounds) + 1, "region").sortWithinPartitions("region", "page_id", "digest", F.col("payload").isNotNull(), "url")
     return ordered.mapInArrow(run, MANIFEST)
 
 

@@ -52,3 +52,29 @@ def test_sparse_ids_make_few_files(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     manifest, got = archived(spark, [], tmp_path)
     assert manifest.count() == 0 and got == []
+
+
+def test_one_far_id_makes_no_long_shard(spark, tmp_path):
+    rows = [(k, "u", "a") for k in range(1000)] + [(2**62, "far", "b")]
+    manifest, got = archived(spark, rows, tmp_path, rows_per_shard=100)
+    sizes = sorted(r.n_records for r in manifest.collect())
+    assert sizes == [1] + [100] * 10 and len(got) == 1001
+
+
+def test_files_follow_from_the_records(spark, tmp_path):
+    rows = [(k % 150, f"u{k}", f"text {k % 7}" * (k % 90)) for k in range(400)] + [(None, "n", "x")] * 130
+    found = []
+    for parts in (1, 7):
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
+        manifest = warc.write_shards(pages, f"file://{tmp_path}/w{parts}", rows_per_shard=50)
+        found.append(sorted(tuple(r) for r in manifest.collect()))
+    assert found[0] == found[1] and sum(r[2] for r in found[0]) == 530
+
+
+def test_regions_hold_more_shards_where_there_are_too_many(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_REGIONS", 3)
+    bounds, shards = warc.regions(spark.range(0, 200, 2).withColumnRenamed("id", "page_id").repartition(5), 10)
+    assert (bounds, shards) == ([80, 160], 4)
+    ids = spark.createDataFrame([(None,), (-5,), (79,), (80,), (159,), (160,), (2**62,)], "page_id bigint")
+    out = {r[0]: r[1] for r in ids.select("page_id", warc.region_of(ids.page_id, bounds)).collect()}
+    assert out == {None: 0, -5: 0, 79: 0, 80: 1, 159: 1, 160: 2, 2**62: 2}
