@@ -65,49 +65,54 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", count_copies: bool = False) -> DataFrame:
     """(host, h1, h2): lines that too many documents of a host hold.
 
-    Documents with the same lines in the same order count once: copies of one text are no sign of boilerplate, and
-    what to do with them is for deduplication to say. All others count, whatever lines they share. Each document sends each of its lines once, as two
-    64-bit hashes, and both aggregations combine on the map side, so a line that a third of the documents
-    hold moves as one row per task and counted document.
+    Documents with the same lines in the same order count once, as holders of a line and among the host's documents
+    alike: copies of one text are no sign of boilerplate, and what to do with them is for deduplication to say. With
+    count_copies each doc_id counts. All others count, whatever lines they share. Each document sends each of its lines
+    once, as two 64-bit hashes, and a mark that stands for itself; both aggregations combine on the map side, so a line
+    that a third of the documents hold moves as one row per task and counted document.
     """
     keys = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_key), lambda x: x != "")
     hashed = F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
-    each = docs.select(F.col(host).alias("host"), F.xxhash64(keys).alias("doc"), F.array_distinct(hashed).alias("l"))
-    sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    lines = each.select("host", "doc", F.explode("l").alias("l")).select("host", "doc", "l.h1", "l.h2").distinct()
-    counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LINE_DOCS)
-    sizes = sizes.select(F.col("host").alias("size_host"), "n_docs")
-    over = counts.join(sizes, F.col("host").eqNullSafe(F.col("size_host"))).where(F.col("n") > LINE_SHARE * F.col("n_docs"))
+    doc = F.xxhash64("doc_id", keys) if count_copies else F.xxhash64(keys)
+    mark = F.array(F.struct(F.lit(None).cast("bigint").alias("h1"), F.lit(None).cast("bigint").alias("h2")))
+    each = docs.select(F.col(host).alias("host"), doc.alias("doc"), F.explode(F.concat(mark, F.array_distinct(hashed))).alias("l"))
+    lines = each.select("host", "doc", "l.h1", "l.h2").distinct()
+    # The mark is told by an aggregate, so that both uses of these counts read one shuffle.
+    counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("h1").isNull()).alias("is_mark"))
+    sizes = counts.where("is_mark").select(F.col("host").alias("size_host"), F.col("n").alias("n_docs"))
+    often = counts.where(~F.col("is_mark") & (F.col("n") > LINE_DOCS))
+    over = often.join(sizes, F.col("host").eqNullSafe(F.col("size_host"))).where(F.col("n") > LINE_SHARE * F.col("n_docs"))
     return over.select("host", "h1", "h2")
 
 
-def line_removals(docs: DataFrame, host: str = "source") -> DataFrame:
+def line_removals(docs: DataFrame, host: str = "source", count_copies: bool = False) -> DataFrame:
     """(doc_id, fp, removed): the 0-based numbers of lines above the limits, for documents that have any."""
     lines = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), F.col(host).alias("host"),
                         F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_key)).alias("pos", "key"))
     lines = lines.where(F.col("key") != "").select("doc_id", "fp", "host", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    over = frequent_lines(docs, host).select(F.col("host").alias("over_host"), F.col("h1").alias("o1"), F.col("h2").alias("o2"))
+    over = frequent_lines(docs, host, count_copies).select(F.col("host").alias("over_host"), F.col("h1").alias("o1"), F.col("h2").alias("o2"))
     bad = lines.join(over, F.col("host").eqNullSafe(F.col("over_host")) & (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left_semi")
     return bad.groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("removed"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", keep_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", keep_text: bool = False, count_copies: bool = False) -> DataFrame:
     """A row per row of `docs`: figures of its text and whether it is kept.
 
     Columns: those of `docs` if keep_text (`text` then lacks the removed lines and n_chars follows), else
     doc_id; and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines,
     n_left_words, kept. Columns of `docs` named like one of these are replaced. Defined results: a null text
     has no words and fails; a null host is a host of its own; repeated rows each get the result of their text
-    (removals are those of the hosts of all rows with that id and text); an empty table gives no rows.
+    (removals are those of the hosts of all rows with that id and text); an empty table gives no rows. count_copies
+    says whether copies of one text in a host count as often as they occur, or once: see frequent_lines().
     """
     extra = ["lang", "source", "n_chars"]
     names = docs.columns if keep_text else list(dict.fromkeys(["doc_id", "text"] + [c for c in docs.columns if c in extra or c == host]))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_left_words", "kept"]
     docs = docs.select(*[c for c in names if c not in new])
-    gone = line_removals(docs, host).select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp"), "removed")
+    gone = line_removals(docs, host, count_copies).select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp"), "removed")
     body = docs if keep_text else docs.select("doc_id", "text")
     rules = text_rules(body).withColumn("_fp", fingerprint(F.col("text")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")

@@ -38,7 +38,7 @@ ln AS (SELECT rid, source, unnest(ls) l, unnest(range(len(ls))) pos FROM w),
 k AS (SELECT *, {_LOWER.format(f"trim(l, {_SPACE})")} AS key, len(regexp_extract_all(l, '{_SPACED}')) nw FROM ln),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) n FROM k WHERE nw > 0 GROUP BY 1),
 same AS (SELECT rid, md5(string_agg(key, chr(10) ORDER BY pos)) doc FROM k WHERE key <> '' GROUP BY 1),
-host AS (SELECT source, count(*) n_docs FROM w GROUP BY 1),
+host AS (SELECT source, count(DISTINCT coalesce(doc, '')) n_docs FROM w LEFT JOIN same USING (rid) GROUP BY 1),
 freq AS (SELECT k.source, key, count(DISTINCT doc) n FROM k JOIN same USING (rid) WHERE key <> '' GROUP BY 1, 2),
 bad AS (SELECT freq.source, key FROM freq JOIN host ON freq.source IS NOT DISTINCT FROM host.source
   WHERE n > {quality.LINE_DOCS} AND n > {quality.LINE_SHARE} * n_docs),

@@ -70,6 +70,25 @@ def test_frequent_longest_line(spark):
     assert not any(out[100 + k].kept for k in range(40)) and all(out[200 + k].kept and out[200 + k].n_removed_lines == 0 for k in range(40))
 
 
+def test_copies_count_if_asked(spark):
+    """300 documents of a host, 15 texts: a shared line goes if copies count, and stays if each text counts once."""
+    body = lambda k: " ".join(f"w{k}_{j}" for j in range(20))
+    rows = [(k, f"sign up here\n{body(k % 15)}", "h") for k in range(300)] + [(1000, None, "h"), (1001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    found = lambda **more: quality.quality_rules(docs, **more).agg(F.sum("n_removed_lines")).head()[0]
+    assert found() == 0
+    assert found(count_copies=True) == 300
+
+
+def test_share_is_of_counted_texts(spark, monkeypatch):
+    """Copies are in neither side of the share: a line of 30 of 60 texts goes, however many copies there are."""
+    monkeypatch.setattr(quality, "LINE_SHARE", 0.4)
+    body = lambda k: " ".join(f"w{k}_{j}" for j in range(20))
+    rows = [(k, ("sign up here\n" if k < 30 else "") + body(k), "h") for k in range(60)] + [(100 + k, body(59), "h") for k in range(200)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    assert out.agg(F.sum("n_removed_lines")).head()[0] == 30
+
+
 def test_line_dedup(docs):
     out = line_dedup.dedup_lines(docs).withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256))
     same(out, *duck_rows(sql.OP4, docs))
