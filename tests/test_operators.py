@@ -1,5 +1,7 @@
 """Nulls, ties, repeated rows and empty tables in joins, merges and pairing."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from planwright.operators import reconcile, spatial
@@ -36,3 +38,25 @@ def test_nearest_across_cells_and_ties(spark):
     got = {r.point_id: r.label_id for r in spatial.nearest_within(points, labels, 10.0).collect()}
     assert got == {1: 7, 2: 9, 3: None, 4: None}
     assert spatial.nearest_within(points.limit(0), labels, 10.0).isEmpty()
+
+
+def test_names_taken_once_in_few_rounds(spark, monkeypatch):
+    """The choice is that of a plain loop over the ids, dense or sparse, and rounds stay few where many points want the same names."""
+    rng = random.Random(5)
+    place = lambda: (rng.gauss(0, 60), rng.gauss(0, 60))
+    rows = [(page, k, *place()) for page, n in ((1, 1200), (2, 40)) for k in range(n)]
+    rows += [(3, k, 7.0, 7.0 + k % 2) for k in range(6)] + [(None, 1, 0.0, 0.0), (4, 2, None, 0.0), (4, 3, 5.0, 5.0), (4, 4, 65.0, 5.0)]
+    points, names = [[r for r in rows if (r[1] % 3 == 0) == own] for own in (True, False)]
+    want, taken = set(), set()
+    for page, k, x, y in sorted((r for r in points if None not in r), key=lambda r: r[:2]):
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, m) for p, m, a, b in names if p == page and None not in (a, b) and (p, m) not in taken)
+        if near and near[0][0] <= 3600:
+            taken.add((page, near[0][1]))
+            want.add((page, k, near[0][1], round(near[0][0] ** 0.5, 6)))
+    made, write = [], spatial.materialize
+    monkeypatch.setattr(spatial, "materialize", lambda df, tag: made.append(tag) or write(df, tag))
+    schema = "page int, point_id bigint, x double, y double"
+    got = spatial.one_to_one(spark.createDataFrame(points, schema), spark.createDataFrame(names, schema), 60.0).collect()
+    assert len(got) == len(want) and {(r.page, r.point_id, r.label_id, round(r.distance, 6)) for r in got} == want
+    assert len(made) < 70, len(made)
+    assert spatial.one_to_one(spark.createDataFrame([], schema), spark.createDataFrame(names, schema), 60.0).isEmpty()
