@@ -2,8 +2,8 @@
 
 A measure is a row (name, source, value, how): `source` and `value` are SQL over an item's columns, `how` is sum, count
 or distinct. A rule is a row (rule_id, measure, factor, category, tag, unit, code, description, reasoning, needs). A new
-rule is a new row; a new measure becomes one more aggregate of the same pass. Rules may be as many as they like, as
-they are joined to the few measures of each project.
+rule is a new row; a new measure becomes one more aggregate of the same pass. Rules are sent to all tasks, so that projects
+are not gathered by their few measures.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def run_rules(items: DataFrame, rules: DataFrame, measures: list[Measure] | None
     measures = MEASURES if measures is None else measures
     taken = measured(items, measures)
     needed = taken.where("n > 0").select(F.col("project_id").alias("_p"), F.col("measure").alias("_needs"))
-    out = taken.join(rules, "measure").withColumn("raw", F.col("amount") * F.coalesce("factor", F.lit(1.0))).where("raw > 0")
+    out = taken.join(F.broadcast(rules), "measure").withColumn("raw", F.col("amount") * F.coalesce("factor", F.lit(1.0))).where("raw > 0")
     out = out.join(needed, F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("needs") == F.col("_needs")), "left").where(F.col("needs").isNull() | F.col("_needs").isNotNull())
     whole = F.col("unit").isin("No", "pt", "LS")
     qty = F.when(whole, F.greatest(F.lit(1.0), F.floor(F.col("raw") + 0.5).cast("double"))).otherwise(F.col("raw"))

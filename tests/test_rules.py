@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from planwright.operators import edits, rate_codes
+from planwright.operators import edits, rate_codes, rules
 
 
 def one(spark, schema, rows, column):
@@ -65,3 +65,11 @@ def test_spaces_and_versions(spark):
     new = spark.createDataFrame([(1, 6, "b"), (2, 1, "first")], "project_id int, item_no int, line string")
     out = sorted((r.project_id, r.line, r.carried, r.version) for r in edits.next_version(new, old).collect())
     assert out == [(1, "b", False, 3), (1, "by hand", True, 3), (2, "first", False, 1)]
+
+
+def test_projects_are_not_gathered_by_measure(spark):
+    """Rules go to the projects: no shuffle deals rows by the few names of measures."""
+    items = spark.range(50).selectExpr("id % 7 AS project_id", "'DOOR' AS category", "'x' AS description", "900.0 AS width_mm", "2000.0 AS height_mm", "2 AS door_count", "'ST01' AS finish_code", "1.0 AS qty_final", "1.0 AS qty_ai")
+    out = rules.run_rules(items, rules.registry(items.sparkSession))
+    assert "hashpartitioning(measure" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 14
