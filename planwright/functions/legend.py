@@ -5,6 +5,7 @@ A line glues columns of the page together with runs of six or more blanks; what
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,22 +45,28 @@ def segment_of(line: Column, code: Column) -> Column:
     return F.coalesce(F.get(F.filter(segments(line), lambda s: s.contains(code)), F.lit(0)), _trim(line))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once for all its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def description(line: Column, code: Column) -> Column:
     """What stands behind the code in its column and in the columns to its right that describe and are no codes; null if nothing does."""
-    parts = segments(line)
-    at = F.array_position(F.transform(parts, lambda s: s.contains(code)), True)
-    own = F.get(parts, at - 1)
-    inline = _trim(F.substring(own, F.instr(own, code) + F.length(code), F.length(own)))
-    rest = F.filter(F.slice(parts, at + 1, F.size(parts)), lambda s: ~s.rlike(STRICT) & describes(s))
-    joined = F.array_join(F.filter(F.array(F.when(describes(inline), inline).otherwise(""), F.array_join(rest, " ")), lambda s: s != ""), " ")
-    return F.when((at > 0) & (joined != ""), joined)
+
+    def of(parts: Column, at: Column) -> Column:
+        inline = _once(F.get(parts, at - 1), lambda own: _trim(F.substring(own, F.instr(own, code) + F.length(code), F.length(own))))
+        rest = F.filter(F.slice(parts, at + 1, F.size(parts)), lambda s: ~s.rlike(STRICT) & describes(s))
+        inline = _once(inline, lambda x: F.when(describes(x), x).otherwise(""))
+        joined = F.array_join(F.filter(F.array(inline, F.array_join(rest, " ")), lambda s: s != ""), " ")
+        return F.when(at > 0, F.nullif(joined, F.lit("")))
+
+    return _once(segments(line), lambda parts: _once(F.array_position(F.transform(parts, lambda s: s.contains(code)), True), lambda at: of(parts, at)))
 
 
 def names(segment: Column) -> Column:
     """Mostly capitals, three letters at least."""
-    letters = F.regexp_replace(segment, "[^A-Za-z]", "")
-    capitals = F.length(F.regexp_replace(letters, "[^A-Z]", ""))
-    return (F.length(letters) >= 3) & (capitals / F.length(letters) >= 0.7)
+    share = lambda letters: (F.length(letters) >= 3) & (F.length(F.regexp_replace(letters, "[^A-Z]", "")) / F.length(letters) >= 0.7)
+    return _once(F.regexp_replace(segment, "[^A-Za-z]", ""), share)
 
 
 def details(segment: Column) -> Column:
@@ -73,15 +80,18 @@ def legend_rows(sheets: DataFrame, keys: list[str]) -> DataFrame:
     sheet to the extent that the first line of a code, then the smallest text of it, counts. Lines of one sheet are
     read as an array; only lines with a code are moved.
     """
-    lines = neighbours(F.split("text", r"\r?\n"))
-    lined = sheets.select(*keys, F.explode(F.filter(lines, lambda x: x["line"].rlike(CODE) | x["line"].rlike(SENTINEL))).alias("l"))
+    split = sheets.select(*keys, F.split("text", r"\r?\n").alias("_lines"))
+    # Plain explode() would have its input filtered first, with the arrays worked out once more for it.
+    coded = neighbours(F.col("_lines"), kept=lambda x: x.rlike(CODE) | x.rlike(SENTINEL))
+    lined = split.select(*keys, F.explode_outer(coded).alias("l")).where(F.col("l").isNotNull())
     codes = F.filter(F.regexp_extract_all("l.line", F.lit(CODE), F.lit(1)), lambda c: ~c.isin(NOISE))
     # The note comes before the codes of its line.
     found = F.concat(F.when(F.col("l.line").rlike(SENTINEL), F.array(F.lit(SENTINEL_ROW[0]))).otherwise(F.array().cast("array<string>")), codes)
-    placed = lined.select(*keys, "l", F.posexplode(found).alias("place", "code"))
+    placed = lined.select(*keys, "l", F.posexplode_outer(found).alias("place", "code")).where(F.col("code").isNotNull())
     first = placed.groupBy(*keys, "code").agg(F.min(F.struct(F.col("l.line_no").alias("no"), "place", F.col("l.line").alias("line"), F.col("l.previous").alias("previous"), F.col("l.next").alias("next"))).alias("f"))
-    code, above, below = F.col("code"), segment_of(F.col("f.previous"), F.col("code")), segment_of(F.col("f.next"), F.col("code"))
+    read = first.select(*keys, "code", "f", segment_of(F.col("f.previous"), F.col("code")).alias("_above"), segment_of(F.col("f.next"), F.col("code")).alias("_below"))
+    code, above, below = F.col("code"), F.col("_above"), F.col("_below")
     note = code == SENTINEL_ROW[0]
-    return first.select(
+    return read.select(
         *keys, "code", F.when(note, SENTINEL_ROW[1]).when(names(above) & describes(above), above).alias("name"), F.when(note, SENTINEL_ROW[2]).otherwise(description(F.col("f.line"), code)).alias("description"),
         F.when(~note & details(below), below).alias("detail"), (F.col("f.no") + 1).alias("line_no"))

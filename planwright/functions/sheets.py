@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,16 +79,22 @@ def schedule_row(line: Column, tag: Column, kind: str) -> Column:
     return F.when(rest.rlike(WINDOW_ROW), triple(F.when(_is_count(at(2)), at(2)), _mm(at(0)), _mm(at(1)))).otherwise(triple(none, none, none))
 
 
-def neighbours(lines: Column, reach: int = 4) -> Column:
-    """For each line of an array, struct(line_no, line, previous, next): the nearest lines that are not blank, `reach` lines away at most."""
+def neighbours(lines: Column, reach: int = 4, kept: Callable[[Column], Column] | None = None) -> Column:
+    """For each line of an array, struct(line_no, line, previous, next): the nearest lines that are not blank, `reach` lines away at most.
+
+    `kept` says which lines are wanted. `lines` should be a column, as an expression would be worked out again for every line.
+    """
     filled = lambda part: F.filter(part, lambda x: x.rlike(r"\S"))
 
     def around(x: Column, i: Column) -> Column:
         before = filled(F.slice(lines, F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach))))
         after = filled(F.slice(lines, i + 2, F.lit(reach)))
-        return F.struct(i.cast("long").alias("line_no"), x.alias("line"), F.get(before, F.size(before) - 1).alias("previous"), F.get(after, F.lit(0)).alias("next"))
+        return F.struct(i.cast("long").alias("line_no"), x.alias("line"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), before), -1).alias("previous"), F.get(after, F.lit(0)).alias("next"))
 
-    return F.transform(lines, around)
+    if kept is None:
+        return F.transform(lines, around)
+    placed = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    return F.transform(F.filter(placed, lambda p: kept(p["x"])), lambda p: around(p["x"], p["i"]))
 
 
 def separated_number(text: Column) -> Column:

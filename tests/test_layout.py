@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,12 @@ def test_legends(spark):
     assert got[6, "ST01"] == (None, None, None, 1)
     assert got[7, "PR01"] == (None, "tile WD01 matt", "PR01 2 x 2", 2) and got[7, "ST01"] == (None, "WD01 matt", "size      PR01 2 x 2", 2)
     assert not [k for k in got if k[0] in (3, 4, 5)] and got[8, "ST09"] == (None, None, None, 5)
+
+
+def test_legend_of_a_long_text(spark):
+    """The work follows the lines of a text: before, each line had the whole text divided once more."""
+    lines = [f"            ST{k % 90 + 10}          plain {k}" if k % 40 == 0 else f"line {k} of a long text" for k in range(30_000)]
+    began = time.time()
+    got = legend.legend_rows(spark.createDataFrame([(1, "\n".join(lines))], "id int, text string"), ["id"]).collect()
+    assert {r.code: (r.description, r.line_no) for r in got} == {f"ST{k % 90 + 10}": (f"plain {k}", k + 1) for k in range(29_960, -1, -40)}
+    assert time.time() - began < 20
