@@ -13,10 +13,12 @@ MOST_WORDS = 4
 
 def windows(texts: DataFrame, keys: list[str], most: int = MOST_WORDS) -> DataFrame:
     """(keys, start, n, phrase): all runs of 1 to `most` of the words of each row's array `words`; start counts from 0."""
-    size = F.size("words")
-    at = lambda i, n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), size - i)), lambda n: at(i, n))))
-    return texts.where(size > 0).select(*keys, F.explode(runs).alias("w")).select(*keys, "w.*")
+    # Plain explode() would have its input filtered first, with all that the arrays are made from worked out once more for it.
+    runs = F.transform("words", lambda _, i: F.slice("words", i + 1, most))
+    placed = texts.select(*keys, F.posexplode_outer(runs).alias("start", "run")).where(F.col("start").isNotNull())
+    phrase = lambda n: F.when(F.size("run") >= n, F.array_join(F.slice("run", 1, n), " "))
+    each = placed.select(*keys, "start", F.posexplode_outer(F.array(*[phrase(n) for n in range(1, most + 1)])).alias("n", "phrase")).where(F.col("phrase").isNotNull())
+    return each.select(*keys, "start", (F.col("n") + 1).alias("n"), "phrase")
 
 
 def longest(found: DataFrame, keys: list[str]) -> DataFrame:

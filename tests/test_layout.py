@@ -181,3 +181,12 @@ def test_legend_of_a_long_text(spark):
     got = legend.legend_rows(spark.createDataFrame([(1, "\n".join(lines))], "id int, text string"), ["id"]).collect()
     assert {r.code: (r.description, r.line_no) for r in got} == {f"ST{k % 90 + 10}": (f"plain {k}", k + 1) for k in range(29_960, -1, -40)}
     assert time.time() - began < 20
+
+
+def test_runs_are_made_once(spark):
+    """The runs of a text are not worked out again to filter the texts, and empty texts have none."""
+    texts = spark.createDataFrame([(1, "a b  c"), (2, ""), (3, None)], "id int, text string").select("id", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
+    out = phrases.windows(texts, ["id"], 2)
+    assert sorted((r.id, r.start, r.n, r.phrase) for r in out.collect()) == [(1, 0, 1, "a"), (1, 0, 2, "a b"), (1, 1, 1, "b"), (1, 1, 2, "b c"), (1, 2, 1, "c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan
