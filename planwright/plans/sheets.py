@@ -39,8 +39,9 @@ SELECT doc_id, i AS line_no, list_filter(l[greatest(i - 3, 1):i], lambda x: rege
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE regexp_matches(l[i + 1], '[0-9]')""")
 def line_neighbours(v):
     """The filled lines before and after each line with a digit; lines are looked up in their text's own array, without a shuffle."""
-    found = F.filter(T.neighbours(F.split("text", "\n")), lambda r: r["line"].rlike("[0-9]"))
-    return v("documents").where("text IS NOT NULL").select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.line_no", "r.previous", "r.next")
+    lines = v("documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("_lines"))
+    found = T.neighbours(F.col("_lines"), kept=lambda x: x.rlike("[0-9]"))
+    return lines.select("doc_id", F.explode_outer(found).alias("r")).where(F.col("r").isNotNull()).select("doc_id", "r.line_no", "r.previous", "r.next")
 
 
 @query("e15_declared_areas", """
