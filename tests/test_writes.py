@@ -160,3 +160,19 @@ def test_children_of_some_parents_are_replaced(spark, root):
     done = writes.replace_children(spark, root, "t", "parent", parents, new, "r")
     got = sorted(((r.parent or 0), r.child) for r in S.read(spark, done, "t").collect())
     assert got == [(0, "n"), (1, "z"), (2, "a"), (2, "b"), (3, "a"), (3, "b")]
+
+
+def test_chunks_work_their_rows_out_once(spark, tmp_path):
+    """Four commits read the rows that were made once, and a job that is in already makes none."""
+    made = spark.sparkContext.accumulator(0)
+
+    def row(k):
+        made.add(1)
+        return (k, k * 2)
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(range(60), 2).map(row), "id bigint, twice bigint")
+    root = f"file://{tmp_path}/chunks"
+    done = S.commit_in_chunks(spark, root, "line", rows, "id", 8, 4, "job")
+    assert sorted(map(tuple, S.read(spark, done, "line").collect())) == [(k, 2 * k) for k in range(60)]
+    again = S.commit_in_chunks(spark, root, "line", rows, "id", 8, 4, "job")
+    assert made.value == 60 and again.version == done.version == 4
