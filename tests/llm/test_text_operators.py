@@ -89,6 +89,15 @@ def test_share_is_of_counted_texts(spark, monkeypatch):
     assert out.agg(F.sum("n_removed_lines")).head()[0] == 30
 
 
+@pytest.mark.parametrize("name", ["frequent_lines", "line_removals"])
+def test_texts_are_not_carried_along_lines(docs, name):
+    """What is a document's own is made once, not for each of its lines: no text passes an explode()."""
+    plan = getattr(quality, name)(docs.select("doc_id", "text", "source"))._jdf.queryExecution().optimizedPlan()
+    nodes = plan.toString().splitlines()
+    above = [x for k, node in enumerate(nodes) if "Generate " in node for x in nodes[max(0, k - 2):k]]
+    assert above and not any(re.search(r"\btext#|split\(", x) for x in above)
+
+
 def test_line_dedup(docs):
     out = line_dedup.dedup_lines(docs).withColumn("kept_sha256", F.sha2(F.encode("kept_text", "UTF-8"), 256))
     same(out, *duck_rows(sql.OP4, docs))
