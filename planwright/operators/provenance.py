@@ -1,17 +1,22 @@
 """Where a bill line's number comes from: the payload is built per basis, parsed back strictly, and audited per axis.
 
-Payloads are JSON text. A payload is read as VARIANT and checked field by field against the forms below; one that does
-not fit is null as a whole, while steps of a chain that an item carries are dropped one by one. All of it is column
-expressions: a line is judged where it stands, without a shuffle.
+Payloads are JSON text. A payload is parsed once, in Arrow batches, and checked field by field against the forms below; one
+that does not fit is null as a whole, while steps of a chain that an item carries are dropped one by one. All else is
+column expressions: a line is judged where it stands, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from planwright.functions.numbers import chain_confidence, normal_confidence
 from planwright.operators.audit import REVIEW_BELOW
@@ -47,55 +52,138 @@ STEP_LIST = "array<struct<id:string,type:string,confidence:double,weight:double,
 _TYPED = f"struct<sourceType:string,derivationType:string,evidence:array<struct<kind:string>>,formula:string,ruleRef:string,reasoning:string,confidence:double,evidenceChain:{STEP_LIST},stampedBy:string>"
 
 
-#: Types of JSON numbers.
-_NUMBER = ["BIGINT", "DECIMAL", "DOUBLE"]
+#: An item's meta as read(): its chain, the texts that payloads name and its place on the sheet.
+_META_TEXTS = ["extractedValue", "mepRuleId", "mepDiscipline", "mepFactorSource", "mepRateSource", "mepFormulaText", "estimationReasoning"]
+_META = f"struct<chain:{STEP_LIST},{','.join(f'{k}:string' for k in _META_TEXTS)},box:struct<cs:string,x:double,y:double,w:double,h:double>>"
 
+_ABSENT = object()
 
-def _type(v: Column, field: str) -> Column:
-    """The JSON type of a field: null if absent, VOID for a null."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
+def _is_text(x: object) -> bool:
+    return type(x) is str
 
-def _holds(v: Column, field: str, form: str) -> Column:
-    """Whether a field has its form. Its type is looked up once, as a word that also says if it is absent."""
-    kind, gaps = form.rstrip("?0"), (["ABSENT"] if "?" in form else []) + (["VOID"] if form.endswith("0") else [])
-    found = F.coalesce(_type(v, field), F.lit("ABSENT"))
-    types = {"text": ["STRING"], "number": _NUMBER, "text or number": ["STRING", *_NUMBER]}
-    if kind in types:
-        return found.rlike(f"^({'|'.join([*types[kind], *gaps])})")
-    value = lambda of: F.try_variant_get(v, f"$.{field}", of)
-    if kind in ("whole", "share"):
-        bounded = value("double").between(0, 1) if kind == "share" else value("double") == F.floor(value("double"))
-        fits = found.rlike(f"^({'|'.join(_NUMBER)})") & bounded
-    elif kind in ("box", "evidence"):
-        fits = _all(value("variant"), BOX) if kind == "box" else evidence_fits(value("variant"))
-    else:
-        fits = (found == "STRING") & value("string").isin(kind.split("|"))
-    fits = F.coalesce(fits, F.lit(False))
-    return found.isin(*gaps) | fits if gaps else fits
 
+def _is_number(x: object) -> bool:
+    return type(x) in (int, float)
 
-def _all(v: Column, form: dict[str, str]) -> Column:
-    return reduce(Column.__and__, [_holds(v, field, kind) for field, kind in form.items()])
 
+def _check(kind: str) -> Callable[[object], bool]:
+    """Whether a value that is there, and no null, has its form."""
+    given = {
+        "text": _is_text, "number": _is_number, "text or number": lambda x: type(x) in (str, int, float), "share": lambda x: type(x) in (int, float) and 0 <= x <= 1,
+        "whole": lambda x: type(x) is int or type(x) is float and (math.isinf(x) or x.is_integer()), "box": lambda x: _fits(x, _BOX_FORM), "evidence": evidence_fits}
+    words = frozenset(kind.split("|"))
+    return given.get(kind, lambda x: type(x) is str and x in words)
 
-def evidence_fits(v: Column) -> Column:
-    kind = F.try_variant_get(v, "$.kind", "string")
-    out = F.lit(False)
-    for name, form in EVIDENCE.items():
-        out = F.when(kind == name, _all(v, form)).otherwise(out)
-    return (_type(v, "kind") == "STRING") & out
 
+def _form(form: dict[str, str]) -> list[tuple]:
+    """(field, check, whether it may be absent, whether it may be null) of a form, for _fits()."""
+    return [(field, _check(kind.rstrip("?0")), "?" in kind, kind.endswith("0")) for field, kind in form.items()]
 
-def _each(v: Column, field: str, fits: Callable[[Column], Column], least: int = 0) -> Column:
+
+def _fits(v: object, form: list[tuple]) -> bool:
+    if type(v) is not dict:
+        return False
+    for field, check, absent, null in form:
+        x = v.get(field, _ABSENT)
+        if not (absent if x is _ABSENT else null if x is None else check(x)):
+            return False
+    return True
+
+
+def evidence_fits(v: object) -> bool:
+    kind = v.get("kind") if type(v) is dict else None
+    return type(kind) is str and kind in _EVIDENCE_FORMS and _fits(v, _EVIDENCE_FORMS[kind])
+
+
+_BOX_FORM, _STEP_FORM, _INPUT_FORM, _PAYLOAD_FORM = _form(BOX), _form(STEP), _form(INPUT), _form(PAYLOAD)
+_EVIDENCE_FORMS = {kind: _form(form) for kind, form in EVIDENCE.items()}
+
+
+def _each(v: dict, field: str, fits: Callable[[object], bool], least: int = 0) -> bool:
     """Absent if `least` is 0, or a list of at least so many elements that all fit."""
-    listed = F.try_variant_get(v, f"$.{field}", "array<variant>")
-    whole = F.coalesce((F.size(listed) >= least) & F.forall(listed, lambda x: F.coalesce(fits(x), F.lit(False))), F.lit(False))
-    return whole if least else whole | _type(v, field).isNull()
+    listed = v.get(field, _ABSENT)
+    return least == 0 if listed is _ABSENT else type(listed) is list and len(listed) >= least and all(map(fits, listed))
+
+
+def _object(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a field is named twice")
+    return out
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _json(raw: str | None) -> dict | None:
+    """The object that a JSON text holds; None for other values, and for what is no JSON or names a field of an object twice."""
+    try:
+        v = None if raw is None else json.loads(raw, object_pairs_hook=_object, parse_constant=_no_number)
+    except (ValueError, RecursionError):
+        return None
+    return v if type(v) is dict else None
+
+
+def _text(x: object) -> str | None:
+    """A text as it can be stored: halves of surrogate pairs are no characters."""
+    return x if type(x) is not str or x.isascii() else x.encode("utf-8", "replace").decode()
+
+
+def _step(v: dict) -> dict:
+    return {"id": _text(v["id"]), "type": v["type"], "confidence": float(v["confidence"]), "weight": float(v["weight"]), "label": _text(v.get("label")), "sourceRef": _text(v.get("sourceRef"))}
+
+
+def step_fits(v: object) -> bool:
+    return _fits(v, _STEP_FORM)
+
 
+def _chain(v: dict) -> list[dict] | None:
+    listed = v.get("evidenceChain")
+    return [_step(x) for x in listed if step_fits(x)] or None if type(listed) is list else None
 
-def step_fits(v: Column) -> Column:
-    return _all(v, STEP)
+
+def _payload(raw: str | None) -> dict | None:
+    v = _json(raw)
+    if v is None or not (_fits(v, _PAYLOAD_FORM) and _each(v, "evidence", evidence_fits, 1) and _each(v, "inputs", lambda x: _fits(x, _INPUT_FORM)) and _each(v, "evidenceChain", step_fits)):
+        return None
+    sure, chain = v.get("confidence"), v.get("evidenceChain")
+    return {k: _text(v.get(k)) for k in ("sourceType", "derivationType", "formula", "ruleRef", "reasoning", "stampedBy")} | {
+        "evidence": [{"kind": e["kind"]} for e in v["evidence"]], "confidence": None if sure is None else float(sure), "evidenceChain": None if chain is None else [_step(x) for x in chain]}
+
+
+def _place(v: dict) -> dict | None:
+    """The place of an item on its sheet, from `position` or else `bbox` of its meta; only with both coordinates."""
+    at = next((v[k] for k in ("position", "bbox") if v.get(k) is not None), None)
+    if type(at) is not dict or not (_is_number(at.get("x")) and _is_number(at.get("y"))):
+        return None
+    cs = at.get("cs")
+    cs = "dxf-mm" if cs is None else cs if type(cs) is str else json.dumps(cs, separators=(",", ":"), ensure_ascii=False)
+    return {"cs": _text(cs)} | {k: float(at[k]) if _is_number(at.get(k)) else None for k in ("x", "y", "w", "h")}
+
+
+def _item_meta(raw: str | None) -> dict | None:
+    v = _json(raw)
+    return None if v is None else {"chain": _chain(v), "box": _place(v)} | {k: _text(v[k]) if type(v.get(k)) is str else None for k in _META_TEXTS}
+
+
+def _item_steps(raw: str | None) -> list[dict] | None:
+    v = _json(raw)
+    return None if v is None else _chain(v)
+
+
+def _reader(read: Callable[[str | None], object], type_: str) -> Callable[[Column], Column]:
+    """A column function that reads JSON texts by `read`, Arrow batch by batch; each text is parsed and checked once."""
+
+    def over(raw: Column) -> Column:
+        arrow = to_arrow_type(DataType.fromDDL(type_))
+        return F.arrow_udf(lambda texts: pa.array([read(x) for x in texts.to_pylist()], arrow), returnType=type_)(raw.cast("string"))
+
+    return over
+
+
+_read_payload, _read_meta, _read_steps = _reader(_payload, _TYPED), _reader(_item_meta, _META), _reader(_item_steps, STEP_LIST)
 
 
 def parse(raw: Column) -> Column:
@@ -103,33 +191,24 @@ def parse(raw: Column) -> Column:
 
     Unknown fields are passed over, of evidence only the kind is kept.
     """
-    return parse_variant(F.try_parse_json(raw))
+    return _read_payload(raw)
 
 
 def parse_variant(v: Column) -> Column:
-    """parse() of JSON that is a VARIANT already; as a column of its own it is made once for all its uses."""
-    fits = _all(v, PAYLOAD) & _each(v, "evidence", evidence_fits, 1) & _each(v, "inputs", lambda x: _all(x, INPUT)) & _each(v, "evidenceChain", step_fits)
-    return F.when(F.coalesce(fits, F.lit(False)), F.try_variant_get(v, "$", _TYPED))
+    """parse() of JSON that is a VARIANT already."""
+    return parse(F.to_json(v))
 
 
 def valid_steps(meta: Column) -> Column:
     """The steps of an item's chain that fit, in order; null if its JSON has no list of steps or none of them fits."""
-    return steps_of(F.try_parse_json(meta))
-
-
-def steps_of(v: Column) -> Column:
-    listed = F.try_variant_get(v, "$.evidenceChain", "array<variant>")
-    kept = F.filter(listed, lambda s: F.coalesce(step_fits(s), F.lit(False)))
-    typed = F.transform(kept, lambda s: F.try_variant_get(s, "$", STEP_LIST[6:-1]))
-    return F.when(F.size(typed) > 0, typed)
+    return _read_steps(meta)
 
 
 # Building
 
 
 def _meta(field: str) -> Column:
-    v = F.col("_m")
-    return F.when(_type(v, field) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
+    return F.col(f"_m.{field}")
 
 
 def _kind(name: str, /, **fields: Column) -> Column:
@@ -145,15 +224,6 @@ def _item_evidence(length: int) -> Column:
     return _kind("takeoffItem", takeoffItemId=F.col("item_id").cast("string"), tag=F.col("tag"), description=F.substring("description", 1, length), category=F.col("category"))
 
 
-def _box() -> Column:
-    """The place of an item on its sheet, from `position` or else `bbox` of its meta; only with both coordinates."""
-    v = F.col("_m")
-    at = F.coalesce(*[F.when(_type(v, k).isNotNull() & (_type(v, k) != "VOID"), F.try_variant_get(v, f"$.{k}", "variant")) for k in ("position", "bbox")])
-    number = lambda k: F.when(_type(at, k).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(at, f"$.{k}", "double"))
-    cs = F.coalesce(F.try_variant_get(at, "$.cs", "string"), F.lit("dxf-mm"))
-    return F.when(number("x").isNotNull() & number("y").isNotNull(), F.struct(cs.alias("cs"), *[number(k).alias(k) for k in ("x", "y", "w", "h")]))
-
-
 def build_auto(items: DataFrame, is_provisional: str = "is_provisional") -> DataFrame:
     """`items` with provenance, the JSON payload of the bill line generated for each.
 
@@ -162,14 +232,14 @@ def build_auto(items: DataFrame, is_provisional: str = "is_provisional") -> Data
     fits of meta's steps, and the confidence that of the chain or else the item's. An item that a services rule made is
     derived by that rule; others go by basis; an unknown basis counts as an estimate. Null fields leave the payload.
     """
-    items = items.withColumn("_m", F.try_parse_json("meta")).withColumn("_chain", steps_of(F.col("_m")))
-    chain = F.col("_chain")
+    items = items.withColumn("_m", _read_meta(F.col("meta")))
+    chain = _meta("chain")
     confidence = F.when(chain.isNotNull(), chain_confidence(chain)).otherwise(normal_confidence(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))))
     filled = lambda c: F.when(F.col(c) != "", F.col(c))
     extracted = F.coalesce(_meta("extractedValue"), filled("source_note"))
     sheet = F.when(F.col("sheet_id").isNotNull(), _kind(
         "sheet", sheetId=F.col("sheet_id").cast("string"), drawingNo=F.col("drawing_no"), pageNo=F.col("page_no"), label=F.col("source_note"), sheetTitle=filled("title"), sheetType=filled("sheet_type"),
-        sourceDocFilename=filled("filename"), bbox=_box(), extractedValue=F.when(extracted != "", extracted)))
+        sourceDocFilename=filled("filename"), bbox=_meta("box"), extractedValue=F.when(extracted != "", extracted)))
     rule = _meta("mepRuleId")
     services = F.when(rule.isNotNull(), _kind(
         "mepRule", ruleId=rule, name=F.coalesce(F.concat(_meta("mepDiscipline"), F.lit(" / "), F.col("description")), F.col("description")), factorSource=_meta("mepFactorSource"), rateSource=_meta("mepRateSource")))
@@ -187,7 +257,7 @@ def build_auto(items: DataFrame, is_provisional: str = "is_provisional") -> Data
         F.array_compact(F.array(_item_evidence(100), sheet, services)).alias("evidence"), F.when(by_formula, formula).alias("formula"),
         F.when(by_rule, F.concat(F.lit("mep-rule:"), rule)).alias("ruleRef"), reason.alias("reasoning"), confidence.alias("confidence"), chain.alias("evidenceChain"),
         F.when(by_rule, "generateBoq.auto.mep").otherwise("generateBoq.auto").alias("stampedBy"))
-    return items.withColumn("provenance", F.to_json(payload)).drop("_m", "_chain")
+    return items.withColumn("provenance", F.to_json(payload)).drop("_m")
 
 
 #: What a collapsed line says of itself.
@@ -334,7 +404,7 @@ def audit_lines(lines: DataFrame, modules: list | None = None) -> DataFrame:
     judged alike, an empty table gives none, and columns of these names are replaced.
     """
     p = F.col("payload")
-    parsed = lines.withColumn("_v", F.try_parse_json("provenance")).withColumn("payload", parse_variant(F.col("_v"))).drop("_v")
+    parsed = lines.withColumn("payload", parse(F.col("provenance")))
     found = F.array_compact(F.array(*[F.when(applies(p), check(p)) for applies, check in modules or MODULES]))
     out = parsed.withColumn("modules", found)
     m = F.col("modules")

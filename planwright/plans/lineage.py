@@ -51,12 +51,13 @@ SELECT item_id, CASE WHEN rule IS NOT NULL OR b = 'd' THEN 'DERIVED' WHEN b = 'm
 def line_provenance(v):
     """The payloads of generated lines, read back from their JSON."""
     built = provenance.build_auto(v("item_record")).withColumn("p", provenance.parse(F.col("provenance")))
-    sheet = F.get(F.filter(F.try_variant_get(F.try_parse_json("provenance"), "$.evidence", "array<variant>"), lambda e: F.try_variant_get(e, "$.kind", "string") == "sheet"), F.lit(0))
-    of = lambda path, kind="string": F.try_variant_get(sheet, path, kind)
-    box = F.when(of("$.bbox.x", "double").isNotNull(), F.concat_ws(" ", of("$.bbox.cs"), of("$.bbox.x", "double").cast("string"), of("$.bbox.y", "double").cast("string")))
+    sheets = F.from_json("provenance", "evidence array<struct<kind:string,extractedValue:string,bbox:struct<cs:string,x:double,y:double>>>")["evidence"]
+    built = built.withColumn("sheet", F.get(F.filter(sheets, lambda e: e["kind"] == "sheet"), F.lit(0)))
+    at = "sheet.bbox"
+    box = F.when(F.col(f"{at}.x").isNotNull(), F.concat_ws(" ", f"{at}.cs", F.col(f"{at}.x").cast("string"), F.col(f"{at}.y").cast("string")))
     return built.select(
         "item_id", F.col("p.sourceType").alias("source_type"), F.col("p.derivationType").alias("derivation_type"), F.array_join("p.evidence.kind", ",").alias("kinds"), "p.formula", F.col("p.ruleRef").alias("rule_ref"), "p.reasoning",
-        F.round("p.confidence", 6).alias("confidence"), F.when(F.col("p.evidenceChain").isNull(), 0).otherwise(F.size("p.evidenceChain")).alias("n_steps"), of("$.extractedValue").alias("extracted"), box.alias("box"))
+        F.round("p.confidence", 6).alias("confidence"), F.when(F.col("p.evidenceChain").isNull(), 0).otherwise(F.size("p.evidenceChain")).alias("n_steps"), F.col("sheet.extractedValue").alias("extracted"), box.alias("box"))
 
 
 @query("i09_collapsed_provenance", """
@@ -159,6 +160,6 @@ SELECT project_id, item_no, CASE WHEN len(list_filter(kinds, lambda k: k <> 'tak
   CASE der WHEN 'formula' THEN coalesce(json_extract_string(j, '$.formula'), '(formula not recorded)') WHEN 'rule' THEN why || CASE WHEN rule <> '' THEN chr(10) || '  ' || rule ELSE '' END WHEN 'ai_reasoning' THEN why ELSE '' END AS detail FROM ok WHERE fits""", ("stored_line",))
 def evidence_texts(v):
     """Evidence and derivation of stored lines as an export shows them; lines without a valid payload have none."""
-    lines = v("stored_line").withColumn("_v", F.try_parse_json("provenance")).withColumn("p", provenance.parse_variant(F.col("_v")))
+    lines = v("stored_line").withColumn("_v", F.try_parse_json("provenance")).withColumn("p", provenance.parse(F.col("provenance")))
     texts = lines.select("project_id", "item_no", F.when(F.col("p").isNotNull(), evidence.summary(F.col("_v"))).alias("evidence"), evidence.detail(F.col("p")).alias("detail"), F.monotonically_increasing_id().alias("_row"))
     return texts.where(F.col("_row") >= 0).where(F.col("evidence").isNotNull()).select("project_id", "item_no", "evidence", "detail")
