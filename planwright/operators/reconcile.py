@@ -22,9 +22,14 @@ def reconcile_counts(seen: DataFrame, read: DataFrame, keys: list[str], value: s
 
 def coverage_gaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one side has, by one aggregation over both instead of two anti joins."""
-    marked = left.select(*keys, F.lit(1).alias("side")).unionByName(right.select(*keys, F.lit(2).alias("side")))
-    sides = marked.groupBy(*keys).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
-    return sides.select(*keys, F.when(F.col("low") == 1, "missing-right").otherwise("missing-left").alias("gap"))
+    marked = left.select(*keys, F.lit(0).alias("side")).unionByName(right.select(*keys, F.lit(1).alias("side")))
+    return one_sided(marked, F.col("side"), keys)
+
+
+def one_sided(rows: DataFrame, side: Column, keys: list[str]) -> DataFrame:
+    """Keys whose rows are all of one side, 0 the left and 1 the right; rows of any other are of neither."""
+    sides = rows.select(*keys, side.alias("_side")).where(F.col("_side").isin(0, 1)).groupBy(*keys).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")).where("_low = _high")
+    return sides.select(*keys, F.when(F.col("_low") == 0, "missing-right").otherwise("missing-left").alias("gap"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], protected: Column) -> DataFrame:

@@ -12,11 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable:
-    """Registers f(v), where v(relation) is a DataFrame; `sql` continues the WITH clause of `views`."""
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), dealt: bool = False) -> Callable:
+    """Registers f(v), where v(relation) is a DataFrame; `sql` continues the WITH clause of `views`. `dealt` is that of view()."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda relation: view(spark, sf_dir, relation))
+        QUERIES[name] = lambda spark, sf_dir: f(lambda relation: view(spark, sf_dir, relation, dealt))
         if sql is not None:
             ORACLE_SQL[name] = duck(*views) + sql if views else sql
         return f

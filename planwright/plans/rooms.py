@@ -194,7 +194,7 @@ _RULES = {"CATEGORY_SANITY": ("j01_category_sanity", audits.category_sanity), "T
           "DUPLICATE_TAG": ("e12_occurrences", audits.occurrences), "ROOMS_AREA_RECONCILE": ("d29_area_reconcile", audits.area_reconcile)}
 
 
-@query("g02_all_findings", "SELECT project_id, rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT project_id, '{rule}' AS rule FROM ({ORACLE_SQL[name]})" for rule, (name, _) in _RULES.items()) + ") GROUP BY 1, 2")
+@query("g02_all_findings", "SELECT project_id, rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT project_id, '{rule}' AS rule FROM ({ORACLE_SQL[name]})" for rule, (name, _) in _RULES.items()) + ") GROUP BY 1, 2", dealt=True)
 def all_findings(v):
     """Findings of all validators, counted by project and rule."""
     parts = [find(v).select("project_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule)) for rule, (_, find) in _RULES.items()]

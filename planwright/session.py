@@ -29,6 +29,8 @@ def build_session(app: str = "planwright", master: str | None = None, shuffle_pa
 
 #: The folder that local sessions without spark.checkpoint.dir work in; the key is fixed once a session runs.
 _LOCAL: list[str] = []
+#: Rows that a task gets from dealt_by(), more or less.
+DEALT_ROWS = 100_000
 #: Folders (and the catalogue's names) of tables that materialize() and bucketed() wrote and nothing deleted yet.
 _MADE: dict[str, str | None] = {}
 
@@ -99,6 +101,14 @@ def clear_work(spark: SparkSession) -> int:
     return len(folders)
 
 
+def dealt_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df`, of about `rows` rows, dealt by `keys` into tasks of some DEALT_ROWS rows, however large it is.
+
+    What follows may group, join and number by these keys without another exchange.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // DEALT_ROWS), *keys)
+
+
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
     """Bounds the bytes of an Arrow batch to and from Python, so that memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
