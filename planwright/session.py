@@ -30,7 +30,7 @@ def build_session(app: str = "planwright", master: str | None = None, shuffle_pa
 #: The folder that local sessions without spark.checkpoint.dir work in; the key is fixed once a session runs.
 _LOCAL: list[str] = []
 #: Rows that a task gets from dealt_by(), more or less.
-DEALT_ROWS = 100_000
+DEALT_ROWS = 250_000
 #: Folders (and the catalogue's names) of tables that materialize() and bucketed() wrote and nothing deleted yet.
 _MADE: dict[str, str | None] = {}
 
