@@ -10,7 +10,7 @@ from planwright.functions import colours, legend, vision
 from planwright.functions import strings as S
 from planwright.operators import layers, layout, phrases, pick
 from planwright.plans.registry import query
-from planwright.session import work_dir
+from planwright.session import dealt_by, work_dir
 from planwright.sources import text_sink
 
 
@@ -59,10 +59,12 @@ n AS (SELECT *, lead(text) OVER (PARTITION BY sheet_id ORDER BY word_no) AS nxt
 r AS (SELECT sheet_id, word_no, 1 AS n, text AS p FROM n UNION ALL SELECT sheet_id, word_no, 2, text || ' ' || nxt FROM n WHERE nxt IS NOT NULL),
 k AS (SELECT *, trim(regexp_replace(upper(p), '[^A-Z0-9]+', ' ', 'g')) AS key FROM r),
 t AS (SELECT DISTINCT description AS name, trim(regexp_replace(upper(description), '[^A-Z0-9]+', ' ', 'g')) AS key FROM takeoff WHERE category = 'ROOM')
-SELECT name, sheet_id, word_no, n FROM (SELECT t.name, k.*, row_number() OVER (PARTITION BY t.name ORDER BY sheet_id, word_no, n) AS rn FROM t JOIN k USING (key)) WHERE rn = 1""", ("takeoff",))
+SELECT name, sheet_id, word_no, n FROM (SELECT t.name, k.*, row_number() OVER (PARTITION BY t.name ORDER BY sheet_id, word_no, n) AS rn FROM t JOIN k USING (key)) WHERE rn = 1""", ("takeoff",), dealt=True)
 def located_rooms(v):
     """The first sheet, and the place there, on which each room's name stands as one or two words."""
-    items = v("takeoff").select("sheet_id", (F.col("project_id") * 100 + F.col("item_no")).alias("item"), F.posexplode(F.split("description", " ")).alias("place", "text"))
+    lines = v("takeoff").select("sheet_id", (F.col("project_id") * 100 + F.col("item_no")).alias("item"), "description")
+    # Dealt by sheet before they are divided: lines move, not words, and a task sorts no more words of a larger table.
+    items = dealt_by(lines, v("lineitem").count(), "sheet_id").select("sheet_id", "item", F.posexplode(F.split("description", " ")).alias("place", "text"))
     words = items.select("sheet_id", (F.col("item") * 100 + F.col("place")).alias("word_no"), "text")
     rooms = v("takeoff").where("category = 'ROOM'").select(F.col("description").alias("name")).distinct().withColumn("key", S.services_key(F.col("name")))
     return phrases.first_sheets(words, rooms, S.services_key)
