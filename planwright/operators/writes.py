@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwright.session import discard, materialize
 from planwright.sources import snapshots
 from planwright.sources.snapshots import Change, Snapshot
 
@@ -33,14 +34,15 @@ def priced(live: DataFrame, entries: DataFrame) -> DataFrame:
     true takes the preference from all other live links of the material; false gives it up, null leaves it. So of a
     material only the last true counts, unless a later entry of that link gave it up.
     """
-    said = F.col("preferred").isNotNull()
+    said, true = F.col("preferred").isNotNull(), F.col("preferred")
     last = entries.groupBy(*LINK).agg(
-        F.max_by(F.struct("price", "currency", "effective_date"), "entry").alias("new"), F.max_by("preferred", F.when(said, F.col("entry"))).alias("said"), F.max(F.when(said, F.col("entry"))).alias("said_at"), F.min("entry").alias("first_at"))
-    chosen = entries.groupBy("org_id", "material_id").agg(F.max(F.when(F.col("preferred"), F.col("entry"))).alias("chosen_at"), F.max_by("supplier_id", F.when(F.col("preferred"), F.col("entry"))).alias("chosen"))
-    same = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    both = live.alias("l").join(last.alias("n"), same("l", "n", LINK), "full")
-    links = both.select(*[F.coalesce(f"l.{k}", f"n.{k}").alias(k) for k in LINK], F.struct("l.price", "l.currency", "l.effective_date").alias("old"), "n.new", F.col("l.preferred").alias("was"), "l.deleted", "n.said", "n.said_at", "n.first_at")
-    rows = links.alias("r").join(chosen.alias("c"), same("r", "c", LINK[:2]), "left")
+        F.max_by(F.struct("price", "currency", "effective_date"), "entry").alias("new"), F.max_by("preferred", F.when(said, F.col("entry"))).alias("said"), F.max(F.when(said, F.col("entry"))).alias("said_at"), F.min("entry").alias("first_at"),
+        F.max(F.when(true, F.col("entry"))).alias("true_at"))
+    both = live.alias("l").join(last.alias("n"), [F.col(f"l.{k}").eqNullSafe(F.col(f"n.{k}")) for k in LINK], "full")
+    links = both.select(*[F.coalesce(f"l.{k}", f"n.{k}").alias(k) for k in LINK], F.struct("l.price", "l.currency", "l.effective_date").alias("old"), "n.new", F.col("l.preferred").alias("was"), "l.deleted", "n.said", "n.said_at", "n.first_at", "n.true_at")
+    # The last true of a material is that of one of its links, and these meet once; entries are not gone through again.
+    top = F.max(F.when(F.col("true_at").isNotNull(), F.struct("true_at", "supplier_id"))).over(Window.partitionBy(*LINK[:2]))
+    rows = links.withColumn("_top", top).select("*", F.col("_top.true_at").alias("chosen_at"), F.col("_top.supplier_id").alias("chosen")).alias("r")
     was_gone = F.coalesce("r.deleted", F.lit(False))
     gone = was_gone & F.col("new").isNull()
     # Only live links lose the preference, so not one that is deleted, or was until after the choice.
@@ -59,22 +61,27 @@ def enter_prices(spark: SparkSession, root: str, entries: DataFrame, token: str,
     base = snapshots.current(spark, root)
     if token in base.tokens:
         return base
+    # Read from a table of their own by all that follows: what they are made from may be long work.
+    entries = materialize(entries, "entries")
     touched = tuple(sorted(r[0] for r in entries.select(snapshots.bucket_of("material_id", buckets)).distinct().collect()))  # at most `buckets` rows
     live = snapshots.read(spark, base, "price", list(touched)) if "price" in base.tables else spark.createDataFrame([], PRICES)
     now = priced(live, entries).to(spark.createDataFrame([], PRICES).schema)
     history = entries.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in HISTORY.split(", ")])
-    return snapshots.commit(spark, base, {"price": Change(now, "material_id", buckets, True, touched), "price_history": Change(history, "material_id", buckets, False)}, token)
+    try:
+        return snapshots.commit(spark, base, {"price": Change(now, "material_id", buckets, True, touched), "price_history": Change(history, "material_id", buckets, False)}, token)
+    finally:
+        discard(entries)
 
 
 def set_deleted(spark: SparkSession, root: str, links: DataFrame, deleted: bool, token: str, buckets: int = 16) -> Snapshot:
-    """Marks the live prices of `links` (some of the link's columns) as deleted, or brings them back; history stays."""
+    """Marks the live prices of `links` (some of the link's columns) as deleted, or brings them back; history stays. Rows are written as they lie in the buckets read."""
     base = snapshots.current(spark, root)
     keys = [k for k in LINK if k in links.columns]
     hit = links.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_hit", F.lit(True))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     rows = snapshots.read(spark, base, "price")
     now = rows.join(hit, on, "left").withColumn("deleted", F.when(F.col("_hit"), F.lit(deleted)).otherwise(F.col("deleted"))).select(*rows.columns)
-    return snapshots.commit(spark, base, {"price": Change(now, "material_id", buckets)}, token)
+    return snapshots.commit(spark, base, {"price": Change(now, "material_id", buckets, laid=True)}, token)
 
 
 def replace_children(spark: SparkSession, root: str, name: str, parent: str, parents: DataFrame, new: DataFrame, token: str) -> Snapshot:

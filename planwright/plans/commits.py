@@ -34,7 +34,7 @@ l AS (SELECT org_id, material_id, supplier_id, arg_max(price, pos) AS price, arg
 live AS (SELECT l.*, CASE WHEN chosen_at IS NOT NULL AND chosen <> supplier_id AND (said_at IS NULL OR said_at < chosen_at) THEN FALSE ELSE coalesce(said, FALSE) END AS preferred FROM l JOIN c USING (org_id, material_id))"""
 
 
-@query("k03_entered_prices", _LIVE + " SELECT org_id, material_id, supplier_id, price, currency, preferred FROM live", ("price_entry",))
+@query("k03_entered_prices", _LIVE + " SELECT org_id, material_id, supplier_id, price, currency, preferred FROM live", ("price_entry",), dealt=True)
 def entered_prices(v):
     """Live prices after all entries: the last entry of a link, and at most one preferred link of a material in an organisation."""
     spark, root = _entered(v)
@@ -43,7 +43,7 @@ def entered_prices(v):
 
 @query("k03_price_history", _LIVE + """
 , h AS (SELECT org_id, material_id, supplier_id, count(*) AS n_entries FROM price_entry GROUP BY ALL)
-SELECT h.*, live.price AS last_price FROM h JOIN live USING (org_id, material_id, supplier_id)""", ("price_entry",))
+SELECT h.*, live.price AS last_price FROM h JOIN live USING (org_id, material_id, supplier_id)""", ("price_entry",), dealt=True)
 def price_history(v):
     """The history keeps every entry; its last one of a link is the live price."""
     spark, root = _entered(v)
@@ -52,7 +52,7 @@ def price_history(v):
     return history.groupBy("org_id", "material_id", "supplier_id").agg(F.count(F.lit(1)).alias("n_entries"), F.max_by("price", order).alias("last_price"))
 
 
-@query("k04_restored_prices", _LIVE + " SELECT org_id, material_id, supplier_id, supplier_id % 3 = 0 AND supplier_id % 2 <> 0 AS deleted FROM live", ("price_entry",))
+@query("k04_restored_prices", _LIVE + " SELECT org_id, material_id, supplier_id, supplier_id % 3 = 0 AND supplier_id % 2 <> 0 AS deleted FROM live", ("price_entry",), dealt=True)
 def restored_prices(v):
     """Links of every third supplier are deleted, and those of the even ones among them brought back."""
     spark, root = _entered(v)
