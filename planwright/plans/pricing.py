@@ -96,7 +96,7 @@ u AS (
       || '; rolled up from ' || count(*) || CASE WHEN count(*) = 1 THEN ' takeoff item' ELSE ' takeoff items' END, 'LS', 1, NULL, NULL, CASE category WHEN 'MEP_HVAC' THEN 252000 WHEN 'MEP_ELEC' THEN 190000 END, TRUE, NULL, count(*), NULL FROM b WHERE bucket IN (2, 3) GROUP BY 1, 2, 3, 4
   UNION ALL SELECT project_id, section, 5, NULL, '', sort_order, NULL, description, unit, qty, rate, amount, ps_amount, is_provisional, NULL, 1, NULL FROM hand_line)
 SELECT project_id, section, section || '/' || printf('%03d', row_number() OVER (PARTITION BY project_id, section ORDER BY bucket, CASE WHEN bucket = 5 THEN o2 END, category NULLS FIRST, o1, o2)) AS ref, bucket, category, item_id, description, unit, qty, rate, amount, ps_amount, is_provisional, rate_source, n_items, warning FROM u""",
-       ("drawn_item", "org_assembly", "slot_rate", "estimability_override", "hand_line"))
+       ("drawn_item", "org_assembly", "slot_rate", "estimability_override", "hand_line"), dealt=True)
 def full_bill(v):
     """A bill from items to numbered lines: classified against the rate library, routed, collapsed, with rates pending and what was typed by hand."""
     assemblies = v("org_assembly").where("takeoff_category IS NOT NULL").select(F.col("takeoff_category").alias("category"))
