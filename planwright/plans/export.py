@@ -62,7 +62,7 @@ def workbook_rows(v):
     return workbook.tab_rows(bill_lines(v))
 
 
-@query("a12_workbook_dump", _ROWS + " SELECT row_number() OVER (ORDER BY project_id, tab_no, section NULLS FIRST, kind, item_no NULLS FIRST) - 1 AS place, project_id || chr(9) || tab || chr(9) || line AS line FROM r", ("boq_line",))
+@query("a12_workbook_dump", _ROWS + " SELECT row_number() OVER (ORDER BY project_id, tab_no, section NULLS FIRST, kind, item_no NULLS FIRST) - 1 AS place, project_id || chr(9) || tab || chr(9) || line AS line FROM r", ("boq_line",), dealt=True)
 def workbook_dump(v):
     """The same rows of all bills as ordered text files, read back."""
     rows = workbook.tab_rows(bill_lines(v))
