@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planwright.llm.quality import line_key
 from planwright.llm.text import fingerprint, joined_runs, kept_runs
+from planwright.session import materialize
 
 MIN_KEY_CHARS = 10
 #: A line key is hot if it makes up more than this share of all lines; so there are at most 1 / share of them.
@@ -23,7 +24,8 @@ def line_drops(docs: DataFrame) -> DataFrame:
     """
     lines = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     keyed = lines.select("doc_id", "fp", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= MIN_KEY_CHARS)
-    keyed = keyed.select("doc_id", "fp", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # Four passes read these rows; dividing texts and hashing lines is most of the work, so it is done once.
+    keyed = materialize(keyed.select("doc_id", "fp", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-keys")
 
     counts = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first"))
     total = keyed.count()
