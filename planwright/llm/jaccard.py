@@ -15,11 +15,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.llm.text import SPACED_WORD, lower_ascii, words
-from planwright.session import bound_batches, discard, materialize
+from planwright.session import bound_batches, bucketed, discard, materialize
 
 #: T - L: how often a candidate stands in the short lists of a set at least.
 SHARED = 2
@@ -34,6 +34,8 @@ BROADCAST_ROWS = 1_000_000
 HUB_MEMBERS = 500
 #: A list with more components than this is crowded: its members are compared with hubs before all pairs are.
 CROWD = 32
+#: Whole sets that a bucket holds, and links that a task puts together at once, more or less.
+BUCKET_SETS, TASK_LINKS = 4_000, 250_000
 #: Hubs for each member of crowded lists in a round, and rounds at most; what they leave is compared pair by pair.
 HUBS, HUB_ROUNDS = 8, 4
 #: A sketch is the parity of the number of tokens in each of 64 * SKETCH parts of the hash space.
@@ -167,9 +169,10 @@ def shared_lists(listed: DataFrame) -> DataFrame:
     most LONG_LISTS rows, so no task holds such a list.
     """
     posting = lambda column: listed.select(F.explode(column).alias("token"), F.col("c1").alias("c"), F.col("n").cast("int").alias("n"), "shared")
+    whole = Window.partitionBy("token").orderBy("n", "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ended = posting("short").select("*", F.struct(F.first("n").over(whole).alias("n"), F.first("c").over(whole).alias("c")).alias("p"), F.last("c").over(whole).alias("last"))
+    few = ended.where("p.c <> last").drop("last")
     ends = [F.min(F.struct("n", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")]
-    apart = posting("short").groupBy("token").agg(*ends).where("low <> high").select("token", "p")
-    few = posting("short").join(apart, "token")
     crowded = posting("long").groupBy("token").agg(*ends).where("low <> high").select("token", "p")
     many = posting("long").join(F.broadcast(crowded), "token")
     both = few.unionByName(many).select("token", "c", "n", "shared", F.col("p.c").alias("hub"), F.col("p.n").alias("hub_n"))
@@ -195,9 +198,10 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(c, set_n, sketch, doc_id) of the documents that stand for the classes `reps`."""
-    ids = reps.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"))
-    few = ids.count() <= BROADCAST_ROWS
+    """(c, set_n, sketch, tokens) of the documents that stand for the classes `reps`, bucketed by c."""
+    ids = materialize(reps.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c")), "jaccard-reps")
+    n_sets = ids.count()
+    few = n_sets <= BROADCAST_ROWS
     chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +211,24 @@ def whole_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
                 [pa.array([c for _, c in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), _longs([_sketch(s) for s, _ in sets]), _longs([s for s, _ in sets])],
                 ["c", "set_n", "sketch", "tokens"])
 
-    return _hashed(chosen.select("text", "_c")).mapInArrow(run, "c bigint, set_n int, sketch array<bigint>, tokens array<bigint>")
+    found = _hashed(chosen.select("text", "_c")).mapInArrow(run, "c bigint, set_n int, sketch array<bigint>, tokens array<bigint>")
+    sets = bucketed(found, 1 + n_sets // BUCKET_SETS, "c", "jaccard-sets")
+    discard(ids)
+    return sets
 
 
 def verified(sets: DataFrame, pairs: DataFrame, percent: int, long: Broadcast) -> DataFrame:
     """The pairs (c, hub) that link, by DivideSkip on the whole sets (c, tokens).
 
-    Sets move once for each pair as a member, and once for each HUB_MEMBERS members as a hub.
+    Sets move once for each pair as a member, and once for each HUB_MEMBERS members as a hub; sets without a pair stay
+    where they are, as the pairs come to the buckets of `sets`.
     """
     salt = F.pmod(F.xxhash64("c"), "parts").cast("int")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "hub").select("c", "hub", salt.alias("part"))
     hubs = parts.select(F.col("hub").alias("c"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = dealt.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True)))
-    rows = wanted.join(sets.select("c", "tokens"), "c").repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
+    rows = sets.select("c", "tokens").join(wanted.hint("shuffle_hash"), "c").repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub, t = None, None, 0
@@ -245,13 +253,49 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int, long: Broadcast) -
     return materialize(rows.select("c", "hub", "part", "is_hub", "tokens").mapInArrow(run, "c bigint, hub bigint"), "jaccard-links")
 
 
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the smallest node that the edges connect it with), where these differ."""
+    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = places[: len(u)], places[len(u) :], np.arange(len(nodes))
+    while len(a):
+        # Each root beside a smaller one is hung below it, so half of all roots go in a round.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _put_together(edges: DataFrame, n: int) -> DataFrame:
+    """The `n` edges, replaced by stars with the same components, TASK_LINKS at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(k).to_numpy() for k in range(2)] for b in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _roots(*map(np.concatenate, zip(*held, strict=True)))], ["u", "v"])
+
+    return edges.select("u", "v").repartition(1 + n // TASK_LINKS).mapInArrow(run, "u bigint, v bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of (u, v), the smallest node of each component: large-star and small-star rounds until the edges are stars."""
+    """(node, comp) of (u, v), the smallest node of each component.
+
+    Tasks put together what links they hold; if these are more than one task holds, large-star and small-star rounds
+    between them go on until the edges are stars.
+    """
     canonical = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     size = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
     edges = materialize(canonical(links), "components")
-    before = size(edges)
-    while before[0]:
+    before = None
+    while (after := size(edges)) != before and after[0]:
+        whole = after[0] < TASK_LINKS
+        both = materialize(_put_together(edges, after[0]), "components")
+        discard(edges)
+        edges, before = both, after
+        if whole:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -259,10 +303,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = materialize(canonical(small), "components")
         discard(edges)
-        edges, after = new, size(new)
-        if after == before:
-            break
-        before = after
+        edges = new
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -274,6 +315,15 @@ def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(placed.join(moved, "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")), "jaccard-components")
 
 
+def _mixed(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of `lists` in whose list more than one component stands, with comp, most (the one with most classes) and comps."""
+    token = Window.partitionBy("token")
+    at = lists.select("token", "c", "n", "shared").join(placed, "c")
+    at = at.withColumn("place", F.dense_rank().over(token.orderBy("comp"))).withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("token", "comp")))
+    at = at.select("token", "c", "n", "shared", "comp", F.max(F.struct("count", "comp")).over(token)["comp"].alias("most"), F.max("place").over(token).cast("long").alias("comps"))
+    return materialize(at.where("comps > 1"), "jaccard-mixed")
+
+
 def hub_pairs(lists: DataFrame, degree: DataFrame, turn: int, percent: int) -> DataFrame:
     """(c, hub): classes of crowded lists, each with the drawn hubs of other components that it shares most lists with.
 
@@ -298,20 +348,21 @@ def linked(lists: DataFrame, sets: DataFrame, percent: int, long: Broadcast) ->
     done = materialize(ordered(first), "jaccard-pairs")
     links = verified(sets, possible(done, sketches, percent), percent, long)
     placed = _merged(lists.select("c").distinct().withColumn("comp", F.col("c")), links)
-    for turn in range(HUB_ROUNDS + 1):
-        at = lists.select("token", "c", "n", "shared").join(placed, "c")
-        sizes = at.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        mixed = materialize(at.join(sizes.select("token", F.col("most.comp").alias("most"), "comps"), "token"), "jaccard-mixed")
-        crowded = mixed.where(F.col("comps") > CROWD)
-        if turn == HUB_ROUNDS or crowded.isEmpty():
+    mixed = crowded = _mixed(lists, placed)
+    for turn in range(HUB_ROUNDS):
+        # Components only grow, so lists that are crowded later are so now.
+        crowded = crowded.where(F.col("comps") > CROWD)
+        if crowded.isEmpty():
             break
         degree = links.select(F.explode(F.array("c", "hub")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
         pairs = materialize(ordered(hub_pairs(crowded, degree, turn, percent)).join(done, ["c", "hub"], "left_anti"), "jaccard-pairs")
         new = verified(sets, possible(pairs, sketches, percent), percent, long)
-        discard(mixed)
         links, done, before = links.unionByName(new), done.unionByName(pairs), placed
         placed = _merged(placed, new)
         discard(before)
+        crowded = _mixed(crowded, placed)
+    if crowded is not mixed:
+        mixed = _mixed(mixed, placed)
     # Pairs of different components, counted over all lists in which both stand; a folded sketch travels with them.
     folds = [f"s{k}" for k in range(FOLDS)]
     folded = sets.select("c", *[reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(i)) for i in range(k, SKETCH, FOLDS)]).alias(f) for k, f in enumerate(folds)])
@@ -349,7 +400,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     lists = shared_lists(listed.where("n > 0"))
     ids = listed.where("n > 0").groupBy(F.col("c1").alias("c")).agg(F.min(F.struct("doc_id")).alias("least"))
     reps = ids.join(lists.select("c").distinct(), "c", "left_semi").select("c", "least.doc_id")
-    sets = materialize(whole_sets(docs, reps, size), "jaccard-sets")
+    sets = whole_sets(docs, reps, size)
     placed = linked(lists, sets, percent, long)
     discard(lists, sets)
     nodes = ids.join(placed, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -47,6 +49,18 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _kept(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
     df._folder, _MADE[path] = path, name
     return df
@@ -56,7 +70,8 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cuts lineage: writes `df` as Parquet under the shared folder, in a directory per value of `by`, and reads it back."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with _shuffles_removed(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     schema = df.schema if not by else StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
     return _kept(spark.read.schema(schema).parquet(path), path)
 
@@ -65,7 +80,8 @@ def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
     """Like materialize(), as a table of `n` buckets by `key`: grouping and joining by it needs no shuffle."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{work_dir(spark)}/{name}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    with _shuffles_removed(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
     return _kept(spark.table(name), path, name)
 
 

@@ -129,6 +129,24 @@ def test_jaccard_crowd(spark, monkeypatch):
     same(jaccard.near_duplicates(docs), *duck_rows(sql.ORACLE_SQL["op9_ngram_jaccard"], docs))
 
 
+@pytest.mark.parametrize("held", [250_000, 60])
+def test_components_of_long_paths(spark, monkeypatch, held):
+    """Paths through nodes in mixed order: put together in a task, or in several with rounds between them."""
+    import random
+
+    monkeypatch.setattr(jaccard, "TASK_LINKS", held)
+    rng, nodes = random.Random(3), list(range(-500, 500))
+    rng.shuffle(nodes)
+    paths = [nodes[:400], nodes[400:700], nodes[700:702]]
+    links = spark.createDataFrame([rng.choice([(a, b), (b, a)]) for p in paths for a, b in zip(p, p[1:], strict=False)] + [(nodes[0], nodes[0])], "u bigint, v bigint")
+    spark.sparkContext.setJobGroup(f"paths-{held}", "")
+    found = {r.node: r.comp for r in jaccard.components(links).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {n: min(p) for p in paths for n in p}
+    if held > 1000:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"paths-{held}")) <= 12
+
+
 KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
          ("hex", re.compile("[0-9a-f]+"), 0, 24), ("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
          ("jwt", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.A), 0, 1), ("login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,64}@", re.A), 0, 1)]

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 from planwright.session import bucketed, clear_work, discard, folder_of, materialize
 
@@ -32,3 +33,18 @@ def test_tables_go_with_their_catalogue_entries(spark):
     discard(table)
     assert len(named) == 1 and named[0] not in [t.name for t in spark.catalog.listTables()]
     assert clear_work(spark) == 1 and clear_work(spark) == 0
+
+
+def test_writing_a_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key)
+    materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+    bucketed(spark.range(1000), 3, "id", "dealt")
+    for _ in range(100):  # they go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key) == setting
+    clear_work(spark)
