@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
 Distinct words of all texts are exploded into substrings of bounded length, substrings are joined with the piece
-table on equality, edges are grouped by word, and a higher-order fold over the edges of a word picks its path. The
+table on equality, edges are sorted by word, and a fold over the edges of a word, many words at once, picks its path. The
 model at hand is a byte-pair model, for which the path of the best summed score is not the model's encoding: its
 fold takes, step by step, the best-ranked edge that covers exactly two edges of the path so far, leftmost first on
 a tie, as the model defines it. The fold for unigram models, by best sum (Viterbi), is `viterbi_words`.
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.llm.text import unused
@@ -37,8 +37,10 @@ FREQUENT, NAMED = 100_000, 20_000
 HELD_WORDS = 2_000_000
 #: Words whose edges are sorted together.
 WORDS_PER_TASK = 100_000
-#: Rank of the edges of single characters that have no piece.
-NO_PIECE = 2**31 - 1
+#: Rounds in which ids go back to the blocks.
+ROUNDS = 2
+#: Edges that a task folds at once.
+EDGES_HELD = 300_000
 
 
 def piece_rows(model_file: str) -> list[tuple[int, str, float, bool]]:
@@ -166,52 +168,103 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def lattice(words: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(word, edges): for each distinct word of `words`, its edges, the best rank first.
+    """(id, edge, word) of each distinct word of `words`: its edges together, told apart by id.
 
-    An edge from place a to b is the number rank * 4096 + a * 64 + b; single characters without a piece have the
-    rank NO_PIECE. Grouping by word ends up where the words already are, so edges are never shuffled.
+    An edge of two characters or more from place a to b is the number rank * 4096 + a * 64 + b. A row without an edge
+    names the word. The rows of a word are sorted where the word already is, by a number, so edges are never shuffled.
     """
     n = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    ends = starts.select("word", "a", F.explode(F.sequence(F.col("a") + 1, F.least(n, F.col("a") + pieces.longest))).alias("b"))
-    named = ends.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
-    found = named.join(F.broadcast(pieces.frame(words.sparkSession)), "piece", "left").where(F.col("rank").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edge = F.coalesce("rank", F.lit(NO_PIECE)).cast("long") * 4096 + F.col("a") * 64 + F.col("b")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    named = words.select(F.monotonically_increasing_id().alias("id"), "word")
+    starts = named.select("id", "word", F.posexplode(F.sequence(F.lit(-1), n - 2)).alias("k", "a"))
+    ends = starts.select("id", "word", "a", F.explode(F.when(F.col("a") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("a") + 2, F.least(n, F.col("a") + pieces.longest)))).alias("b"))
+    wide = pieces.frame(words.sparkSession).where(F.char_length("piece") > 1)
+    ends = ends.withColumn("piece", F.when(F.col("a") >= 0, F.substring("word", F.col("a") + 1, F.col("b") - F.col("a"))))
+    found = ends.join(F.broadcast(wide), "piece", "left").where(F.col("rank").isNotNull() | (F.col("a") < 0))
+    edge = F.col("rank").cast("long") * 4096 + F.col("a") * 64 + F.col("b")
+    return found.select("id", edge.alias("edge"), F.when(F.col("a") < 0, F.col("word")).alias("word")).sortWithinPartitions("id")
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+def folded_paths(n: np.ndarray, at: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the path of each word, which edges lie on it), of words of `n` characters with `edges`, sorted by `at`, the word's place, and rank.
 
-
-def merge_fold(lattices: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(word, ids) of (word, edges), for byte-pair models.
-
-    A path is a long with a bit for each place where an edge of it ends. Step by step the first edge in rank order
-    that begins and ends at such places, with exactly one of them inside, takes that one out.
+    A path is a number with a bit for each place where an edge of it ends. Step by step the first edge in rank order
+    that begins and ends at such places, with exactly one of them inside, takes that one out, in all words at once.
     """
-    n = F.char_length("word")
-    begin, end = lambda e: F.shiftright(e, 6).bitwiseAND(63).cast("int"), lambda e: e.bitwiseAND(63).cast("int")
-    masks = lambda e: F.struct((_bit(begin(e)) + _bit(end(e))).alias("ends"), (_bit(end(e)) - _bit(begin(e) + 1)).alias("inside"))
-    out = lattices.withColumn("wide", F.transform(F.filter("edges", lambda e: end(e) > begin(e) + 1), masks))
-    fits = lambda path, e: (path.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(path.bitwiseAND(e["inside"])) == 1)
-    step = lambda path, _: path.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter("wide", lambda e: fits(path, e)), F.lit(0))["inside"], F.lit(0).cast("long"))))
-    whole = _bit(n + 1) - 1
-    path = F.when(F.size("wide") == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size("wide"))), whole, step))
-    byte_ids = F.lit(pieces.byte_ids)
-    id_of = F.split(F.lit(",".join(map(str, pieces.ids))), ",").cast("array<int>")
+    one = np.uint64(1)
+    bit = lambda place: one << place.astype(np.uint64)
+    begin, end = (edges >> 6) & 63, edges & 63
+    ends, inside = bit(begin) | bit(end), bit(end) - bit(begin + 1)
+    path, live = bit(n + 1) - one, np.arange(len(edges))
+    while len(live):
+        words, own = at[live], path[at[live]]
+        within = own & inside[live]
+        open_ = ((own & ends[live]) == ends[live]) & (within != 0)  # places only go, so others never fit again
+        fits = np.flatnonzero(open_ & ((within & (within - one)) == 0))
+        first = fits[np.diff(words[fits], prepend=-1) != 0]
+        path[words[first]] &= ~inside[live[first]]
+        moved = np.zeros(len(n), bool)
+        moved[words[first]] = True
+        live = live[open_ & moved[words]]
+    return path, (path[at] & (ends | inside)) == ends
+
+
+def _ids_of_paths(table: PieceTable, words: pa.Array, path: np.ndarray, at: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+    """The ids along the paths: of the edges (word's place, edge) on them, and of characters that stand alone or of their bytes."""
+    raw = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of each character's bytes
+    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(points)) - first[owner]
+    held = lambda k: ((path[owner] >> (place + k).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    starts = held(0)  # the characters at which an edge of the path begins
+    ids, count = np.full(len(points), -1, np.int64), np.zeros(len(points), np.int64)
+    single = np.array(sorted((ord(p), table.ids[r]) for p, r in table.rank.items() if len(p) == 1), np.int64).reshape(-1, 2)
+    alone = np.flatnonzero(starts & held(1))
+    if len(single):
+        found = np.minimum(np.searchsorted(single[:, 0], points[alone]), len(single) - 1)
+        ids[alone] = np.where(single[found, 0] == points[alone], single[found, 1], -1)
+    ids[first[at] + ((edges >> 6) & 63)] = np.array(table.ids, np.int64)[edges >> 12]
+    count[starts] = np.where(ids[starts] >= 0, 1, np.diff(begins)[starts])
+    ends = np.concatenate([[0], np.cumsum(count)])
+    out = np.repeat(ids, count)
+    missing = np.flatnonzero(out < 0)
+    char = np.repeat(np.arange(len(points)), count)[missing]
+    out[missing] = np.array(table.byte_ids or [0], np.int64)[raw[begins[char] + missing - ends[char]]] if len(missing) else 0
+    return pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(out.astype(np.int32)))
+
+
+def merge_fold(lattices: DataFrame, shared: Broadcast) -> DataFrame:
+    """(word, ids) of (id, edge, word), sorted by id, for byte-pair models; some EDGES_HELD edges are folded at once."""
 
-    def bytes_of(a: Column) -> Column:
-        digits = F.hex(F.encode(F.substring("word", a + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.get(byte_ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = PieceTable(shared.value), []
+
+        def fold(rows: pa.Table) -> pa.RecordBatch:
+            named = rows.filter(pc.is_valid(rows.column("word")))
+            words = pa.concat_arrays(named.column("word").chunks)
+            edged = rows.filter(pc.is_valid(rows.column("edge")))
+            edges = edged.column("edge").to_numpy()
+            at = np.searchsorted(named.column("id").to_numpy(), edged.column("id").to_numpy())
+            order = np.lexsort((edges, at))
+            at, edges = at[order], edges[order]
+            path, on = folded_paths(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64), at, edges)
+            return pa.RecordBatch.from_arrays([words, _ids_of_paths(table, words, path, at[on], edges[on])], ["word", "ids"])
 
-    def ids_on(path: Column) -> Column:
-        chosen = F.filter("edges", lambda e: path.bitwiseAND(_bit(end(e) + 1) - _bit(begin(e))) == _bit(begin(e)) + _bit(end(e)))
-        in_order = F.sort_array(F.transform(chosen, lambda e: F.struct(begin(e).alias("a"), F.shiftright(e, 12).cast("int").alias("rank"))))
-        return F.flatten(F.transform(in_order, lambda e: F.when(e["rank"] != NO_PIECE, F.array(F.get(id_of, e["rank"]))).otherwise(bytes_of(e["a"]))))
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > EDGES_HELD:
+                rows = pa.Table.from_batches(held)
+                # The last word may go on in the next batch.
+                whole = int(np.searchsorted(rows.column("id").to_numpy(), rows.column("id")[-1].as_py()))
+                held = rows.slice(whole).to_batches()
+                if whole:
+                    yield fold(rows.slice(0, whole))
+        if sum(b.num_rows for b in held):
+            yield fold(pa.Table.from_batches(held))
 
-    # As the variable of a lambda the path is worked out once; as a column it would be for each edge.
-    return out.select("word", F.get(F.transform(F.array(path), ids_on), F.lit(0)).alias("ids"))
+    return lattices.mapInArrow(run, "word string, ids array<int>")
 
 
 def merge_one(table: PieceTable, word: str) -> list[str]:
@@ -262,16 +315,19 @@ def long_word_ids(words: DataFrame, shared: Broadcast) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
-def with_ids(words: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
-    """`words`, which are partitioned by word already, with ids; each distinct word is encoded once."""
+def word_ids(words: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
+    """(word, ids) of the distinct words of `words`, which are partitioned by word already."""
     table, shared = PieceTable(pieces), words.sparkSession.sparkContext.broadcast(pieces)
-    is_long = F.char_length("word") > FOLDED
-    short, long = words.where(~is_long), words.where(is_long)
-    folded = merge_fold(lattice(short.select("word").distinct(), table), table)
-    both = short.join(folded, "word").unionByName(long.join(long_word_ids(long.select("word").distinct(), shared), "word"))
+    distinct, is_long = words.select("word").distinct(), F.char_length("word") > FOLDED
+    both = merge_fold(lattice(distinct.where(~is_long), table), shared).unionByName(long_word_ids(distinct.where(is_long), shared))
     return both.withColumn("ids", F.col("ids").cast("array<smallint>" if max((r[0] for r in pieces), default=0) < 2**15 else "array<int>"))
 
 
+def with_ids(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """`words` with the ids of (word, ids), by a table of the ids in each task, so that neither side is sorted."""
+    return words.join(ids.hint("shuffle_hash"), "word")
+
+
 def encode(docs: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataFrame:
     """`docs` with ids array<int>, the model's encoding of `text`; a null or empty text has none.
 
@@ -290,16 +346,18 @@ def encode(docs: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataF
     top, n_words = frequent_words(dealt, "text")
     tasks = lambda n: 1 + n // WORDS_PER_TASK
     common = spark.createDataFrame([(w,) for w in top], "word string").repartition(8 * tasks(len(top)), "word")
-    common = with_ids(common, pieces).toArrow().cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+    common = word_ids(common, pieces).toArrow().cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
     shared = spark.sparkContext.broadcast([pa.concat_arrays([*c.chunks]) if c.num_chunks else pa.array([], c.type) for c in common.columns])
-    # Bucketed by word: grouping the edges and joining ids back shuffle nothing more.
+    # Bucketed by word: edges are sorted where their word is, and only the ids of distinct words move, into the same buckets.
     rare = bucketed(block_words(dealt, "text", block, shared), tasks(n_words), "word", "rare-words")
-    by_block = materialize(with_ids(rare, pieces).repartition("block"), "block-words", by="block")
-    discard(rare)
-    folder = folder_of(by_block)
+    found = bucketed(word_ids(rare, pieces), tasks(n_words), "word", "rare-ids")
+    # In rounds, so that only a part of what goes back to the blocks is in shuffle files at a time.
+    parts = [materialize(with_ids(rare.where(F.pmod("block", F.lit(ROUNDS)) == k), found).repartition("block"), "block-words", by="block") for k in range(ROUNDS)]
+    discard(rare, found)
+    folders = [folder_of(p) for p in parts]
 
     def own_words(at: int) -> list[pa.Array]:
-        filesystem, base = fs.FileSystem.from_uri(folder)
+        filesystem, base = fs.FileSystem.from_uri(folders[at % ROUNDS])
         path = f"{base}/block={at}"
         if filesystem.get_file_info(path).type == fs.FileType.NotFound:
             return shared.value
@@ -311,7 +369,7 @@ def encode(docs: DataFrame, pieces: list[tuple[int, str, float, bool]]) -> DataF
         words, ids = None, None
         for batch in batches:
             if batch.num_rows and words is None:
-                words, ids = own_words(batch.column(block)[0].as_py()) if folder else shared.value
+                words, ids = own_words(batch.column(block)[0].as_py())
             flat, starts = split_words(batch.column("text"))
             lists = ids.take(pc.index_in(flat, value_set=words)) if len(flat) else pa.array([], pa.list_(pa.int32()))
             if lists.null_count:

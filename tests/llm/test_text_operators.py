@@ -205,6 +205,24 @@ def test_token_counts(docs):
         assert r.text == text and r.n_tokens == len(counter.encode(text)) == r.tree[0] == sum(r.leaf_tokens)
 
 
+def test_sentencepiece_fold_of_many_words(spark, monkeypatch):
+    """Each word as by merges with a heap, in folds of a few edges; edges are neither grouped as objects nor words sorted to be joined."""
+    import random
+
+    monkeypatch.setattr(sentencepiece_lattice, "EDGES_HELD", 50)
+    pieces = sentencepiece_lattice.piece_rows(f"{TOKENIZERS}/piece_bpe_32k.model")
+    table, rng = sentencepiece_lattice.PieceTable(pieces), random.Random(8)
+    words = ["".join(rng.choice("▁aeinorstthue\u0301é日\U0001f600\x01") for _ in range(rng.choice([1, 2, 5, 9, 20, 60, 61, 75]))) for _ in range(300)]
+    dealt = spark.createDataFrame([(w,) for w in words], "word string").repartition(3, "word")
+    found = sentencepiece_lattice.with_ids(dealt, sentencepiece_lattice.word_ids(dealt, pieces))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "ObjectHashAggregate" not in plan
+    rows = found.collect()
+    assert sorted(r.word for r in rows) == sorted(words)
+    for r in rows:
+        assert r.ids == sentencepiece_lattice._ids_of(table, sentencepiece_lattice.merge_one(table, r.word)), r.word
+
+
 def test_sentencepiece(docs):
     import sentencepiece
 
