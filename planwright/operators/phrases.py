@@ -54,7 +54,8 @@ def find_phrases(texts: DataFrame, keys: list[str], targets: DataFrame, key_of:
     """
     named = targets.select("name", key_of(F.col("name")).alias("_key")).where(F.col("_key") != "").groupBy("_key").agg(F.min("name").alias("name"))
     found = windows(texts, keys, most).withColumn("_key", key_of(F.col("phrase"))).where(F.col("_key") != "").join(named, "_key").select(*keys, "start", "n", "name")
-    return without_overlaps(longest(found, keys), keys)
+    # Dealt once, by row: the longest of a place and the chains of a row are found where its runs lie.
+    return without_overlaps(longest(found.repartition(*keys), keys), keys)
 
 
 def first_sheets(words: DataFrame, targets: DataFrame, key_of: Callable[[Column], Column]) -> DataFrame:

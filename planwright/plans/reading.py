@@ -49,7 +49,7 @@ def found_phrases(v):
     lower = lambda c: F.lower(c)
     texts = v("documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
     opening = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    named = v("benchmark").select(F.explode(F.array(*[F.array_join(F.slice(opening, 1, n), " ") for n in (2, 3, 4)])).alias("name"))
+    named = v("benchmark").select(F.explode(F.array(*[F.array_join(F.slice(opening, 1, n), " ") for n in range(1, phrases.MOST_WORDS + 1)])).alias("name"))
     return phrases.find_phrases(texts, ["doc_id"], named, lower)
 
 
