@@ -1,8 +1,9 @@
 """Where a bill line's number comes from: the payload is built per basis, parsed back strictly, and audited per axis.
 
 Payloads are JSON text. A payload is parsed once, in Arrow batches, and checked field by field against the forms below; one
-that does not fit is null as a whole, while steps of a chain that an item carries are dropped one by one. All else is
-column expressions: a line is judged where it stands, without a shuffle.
+that does not fit is null as a whole, while steps of a chain that an item carries are dropped one by one. Plain payloads of
+a batch are parsed and checked all at once by Arrow, the others one by one, each distinct text once. All else is column
+expressions: a line is judged where it stands, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import json as arrow_json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -50,7 +54,8 @@ NAMED_ITEMS = 25
 
 STEP_LIST = "array<struct<id:string,type:string,confidence:double,weight:double,label:string,sourceRef:string>>"
 _TYPED = f"struct<sourceType:string,derivationType:string,evidence:array<struct<kind:string>>,formula:string,ruleRef:string,reasoning:string,confidence:double,evidenceChain:{STEP_LIST},stampedBy:string>"
-
+#: The same, with what was read from a sheet and where.
+_PLACED = _TYPED.replace("array<struct<kind:string>>", "array<struct<kind:string,extractedValue:string,bbox:struct<cs:string,x:double,y:double>>>", 1)
 
 #: An item's meta as read(): its chain, the texts that payloads name and its place on the sheet.
 _META_TEXTS = ["extractedValue", "mepRuleId", "mepDiscipline", "mepFactorSource", "mepRateSource", "mepFormulaText", "estimationReasoning"]
@@ -117,10 +122,23 @@ def _no_number(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+class _Decoder(json.JSONDecoder):
+    """Made once and not for each text; tasks make their own."""
+
+    def __init__(self) -> None:
+        json.JSONDecoder.__init__(self, object_pairs_hook=_object, parse_constant=_no_number)
+
+    def __reduce__(self) -> tuple:
+        return _Decoder, ()
+
+
+_DECODER = _Decoder()
+
+
 def _json(raw: str | None) -> dict | None:
     """The object that a JSON text holds; None for other values, and for what is no JSON or names a field of an object twice."""
     try:
-        v = None if raw is None else json.loads(raw, object_pairs_hook=_object, parse_constant=_no_number)
+        v = None if raw is None else _DECODER.decode(raw)
     except (ValueError, RecursionError):
         return None
     return v if type(v) is dict else None
@@ -144,13 +162,27 @@ def _chain(v: dict) -> list[dict] | None:
     return [_step(x) for x in listed if step_fits(x)] or None if type(listed) is list else None
 
 
+def _double(x: float) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return math.copysign(math.inf, x)
+
+
+def _evidence(e: dict) -> dict:
+    if e["kind"] != "sheet":
+        return {"kind": e["kind"]}
+    at = e.get("bbox")
+    return {"kind": "sheet", "extractedValue": _text(e.get("extractedValue")), "bbox": at and {"cs": at["cs"], "x": _double(at["x"]), "y": _double(at["y"])}}
+
+
 def _payload(raw: str | None) -> dict | None:
     v = _json(raw)
     if v is None or not (_fits(v, _PAYLOAD_FORM) and _each(v, "evidence", evidence_fits, 1) and _each(v, "inputs", lambda x: _fits(x, _INPUT_FORM)) and _each(v, "evidenceChain", step_fits)):
         return None
     sure, chain = v.get("confidence"), v.get("evidenceChain")
     return {k: _text(v.get(k)) for k in ("sourceType", "derivationType", "formula", "ruleRef", "reasoning", "stampedBy")} | {
-        "evidence": [{"kind": e["kind"]} for e in v["evidence"]], "confidence": None if sure is None else float(sure), "evidenceChain": None if chain is None else [_step(x) for x in chain]}
+        "evidence": [_evidence(e) for e in v["evidence"]], "confidence": None if sure is None else float(sure), "evidenceChain": None if chain is None else [_step(x) for x in chain]}
 
 
 def _place(v: dict) -> dict | None:
@@ -173,17 +205,118 @@ def _item_steps(raw: str | None) -> list[dict] | None:
     return None if v is None else _chain(v)
 
 
-def _reader(read: Callable[[str | None], object], type_: str) -> Callable[[Column], Column]:
-    """A column function that reads JSON texts by `read`, Arrow batch by batch; each text is parsed and checked once."""
+# Many payloads at once
+
+
+def _once(texts: pa.Array, read: Callable[[str | None], object], type_: pa.DataType) -> pa.Array:
+    """What `read` gives for each text; texts that are the same are read once."""
+    distinct = texts.dictionary_encode()
+    values = pa.array([*map(read, distinct.dictionary.to_pylist()), read(None)], type_)
+    return values.take(pc.fill_null(distinct.indices, len(values) - 1))
+
+
+def _struct_of(form: dict[str, str]) -> pa.DataType:
+    of = lambda kind: pa.struct([("cs", pa.string()), *[(k, pa.float64()) for k in "xywh"]]) if kind == "box" else pa.float64() if kind in ("number", "share", "whole") else pa.string()
+    return pa.struct([(field, of(kind.rstrip("?0"))) for field, kind in form.items()])
+
+
+#: All fields that evidence has, of whatever kind; a payload with others, or with inputs, is read by itself.
+_ANY_EVIDENCE = _struct_of({"kind": "text"} | {field: kind for form in EVIDENCE.values() for field, kind in form.items()})
+_PLAIN = pa.schema([*_struct_of(PAYLOAD), ("evidence", pa.list_(pa.field("element", _ANY_EVIDENCE))), ("evidenceChain", pa.list_(pa.field("element", _struct_of(STEP))))])
+#: What Arrow's parser does not tell apart (nulls from what is absent) or takes otherwise (escaped characters), and line feeds, which divide texts here.
+_NOT_PLAIN = r"null|\\u|\n"
+#: Payloads parsed together where one of a batch stops the parser; where it is among them, they are read one by one.
+_TOGETHER = 500
+
+
+def _holds(v: pa.StructArray, form: dict[str, str]) -> pa.Array:
+    """_fits() of structs that Arrow has parsed, so that types are right already and nulls were absent."""
+    fits = pc.is_valid(v)
+    for field, kind in form.items():
+        x, plain = v.field(field), kind.rstrip("?0")
+        if plain == "share":
+            right = pc.and_(pc.greater_equal(x, 0.0), pc.less_equal(x, 1.0))
+        elif plain == "whole":
+            right = pc.equal(pc.floor(x), x)
+        elif plain == "box":
+            right = _holds(x, BOX)
+        elif plain in ("text", "number"):
+            right = pc.is_valid(x)
+        else:
+            right = pc.is_in(x, value_set=pa.array(plain.split("|")))
+        fits = pc.and_(fits, pc.if_else(pc.is_null(x), "?" in kind, right))
+    return fits
+
+
+def _all_hold(lists: pa.ListArray, fits: pa.Array) -> pa.Array:
+    """Whether all elements of each list fit; `fits` has a value for each element of all lists."""
+    out = np.ones(len(lists), dtype=bool)
+    out[pc.list_parent_indices(lists).filter(pc.invert(fits)).to_numpy()] = False
+    return pa.array(out)
+
+
+def _plain_payloads(texts: pa.Array, type_: pa.DataType) -> pa.Array | None:
+    """_payload() of texts that begin and end as objects do, parsed all at once; None if one of them stops the parser.
+
+    A text can't go on in the next one, which begins with a brace; so there is a row for each only if each holds one object.
+    """
+    if not len(texts):
+        return pa.array([], type_)
+    lines = pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), "\n")[0].as_buffer()
+    options = arrow_json.ParseOptions(explicit_schema=_PLAIN, unexpected_field_behavior="error")
+    try:
+        table = arrow_json.read_json(pa.BufferReader(lines), arrow_json.ReadOptions(use_threads=False, block_size=lines.size + 1), options)
+    except pa.ArrowInvalid:
+        return None
+    if len(table) != len(texts):
+        return None
+    rows = table.to_struct_array().combine_chunks()
+    evidence, chain = rows.field("evidence"), rows.field("evidenceChain")
+    each, steps = evidence.flatten(), chain.flatten()
+    kind = each.field("kind")
+    known = pc.is_in(kind, value_set=pa.array(list(EVIDENCE)))
+    for name in set(pc.unique(kind).to_pylist()) & set(EVIDENCE):
+        known = pc.and_(known, pc.or_(pc.not_equal(pc.fill_null(kind, ""), name), _holds(each, EVIDENCE[name])))
+    fits = reduce(pc.and_, [_holds(rows, PAYLOAD), pc.fill_null(pc.greater(pc.list_value_length(evidence), 0), False), _all_hold(evidence, known), _all_hold(chain, _holds(steps, STEP))])
+    kept = type_.field("evidence").type
+    no_sheet = pc.fill_null(pc.not_equal(kind, "sheet"), True)
+    columns = [kind]
+    if kept.value_type.num_fields > 1:
+        box = each.field("bbox")
+        columns.append(pc.if_else(no_sheet, None, each.field("extractedValue")))
+        columns.append(pa.StructArray.from_arrays([box.field(c) for c in ("cs", "x", "y")], ["cs", "x", "y"], mask=pc.or_(no_sheet, pc.is_null(box))))
+    shown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(evidence), 0).to_numpy())]), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kept.value_type)), type=kept)
+    return pa.StructArray.from_arrays([shown if f.name == "evidence" else rows.field(f.name) for f in type_], fields=list(type_), mask=pc.invert(fits))
+
+
+def _payloads(texts: pa.Array, type_: pa.DataType) -> pa.Array:
+    """_payload() of each text: plain ones together, the others one by one."""
+    plain = reduce(pc.and_, [pc.starts_with(texts, "{"), pc.ends_with(texts, "}"), pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))])
+    plain = pc.fill_null(plain, False)
+    some = texts.filter(plain)
+    read = _plain_payloads(some, type_)
+    if read is None:
+        parts = [some[k : k + _TOGETHER] for k in range(0, len(some), _TOGETHER)]
+        read = pa.concat_arrays([_once(part, _payload, type_) if (done := _plain_payloads(part, type_)) is None else done for part in parts])
+    if len(some) == len(texts):
+        return read
+    places = plain.to_numpy(zero_copy_only=False)
+    order = np.where(places, np.cumsum(places) - 1, len(some) + np.cumsum(~places) - 1)
+    return pa.concat_arrays([read, _once(texts.filter(pc.invert(plain)), _payload, type_)]).take(pa.array(order))
+
+
+def _reader(read: Callable[[pa.Array, pa.DataType], pa.Array], type_: str) -> Callable[[Column], Column]:
+    """A column function that reads JSON texts by `read`, Arrow batch by batch."""
 
     def over(raw: Column) -> Column:
         arrow = to_arrow_type(DataType.fromDDL(type_))
-        return F.arrow_udf(lambda texts: pa.array([read(x) for x in texts.to_pylist()], arrow), returnType=type_)(raw.cast("string"))
+        return F.arrow_udf(lambda texts: read(texts, arrow), returnType=type_)(raw.cast("string"))
 
     return over
 
 
-_read_payload, _read_meta, _read_steps = _reader(_payload, _TYPED), _reader(_item_meta, _META), _reader(_item_steps, STEP_LIST)
+_read_payload, _read_placed = _reader(_payloads, _TYPED), _reader(_payloads, _PLACED)
+_read_meta, _read_steps = _reader(lambda texts, type_: _once(texts, _item_meta, type_), _META), _reader(lambda texts, type_: _once(texts, _item_steps, type_), STEP_LIST)
 
 
 def parse(raw: Column) -> Column:
@@ -194,6 +327,11 @@ def parse(raw: Column) -> Column:
     return _read_payload(raw)
 
 
+def parse_placed(raw: Column) -> Column:
+    """parse() that also keeps the value read from a sheet, and its place there."""
+    return _read_placed(raw)
+
+
 def parse_variant(v: Column) -> Column:
     """parse() of JSON that is a VARIANT already."""
     return parse(F.to_json(v))

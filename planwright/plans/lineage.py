@@ -50,9 +50,9 @@ SELECT item_id, CASE WHEN rule IS NOT NULL OR b = 'd' THEN 'DERIVED' WHEN b = 'm
 @query("i09_line_provenance", _BUILT, ("item_record",))
 def line_provenance(v):
     """The payloads of generated lines, read back from their JSON."""
-    built = provenance.build_auto(v("item_record")).withColumn("p", provenance.parse(F.col("provenance")))
-    sheets = F.from_json("provenance", "evidence array<struct<kind:string,extractedValue:string,bbox:struct<cs:string,x:double,y:double>>>")["evidence"]
-    built = built.withColumn("sheet", F.get(F.filter(sheets, lambda e: e["kind"] == "sheet"), F.lit(0)))
+    # The JSON is read in one pass: a second reader would have it built once more.
+    built = provenance.build_auto(v("item_record")).withColumn("p", provenance.parse_placed(F.col("provenance")))
+    built = built.withColumn("sheet", F.get(F.filter("p.evidence", lambda e: e["kind"] == "sheet"), F.lit(0)))
     at = "sheet.bbox"
     box = F.when(F.col(f"{at}.x").isNotNull(), F.concat_ws(" ", f"{at}.cs", F.col(f"{at}.x").cast("string"), F.col(f"{at}.y").cast("string")))
     return built.select(
