@@ -1,13 +1,16 @@
 """Words at places on pages put together: lines, tokens, stacked names, and the area next to each name.
 
-Each step reads its rows in order and keeps only what can still change: lines that a later word may join, one token,
-and the names and areas of one page. So pages stream through tasks, and the result does not depend on how they are dealt.
+Each step reads its rows in order and keeps only what can still change: the words of lines that a later word may join, and
+the names and areas of one page. So pages stream through tasks, and the result does not depend on how they are dealt. Words
+move once, to the task of their page; the rest is done where they lie.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import groupby, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +48,13 @@ def _values(column: pa.Array) -> list:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        names = batch.schema.names
-        for row in zip(*map(_values, batch.columns)):
-            yield dict(zip(names, row))
+        yield from map(dict, map(zip, repeat(batch.schema.names), zip(*map(_values, batch.columns))))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(page, text, x_min, y_min, x_max, y_max) of each row."""
+    for batch in batches:
+        yield from zip(*map(_values, batch.columns))
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -61,76 +68,120 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else repeat(()), schema)], schema=schema)
 
 
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
-def _streamed(df: DataFrame, fold: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+def _streamed(df: DataFrame, fold: Callable[[Iterator], Iterator[tuple]], schema: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator] = _words) -> DataFrame:
     arrow = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
-    return df.mapInArrow(lambda batches: _batches(fold(_rows(batches)), arrow), schema)
+    return df.mapInArrow(lambda batches: _batches(fold(rows(batches)), arrow), schema)
 
 
-def _line_fold(rows: Iterator[dict]) -> Iterator[tuple]:
+def _lined(words: Iterator[tuple]) -> Iterator[tuple]:
+    """(word, its line, lines that no later word can join) of each word in order; at last None with the lines that are left.
+
+    A line is a list: its number on the page, the middle and height, how many words joined it, and a list for the reader's use.
+    """
     page, lines, made = object(), [], 0
-    for w in rows:
-        if w["page"] != page:
-            page, lines, made = w["page"], [], 0
-        height, middle = max(1.0, w["y_max"] - w["y_min"]), (w["y_min"] + w["y_max"]) / 2
+    for w in words:
+        passed = []
+        if w[0] != page:
+            page, passed, lines, made = w[0], lines, [], 0
+        height, middle = max(1.0, w[5] - w[3]), (w[3] + w[5]) / 2
         # A line more than half its height above can take no later word either.
         kept, line = [], None
         for x in lines:
-            above = middle - x["middle"]
-            if above < 0.5 * x["height"]:
+            above = middle - x[1]
+            if above < 0.5 * x[2]:
                 kept.append(x)
-                if line is None and abs(above) < 0.5 * min(x["height"], height):
+                if line is None and abs(above) < 0.5 * min(x[2], height):
                     line = x
+            else:
+                passed.append(x)
         lines = kept
         if line is None:
-            line = {"no": made, "middle": middle, "height": height, "n": 1}
+            line = [made, middle, height, 1, []]
             lines.append(line)
             made += 1
         else:
-            line["n"] += 1
-            line["middle"] = (line["middle"] * (line["n"] - 1) + middle) / line["n"]
-            line["height"] = max(line["height"], height)
-        yield (page, line["no"], line["n"], w["text"], w["x_min"], w["y_min"], w["x_max"], w["y_max"])
+            line[3] += 1
+            line[1] = (line[1] * (line[3] - 1) + middle) / line[3]
+            line[2] = max(line[2], height)
+        yield w, line, passed
+    yield None, None, lines
 
 
-def lines(words: DataFrame) -> DataFrame:
+def _line_fold(words: Iterator[tuple]) -> Iterator[tuple]:
+    for w, line, _ in _lined(words):
+        if w is not None:
+            yield (w[0], line[0], line[3], *w[1:])
+
+
+def _in_order(words: DataFrame, dealt: bool) -> DataFrame:
+    whole = words.where(F.col("page").isNotNull() & F.col("text").isNotNull() & ~F.isnull(F.col("x_min") + F.col("y_min") + F.col("x_max") + F.col("y_max")))
+    middle = ((F.col("y_min") + F.col("y_max")) / 2).alias("middle")
+    rows = whole.select(F.col("page").cast("bigint"), "word_no", "text", *[F.col(c).cast("double") for c in BOX], middle)
+    return (rows if dealt else rows.repartition("page")).sortWithinPartitions("page", "middle", "word_no", "text", *BOX).select("page", "text", *BOX)
+
+
+def lines(words: DataFrame, dealt: bool = False) -> DataFrame:
     """`words` (page, word_no, text and box) with line and place: words within half a text height of a line's running mean join it.
 
     Words come in order of their middle, then of word_no, and join the first line made that fits. Words without a page,
-    a text or a whole box are left out; repeated rows are words of their own.
+    a text or a whole box are left out; repeated rows are words of their own. `dealt` says that the words of a page are in
+    one task already, here and below; else they are brought there.
     """
-    whole = words.where(F.col("page").isNotNull() & F.col("text").isNotNull() & ~F.isnull(F.col("x_min") + F.col("y_min") + F.col("x_max") + F.col("y_max")))
-    middle = ((F.col("y_min") + F.col("y_max")) / 2).alias("middle")
-    ordered = whole.select(F.col("page").cast("bigint"), "word_no", "text", *[F.col(c).cast("double") for c in BOX], middle).repartition("page").sortWithinPartitions("page", "middle", "word_no", "text", *BOX)
-    return _streamed(ordered.select("page", "text", *BOX), _line_fold, f"page bigint, line bigint, place bigint, text string, {_BOX}")
+    return _streamed(_in_order(words, dealt), _line_fold, f"page bigint, line bigint, place bigint, text string, {_BOX}")
+
+
+TOKENS = f"page bigint, line bigint, token bigint, text string, {_BOX}, height double"
+
+
+def _joined(words: list[tuple]) -> list[dict]:
+    """Tokens of a line's words, from the left."""
+    out, token = [], None
+    for _, text, x_min, y_min, x_max, y_max in sorted(words, key=lambda w: (w[2] != w[2], w[2])) if len(words) > 1 else words:
+        own = max(1.0, y_max - y_min)
+        if token is not None and x_min - token["x_max"] <= token["height"]:
+            token["text"], token["x_max"], token["height"] = f"{token['text']} {text}".strip(), x_max, max(token["height"], own)
+            token["y_min"], token["y_max"] = min(token["y_min"], y_min), max(token["y_max"], y_max)
+        else:
+            token = {"text": text, "x_min": x_min, "y_min": y_min, "x_max": x_max, "y_max": y_max, "height": own}
+            out.append(token)
+    return out
+
+
+def _lines_of_tokens(words: Iterator[tuple]) -> Iterator[tuple]:
+    """(page, line, tokens) of each line, as soon as no later word can join it; those of a page come together."""
+    for w, line, passed in _lined(words):
+        for x in passed:
+            yield x[4][0][0], x[0], _joined(x[4])
+        if w is not None:
+            line[4].append(w)
+
+
+def _numbered(lines: Iterator[tuple]) -> Iterator[tuple]:
+    for page, line, made in lines:
+        for n, t in enumerate(made):
+            yield (page, line, n, *t.values())
 
 
 def _token_fold(rows: Iterator[dict]) -> Iterator[tuple]:
-    at, token, height, n = None, None, 0.0, 0
-    for w in rows:
-        here, own = (w["page"], w["line"]), max(1.0, w["y_max"] - w["y_min"])
-        if at == here and w["x_min"] - token["x_max"] <= height:
-            token["text"], token["x_max"] = f"{token['text']} {w['text']}".strip(), w["x_max"]
-            token["y_min"], token["y_max"] = min(token["y_min"], w["y_min"]), max(token["y_max"], w["y_max"])
-            height = max(height, own)
-            continue
-        if at is not None:
-            yield (*at, n, token["text"], *[token[c] for c in BOX], height)
-        n = n + 1 if at == here else 0
-        at, token, height = here, w, own
-    if at is not None:
-        yield (*at, n, token["text"], *[token[c] for c in BOX], height)
+    of_line = groupby(rows, lambda w: (w["page"], w["line"]))
+    return _numbered((page, line, _joined([(page, w["text"], *[w[c] for c in BOX]) for w in ws])) for (page, line), ws in of_line)
 
 
 def tokens(lined: DataFrame) -> DataFrame:
     """Neighbouring words of a line, at most a text height apart, as one token: (page, line, token, text, box, height)."""
     ordered = lined.repartition("page", "line").sortWithinPartitions("page", "line", "x_min", "place")
-    return _streamed(ordered.select("page", "line", "text", *BOX), _token_fold, f"page bigint, line bigint, token bigint, text string, {_BOX}, height double")
+    return _streamed(ordered.select("page", "line", "text", *BOX), _token_fold, TOKENS, _rows)
+
+
+def page_tokens(words: DataFrame, dealt: bool = False) -> DataFrame:
+    """tokens(lines(words)) in one pass: a line's tokens are made where its words were put together."""
+    return _streamed(_in_order(words, dealt), lambda ws: _numbered(_lines_of_tokens(ws)), TOKENS)
 
 
 def stacked(blocks: list[dict]) -> list[dict]:
@@ -156,6 +207,8 @@ def areas(page: list[dict]) -> list[dict]:
     """Areas in m² among a page's tokens, in their order: a number with its unit, or followed by it."""
     out = []
     for k, t in enumerate(page):
+        if not t["text"][:1].isdigit():
+            continue
         both = AREA_WITH_UNIT.match(t["text"])
         unit = page[k + 1] if not both and k + 1 < len(page) and AREA.match(t["text"]) and SQUARE_METRES.match(page[k + 1]["text"].strip()) else None
         if not both and unit is None:
@@ -166,19 +219,30 @@ def areas(page: list[dict]) -> list[dict]:
     return out
 
 
-def pairs(page: list[dict]) -> Iterator[tuple]:
-    """(name, area, distance, box of the name): each area takes the nearest name within 12 text heights that is not taken yet."""
-    names = stacked([dict(t) for t in page if is_name(t["text"])])
-    taken = [False] * len(names)
+def pairs(page: list[dict], known: dict[str, bool] | None = None) -> Iterator[tuple]:
+    """(name, area, distance, box of the name): each area takes the nearest name within 12 text heights that is not taken yet.
+
+    `known` keeps which texts are names from page to page. An area looks at names of about its height on the page alone.
+    """
+    known = {} if known is None else known
+    for t in page:
+        if t["text"] not in known:
+            known[t["text"]] = is_name(t["text"])
+    names = stacked([dict(t) for t in page if known[t["text"]]])
     centre = lambda b: ((b["x_min"] + b["x_max"]) / 2, (b["y_min"] + b["y_max"]) / 2)
-    places = [centre(n) for n in names]
+    # Sorted by their height on the page; one without a number there is near nothing.
+    free = sorted((y, k, x) for k, (x, y) in enumerate(map(centre, names)) if y == y)
+    heights = [y for y, _, _ in free]
+    taken = [False] * len(names)
     for area in areas(page):
         x, y = centre(area)
         radius, best = max(LEAST_RADIUS, RADIUS_HEIGHTS * area["height"]), None
-        for k, (nx, ny) in enumerate(places):
+        # A little more than the radius, as the differences below are rounded.
+        reach = radius + 1e-9 * (radius + abs(y))
+        for ny, k, nx in free[bisect_left(heights, y - reach) : bisect_right(heights, y + reach)]:
             if not taken[k] and abs(x - nx) <= radius and abs(y - ny) <= radius:
                 far = ((x - nx) * (x - nx) + (y - ny) * (y - ny)) ** 0.5
-                if far <= radius and (best is None or far < best[0]):
+                if far <= radius and (best is None or (far, k) < best):
                     best = (far, k)
         if best:
             taken[best[1]] = True
@@ -186,19 +250,19 @@ def pairs(page: list[dict]) -> Iterator[tuple]:
             yield (n["text"].strip(), area["area"], best[0], *[n[c] for c in BOX])
 
 
-def _page_fold(rows: Iterator[dict]) -> Iterator[tuple]:
-    page, held = None, []
-    for t in rows:
-        if held and t["page"] != page:
-            yield from ((page, *p) for p in pairs(held))
-            held = []
-        page = t["page"]
-        held.append(t)
-    if held:
-        yield from ((page, *p) for p in pairs(held))
+#: Texts of which a task keeps whether they are names.
+_KNOWN = 100_000
+
+
+def _page_fold(words: Iterator[tuple]) -> Iterator[tuple]:
+    known: dict[str, bool] = {}
+    for page, lines in groupby(_lines_of_tokens(words), lambda x: x[0]):
+        held = [t for _, _, made in sorted(lines, key=lambda x: x[1]) for t in made]
+        if len(known) > _KNOWN:
+            known.clear()
+        yield from ((page, *p) for p in pairs(held, known))
 
 
-def room_areas(words: DataFrame) -> DataFrame:
+def room_areas(words: DataFrame, dealt: bool = False) -> DataFrame:
     """(page, name, area_m2, distance, box of the name) of all pages of words. Only a page's tokens are held together, as a page is one drawing; an empty table gives no rows."""
-    ordered = tokens(lines(words)).repartition("page").sortWithinPartitions("page", "line", "token")
-    return _streamed(ordered, _page_fold, PAIRS)
+    return _streamed(_in_order(words, dealt), _page_fold, PAIRS)

@@ -15,13 +15,19 @@ from planwright.sources import text_sink
 
 
 def page_words(v):
-    """Words at places: each sheet's items in a grid, the words of an item's text on one or two lines and its area below."""
+    """Words at places: each sheet's items in a grid, the words of an item's text on one or two lines and its area below.
+
+    Items are dealt by sheet before they are divided: items move and not their words, and the words of a sheet are in one task.
+    """
     items = v("takeoff").select(F.col("sheet_id").cast("bigint").alias("page"), (F.col("project_id") * 100 + F.col("item_no")).alias("item"), "description", "qty_ai", "part_id")
+    items = dealt_by(items, v("lineitem").count(), "page")
     cell = F.pmod(F.xxhash64("item"), F.lit(10_000))
     x, y = (cell % 100) * 240.0, F.floor(cell / 100) * 90.0
-    area = F.format_string("%.2f", F.col("qty_ai") + (F.col("part_id") % 100) / 100)
+    size = F.col("qty_ai") + (F.col("part_id") % 100) / 100
+    area = F.coalesce(size.cast("decimal(20,2)").cast("string"), F.format_string("%.2f", size))  # the latter takes much longer
     words = F.concat(F.split("description", " "), F.array(area, F.lit("m²")))
-    placed = items.select("page", "item", "part_id", x.alias("x"), y.alias("y"), F.posexplode(words).alias("place", "text"), F.size(words).alias("n"))
+    made = items.select("page", "item", "part_id", x.alias("x"), y.alias("y"), words.alias("words"))
+    placed = made.select("page", "item", "part_id", "x", "y", F.size("words").alias("n"), F.posexplode("words").alias("place", "text"))
     # The last two are the area; a text of three words or more goes on in a second line.
     below = F.when(F.col("place") >= F.col("n") - 2, 26.0).when((F.col("n") > 4) & (F.col("place") >= 2), 11.0).otherwise(0.0)
     left = F.when(F.col("place") >= F.col("n") - 2, F.col("place") - F.col("n") + 2).when((F.col("n") > 4) & (F.col("place") >= 2), F.col("place") - 2).otherwise(F.col("place")) * 52.0
@@ -31,16 +37,16 @@ def page_words(v):
         (F.col("x") + left + F.least(F.length("text") * 5.5, F.lit(47.0))).alias("x_max"), (F.col("y") + below + shake + 10.0).alias("y_max"))
 
 
-@query("e17_line_tokens")
+@query("e17_line_tokens", dealt=True)
 def line_tokens(v):
     """Words of every sheet put into lines and their neighbours into tokens."""
-    return layout.tokens(layout.lines(page_words(v))).select("page", "line", "token", "text")
+    return layout.page_tokens(page_words(v), dealt=True).select("page", "line", "token", "text")
 
 
-@query("c14_sheet_room_areas")
+@query("c14_sheet_room_areas", dealt=True)
 def sheet_room_areas(v):
     """The areas on every sheet with the room name each stands under."""
-    return layout.room_areas(page_words(v)).select("page", "name", "area_m2", F.round("distance", 6).alias("distance"))
+    return layout.room_areas(page_words(v), dealt=True).select("page", "name", "area_m2", F.round("distance", 6).alias("distance"))
 
 
 @query("c23_phrases")
