@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What is done with lines of placeholder rates, titles, characters that no tab's name may have, and its length.
@@ -80,31 +80,37 @@ def tab_rows(lines: DataFrame, mode: str = "tab") -> DataFrame:
     tab_no, section, kind and item_no: a total order where item numbers do not repeat.
     """
     each = _checked(lines, mode)
-    shown = each if mode != "exclude" else each.where("NOT _draft")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    money = F.when(F.col("is_provisional"), _money("ps_amount")).otherwise(_money("amount")).cast("string")
-    cells = F.concat_ws("\t", text("item_no"), F.translate(text("description"), "\t\n\r", "   "), text("qty"), text("unit"), F.when(F.col("is_provisional"), "P/S").otherwise(text("rate")), money)
-    tab_no = F.when(F.col("_draft"), 2).otherwise(1)
-    tab = F.when(F.col("_draft"), F.lit(DRAFT_TAB)).otherwise(tab_name(F.coalesce("section", F.lit(""))))
-    own = shown.select("project_id", tab_no.alias("tab_no"), "section", F.lit(0).alias("kind"), F.col("item_no").cast("bigint").alias("item_no"), tab.alias("tab"), cells.alias("line"))
-    sums = section_sums(lines, mode)
-    name = F.coalesce("section", F.lit(""))
-    row = lambda tab_no, kind, tab, label, value: F.struct(F.lit(tab_no).alias("tab_no"), F.lit(kind).alias("kind"), tab.alias("tab"), F.concat(label, F.lit("\t"), value.cast("decimal(28,2)").cast("string")).alias("line"))
+    money = F.when(F.col("is_provisional"), _money("ps_amount")).otherwise(_money("amount"))
+    cells = F.concat_ws("\t", text("item_no"), F.translate(text("description"), "\t\n\r", "   "), text("qty"), text("unit"), F.when(F.col("is_provisional"), "P/S").otherwise(text("rate")), money.cast("string"))
+    own = each.select("project_id", "section", F.col("item_no").cast("bigint").alias("item_no"), "_draft", "is_provisional", money.alias("_money"), cells.alias("_cells"))
+    # Sums stand beside the lines, and the first line of a section or project brings their rows: lines are neither moved
+    # nor made once more for them. Both windows need one order of the lines.
+    of_section, of_project = Window.partitionBy("project_id", "section").orderBy("item_no"), Window.partitionBy("project_id").orderBy("section", "item_no")
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    draft, provisional = F.col("_draft"), F.col("is_provisional")
+    total = lambda on, w: F.coalesce(F.sum(F.when(on, F.col("_money"))).over(whole(w)), F.lit(0)).cast("decimal(28,2)")
+    count = lambda on, w: F.count_if(on).over(whole(w))
+    own = own.withColumns({
+        "_first": F.row_number().over(of_section) == 1, "n": count(~draft, of_section), "priced": total(~draft & ~provisional, of_section), "provisional": total(~draft & provisional, of_section),
+        "n_draft": count(draft, of_section), "draft": total(draft & ~provisional, of_section)})
+    if mode == "tab":
+        own = own.withColumns({"_first_of_all": F.row_number().over(of_project) == 1, "n_drafts": count(draft, of_project), "drafts": total(draft & ~provisional, of_project)})
+    name, mine = F.coalesce("section", F.lit("")), tab_name(F.coalesce("section", F.lit("")))
+    fields = lambda tab_no, section, kind, item_no, tab, line: F.struct(tab_no.alias("tab_no"), section.alias("section"), F.lit(kind).alias("kind"), item_no.alias("item_no"), tab.alias("tab"), line.alias("line"))
+    none = F.lit(None).cast("bigint")
+    row = lambda tab_no, kind, tab, label, value: fields(F.lit(tab_no), F.col("section"), kind, none, tab, F.concat(label, F.lit("\t"), value.cast("decimal(28,2)").cast("string")))
     label = lambda before, after: F.concat(F.lit(before), name, F.lit(after))
-    mine = tab_name(name)
+    some = F.col("_first") & (F.col("n") > 0)
     rows = [
-        F.when(F.col("n") > 0, row(1, 1, mine, label("Subtotal — ", " priced"), F.col("priced"))),
-        F.when((F.col("n") > 0) & (F.col("provisional") > 0), row(1, 2, mine, label("Subtotal — ", " P/S"), F.col("provisional"))),
-        F.when(F.col("n") > 0, row(1, 3, mine, label("Section ", " total (priced + P/S)"), F.col("priced") + F.col("provisional"))),
+        F.when(~draft if mode == "exclude" else F.lit(True), fields(F.when(draft, 2).otherwise(1), F.col("section"), 0, F.col("item_no"), F.when(draft, F.lit(DRAFT_TAB)).otherwise(mine), F.col("_cells"))),
+        F.when(some, row(1, 1, mine, label("Subtotal — ", " priced"), F.col("priced"))),
+        F.when(some & (F.col("provisional") > 0), row(1, 2, mine, label("Subtotal — ", " P/S"), F.col("provisional"))),
+        F.when(some, row(1, 3, mine, label("Section ", " total (priced + P/S)"), F.col("priced") + F.col("provisional"))),
     ]
     if mode == "tab":
-        rows.append(F.when(F.col("n_draft") > 0, row(2, 4, F.lit(DRAFT_TAB), label("Subtotal — ", " DRAFT (not for pricing)"), F.col("draft"))))
-    none = F.lit(None).cast("bigint").alias("item_no")
-    under = sums.select("project_id", "section", F.inline(F.array_compact(F.array(*rows)))).select("project_id", "tab_no", "section", "kind", none, "tab", "line")
-    out = own.unionByName(under)
-    if mode == "tab":
-        drafts = sums.groupBy("project_id").agg(F.sum("n_draft").alias("n"), F.sum("draft").alias("draft")).where("n > 0")
-        whole = row(2, 5, F.lit(DRAFT_TAB), F.lit("DRAFT MEP total (would have been added if confirmed)"), F.col("draft"))
+        rows.append(F.when(F.col("_first") & (F.col("n_draft") > 0), row(2, 4, F.lit(DRAFT_TAB), label("Subtotal — ", " DRAFT (not for pricing)"), F.col("draft"))))
         # The last row of the draft tab: after all sections.
-        out = out.unionByName(drafts.select("project_id", whole.alias("r")).select("project_id", F.lit(3).alias("tab_no"), F.lit(None).cast("string").alias("section"), F.col("r.kind").alias("kind"), none, F.col("r.tab").alias("tab"), F.col("r.line").alias("line")))
-    return out
+        last = F.concat(F.lit("DRAFT MEP total (would have been added if confirmed)\t"), F.col("drafts").cast("string"))
+        rows.append(F.when(F.col("_first_of_all") & (F.col("n_drafts") > 0), fields(F.lit(3), F.lit(None).cast("string"), 5, none, F.lit(DRAFT_TAB), last)))
+    return own.select("project_id", F.inline(F.array_compact(F.array(*rows)))).select("project_id", "tab_no", "section", "kind", "item_no", "tab", "line")

@@ -62,13 +62,13 @@ def workbook_rows(v):
     return workbook.tab_rows(bill_lines(v))
 
 
-@query("a12_workbook_dump", _ROWS + " SELECT row_number() OVER (ORDER BY project_id, tab_no, section NULLS FIRST, kind, item_no NULLS FIRST) - 1 AS place, project_id || chr(9) || tab || chr(9) || line AS line FROM r", ("boq_line",), dealt=True)
+@query("a12_workbook_dump", _ROWS + " SELECT row_number() OVER (ORDER BY project_id, tab_no, section NULLS FIRST, kind, item_no NULLS FIRST) - 1 AS place, project_id || chr(9) || tab || chr(9) || line AS line FROM r", ("boq_line",), dealt="ranges")
 def workbook_dump(v):
-    """The same rows of all bills as ordered text files, read back."""
+    """The same rows of all bills as ordered text files, read back. Lines move once, in ranges of projects, and are written where they come."""
     rows = workbook.tab_rows(bill_lines(v))
     spark = rows.sparkSession
     rows = rows.withColumn("line", F.concat_ws("\t", F.col("project_id").cast("string"), "tab", "line"))
-    return text_sink.read_lines(spark, text_sink.write_lines(rows, "line", [F.col(c) for c in _ORDER], f"{work_dir(spark)}/workbook-{uuid.uuid4().hex}", "bills", 20_000))
+    return text_sink.read_lines(spark, text_sink.write_lines(rows, "line", [F.col(c) for c in _ORDER], f"{work_dir(spark)}/workbook-{uuid.uuid4().hex}", "bills", 20_000, ranged=True))
 
 
 @query("h14_tab_names", r"""

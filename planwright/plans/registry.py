@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), dealt: bool = False) -> Callable:
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), dealt: bool | str = False) -> Callable:
     """Registers f(v), where v(relation) is a DataFrame; `sql` continues the WITH clause of `views`. `dealt` is that of view()."""
 
     def add(f: Callable) -> Callable:

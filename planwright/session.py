@@ -50,7 +50,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """What is written meanwhile leaves no shuffle files; else they stay until the driver happens to collect its garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -70,7 +70,7 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cuts lineage: writes `df` as Parquet under the shared folder, in a directory per value of `by`, and reads it back."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     schema = df.schema if not by else StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
     return _kept(spark.read.schema(schema).parquet(path), path)
@@ -80,7 +80,7 @@ def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
     """Like materialize(), as a table of `n` buckets by `key`: grouping and joining by it needs no shuffle."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{work_dir(spark)}/{name}"
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
     return _kept(spark.table(name), path, name)
 
@@ -117,12 +117,21 @@ def clear_work(spark: SparkSession) -> int:
     return len(folders)
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // DEALT_ROWS)
+
+
 def dealt_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """`df`, of about `rows` rows, dealt by `keys` into tasks of some DEALT_ROWS rows, however large it is.
 
     What follows may group, join and number by these keys without another exchange.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // DEALT_ROWS), *keys)
+    return df.repartition(_tasks(df, rows), *keys)
+
+
+def ranged_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """dealt_by() in ranges of `keys`: each task has keys before those of the next one, so what is made of them is in order, too."""
+    return df.repartitionByRange(_tasks(df, rows), *keys)
 
 
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:

@@ -8,36 +8,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from planwright.session import shuffles_removed
 from planwright.sources.snapshots import Change, Snapshot, commit, current, read
 
 #: Lines of a file, more or less: files are cut by range.
 LINES = 500_000
+#: The task that wrote a file, and its number among those of the task: names have them with five and three digits, or more.
+TASK, NUMBER = r"^part-(\d+)-", r"-c(\d+)[^-]*$"
 #: What would end a line is written out; the backslash first. Lines hold no NUL characters.
 ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")]
 
 
-def write_lines(rows: DataFrame, line: str, order: list[Column], root: str, token: str, lines: int = LINES) -> Snapshot:
+def write_lines(rows: DataFrame, line: str, order: list[Column], root: str, token: str, lines: int = LINES, ranged: bool = False) -> Snapshot:
     """Commits the column `line` of `rows` as text under `root`, in the order given, and the list of its files.
 
     Rows are dealt by range, so file follows file; the list (file, rows, bytes, first: the rows before it) is committed
     last and readers go by it. A dump with the token that is in already is left as it is; one that died left files that
-    nothing names. Order must be total for the result to be one.
+    nothing names. Order must be total for the result to be one. `ranged` says that the rows of each task come before those
+    of the next one already: then they stay there, and a task writes as many files as its rows fill.
     """
     spark = rows.sparkSession
     base = current(spark, root)
     if token in base.tokens:
         return base
-    n = rows.count()
     folder = f"{root}/text/{token}-{base.version + 1}"
     text = F.coalesce(line, F.lit(""))
     for plain, written in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(written))
     keyed = rows.select(text.alias("value"), *[c.alias(f"_o{k}") for k, c in enumerate(order)])
     keys = [f"_o{k}" for k in range(len(order))]
-    keyed.repartitionByRange(1 + n // lines, *keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(folder)
+    dealt = keyed if ranged else keyed.repartitionByRange(1 + rows.count() // lines, *keys)
+    with shuffles_removed(spark):
+        dealt.sortWithinPartitions(*keys).select("value").write.mode("overwrite").option("maxRecordsPerFile", lines if ranged else 0).text(folder)
     # Counted from what was written, a row a file; line feeds end lines alone.
     files = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    listed = files.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")).orderBy("file").collect()
+    listed = files.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")).orderBy(*[F.regexp_extract("file", part, 1).cast("int") for part in (TASK, NUMBER)]).collect()
     first, out = 0, []
     for r in listed:
         out.append((f"{folder}/{r['file']}", r["rows"], r["bytes"], first))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.session import dealt_by
+from planwright.session import dealt_by, ranged_by
 from planwright.sources.tables import table
 
 #: Relation -> SQL over {tables} and other {relations}. Deterministic, and no relation needs a global sort.
@@ -180,18 +180,20 @@ def _names(sql: str) -> list[str]:
     return [n for n in [*TABLES, *VIEWS] if "{" + n + "}" in sql]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool | str = False) -> DataFrame:
     """A driver table or a domain relation.
 
     `dealt` is for relations that number or group the lines of an order: these are made from lines that were dealt by order
     into tasks of a stated size, so they travel once, as the plain columns of the table, and a task holds no more of a larger table.
+    "ranges" deals them in ranges of orders.
     """
     if name in TABLES:
         return table(spark, sf_dir, name)
     sql = VIEWS[name]
     needed = {n: view(spark, sf_dir, n, dealt) for n in _names(sql)}
     if dealt and "lineitem" in needed:
-        needed["lineitem"] = dealt_by(needed["lineitem"], needed["lineitem"].count(), "l_orderkey")
+        deal = ranged_by if dealt == "ranges" else dealt_by
+        needed["lineitem"] = deal(needed["lineitem"], needed["lineitem"].count(), "l_orderkey")
     return spark.sql(sql.replace("{e0}", _SPARK["e0"]).replace("{e1}", _SPARK["e1"]), **needed)
 
 
