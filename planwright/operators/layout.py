@@ -42,8 +42,9 @@ def is_name(text: str) -> bool:
 
 
 def _values(column: pa.Array) -> list:
-    """A column's values. Numbers without nulls go by way of numpy, which is many times faster than one by one."""
-    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_primitive(column.type) and not column.null_count else column.to_pylist()
+    """A column's values. Texts, and numbers without nulls, go by way of numpy, which is many times faster than one by one."""
+    bulk = pa.types.is_string(column.type) or pa.types.is_primitive(column.type) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if bulk else column.to_pylist()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -85,18 +86,21 @@ def _lined(words: Iterator[tuple]) -> Iterator[tuple]:
     A line is a list: its number on the page, the middle and height, how many words joined it, and a list for the reader's use.
     """
     page, lines, made = object(), [], 0
-    for w in words:
+    for w in words:  # comparisons and no calls of min() and the like: this runs for each word of all pages
         passed = []
         if w[0] != page:
             page, passed, lines, made = w[0], lines, [], 0
-        height, middle = max(1.0, w[5] - w[3]), (w[3] + w[5]) / 2
+        height, middle = w[5] - w[3], (w[3] + w[5]) / 2
+        if not height > 1.0:
+            height = 1.0
         # A line more than half its height above can take no later word either.
         kept, line = [], None
         for x in lines:
             above = middle - x[1]
             if above < 0.5 * x[2]:
                 kept.append(x)
-                if line is None and abs(above) < 0.5 * min(x[2], height):
+                near = 0.5 * (height if height < x[2] else x[2])
+                if line is None and -near < above < near:
                     line = x
             else:
                 passed.append(x)
@@ -108,7 +112,8 @@ def _lined(words: Iterator[tuple]) -> Iterator[tuple]:
         else:
             line[3] += 1
             line[1] = (line[1] * (line[3] - 1) + middle) / line[3]
-            line[2] = max(line[2], height)
+            if height > line[2]:
+                line[2] = height
         yield w, line, passed
     yield None, None, lines
 
@@ -143,7 +148,9 @@ def _joined(words: list[tuple]) -> list[dict]:
     """Tokens of a line's words, from the left."""
     out, token = [], None
     for _, text, x_min, y_min, x_max, y_max in sorted(words, key=lambda w: (w[2] != w[2], w[2])) if len(words) > 1 else words:
-        own = max(1.0, y_max - y_min)
+        own = y_max - y_min
+        if not own > 1.0:
+            own = 1.0
         if token is not None and x_min - token["x_max"] <= token["height"]:
             token["text"], token["x_max"], token["height"] = f"{token['text']} {text}".strip(), x_max, max(token["height"], own)
             token["y_min"], token["y_max"] = min(token["y_min"], y_min), max(token["y_max"], y_max)
@@ -187,18 +194,22 @@ def page_tokens(words: DataFrame, dealt: bool = False) -> DataFrame:
 def stacked(blocks: list[dict]) -> list[dict]:
     """Name tokens of a page, those under each other in one column joined; a block takes what follows it from the top down."""
     blocks = sorted(blocks, key=lambda b: (b["y_min"], b["x_min"]))
-    out, gone = [], [False] * len(blocks)
+    out, gone, n = [], [False] * len(blocks), len(blocks)
+    tops, lefts, rights = ([b[c] for b in blocks] for c in ("y_min", "x_min", "x_max"))
     for i, a in enumerate(blocks):
         if gone[i]:
             continue
-        for j in range(i + 1, len(blocks)):
-            b = blocks[j]
-            gap = b["y_min"] - a["y_max"]
-            if gap >= 2.5 * a["height"]:
+        left, right, bottom, height = lefts[i], rights[i], a["y_max"], a["height"]
+        for j in range(i + 1, n):
+            gap = tops[j] - bottom
+            if gap >= 2.5 * height:
                 break  # all that follow begin lower still
-            if not gone[j] and gap >= -0.6 * a["height"] and min(a["x_max"], b["x_max"]) - max(a["x_min"], b["x_min"]) > -a["height"]:
-                a |= {"text": f"{a['text']} {b['text']}".strip(), "x_min": min(a["x_min"], b["x_min"]), "x_max": max(a["x_max"], b["x_max"]), "y_min": min(a["y_min"], b["y_min"]), "y_max": max(a["y_max"], b["y_max"]), "height": max(a["height"], b["height"])}
+            if (rights[j] if rights[j] < right else right) - (lefts[j] if lefts[j] > left else left) > -height and not gone[j] and gap >= -0.6 * height:
+                b = blocks[j]
+                a["text"], a["y_min"] = f"{a['text']} {b['text']}".strip(), min(a["y_min"], b["y_min"])
+                left, right, bottom, height = min(left, b["x_min"]), max(right, b["x_max"]), max(bottom, b["y_max"]), max(height, b["height"])
                 gone[j] = True
+        a["x_min"], a["x_max"], a["y_max"], a["height"] = left, right, bottom, height
         out.append(a)
     return out
 
@@ -240,8 +251,9 @@ def pairs(page: list[dict], known: dict[str, bool] | None = None) -> Iterator[tu
         # A little more than the radius, as the differences below are rounded.
         reach = radius + 1e-9 * (radius + abs(y))
         for ny, k, nx in free[bisect_left(heights, y - reach) : bisect_right(heights, y + reach)]:
-            if not taken[k] and abs(x - nx) <= radius and abs(y - ny) <= radius:
-                far = ((x - nx) * (x - nx) + (y - ny) * (y - ny)) ** 0.5
+            across = x - nx
+            if -radius <= across <= radius and not taken[k] and abs(y - ny) <= radius:
+                far = (across * across + (y - ny) * (y - ny)) ** 0.5
                 if far <= radius and (best is None or (far, k) < best):
                     best = (far, k)
         if best:
